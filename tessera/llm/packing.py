@@ -106,7 +106,7 @@ def pack(docs: DataFrame, tokenizer_path: str, full: int = FULL, id_col: str = "
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     end = END_ID.to_bytes(4, "little")
-    id_type = docs.schema[id_col].dataType.simpleString()
+    id_type = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(spec.value)
@@ -124,6 +124,8 @@ def pack(docs: DataFrame, tokenizer_path: str, full: int = FULL, id_col: str = "
             yield pd.DataFrame(rows, columns=names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
-    schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    packed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
+    # ids travel as strings: a nullable number would become a float in pandas
+    packed = docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    packed = packed.withColumn("doc_id", F.col("doc_id").cast(id_type))
     return packed.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.col("length")})

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, warc
-from tessera.llm.common import table
+from tessera.llm import langid, mixing, packing, simhash, warc
+from tessera.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,13 +79,25 @@ FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source JOIN chosen
 """
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc.doc_id", "lang_pred", "score", "rejected").withColumn("held_out", crc_mod("doc_id", 3) == 1)
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, tokenizer_path()).drop("bucket")
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_warc": op2_warc, "op3_mix_sources": op3_mix_sources, "op9_pack": op9_pack}
+    return {"op2_warc": op2_warc, "op3_mix_sources": op3_mix_sources, "op5_simhash": op5_simhash, "op7_langid": op7_langid, "op9_pack": op9_pack}
 
 
 def oracle_sql() -> dict[str, str]:

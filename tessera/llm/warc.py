@@ -88,7 +88,7 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return VERSION + b"\r\n" + named.encode() + b"\r\n" + block
 
 
-def page_records(page, uid: int, url: str | None, payload: bytes, digest: str, refers, when: str, segment_bytes: int) -> Iterator[bytes]:
+def page_records(page: str | None, uid: int, url: str | None, payload: bytes, digest: str, refers: str | None, when: str, segment_bytes: int) -> Iterator[bytes]:
     name = "null" if page is None else page
     me = f"<urn:x-page:{name}:{uid}:1>"
     target = "".join(c if " " < c < "\x7f" else f"%{ord(c):02X}" for c in url) if url else f"urn:x-page:{name}"
@@ -117,15 +117,15 @@ def write_pages(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES,
     )
     repeated = materialize(repeated, "revisits")
     refers = F.when((F.col("page") < F.col("newest")) & (F.octet_length("payload") >= MIN_REVISIT), F.col("newest"))
-    joined = rows.join(repeated, "digest", "left").select("page", F.monotonically_increasing_id().alias("uid"), "url", "payload", "digest", refers.alias("refers"))
+    joined = rows.join(repeated, "digest", "left").select(
+        F.col("page").cast("string"), F.monotonically_increasing_id().alias("uid"), "url", "payload", "digest", refers.cast("string").alias("refers")
+    )
     when = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out, size = [], 0
-            columns = [batch[c].astype(object).where(batch[c].notna(), None) for c in ("page", "uid", "url", "payload", "digest", "refers")]
-            for page, uid, url, payload, digest, refers in zip(*columns, strict=True):
-                page, refers = (x if x is None else int(x) for x in (page, refers))
+            for page, uid, url, payload, digest, refers in zip(*(batch[c] for c in ("page", "uid", "url", "payload", "digest", "refers")), strict=True):
                 for record in page_records(page, uid, url, bytes(payload), digest, refers, when, segment_bytes):
                     out.append(record)
                     size += len(record)
@@ -167,9 +167,9 @@ def checked(block: bytes, digest: str, length: int) -> tuple[bytes | None, str |
     return payload, None
 
 
-def _page(urn: str) -> int | None:
+def _page(urn: str) -> str | None:
     name = urn.strip("<>").split(":")[2]
-    return None if name == "null" else int(name)
+    return None if name == "null" else name
 
 
 def read_pages(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
@@ -192,7 +192,7 @@ def read_pages(spark: SparkSession, path: str, with_payload: bool = False) -> Da
                         payload, problem = checked(block, digest, size)
                         block = payload if with_payload else None
                     out.append((fields["warc-record-id"], int(number or 0), page, fields["warc-type"], digest, size, refers, problem, block, -1))
-                yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(out, columns=names).astype({"payload_bytes": "Int64"})
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -214,17 +214,19 @@ def read_pages(spark: SparkSession, path: str, with_payload: bool = False) -> Da
             batch["problem"] = pd.Series(problems, dtype=object)
             if with_payload:
                 batch["payload"] = pd.Series(payloads, dtype=object)
-            yield batch.drop(columns=["parts", "total"]).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+            yield batch.drop(columns=["parts", "total"])
 
+    # ids are strings in the workers: a nullable number would become a float in pandas
     names = ["origin", "number", "page_id", "record_type", "payload_digest", "payload_bytes", "refers_to", "problem", "block", "total"]
     files = spark.read.format("binaryFile").load(path).select("content")
     parsed = files.mapInPandas(
-        segments, "origin string, number int, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, problem string, block binary, total long"
+        segments, "origin string, number int, page_id string, record_type string, payload_digest string, payload_bytes long, refers_to string, problem string, block binary, total long"
     )
     one = [F.max(c).alias(c) for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem", "total")]
     grouped = parsed.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"), *one).drop("origin")
-    out = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, problem string" + ", payload binary" * with_payload
-    return grouped.select("parts", *[c for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem", "total")]).mapInPandas(joined, out)
+    out = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, problem string" + ", payload binary" * with_payload
+    ready = grouped.select("parts", *names[2:8], "total").mapInPandas(joined, out)
+    return ready.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
