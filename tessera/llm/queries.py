@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, mixing, packing, simhash, warc
+from tessera.llm import langid, mixing, packing, quality, simhash, warc
 from tessera.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality.classify(docs, labels).withColumn("held_out", crc_mod("doc_id", 3) == 1)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -97,7 +103,7 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_warc": op2_warc, "op3_mix_sources": op3_mix_sources, "op5_simhash": op5_simhash, "op7_langid": op7_langid, "op9_pack": op9_pack}
+    return {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_mix_sources": op3_mix_sources, "op5_simhash": op5_simhash, "op7_langid": op7_langid, "op9_pack": op9_pack}
 
 
 def oracle_sql() -> dict[str, str]:
