@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod
+from tessera.llm.common import crc_mod, small_batches
 
 BUCKETS = 1 << 16
 WIDTH = 16
@@ -201,6 +201,7 @@ def prediction(model: Model, text: Column) -> Column:
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(doc, lang_pred, score, rejected): ``doc`` is the row as a struct."""
+    small_batches(docs.sparkSession)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     return row.withColumn("p", prediction(model, F.col(f"doc.`{text_col}`"))).select("doc", "p.*")
 

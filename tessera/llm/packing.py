@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
+
 FULL = 1024
 END_ID = 0
 #: Fixed value: the part pattern of byte-level BPE with its default pre-tokenizer.
@@ -103,6 +105,7 @@ def pack(docs: DataFrame, tokenizer_path: str, full: int = FULL, id_col: str = "
     """
     if full < 1 or full & (full - 1):
         raise ValueError("full must be a power of two")
+    small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     end = END_ID.to_bytes(4, "little")

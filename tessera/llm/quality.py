@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, materialize
+from tessera.llm.common import crc_mod, materialize, small_batches
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "upper", "digits", "symbols", "marks", "sentence_ends", "commas", "high_bytes",
@@ -215,6 +215,7 @@ def fit(measured: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, x) for every document, written once and read again: texts are measured a single time."""
+    small_batches(docs.sparkSession)
     return materialize(docs.select(id_col, features(F.col(text_col)).alias("x")), "features")
 
 

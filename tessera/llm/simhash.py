@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, word_list
+from tessera.llm.common import materialize, small_batches, word_list
 from tessera.llm.graph import connected_components
 
 SHINGLE = 4
@@ -157,6 +157,7 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -
 
 def components(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id), one row per row of ``docs``."""
+    small_batches(docs.sparkSession)
     made = docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), shingle).alias("fp"))
     made = materialize(made, "fingerprints")
     distinct = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh_path, materialize
+from tessera.llm.common import fresh_path, materialize, small_batches
 
 MIN_REVISIT = 1000
 SEGMENT_BYTES = 32 * 1024
@@ -110,6 +110,7 @@ def page_records(page: str | None, uid: int, url: str | None, payload: bytes, di
 
 def write_pages(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write ``pages`` as WARC files under ``path``."""
+    small_batches(pages.sparkSession)
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), html.alias("payload"), F.sha1(html).alias("digest"))
     repeated = (
@@ -175,6 +176,8 @@ def _page(urn: str) -> str | None:
 def read_pages(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """One row per page record: page_id, payload_bytes, payload_digest, record_type, refers_to, problem[, payload]."""
 
+    small_batches(spark)
+
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
