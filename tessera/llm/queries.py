@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, mixing, packing, quality, simhash, warc
+from tessera.llm import langid, mixing, outliers, packing, quality, simhash, warc
 from tessera.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,13 +97,18 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "lang_pred", "score", "rejected").withColumn("held_out", crc_mod("doc_id", 3) == 1)
 
 
+def op8_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return outliers.judge(docs).withColumn("doc_id", F.col("doc.doc_id")).drop("doc")
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, tokenizer_path()).drop("bucket")
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_mix_sources": op3_mix_sources, "op5_simhash": op5_simhash, "op7_langid": op7_langid, "op9_pack": op9_pack}
+    return {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_mix_sources": op3_mix_sources, "op5_simhash": op5_simhash, "op7_langid": op7_langid, "op8_outliers": op8_outliers, "op9_pack": op9_pack}
 
 
 def oracle_sql() -> dict[str, str]:
