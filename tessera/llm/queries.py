@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, mixing, outliers, packing, quality, simhash, warc
+from tessera.llm import langid, mixing, outliers, packing, quality, simhash, substrings, warc
 from tessera.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,8 +107,12 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path()).drop("bucket")
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_mix_sources": op3_mix_sources, "op5_simhash": op5_simhash, "op7_langid": op7_langid, "op8_outliers": op8_outliers, "op9_pack": op9_pack}
+    return {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_mix_sources": op3_mix_sources, "op5_simhash": op5_simhash, "op7_langid": op7_langid, "op8_outliers": op8_outliers, "op9_pack": op9_pack, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
