@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, mixing, outliers, packing, quality, recurrent, simhash, substrings, warc
+from tessera.llm import langid, mixing, neighbours, outliers, packing, quality, recurrent, simhash, substrings, warc
 from tessera.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs)
@@ -116,7 +121,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_mix_sources": op3_mix_sources, "op4_recurrent": op4_recurrent, "op5_simhash": op5_simhash, "op7_langid": op7_langid, "op8_outliers": op8_outliers, "op9_pack": op9_pack, "op10_substrings": op10_substrings}
+    return {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_mix_sources": op3_mix_sources, "op4_recurrent": op4_recurrent, "op5_simhash": op5_simhash, "op6_neighbours": op6_neighbours, "op7_langid": op7_langid, "op8_outliers": op8_outliers, "op9_pack": op9_pack, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
