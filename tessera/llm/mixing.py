@@ -2,9 +2,11 @@
 
 Targets: the total number of words is shared by weight among the sources, a
 source's target stops at ``max_rate`` times its own size, and what is cut off is
-shared again by weight among the others.  That is water-filling, and its level
-is found in one pass over the sources in the order of the level at which each
-one overflows.
+shared again by weight among the others.  That is water-filling.  Its level is
+found in one pass over the sources in the order of the level at which each one
+overflows: were all before it full, the rest shared by weight would give a
+level; that of the first source that does not overflow, which is the largest of
+those that fit, is the answer.
 
 Copies: a source's rate is target / size; each document is emitted floor(rate)
 times, plus once more if its hash, a uniform number in [0, 1), is below the
@@ -70,7 +72,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE)
         listed.withColumn("total", F.sum("source_size").over(whole).cast("double"))
         .withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
         .withColumn("fits", F.when(F.col("level") <= F.col("overflow"), F.col("level")))
-        .withColumn("final", F.min("fits").over(whole))
+        .withColumn("final", F.max("fits").over(whole))
     )
     return leveled.select("source", "source_size", "weight", F.least("cap", F.col("final") * F.col("weight")).alias("target"))
 

@@ -67,7 +67,7 @@ WITH sized AS (
   FROM listed
 ), targets AS (
   SELECT source, source_size,
-    least(cap, min(CASE WHEN level <= overflow THEN level END) OVER () * weight) AS target FROM leveled
+    least(cap, max(CASE WHEN level <= overflow THEN level END) OVER () * weight) AS target FROM leveled
 ), rates AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0e0 END AS rate FROM targets
 ), turned AS (
