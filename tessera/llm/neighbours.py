@@ -10,12 +10,12 @@ sample that the network didn't learn from must find ``RECALL`` of their nearest
 in the sample.  Vectors without structure (all directions alike) need most
 parts, clustered ones few.
 
-The number of parts follows the number of vectors, so a part's size, and with it
-the work per query, stays about ``PART_ROWS``; whatever size a part really has,
-it is split into blocks of about ``BLOCK_ROWS`` vectors and its queries into
-blocks too, and every pair of blocks is a task of bounded size.  In a block equal
-vectors are compared once, and of each set of equals only the smallest ids that
-could be among the results are listed.
+The number of parts follows the number of vectors, up to ``MAX_PARTS``.  Whole
+parts are put together into blocks of about ``BLOCK_BYTES`` of vectors, a part
+that is larger is split, the queries of a block are dealt out as well, and every
+pair of a block and some of its queries is a task of bounded size that returns k
+rows a query at most.  Within a part equal vectors are compared once, and of each
+set of equals only the smallest ids that could be among the results are listed.
 
 Defined results: vectors that are null, empty, zero, of another length than the
 most common one, or that hold a null or non-finite component take no part, nor
@@ -40,7 +40,7 @@ GRAPH_K = 16
 PART_ROWS = 800
 MIN_PARTS, MAX_PARTS = 8, 256
 RECALL = 0.94
-BLOCK_ROWS = 4096
+BLOCK_BYTES = 16 << 20
 QUERY_ROWS = 2048
 HIDDEN = 64
 
@@ -214,6 +214,20 @@ def rank_block(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray,
     return pd.concat(out) if out else pd.DataFrame({"query_id": q_id[:0], "vec_id": x_id[:0], "score": np.zeros(0)})
 
 
+def lay_out(sizes: dict[int, int], most: int) -> tuple[dict[int, int], dict[int, int]]:
+    """(first block, number of blocks) of every part: small parts share a block of about ``most`` rows, larger ones are split."""
+    first, split, block, room = {}, {}, 0, most
+    for part, n in sorted(sizes.items()):
+        if n > room and room < most:
+            block, room = block + 1, most
+        first[part], split[part] = block, -(-n // most)
+        if n >= most:
+            block, room = block + split[part], most
+        else:
+            room -= n
+    return first, split
+
+
 def search(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``is_query`` (a condition on vec_id) holds, its k nearest found."""
     spark = vectors.sparkSession
@@ -232,38 +246,48 @@ def search(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_
     def part_of(v: pd.Series) -> pd.Series:
         return pd.Series(router.logits(_stack(v).reshape(-1, dim)).argmax(1).astype(np.int32))
 
-    @F.pandas_udf("array<int>")
-    def parts_of(v: pd.Series) -> pd.Series:
-        return pd.Series(list(np.argsort(-router.logits(_stack(v).reshape(-1, dim)), axis=1, kind="stable")[:, :probes].astype(np.int32)))
-
     index = materialize(rows.withColumn("part", part_of.asNondeterministic()("v")), "index")
-    routed = materialize(rows.filter(is_query).withColumn("parts", parts_of.asNondeterministic()("v")), "queries").select(
-        F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("parts").alias("part")
-    )
-    # parts are few (at most MAX_PARTS), so their sizes are a small table
+    # parts are at most MAX_PARTS, so their sizes are a small table
     held = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    asked = {r["part"]: r["n"] for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    both = sorted(set(held) & set(asked))
-    if not both:
+    first, split = lay_out(held, max(1024, BLOCK_BYTES // (8 * dim)))
+
+    @F.pandas_udf("array<struct<block: int, parts: array<int>>>")
+    def blocks_of(v: pd.Series) -> pd.Series:
+        order = np.argsort(-router.logits(_stack(v).reshape(-1, dim)), axis=1, kind="stable")[:, :probes]
+        out = []
+        for own in order.tolist():
+            at: dict[int, list[int]] = {}
+            for p in own:
+                for k in range(split.get(p, 0)):
+                    at.setdefault(first[p] + k, []).append(p)
+            out.append([{"block": k, "parts": parts} for k, parts in at.items()])
+        return pd.Series(out)
+
+    routed = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), blocks_of.asNondeterministic()("v").alias("to"))
+    routed = materialize(routed.select("query_id", "q", F.explode("to").alias("e")).select("query_id", "q", "e.block", "e.parts"), "queries")
+    asked = {r["block"]: r["n"] for r in routed.groupBy("block").agg(F.count("*").alias("n")).collect()}
+    if not asked:
         return spark.createDataFrame([], f"query_id {id_type}, rank int, vec_id {id_type}, score double")
-    blocks = F.create_map(*[F.lit(x) for p in both for x in (p, -(-held[p] // BLOCK_ROWS))])
-    q_blocks = F.create_map(*[F.lit(x) for p in both for x in (p, -(-asked[p] // QUERY_ROWS))])
-    near = F.col("part").isin(both)
-    left = index.filter(near).select(
-        "part", F.pmod(F.xxhash64("vec_id"), F.element_at(blocks, F.col("part"))).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.element_at(q_blocks, F.col("part")) - 1)).alias("q_block"), "vec_id", "v",
-    )
-    right = routed.filter(near).select(
-        "part", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("part")) - 1)).alias("block"),
-        F.pmod(F.xxhash64("query_id"), F.element_at(q_blocks, F.col("part"))).cast("int").alias("q_block"), "query_id", "q",
-    )
+    look = lambda table, key: F.element_at(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v)]), key)
+    dealt = {k: -(-n // QUERY_ROWS) for k, n in asked.items()}
+    block = look(first, F.col("part")) + F.pmod(F.xxhash64("vec_id"), look(split, F.col("part"))).cast("int")
+    left = index.select(block.alias("block"), "part", "vec_id", "v").filter(F.col("block").isin(list(asked)))
+    left = left.withColumn("q_block", F.explode(F.sequence(F.lit(0), look(dealt, F.col("block")) - 1)))
+    right = routed.withColumn("q_block", F.pmod(F.xxhash64("query_id"), look(dealt, F.col("block"))).cast("int"))
 
     def rank(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return rank_block(b["query_id"].to_numpy(), _stack(b["q"]), a["vec_id"].to_numpy(), _stack(a["v"]), k)
-
-    keys = ["part", "block", "q_block"]
+        found = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
+        if len(a) and len(b):
+            q_id, q, x_id, x = b["query_id"].to_numpy(), _stack(b["q"]), a["vec_id"].to_numpy(), _stack(a["v"])
+            part, probing = a["part"].to_numpy(), b["parts"].tolist()
+            for p in np.unique(part):
+                mine, theirs = part == p, np.array([p in parts for parts in probing])
+                if theirs.any():
+                    found.append(rank_block(q_id[theirs], q[theirs], x_id[mine], x[mine], k))
+        together = pd.concat(found[1:] or found)
+        return together.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
+
+    keys = ["block", "q_block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rank, f"query_id {id_type}, vec_id {id_type}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
