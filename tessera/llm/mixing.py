@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD
+from tessera.llm.common import WORD, materialize
 
 WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
@@ -90,14 +90,16 @@ def mix_plan(
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = source_targets(sized, weights, max_rate).withColumn("rate", rate).withColumn("fraction", F.col("rate") - F.floor("rate"))
+    # tables of one row per source are written, so their size is known and decides how they are joined
+    targets = materialize(targets, "targets")
     joined = sized.drop("doc").join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     sums = [F.sum(F.col("size") * (F.floor("rate") + _extra(F.col("hashed"), F.lit(k), F.col("fraction")))).alias(f"k{k}") for k in range(ROTATIONS)]
     near = F.least(*[F.struct(F.abs(F.col(f"k{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(ROTATIONS)])
     chosen = joined.groupBy("s", "source_size", "target", "rate", "fraction").agg(*sums).withColumn("rotation", near["k"])
+    chosen = materialize(chosen.select("s", "source_size", "target", "rate", "fraction", "rotation"), "rotations")
     copies = F.floor("rate") + _extra(F.col("hashed"), F.col("rotation"), F.col("fraction"))
-    return sized.join(
-        chosen.select("s", "source_size", "target", "rate", "fraction", "rotation"), F.col("source").eqNullSafe(F.col("s"))
-    ).select("doc", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    decided = sized.join(chosen, F.col("source").eqNullSafe(F.col("s")))
+    return decided.select("doc", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
