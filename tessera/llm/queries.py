@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, mixing, neighbours, outliers, packing, quality, recurrent, simhash, substrings, warc
+from tessera.llm import langid, mixing, neighbours, outliers, packing, quality, recurrent, simhash, sql, substrings, warc
 from tessera.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,7 +108,8 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return outliers.judge(docs).withColumn("doc_id", F.col("doc.doc_id")).drop("doc")
+    found = outliers.judge(docs).withColumn("doc_id", F.col("doc.doc_id")).drop("doc")
+    return found.withColumn("distance", F.round("distance", 4))
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,4 +126,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op3_mix_sources": OP3_SQL}
+    return {"op2_warc": OP2_SQL, "op3_mix_sources": OP3_SQL, "op8_outliers": sql.outlier_sql(), "op10_substrings": sql.SUBSTRINGS}
