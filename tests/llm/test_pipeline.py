@@ -55,3 +55,69 @@ def test_sql_agrees(spark, name):
     got = queries.queries()[name](spark, folder)
     assert sorted(got.columns) == sorted(columns)
     assert sorted(map(str, (tuple(r) for r in got.select(columns).collect()))) == sorted(map(str, found.fetchall()))
+
+
+def plain_pipeline(spark, docs):
+    """The five stages by brute force, but for the trained model, which is the pipeline's own."""
+    import hashlib
+    import zlib
+    from collections import Counter
+
+    from test_corpus_operators import WORD, plain_components, plain_fingerprint, plain_substrings, targets_by_rounds
+    from tokenizers import Tokenizer
+
+    from tessera.llm import langid, mixing, packing
+
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
+    model = langid.fit(docs)
+    rows = [r for r in rows if model.predict(r[1])[0] != "und" and model.predict(r[1])[1] >= model.threshold]
+    comps = plain_components([(i, plain_fingerprint(t, 5)) for i, t, _ in rows])
+    seen, kept = set(), []
+    for (i, t, s), c in zip(rows, comps, strict=True):
+        if i is None or (i == c and i not in seen):
+            seen.add(i)
+            kept.append((i, t, s))
+    rows = []
+    for (i, t, s), (_, _, gone, words) in zip(kept, plain_substrings([(i, t) for i, t, _ in kept]), strict=True):
+        if not gone or words:
+            rows.append((i, " ".join(words) if gone else t, s))
+    sizes = Counter({s: 0 for *_, s in rows})
+    hashed = []
+    for i, t, s in rows:
+        sizes[s] += len(WORD.findall(t or ""))
+        inner = hashlib.md5((t or "").encode()).hexdigest()
+        key = inner if i is None else f"{i}:{inner}"
+        hashed.append(int(hashlib.md5(key.encode()).hexdigest()[:8], 16))
+    target = targets_by_rounds(sizes)
+    copies = {}
+    for s in sizes:
+        own = [(k, len(WORD.findall(rows[k][1] or ""))) for k in range(len(rows)) if rows[k][2] == s]
+        rate = target[s] / sizes[s] if sizes[s] else 0.0
+        best = None
+        for turn in range(mixing.ROTATIONS):
+            got = {k: int(rate) + int((hashed[k] + turn * (2**32 // mixing.ROTATIONS)) % 2**32 / 2.0**32 < rate - int(rate)) for k, _ in own}
+            off = abs(sum(got[k] * n for k, n in own) - target[s])
+            if best is None or off < best[0]:
+                best = (off, got)
+        copies |= best[1]
+    tokenizer, out = Tokenizer.from_file(queries.tokenizer_path()), Counter()
+    for k, (i, t, _) in enumerate(rows):
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
+        for a, n in packing.pieces(len(ids)):
+            raw = b"".join(x.to_bytes(4, "little") for x in ids[a : a + n])
+            out[(i, a, n, zlib.crc32(raw), len(ids))] += copies[k]
+    return +out
+
+
+def test_stages_match_brute_force(spark, docs):
+    from collections import Counter
+
+    got = run_stages(spark, docs)[0].select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()
+    assert Counter(map(tuple, got)) == plain_pipeline(spark, docs)
+
+
+def test_run_over_a_folder(spark):
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    packed = out.collect()
+    assert packed and {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(out.columns)
+    assert len({r["sequence_id"] for r in packed}) == len(packed)
