@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.batches import small_batches
 from tessera.functions.text import line_at, line_count
 from tessera.operators.structure import split_structure
 
@@ -180,6 +181,7 @@ def chunk_files(files: DataFrame, size: int = 1000, overlap: int = 200, splitter
                     rows.append((key, p.text, path, relative, p.start, p.end, language, {"file_extension": ext.removeprefix("."), "chunk_index": p.index, "hash": p.digest}, k))
             yield pd.DataFrame(rows, columns=names)
 
+    small_batches(files.sparkSession)
     small = files.filter((F.octet_length("content") <= max_bytes) & F.col("content").isNotNull())
     return small.select("path", "relative_path", "ext", "language", "content").mapInPandas(run, CHUNK_TYPE)
 
