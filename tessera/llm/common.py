@@ -13,27 +13,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.batches import small_batches
+
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_ROWS = 1000
-BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at a time: rows and bytes of an Arrow batch.
-
-    Texts are long rows; Spark's default of 10,000 of them is tens of megabytes in
-    each of several copies.  Smaller settings of the session's own are kept.
-    """
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key)
-        if not (now.isdigit() and 0 < int(now) <= most):
-            spark.conf.set(key, str(most))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -63,6 +51,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` made and nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if path.getName().startswith("tessera-"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            return
+
+
 def crc_mod(col: str, k: int) -> Column:
     """crc32 of an id as text, modulo k; a null id counts as the text ``null``."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("null"))) % k
@@ -74,3 +72,6 @@ def word_list(text: str | None, lower: bool = False) -> list[bytes]:
         return []
     raw = text.encode("utf-8", "surrogatepass")
     return (raw.lower() if lower else raw).split()
+
+
+__all__ = ["WORD", "crc_mod", "discard", "fresh_path", "materialize", "shared_dir", "small_batches", "table", "word_list"]

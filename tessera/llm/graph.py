@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, materialize
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -33,8 +33,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = now.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("w"))
         hooked = large.join(smallest, "u").filter("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v"))
-        now = materialize(hooked.unionByName(smallest.withColumnRenamed("w", "v")).distinct(), "edges")
+        passed, now = now, materialize(hooked.unionByName(smallest.withColumnRenamed("w", "v")).distinct(), "edges")
         before, mark = mark, _mark(now)
+        discard(passed)
         if mark == before:
             break
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -4,8 +4,8 @@ A text's letters, lower-cased, are read as character n-grams inside words with
 their boundaries; each is hashed to one of ``buckets`` embeddings, the mean of
 which goes through a linear softmax.  Both are trained together by stochastic
 gradient descent in numpy, on the driver, from a bounded sample of labelled
-texts (``per_language`` documents a language, of at most ``max_bytes`` each) cut
-into segments of many lengths.  Embeddings start at zero, so subwords never seen
+texts (``per_language`` documents of each of the ``MAX_LANGUAGES`` most frequent
+languages, of at most ``MAX_BYTES`` each) cut into segments of many lengths.  Embeddings start at zero, so subwords never seen
 in training pull a text towards an even distribution.  A fifth of the sample is
 held back to fit the softmax's temperature and the score below which a text is
 rejected: ``FALSE_REJECTIONS`` of the correctly labelled segments lie there, but
@@ -38,6 +38,7 @@ WIDTH = 16
 NGRAMS = (1, 2, 3, 4)
 PER_LANGUAGE = 500
 MAX_BYTES = 1 << 20
+MAX_LANGUAGES = 250
 FALSE_REJECTIONS = 0.001
 CHANCE_MARGIN = 0.2
 UNKNOWN = "und"
@@ -177,7 +178,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
     """Train on a bounded sample of the labelled rows outside fold ``fold``: about ``per_language`` rows of each language."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(crc_mod("id", folds) != fold).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    frequent = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in frequent.collect()}
     if not counts:
         return train([], [])
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
