@@ -95,7 +95,7 @@ class Engine:
         """Bring the store of ``path`` up to date, as one new generation of data and file hashes."""
         store, own = self.store(path), self.config.indexing
         files = scan.scan(
-            self.spark, path, extensions=own.extensions, custom_extensions=custom, ignore_patterns=[*own.ignore_patterns, *ignored], hidden=own.include_hidden
+            self.spark, path, own.max_file_bytes, extensions=own.extensions, custom_extensions=custom, ignore_patterns=[*own.ignore_patterns, *ignored], hidden=own.include_hidden
         ).persist()
         try:
             n_files = files.count()

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def file_hashes(files: DataFrame) -> DataFrame:
-    """(relative_path, hash) of ``files`` (relative_path, content)."""
+    """(relative_path, hash) of ``files`` (relative_path, and content or a hash that was taken when they were read)."""
+    if "hash" in files.columns:
+        return files.select("relative_path", "hash")
     return files.select("relative_path", F.sha2(F.col("content").cast("binary"), 256).alias("hash"))
 
 
@@ -32,20 +34,22 @@ def merkle_root(hashes: DataFrame, width: int = 3) -> DataFrame:
 
 
 def merkle_nodes(hashes: DataFrame) -> DataFrame:
-    """(node, data, parents, children): the root over its leaves."""
-    leaves = merkle_leaves(hashes)
+    """(node, data, parent): the root and its leaves; a node's children are the rows that name it, so no row grows with the tree."""
     root = merkle_root(hashes).select("root")
-    below = leaves.crossJoin(F.broadcast(root)).select("node", "data", F.array("root").alias("parents"), F.array().cast("array<string>").alias("children"))
-    top = leaves.agg(F.sort_array(F.collect_list("node")).alias("children")).crossJoin(root)
-    return below.unionByName(top.select(F.col("root").alias("node"), F.lit("root").alias("data"), F.array().cast("array<string>").alias("parents"), "children"))
+    below = merkle_leaves(hashes).crossJoin(F.broadcast(root)).select("node", "data", F.col("root").alias("parent"))
+    return below.unionByName(root.select(F.col("root").alias("node"), F.lit("root").alias("data"), F.lit(None).cast("string").alias("parent")))
 
 
 def roots(nodes: DataFrame) -> DataFrame:
-    return nodes.filter(F.size("parents") == 0)
+    return nodes.filter(F.col("parent").isNull())
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
-    return nodes.filter(F.size("children") == 0)
+    return nodes.join(nodes.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
+
+
+def children(nodes: DataFrame, node: str) -> DataFrame:
+    return nodes.filter(F.col("parent") == node)
 
 
 def compare_dags(old: DataFrame, new: DataFrame) -> DataFrame:

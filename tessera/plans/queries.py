@@ -216,20 +216,26 @@ def json_nodes(spark, sf_dir):
     return _flat(chunking.chunk_files(named.select("path", F.col("path").alias("relative_path"), F.lit(".json").alias("ext"), F.lit("json").alias("language"), "content")))
 
 
-def _inline(spark, rows) -> DataFrame:
-    return chunking.chunk_files(spark.createDataFrame([(f"/corpus/{p}", p, f".{p.rsplit('.', 1)[1]}", lang, c) for p, lang, c in rows], "path string, relative_path string, ext string, language string, content string"))
+def _rewritten(spark, sf_dir, ext: str, language: str, content) -> DataFrame:
+    """All documents as files of another language."""
+    path = F.concat(F.lit(f"{ROOT}/{language}/"), F.col("id").cast("string"), F.lit(ext))
+    named = files(spark, sf_dir).select("id", "content").select(path.alias("path"), path.alias("relative_path"), F.lit(ext).alias("ext"), F.lit(language).alias("language"), content.alias("content"))
+    return _flat(chunking.chunk_files(named, SIZE, OVERLAP))
 
 
 @query()
 def md_sections(spark, sf_dir):
-    body = "# Title\nwords\n\n## Part one\n```\n# not a heading\n```\n\n## Part two\nmore\n"
-    return _flat(_inline(spark, [(f"notes/{k}.md", "markdown", body * (k + 1)) for k in range(4)]))
+    """Every document with a heading over each of its paragraphs."""
+    body = F.regexp_replace("content", "(?m)^", "\n## Part\n\n")
+    return _rewritten(spark, sf_dir, ".md", "markdown", F.concat(F.lit("# Document "), F.col("id").cast("string"), F.lit("\n"), body))
 
 
 @query()
 def py_defs(spark, sf_dir):
-    body = "import os\n\n@cached\ndef first(a):\n    return a\n\nclass Second:\n    def third(self):\n        return 3\n"
-    return _flat(_inline(spark, [(f"code/{k}.py", "python", body * (k + 1)) for k in range(4)] + [("code/bad.py", "python", "def broken(:\n")]))
+    """Every document as a class whose method returns its lines as comments."""
+    body = F.regexp_replace("content", "(?m)^", "        # ")
+    head, tail = F.lit("import os\n\n@cached\ndef first(a):\n    return a\n\nclass Second:\n    def third(self):\n"), F.lit("\n        return 3\n")
+    return _rewritten(spark, sf_dir, ".py", "python", F.concat(head, body, tail))
 
 
 # -- full text ---------------------------------------------------------------
@@ -325,16 +331,16 @@ def cosine_topk(spark, sf_dir):
 
 
 _BATCH_SQL = (
-    f"pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS.format('e.embedding', 'q.embedding')} AS score FROM embeddings q, embeddings e WHERE q.vec_id < 5), "
+    f"pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS.format('e.embedding', 'q.embedding')} AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0), "
     "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM pairs)"
 )
 
 
 @query(f"WITH {_BATCH_SQL} SELECT query_id, id, score, rank FROM ranked WHERE rank <= 10")
 def cosine_batch(spark, sf_dir):
-    """Five stated queries in one pass over the vectors."""
+    """The stated query set, every id divisible by 100, in one pass over all vectors."""
     v = vectors(spark, sf_dir)
-    return vector.batch_top(v, v.filter("id < 5").select(F.col("id").alias("query_id"), F.col("vector").alias("query")), 10).select("query_id", "id", "score", "rank")
+    return vector.batch_top(v, v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query")), 10).select("query_id", "id", "score", "rank")
 
 
 @query(f"SELECT vec_id AS id, {_COS.format('embedding', _Q0)} AS score FROM embeddings WHERE label = 3 ORDER BY score DESC, id LIMIT {CANDIDATES}")
@@ -346,7 +352,7 @@ def cosine_filtered(spark, sf_dir):
 @query()
 def ann_lsh_topk(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    asked = v.filter("id < 5").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    asked = v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
     return vector.lsh_top(v, asked, 10, len(query_vector(spark, sf_dir))).select("query_id", "id", "score", "rank")
 
 
@@ -411,17 +417,18 @@ _PLACED_SQL = f"{FILES_SQL}, {_LEGS_SQL}, placed AS (SELECT id, score, row_numbe
 
 
 def _found(spark, sf_dir, extensions=None, limit=10) -> DataFrame:
-    chunks = files(spark, sf_dir).filter(F.col("id") % 3 != 0).withColumn("file_path", F.col("path"))
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    chunks = files(spark, sf_dir).join(labelled, "id", "left_semi").withColumn("file_path", F.col("path"))
     return fusion.lookup(rrf_topk(spark, sf_dir).select("id", "score", "rank"), chunks, extensions, limit)
 
 
-@query(f"WITH {_PLACED_SQL} SELECT id, rank, score, path FROM placed JOIN files USING (id) WHERE id % 3 <> 0 ORDER BY rank LIMIT 10")
+@query(f"WITH {_PLACED_SQL} SELECT id, rank, score, path FROM placed JOIN files USING (id) WHERE id IN (SELECT doc_id FROM labels) ORDER BY rank LIMIT 10")
 def hybrid_lookup(spark, sf_dir):
-    """Ranks come before the lookup; ids the lookup misses leave gaps."""
+    """Ranks come before the lookup, here in the labelled documents; ids it misses leave gaps."""
     return _found(spark, sf_dir).select("id", "rank", "score", "path")
 
 
-@query(f"WITH {_PLACED_SQL} SELECT id, rank, score, path FROM placed JOIN files USING (id) WHERE id % 3 <> 0 AND ext IN ('.py', '.rs') ORDER BY rank LIMIT 10")
+@query(f"WITH {_PLACED_SQL} SELECT id, rank, score, path FROM placed JOIN files USING (id) WHERE id IN (SELECT doc_id FROM labels) AND ext IN ('.py', '.rs') ORDER BY rank LIMIT 10")
 def hybrid_ext_filter(spark, sf_dir):
     return _found(spark, sf_dir, [".py", ".rs"]).select("id", "rank", "score", "path")
 
@@ -430,20 +437,20 @@ def hybrid_ext_filter(spark, sf_dir):
     f"WITH {_STATS_SQL}, asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda t: strlen(t) <= 39)) AS term FROM benchmark), "
     "tf AS (SELECT id, term, count(*) AS tf FROM flat WHERE term IN (SELECT term FROM asked) GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), "
     f"parts AS (SELECT tf.id, tf.term, {_SCORE_SQL} AS s FROM tf JOIN df USING (term) JOIN lens USING (id), stats), "
-    "scored AS (SELECT query_id, id, round(sum(s), 6) AS score FROM parts JOIN asked USING (term) WHERE query_id < 20 GROUP BY query_id, id), "
+    "scored AS (SELECT query_id, id, round(sum(s), 6) AS score FROM parts JOIN asked USING (term) GROUP BY query_id, id), "
     f"text_leg AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM scored QUALIFY r <= {CANDIDATES}), "
-    f"pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS.format('e.embedding', 'q.embedding')} AS score FROM embeddings q, embeddings e WHERE q.vec_id < 20), "
+    f"pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS.format('e.embedding', 'q.embedding')} AS score FROM embeddings q, embeddings e WHERE q.vec_id IN (SELECT item_id FROM benchmark)), "
     f"vector_leg AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM pairs QUALIFY r <= {CANDIDATES}), "
     "every AS (SELECT query_id, id, 1e0 / (100 + r) AS part FROM text_leg UNION ALL SELECT query_id, id, 1e0 / (100 + r) FROM vector_leg), "
     "fused AS (SELECT query_id, id, round(sum(part), 9) AS score, count(*) AS legs FROM every GROUP BY query_id, id) "
     "SELECT query_id, id, score, legs, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused QUALIFY rank <= 10"
 )
 def hybrid_multi(spark, sf_dir):
-    """Twenty stated queries at once: benchmark item and vector of the same number."""
-    asked = table(spark, sf_dir, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("query_id"), "text")
+    """All benchmark items as queries at once, each with the vector of the same number."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     text_leg = bm25.batch_scores(texts(spark, sf_dir), asked, CANDIDATES).select("query_id", "id", "score")
     v = vectors(spark, sf_dir)
-    vector_leg = vector.batch_top(v, v.filter("id < 20").select(F.col("id").alias("query_id"), F.col("vector").alias("query")), CANDIDATES).select("query_id", "id", "score")
+    vector_leg = vector.batch_top(v, v.join(asked.select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("vector").alias("query")), CANDIDATES).select("query_id", "id", "score")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     fused = fusion.fuse([text_leg, vector_leg], RRF_K, per="query_id")
     return fused.withColumn("rank", F.row_number().over(order).cast("long")).filter("rank <= 10")
@@ -463,7 +470,7 @@ def snippet_truncate(spark, sf_dir):
 
 
 @query(
-    f"WITH {_PLACED_SQL}, found AS (SELECT id, rank, ext, relative_path, content FROM placed JOIN files USING (id) WHERE id % 3 <> 0 ORDER BY rank LIMIT 10), "
+    f"WITH {_PLACED_SQL}, found AS (SELECT id, rank, ext, relative_path, content FROM placed JOIN files USING (id) WHERE id IN (SELECT doc_id FROM labels) ORDER BY rank LIMIT 10), "
     f"shown AS (SELECT *, {_SNIPPET_SQL} AS shown, row_number() OVER (ORDER BY rank) AS display_rank, CASE ext WHEN '.md' THEN 'markdown' WHEN '.rs' THEN 'rust' WHEN '.py' THEN 'python' ELSE 'unknown' END AS language, {_LINES.format('content')} AS n FROM found) "
     "SELECT rank, display_rank, display_rank::VARCHAR || '. Code snippet (' || language || ') [corpus]' || chr(10) || '   Location: ' || relative_path || ':1-' || n::VARCHAR || chr(10) || '   Rank: ' || display_rank::VARCHAR "
     "|| chr(10) || '   Context: ' || chr(10) || '```' || language || chr(10) || shown || chr(10) || '```' || chr(10) AS text FROM shown"
@@ -476,8 +483,8 @@ def format_results(spark, sf_dir):
 # -- sync --------------------------------------------------------------------
 
 _STATES_SQL = (
-    f"{FILES_SQL}, old AS (SELECT relative_path, sha256(content) AS hash FROM files WHERE id % 10 <> 0), "
-    "new AS (SELECT relative_path, sha256(CASE WHEN id % 7 = 0 THEN content || '!' ELSE content END) AS hash FROM files WHERE id % 11 <> 0)"
+    f"{FILES_SQL}, old AS (SELECT relative_path, sha256(content) AS hash FROM files WHERE id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)), "
+    "new AS (SELECT relative_path, sha256(CASE WHEN ext = '.rs' THEN content || '!' ELSE content END) AS hash FROM files WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"
 )
 _DIFF_SQL = (
     "changes AS (SELECT coalesce(o.relative_path, n.relative_path) AS relative_path, CASE WHEN o.hash IS NULL THEN 'added' WHEN n.hash IS NULL THEN 'removed' ELSE 'modified' END AS change "
@@ -486,9 +493,13 @@ _DIFF_SQL = (
 
 
 def _states(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    own = files(spark, sf_dir).select("id", "relative_path", "content")
-    edited = F.when(F.col("id") % 7 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
-    return sync.file_hashes(own.filter("id % 10 <> 0")), sync.file_hashes(own.filter("id % 11 <> 0").withColumn("content", edited))
+    """Two states of the corpus: the old one has no documents of low quality, the new one no toxic ones, and Rust files were edited."""
+    own = files(spark, sf_dir).select("id", "relative_path", "ext", "content")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    edited = F.when(F.col("ext") == ".rs", F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    old = own.join(labels.filter("quality = 0"), "id", "left_anti")
+    new = own.join(labels.filter("toxic = 1"), "id", "left_anti").withColumn("content", edited)
+    return sync.file_hashes(old), sync.file_hashes(new)
 
 
 @query(f"WITH {_STATES_SQL} SELECT relative_path, hash FROM old")
@@ -538,20 +549,23 @@ def delete_by_file(spark, sf_dir):
 
 
 @query(
-    "WITH fresh AS (SELECT doc_id AS id, 'new' AS state FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id + 1000000, 'new' FROM documents WHERE doc_id % 50 = 0) "
+    "WITH fresh AS (SELECT DISTINCT doc_id AS id, 'new' AS state FROM labels UNION ALL SELECT page_id + 1000000, 'new' FROM pages) "
     "SELECT doc_id AS id, 'old' AS state FROM documents WHERE doc_id NOT IN (SELECT id FROM fresh) UNION ALL SELECT id, state FROM fresh"
 )
 def upsert_chunks(spark, sf_dir):
+    """Labelled documents replace those of equal id; pages are added."""
     ids = texts(spark, sf_dir).select("id")
-    fresh = ids.filter("id % 4 = 0").unionByName(ids.filter("id % 50 = 0").select((F.col("id") + 1_000_000).alias("id"))).withColumn("state", F.lit("new"))
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct()
+    fresh = labelled.unionByName(table(spark, sf_dir, "pages").select((F.col("page_id") + 1_000_000).alias("id"))).withColumn("state", F.lit("new"))
     return sync.upsert(ids.withColumn("state", F.lit("old")), fresh)
 
 
 @query(
-    "WITH wanted AS (SELECT range AS ordinal, range * 37 % 1500 AS id FROM range(100)) SELECT w.ordinal, w.id, d.source FROM wanted w LEFT JOIN documents d ON d.doc_id = w.id"
+    "SELECT e.event_id AS ordinal, e.user_id AS id, d.source FROM events e LEFT JOIN documents d ON d.doc_id = e.user_id"
 )
 def batch_lookup(spark, sf_dir):
-    wanted = spark.range(100).select(F.col("id").alias("ordinal"), (F.col("id") * 37 % 1500).alias("id"))
+    """What each event names, in its order, with nulls where nothing is found."""
+    wanted = table(spark, sf_dir, "events").select(F.col("event_id").alias("ordinal"), F.col("user_id").alias("id"))
     return sync.lookup_batch(files(spark, sf_dir).select("id", "source"), wanted).select("ordinal", "id", "source")
 
 

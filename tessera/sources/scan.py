@@ -1,11 +1,13 @@
 """Codebases as tables of files.
 
 The driver walks the folder (ignore files need its order); workers read the
-files.  Files that are not UTF-8, or vanish meanwhile, are skipped.
+files.  Files that are not UTF-8, or vanish meanwhile, are skipped.  Of files over
+the size cap, which give no chunks, only the hash is taken, block by block.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -19,6 +21,8 @@ from tessera.functions.paths import file_extension, relative_path
 from tessera.sources.ignore import walk
 
 FILE_TYPE = "path string, content string"
+READ_TYPE = "path string, content string, n_bytes long, hash string"
+BLOCK = 1 << 20
 
 
 def list_files(root: str, extensions=DEFAULT_EXTENSIONS, custom_extensions=(), ignore_patterns=(), hidden: bool = False) -> list[str]:
@@ -40,17 +44,34 @@ def _read(path: str) -> str | None:
         return None
 
 
+def _measure(path: str, most: int) -> tuple[str | None, int, str] | None:
+    """(content, size, SHA-256); no content over ``most`` bytes; None for what can't be read as text."""
+    try:
+        if os.path.getsize(path) <= most:
+            with open(path, "rb") as f:
+                raw = f.read()
+            return raw.decode("utf-8"), len(raw), hashlib.sha256(raw).hexdigest()
+        digest, size = hashlib.sha256(), 0
+        with open(path, "rb") as f:
+            while block := f.read(BLOCK):
+                digest.update(block)
+                size += len(block)
+        return None, size, digest.hexdigest()
+    except (OSError, UnicodeDecodeError):
+        return None
+
+
 def with_names(files: DataFrame, root: str) -> DataFrame:
-    """(path, relative_path, ext, language, content, n_bytes)."""
+    """(path, relative_path, ext, language, content, n_bytes, hash) of files (path, content, n_bytes, hash)."""
     named = files.withColumn("ext", file_extension(F.col("path")))
     return named.select(
         "path", relative_path(F.col("path"), root).alias("relative_path"), "ext", language_of(F.col("ext")).alias("language"), "content",
-        F.octet_length("content").cast("long").alias("n_bytes"),
+        "n_bytes", "hash",
     )
 
 
-def scan(spark: SparkSession, root: str, **options) -> DataFrame:
-    """The files of a codebase: (path, relative_path, ext, language, content, n_bytes)."""
+def scan(spark: SparkSession, root: str, max_bytes: int = 1_000_000, **options) -> DataFrame:
+    """The files of a codebase: (path, relative_path, ext, language, content, n_bytes, hash)."""
     root = os.path.abspath(root)
     paths = list_files(root, **options)
     listed = spark.createDataFrame([(p,) for p in paths], "path string")
@@ -59,11 +80,11 @@ def scan(spark: SparkSession, root: str, **options) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), 64):
-                part = batch.iloc[i : i + 64]
-                out = pd.DataFrame({"path": part["path"], "content": [_read(p) for p in part["path"]]})
-                yield out[out["content"].notna()]
+                part = batch["path"].iloc[i : i + 64]
+                found = [(p, *got) for p in part if (got := _measure(p, max_bytes)) is not None]
+                yield pd.DataFrame(found, columns=["path", "content", "n_bytes", "hash"])
 
-    return with_names(listed.repartition(slices).mapInPandas(run, FILE_TYPE), root)
+    return with_names(listed.repartition(slices).mapInPandas(run, READ_TYPE), root)
 
 
 class CodebaseSource(DataSource):

@@ -175,7 +175,8 @@ def test_merkle(spark):
     first = frame(spark, [("f1", "h1"), ("f2", "h2")], "relative_path string, hash string")
     second = frame(spark, [("f3", "h3"), ("f2", "changed"), ("f1", "h1")], "relative_path string, hash string")
     nodes = sync.merkle_nodes(first)
-    assert sync.roots(nodes).count() == 1 and sync.leaves(nodes).count() == 2
+    top = sync.roots(nodes).first()["node"]
+    assert sync.roots(nodes).count() == 1 and sync.leaves(nodes).count() == 2 and sync.children(nodes, top).count() == 2
     changes = {r["change"] for r in sync.compare_dags(sync.merkle_leaves(first), sync.merkle_leaves(second)).collect()}
     assert changes == {"added", "removed"}
     root = lambda x: sync.merkle_root(x).first()["root"]
