@@ -14,6 +14,7 @@ from concurrent.futures import Future, ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.batches import ship
 from tessera.config import Config
 from tessera.errors import EngineError, InvalidPathError
 from tessera.operators import bm25, chunking, fusion, sync, vector
@@ -38,6 +39,7 @@ def checked_path(path: str) -> str:
 
 class Engine:
     def __init__(self, spark: SparkSession, config: Config | None = None, embedder: Embedder | None = None):
+        ship(spark)
         self.spark, self.config = spark, config or Config.from_env()
         self.embedder = embedder or make_embedder(self.config.embedding)
         self.dimension = dimension(self.embedder)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import as_double, cosine, norm
+from tessera.functions.vectors import as_double, cosine, dot, norm
 
 HASHES, HASH_BITS = 12, 6
 
@@ -52,17 +52,15 @@ def lsh_model(dimension: int, tables: int = HASHES, bits: int = HASH_BITS, seed:
 
 
 def lsh_signatures(vector: Column, model) -> Column:
-    """Array of (table, bucket): on which side of each table's hyperplanes the vector lies."""
-    from tessera.functions.vectors import dot
-
-    side = lambda plane: (dot(vector, F.array(*[F.lit(x) for x in plane])) >= 0).cast("int")
-    made = []
-    for t, planes in enumerate(model):
-        bucket = F.lit(0)
-        for b, plane in enumerate(planes):
-            bucket = bucket + side(plane) * (1 << b)
-        made.append(F.struct(F.lit(t).alias("table"), bucket.alias("bucket")))
-    return F.array(*made)
+    """Array of (table, bucket): on which side of each table's hyperplanes the vector lies.
+
+    The hyperplanes are one constant, so the expression stays small.
+    """
+    nested = lambda x: f"array({', '.join(map(nested, x))})" if isinstance(x, list) else f"{x!r}D"
+    planes = F.expr(nested(model))
+    sides = lambda table: F.transform(table, lambda plane: (dot(vector, plane) >= 0).cast("int"))
+    bucket = lambda table: F.aggregate(sides(table), F.lit(0), lambda total, side: total * 2 + side)
+    return F.transform(planes, lambda table, k: F.struct(k.alias("table"), bucket(table).alias("bucket")))
 
 
 def lsh_top(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, model=None) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tessera.batches import ship
 from tessera.functions.languages import DEFAULT_EXTENSIONS, language_of, with_dots
 from tessera.functions.paths import file_extension, relative_path
 from tessera.sources.ignore import walk
@@ -73,6 +74,7 @@ def with_names(files: DataFrame, root: str) -> DataFrame:
 def scan(spark: SparkSession, root: str, max_bytes: int = 1_000_000, **options) -> DataFrame:
     """The files of a codebase: (path, relative_path, ext, language, content, n_bytes, hash)."""
     root = os.path.abspath(root)
+    ship(spark)
     paths = list_files(root, **options)
     listed = spark.createDataFrame([(p,) for p in paths], "path string")
     slices = min(len(paths), spark.sparkContext.defaultParallelism * 4) or 1
@@ -118,4 +120,5 @@ class _CodebaseReader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(CodebaseSource)
