@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, small_batches
 
 SAMPLE = 4096
 GRAPH_K = 16
@@ -231,6 +231,7 @@ def lay_out(sizes: dict[int, int], most: int) -> tuple[dict[int, int], dict[int,
 def search(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``is_query`` (a condition on vec_id) holds, its k nearest found."""
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = materialize(usable(vectors, id_col, vector_col), "vectors")
     sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     id_type = rows.schema["vec_id"].dataType.simpleString()
