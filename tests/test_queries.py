@@ -8,7 +8,7 @@ import pytest
 from tessera.plans.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "pages", "benchmark", "conversations", "events")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "conversations", "events", "labels")
 
 
 @pytest.fixture(scope="module")
