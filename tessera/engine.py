@@ -123,6 +123,8 @@ class Engine:
                 made["chunks"] = kept.select(chunks.columns).unionByName(chunks)
                 for name in ("vectors", "postings", "doc_len"):
                     made[name] = store.read(name).join(keys, "id", "left_semi").unionByName(made[name])
+            made["postings"] = bm25.clustered(made["postings"])
+            made["chunks"] = made["chunks"].repartitionByRange("id").sortWithinPartitions("id")
             self._progress(path, 60)
             store.commit(made)
             n_chunks = store.read("chunks").count()
@@ -144,18 +146,23 @@ class Engine:
     # -- find_code -----------------------------------------------------------
 
     def results(self, path: str, query: str, limit: int, extensions=(), query_language: bool = True) -> DataFrame:
-        """The hybrid search as one lazy plan: both legs' candidates, fusion, rank, lookup, filter, limit."""
+        """The hybrid search: both legs' candidates are fused and ranked, and what they name is looked up, filtered and cut.
+
+        The fused rows are at most two legs' candidates; their ids are pushed into the scan of the chunks, which lie in order of id.
+        """
         own, store = self.config.search, self.store(path)
         chunks = store.read("chunks")
         asked = vector.query_vector(embed_texts(self.embedder, [query])[0])
         by_vector = vector.top(store.read("vectors"), asked, own.candidates)
         texts = chunks.select("id", "content", "file_path")
         if query_language:
-            by_text = bm25.Searcher(texts, store.read("postings")).search(query, own.candidates)
+            by_text = bm25.Searcher(texts, store.read("postings"), store.read("doc_len")).search(query, own.candidates)
         else:
             by_text = bm25.top(bm25.scores(texts, bm25.query_terms(query)), own.candidates)
         placed = fusion.with_rank(fusion.fuse([by_vector, by_text], own.rrf_k), 2 * own.candidates)
-        return fusion.lookup(placed.select("id", "score", "rank"), chunks, extensions, limit, own.min_score)
+        named = placed.select("id", "score", "rank").collect()
+        table = self.spark.createDataFrame(named, "id string, score double, rank long")
+        return fusion.lookup(table, chunks.filter(F.col("id").isin([r["id"] for r in named])), extensions, limit, own.min_score)
 
     def find_code(self, path: str, query: str, limit: int | None = None, extension_filter=()) -> dict:
         """Chunks for a query, best first, as text."""
