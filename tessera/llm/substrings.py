@@ -21,7 +21,11 @@ at equal places, so an anchor finds every block that could hold a copy.
 
 An index entry is a few numbers; texts move once, to meet their spans.  Within a
 worker's batch, later copies of a block or window are settled at once and spread
-over all partitions, so a passage in a third of all documents is no hot key.
+over all partitions, so a passage in a third of all documents is no hot key.  Nor
+is one whose surroundings differ each time: anchors that are frequent in a sample
+of the documents (at most ``HOT_ANCHORS`` of them, the most frequent) are dealt
+out by their blocks, and all of their blocks count as boundaries, which is more to
+look up but never changes what is found.
 
 Defined results: a null or wordless text has no words and the digest of the
 empty text; documents of under ``WINDOW`` words lose nothing; rows that share an
@@ -44,6 +48,7 @@ from tessera.llm.common import materialize, small_batches, word_list
 
 WINDOW = 20
 ANCHOR = 8
+HOT_SHARE, HOT_LEAST, HOT_ANCHORS = 128, 40, 10_000
 _NULL = -(1 << 63)
 #: Odd multipliers of the two independent rolling hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -137,8 +142,8 @@ def _doc_key(ids: pd.Series) -> np.ndarray:
     return np.array([_NULL if x is None else int(x) for x in ids], np.int64)
 
 
-def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Step 1 on texts: one row per block."""
+def _index(batches: Iterator[pd.DataFrame], hot: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Step 1 on texts: one row per block; ``hot`` are the frequent anchors, in order."""
     for batch in batches:
         parts = []
         for doc, digest, text in zip(_doc_key(batch["doc"]), batch["digest"], batch["text"], strict=True):
@@ -149,8 +154,9 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         anchor, block, doc, digest, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
         settled = _later([anchor, block], doc, first)
-        key = np.where(settled, _mixed(doc.view(np.uint64) * np.uint64(_BASES[0]) + first.astype(np.uint64)), anchor)
-        yield pd.DataFrame({"anchor": key.view(np.int64), "block": block.view(np.int64), "doc": doc, "digest": digest, "span": (first << 32) | last, "settled": settled})
+        frequent = np.isin(anchor, hot) & ~settled
+        key = np.where(settled, _mixed(doc.view(np.uint64) * np.uint64(_BASES[0]) + first.astype(np.uint64)), np.where(frequent, _mixed(anchor ^ block), anchor))
+        yield pd.DataFrame({"anchor": key.view(np.int64), "block": block.view(np.int64), "doc": doc, "digest": digest, "span": (first << 32) | last, "settled": settled, "hot": frequent})
 
 
 def _boundary_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,11 +186,17 @@ def spans(keyed: DataFrame) -> DataFrame:
 
     A range is first * 2**32 + last.
     """
-    blocks = keyed.mapInPandas(_index, "anchor long, block long, doc long, digest long, span long, settled boolean")
+    kind = "anchor long, block long, doc long, digest long, span long, settled boolean, hot boolean"
+    none = np.zeros(0, np.uint64)
+    sample = keyed.filter(F.pmod(F.col("digest"), F.lit(HOT_SHARE)) == 0).mapInPandas(lambda batches: _index(batches, none), kind)
+    counted = sample.filter("NOT settled").groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_LEAST)
+    found = counted.orderBy(F.desc("n"), "anchor").limit(HOT_ANCHORS).collect()
+    hot = np.sort(np.array([r["anchor"] for r in found], np.int64).view(np.uint64))
+    blocks = keyed.mapInPandas(lambda batches: _index(batches, hot), kind)
     # one exchange and one sort serve both windows
     in_anchor = Window.partitionBy("anchor").orderBy("block", "doc", "span").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     in_block = Window.partitionBy("anchor", "block").orderBy("doc", "span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = blocks.withColumn("many", F.first("block").over(in_anchor) != F.last("block").over(in_anchor)).withColumns(
+    ranked = blocks.withColumn("many", F.col("hot") | (F.first("block").over(in_anchor) != F.last("block").over(in_anchor))).withColumns(
         {"doc0": F.first("doc").over(in_block), "span0": F.first("span").over(in_block)}
     )
     # rows of equal place (equal rows of the table) are not earlier than themselves

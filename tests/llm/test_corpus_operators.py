@@ -383,9 +383,12 @@ def digest(words):
     return hashlib.sha256(" ".join(words).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("source", ["passages", "awkward"])
-def test_substrings(spark, clashing, source):
-    if source == "passages":
+@pytest.mark.parametrize("source", ["passages", "awkward", "hot"])
+def test_substrings(spark, clashing, source, monkeypatch):
+    if source == "hot":  # every document is in the sample, and what stands twice is frequent
+        monkeypatch.setattr(substrings, "HOT_SHARE", 1)
+        monkeypatch.setattr(substrings, "HOT_LEAST", 2)
+    if source != "awkward":
         rows = passage_rows()
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     else:
