@@ -210,8 +210,12 @@ def html_elements(spark, sf_dir):
     return _flat(chunking.chunk_files(pages(spark, sf_dir), SIZE, OVERLAP))
 
 
-@query()
+@query(
+    "WITH own AS (SELECT '/corpus/events/' || event_id::VARCHAR || '.json' AS path, props FROM events) SELECT sha256(path || ':1:1') AS id, path AS relative_path, 1::BIGINT AS start_line, "
+    "1::BIGINT AS end_line, 'json' AS language, 0::BIGINT AS ord, 'json' AS file_extension, 0::BIGINT AS chunk_index, sha256(props) AS hash FROM own"
+)
 def json_nodes(spark, sf_dir):
+    """Objects in the events' properties, each of which is one flat object on one line."""
     named = table(spark, sf_dir, "events").select(F.concat(F.lit("/corpus/events/"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"), F.col("props").alias("content"))
     return _flat(chunking.chunk_files(named.select("path", F.col("path").alias("relative_path"), F.lit(".json").alias("ext"), F.lit("json").alias("language"), "content")))
 
@@ -382,9 +386,15 @@ def hash_embed_search(spark, sf_dir):
     return vector.sparse_top(vector.hash_embedding(texts(spark, sf_dir), _DIM), asked, CANDIDATES)
 
 
-@query()
+@query(
+    f"WITH {_TOKENS_SQL.replace('lower(text)', 'lower(CASE WHEN strlen(text) > 32768 THEN substring(text, 1, 32768) ELSE text END)')}, "
+    "tf AS (SELECT id, ('0x' || substring(md5(term), 1, 8))::BIGINT % 64 AS bucket, count(*)::DOUBLE AS tf FROM (SELECT id, unnest(w) AS term FROM toks) GROUP BY ALL), "
+    "grid AS (SELECT d.doc_id AS id, b.range AS bucket FROM documents d, range(64) b), filled AS (SELECT g.id, g.bucket, coalesce(t.tf, 0) AS tf FROM grid g LEFT JOIN tf t ON g.id = t.id AND g.bucket = t.bucket), "
+    "sized AS (SELECT *, sqrt(sum(tf * tf) OVER (PARTITION BY id)) AS size FROM filled) "
+    "SELECT id, list((CASE WHEN size > 0 THEN tf / size ELSE 0 END)::FLOAT ORDER BY bucket) AS vector FROM sized GROUP BY id"
+)
 def embed_provider(spark, sf_dir):
-    """Dense vectors from the local provider, through the batched worker path."""
+    """Dense vectors from the local provider, through the batched worker path, which cuts texts as every provider does."""
     return texts(spark, sf_dir).select("id", embedding(HashingEmbedder(64), F.col("content")).alias("vector"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 import time
 import urllib.error
@@ -110,7 +111,7 @@ class HashingEmbedder:
             for term in re.findall(r"[^\W_]+", text.lower()):
                 if len(term.encode()) <= MAX_TOKEN_BYTES:
                     v[int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % self.dimension] += 1
-            size = sum(x * x for x in v) ** 0.5
+            size = math.sqrt(sum(x * x for x in v))
             out.append([x / size for x in v] if size else v)
         return out
 
