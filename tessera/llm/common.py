@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.batches import small_batches
 
+_own_dirs: dict[str, str] = {}
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -25,16 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    It is taken from the session; only where that is unset, and the master is
-    local, a temporary folder is made and set for the session.
+    It is taken from the session; only where that is unset, and everything runs in
+    one local process, a temporary folder is made and kept for the application.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return _own_dirs.setdefault(spark.sparkContext.applicationId, "") or _own_dir(spark.sparkContext.applicationId)
+
+
+def _own_dir(application: str) -> str:
+    _own_dirs[application] = tempfile.mkdtemp(prefix="tessera-")
+    return _own_dirs[application]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -36,6 +36,21 @@ def test_stages_take_empty_tables_and_extra_columns(spark, empty, clashing):
     assert run_stages(spark, clashing.limit(20))[1][0] == 20
 
 
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from tessera.llm import common
+
+    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    unset = SimpleNamespace(get=lambda key, default=None: default)
+    session = lambda master: SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, applicationId="app-1"))
+    own = common.shared_dir(session("local[2]"))
+    assert own == common.shared_dir(session("local[2]")) and own.rsplit("/", 1)[1].startswith("tessera-")
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(session(master))
+
+
 def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
