@@ -208,7 +208,10 @@ def spans(keyed: DataFrame) -> DataFrame:
 
 
 def marked(keyed: DataFrame) -> DataFrame:
-    """keyed with ``spans``, an array of window ranges to remove, or null."""
+    """keyed with ``spans``, an array of window ranges to remove, or null.
+
+    Texts are dealt out by document once: both joins to them read the same exchange.
+    """
     first = materialize(spans(keyed), "spans")
     joined = keyed.join(first, ["doc", "digest"], "left")
     looked = joined.filter(F.size("open") > 0).select("doc", "digest", "text", "open")
@@ -217,7 +220,7 @@ def marked(keyed: DataFrame) -> DataFrame:
     earlier = windows.withColumns({"doc0": F.first("doc").over(order), "at0": F.first("at").over(order)})
     single = (F.shiftleft("at", 32).bitwiseOR(F.col("at"))).alias("span")
     again = earlier.filter("settled OR doc0 <> doc OR at0 <> at").select("doc", "digest", single)
-    again = materialize(again.groupBy("doc", "digest").agg(F.collect_set("span").alias("more")), "windows")
+    again = again.groupBy("doc", "digest").agg(F.collect_set("span").alias("more"))
     none = F.array().cast("array<long>")
     both = F.concat(F.coalesce("copied", none), F.coalesce("more", none))
     return joined.join(again, ["doc", "digest"], "left").withColumn("spans", both)
