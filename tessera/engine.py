@@ -14,6 +14,7 @@ from concurrent.futures import Future, ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import messages
 from tessera.batches import ship
 from tessera.config import Config
 from tessera.errors import EngineError, InvalidPathError
@@ -58,23 +59,21 @@ class Engine:
     def analyze_code(self, path: str, force: bool = False, splitter: str = "ast", custom_extensions=(), ignore_patterns=()) -> dict:
         """Start indexing in the background; what has not changed since the last time is kept unless ``force``."""
         if splitter not in ("ast", "langchain"):
-            return {"error": f"Invalid splitter type '{splitter}'. Must be 'ast' or 'langchain'."}
+            return {"error": messages.INVALID_SPLITTER.format(splitter=splitter)}
         try:
             full = checked_path(path)
         except InvalidPathError as problem:
             return {"error": str(problem)}
         before = self.running.get(full)  # a status left by a process that died doesn't block
         if self.book.is_indexing(full) and before is not None and not before.done():
-            return {"error": f"Codebase '{full}' is already being indexed in the background. Please wait for completion."}
+            return {"error": messages.ALREADY_INDEXING.format(path=full)}
         incremental = not force and self.book.is_indexed(full) and self.store(full).exists()
         self._progress(full, 0)
         self.running[full] = self.pool.submit(self._index_safely, full, incremental, splitter, tuple(custom_extensions), tuple(ignore_patterns))
-        notes = "" if path == full else f"\nNote: Input path '{path}' was resolved to absolute path '{full}'"
-        if custom_extensions:
-            notes += f"\nUsing {len(custom_extensions)} custom extensions: {', '.join(custom_extensions)}"
-        if ignore_patterns:
-            notes += f"\nUsing {len(ignore_patterns)} custom ignore patterns: {', '.join(ignore_patterns)}"
-        return {"message": f"Started background indexing for codebase '{full}' using {splitter.upper()} splitter.{notes}\n\nIndexing is running in the background. You can search the codebase while indexing is in progress, but results may be incomplete until indexing completes."}
+        notes = "" if path == full else messages.RESOLVED.format(given=path, path=full)
+        for wording, own in ((messages.CUSTOM_EXTENSIONS, custom_extensions), (messages.CUSTOM_PATTERNS, ignore_patterns)):
+            notes += wording.format(n=len(own), listed=", ".join(own)) if own else ""
+        return {"message": messages.STARTED.format(path=full, splitter=splitter.upper(), notes=notes)}
 
     def wait(self, path: str, timeout: float | None = None) -> None:
         """Until a background run over ``path`` has ended."""
@@ -174,43 +173,41 @@ class Engine:
             return {"error": str(problem)}
         indexing = self.book.is_indexing(full)
         if not indexing and not self.book.is_indexed(full):
-            return {"error": f"Codebase '{full}' is not indexed. Please index it first using the analyze_code tool."}
+            return {"error": messages.NOT_INDEXED.format(path=full)}
         for ext in extension_filter:
             if not ext.startswith(".") or len(ext) <= 1 or " " in ext:
-                return {"error": f"Invalid file extension in extensionFilter: '{ext}'. Use proper extensions like '.ts', '.py'."}
+                return {"error": messages.INVALID_EXTENSION.format(ext=ext)}
         try:
             found = self.results(full, query, limit, extension_filter)
             rows = fusion.result_text(found, os.path.basename(full) or "unknown", own.snippet_bytes).orderBy("display_rank").collect()
         except EngineError as problem:
             return {"error": str(problem)}
         if not rows:
-            more = "\n\nNote: This codebase is still being indexed. Try searching again after indexing completes, or the query may not match any indexed content." if indexing else ""
-            return {"message": f'No results found for query: "{query}" in codebase \'{full}\'{more}'}
-        busy = "\n**Indexing in Progress**: This codebase is currently being indexed in the background. Search results may be incomplete until indexing completes." if indexing else ""
-        tip = "\n\n**Tip**: This codebase is still being indexed. More results may become available as indexing progresses." if indexing else ""
+            return {"message": messages.NO_RESULTS.format(query=query, path=full) + (messages.NO_RESULTS_YET if indexing else "")}
         body = "\n".join(r["text"] for r in rows)
-        return {"message": f"Found {len(rows)} results for query: \"{query}\" in codebase '{full}'{busy}\n\n{body}{tip}", "results_count": len(rows)}
+        busy, tip = (messages.BUSY, messages.TIP) if indexing else ("", "")
+        return {"message": messages.FOUND.format(n=len(rows), query=query, path=full, busy=busy, body=body, tip=tip), "results_count": len(rows)}
 
     # -- delete_index, check_status ------------------------------------------
 
     def delete_index(self, path: str) -> dict:
         """Drop the store of ``path`` and forget its status."""
         if not self.book.paths("indexed") and not self.book.paths("indexing"):
-            return {"message": "No codebases are currently indexed or being indexed."}
+            return {"message": messages.NOTHING_INDEXED}
         try:
             full = checked_path(path)
         except InvalidPathError as problem:
             return {"error": str(problem)}
         if self.book.status(full) not in ("indexed", "indexing"):
-            return {"error": f"Codebase '{full}' is not indexed or being indexed."}
+            return {"error": messages.NOT_KNOWN.format(path=full)}
         self.store(full).drop()
         self.stores.pop(full, None)
         self.book.remove(full)
         self.book.save()
         indexed, indexing = len(self.book.paths("indexed")), len(self.book.paths("indexing"))
-        text = f"Successfully cleared codebase '{full}'"
+        text = messages.CLEARED.format(path=full)
         if indexed or indexing:
-            text += f"\n{indexed} other indexed codebase(s) and {indexing} indexing codebase(s) remain"
+            text += messages.REMAINING.format(indexed=indexed, indexing=indexing)
         return {"message": text, "remaining_indexed": indexed, "remaining_indexing": indexing}
 
     def check_status(self, path: str) -> dict:

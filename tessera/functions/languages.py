@@ -44,21 +44,20 @@ ALIASES = {
 }
 UNKNOWN = "unknown"
 LANGUAGE_OF = {ext: name for name, exts in EXTENSIONS.items() for ext in exts}
-_CLASSIC = ("method_declaration", "class_declaration", "interface_declaration", "constructor_declaration")
-_SCRIPT = ("function_declaration", "arrow_function", "class_declaration", "method_definition", "export_statement")
-_SHEET = ("rule_set", "media_statement", "keyframes_statement", "import_statement")
 #: Syntax nodes that become chunks, by language.
 NODE_KINDS = {
-    "javascript": _SCRIPT,
-    "typescript": (*_SCRIPT, "interface_declaration", "type_alias_declaration"),
+    "javascript": ("function_declaration", "arrow_function", "class_declaration", "method_definition", "export_statement"),
+    "typescript": (
+        "function_declaration", "arrow_function", "class_declaration", "method_definition", "export_statement", "interface_declaration", "type_alias_declaration",
+    ),
     "python": ("function_definition", "class_definition", "decorated_definition", "async_function_definition"),
-    "java": _CLASSIC,
+    "java": ("method_declaration", "class_declaration", "interface_declaration", "constructor_declaration"),
     "c": ("function_definition", "class_specifier", "namespace_definition", "declaration"),
     "cpp": ("function_definition", "class_specifier", "namespace_definition", "declaration"),
     "go": ("function_declaration", "method_declaration", "type_declaration", "var_declaration", "const_declaration"),
     "rust": ("function_item", "impl_item", "struct_item", "enum_item", "trait_item", "mod_item"),
     "csharp": ("method_declaration", "class_declaration", "interface_declaration", "struct_declaration", "enum_declaration"),
-    "scala": _CLASSIC,
+    "scala": ("method_declaration", "class_declaration", "interface_declaration", "constructor_declaration"),
     "swift": ("function_declaration", "class_declaration", "protocol_declaration", "struct_declaration", "enum_declaration"),
     "kotlin": ("function_declaration", "class_declaration", "object_declaration", "interface_declaration"),
     "ruby": ("method", "class", "module", "singleton_method"),
@@ -68,12 +67,12 @@ NODE_KINDS = {
     "markdown": ("section", "atx_heading", "setext_heading", "fenced_code_block", "indented_code_block"),
     "html": ("element", "script_element", "style_element"),
     "xml": ("element", "STag"),
-    "css": _SHEET,
-    "scss": (*_SHEET, "mixin_statement", "function_statement", "include_statement"),
+    "css": ("rule_set", "media_statement", "keyframes_statement", "import_statement"),
+    "scss": ("rule_set", "media_statement", "keyframes_statement", "import_statement", "mixin_statement", "function_statement", "include_statement"),
     "json": ("object", "array"),
     "yaml": ("block_mapping", "block_sequence", "flow_mapping", "flow_sequence"),
     "toml": ("table", "table_array_element"),
-}
+}
 
 
 def with_dots(extensions) -> list[str]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import file_extension
+from tessera.messages import RESULT, TRUNCATED
 
-MARK = "...\n[Content truncated]"
 
 
 def ranked(leg: DataFrame, per: str | None = None) -> DataFrame:
@@ -56,16 +58,18 @@ def snippet(content: Column, most: int = 5000) -> Column:
     byte = lambda at: F.conv(F.hex(F.substring(raw, at, 1)), 16, 10).cast("int")
     inside = lambda n: F.floor(byte(most - n + 1) / 64) == 2
     cut = F.when(~inside(0), most).when(~inside(1), most - 1).when(~inside(2), most - 2).otherwise(most - 3)
-    return F.when(F.octet_length(content) <= most, content).otherwise(F.concat(F.substr(raw, F.lit(1), cut).cast("string"), F.lit(MARK)))
+    return F.when(F.octet_length(content) <= most, content).otherwise(F.concat(F.substr(raw, F.lit(1), cut).cast("string"), F.lit(TRUNCATED)))
 
 
 def result_text(results: DataFrame, codebase: str, snippet_bytes: int = 5000) -> DataFrame:
     """(rank, display_rank, text): how each of a few results is shown."""
     order = Window.orderBy("rank")
     shown = results.withColumn("display_rank", F.row_number().over(order).cast("long"))
-    text = F.concat(
-        F.col("display_rank").cast("string"), F.lit(". Code snippet ("), "language", F.lit(f") [{codebase}]\n   Location: "), "relative_path", F.lit(":"),
-        F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("\n   Rank: "), F.col("display_rank").cast("string"),
-        F.lit("\n   Context: \n```"), "language", F.lit("\n"), snippet(F.col("content"), snippet_bytes), F.lit("\n```\n"),
-    )
+    location = F.concat("relative_path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
+    values = {
+        "index": F.col("display_rank").cast("string"), "language": F.col("language"), "codebase": F.lit(codebase), "location": location,
+        "snippet": snippet(F.col("content"), snippet_bytes),
+    }
+    parts = [part for literal, name, *_ in Formatter().parse(RESULT) for part in ([F.lit(literal)] if literal else []) + ([values[name]] if name else [])]
+    text = F.concat(*parts)
     return shown.select("rank", "display_rank", text.alias("text"))

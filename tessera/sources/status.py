@@ -7,6 +7,7 @@ import os
 import threading
 from datetime import UTC, datetime
 
+from tessera import messages
 from tessera.errors import StatusError
 
 VERSION = "v2"
@@ -98,15 +99,14 @@ def shown_time(stamp: str) -> str:
 def message(path: str, entry: dict | None) -> str:
     """The status of a codebase in words."""
     if entry is None:
-        return f"Codebase '{path}' is not indexed. Please use the analyze_code tool to index it first."
-    when = f"\nLast updated: {shown_time(entry['lastUpdated'])}"
+        return messages.STATUS_UNKNOWN.format(path=path)
+    when = shown_time(entry["lastUpdated"])
     if entry["status"] == "indexed":
-        return f"Codebase '{path}' is fully indexed and ready for search.\nStatistics: {entry['indexedFiles']} files, {entry['totalChunks']} chunks\nStatus: {entry['indexStatus']}{when}"
+        return messages.STATUS_INDEXED.format(path=path, files=entry["indexedFiles"], chunks=entry["totalChunks"], status=entry["indexStatus"], when=when)
     if entry["status"] == "indexing":
         done = entry["indexingPercentage"]
-        hint = " (Preparing and scanning files...)" if done < 10 else " (Processing files and generating embeddings...)" if done < 100 else ""
-        return f"Codebase '{path}' is currently being indexed. Progress: {done:.1f}%{hint}{when}"
+        hint = messages.HINT_SCANNING if done < 10 else messages.HINT_EMBEDDING if done < 100 else ""
+        return messages.STATUS_INDEXING.format(path=path, done=done, hint=hint, when=when)
     at = entry.get("lastAttemptedPercentage") or 0
-    reached = f"\nFailed at: {at:.1f}% progress" if at > 0 else ""
-    failed = f"\nFailed at: {shown_time(entry['lastUpdated'])}"
-    return f"Codebase '{path}' indexing failed.\nError: {entry['errorMessage']}{reached}{failed}\nYou can retry indexing by running the analyze_code tool again."
+    reached = messages.FAILED_PROGRESS.format(at=at) if at > 0 else ""
+    return messages.STATUS_FAILED.format(path=path, error=entry["errorMessage"], reached=reached, when=when)

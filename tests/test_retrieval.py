@@ -44,7 +44,7 @@ def test_snippets_end_on_a_character(spark):
     for most in (9, 10, 11, 12):
         for text in ("é" * 20, "€" * 9, "\U0001f600" * 9, "a" * 30, "abc", ""):
             got = spark.range(1).select(fusion.snippet(F.lit(text), most).alias("s")).first()["s"]
-            whole = text if len(text.encode()) <= most else text.encode()[:most].decode("utf-8", "ignore") + fusion.MARK
+            whole = text if len(text.encode()) <= most else text.encode()[:most].decode("utf-8", "ignore") + fusion.TRUNCATED
             assert got == whole
 
 
