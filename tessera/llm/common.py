@@ -66,6 +66,16 @@ def discard(df: DataFrame) -> None:
             return
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete all tables that ``materialize`` and ``fresh_path`` left in the shared folder; results not yet written depend on them."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera-*-*")
+    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(pattern) or []
+    for entry in found:
+        files.delete(entry.getPath(), True)
+    return len(found)
+
+
 def crc_mod(col: str, k: int) -> Column:
     """crc32 of an id as text, modulo k; a null id counts as the text ``null``."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("null"))) % k
@@ -79,4 +89,4 @@ def word_list(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-__all__ = ["WORD", "crc_mod", "discard", "fresh_path", "materialize", "shared_dir", "small_batches", "table", "word_list"]
+__all__ = ["WORD", "clear", "crc_mod", "discard", "fresh_path", "materialize", "shared_dir", "small_batches", "table", "word_list"]

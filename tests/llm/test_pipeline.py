@@ -51,6 +51,17 @@ def test_shared_folder(spark):
             common.shared_dir(session(master))
 
 
+def test_tables_can_be_cleared(spark):
+    from tessera.llm import common
+
+    kept = common.materialize(spark.range(5).selectExpr("id AS a"), "mine")
+    assert kept.count() == 5
+    gone = common.materialize(spark.range(3).selectExpr("id AS a"), "other")
+    common.discard(gone)
+    assert common.materialize(spark.range(0).selectExpr("id AS a"), "none").count() == 0
+    assert common.clear(spark) >= 2 and common.clear(spark) == 0
+
+
 def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
