@@ -147,3 +147,32 @@ def test_run_over_a_folder(spark):
     packed = out.collect()
     assert packed and {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(out.columns)
     assert len({r["sequence_id"] for r in packed}) == len(packed)
+
+
+def test_near_duplicates_at_the_stages_bar(spark):
+    """Every pair just above Jaccard 0.8 is found, none just below; 40 like texts make runs that aren't small."""
+    import random
+
+    from tests_llm_data import DOC_TYPE, prose
+
+    from tessera.llm.resemblance import jaccard, shingle_set
+
+    rng, rows, loses = random.Random(8), [], set()
+    for k in range(60):
+        words = prose(rng, 150).split()
+        changed = [*words[: len(words) - (14 if k % 2 else 19)], *prose(rng, 14 if k % 2 else 19).split()]
+        one, other = " ".join(words), " ".join(changed)
+        assert (jaccard(shingle_set(one), shingle_set(other)) >= 0.8) == (k % 2 == 1)
+        rows += [(2 * k, one, "en", "a", 0), (2 * k + 1, other, "en", "a", 0)]
+        loses |= {2 * k + 1} if k % 2 else set()
+    base = prose(rng, 200).split()
+    for k in range(40):
+        words = list(base)
+        words[5 * k] = f"other{k}"
+        rows.append((1000 + k, " ".join(words), "en", "a", 0))
+        loses |= {1000 + k} if k else set()
+    # same id, unlike texts: each stands for its own component; a near copy doesn't stay for its id's sake
+    rows += [(2000, prose(rng, 80), "en", "a", 0), (2000, prose(rng, 80), "en", "a", 0), (2001, rows[0][1] + " more", "en", "a", 0), (2001, prose(rng, 80), "en", "a", 0)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOC_TYPE).repartition(4), "").collect()
+    expected = sorted([(r[0], r[1]) for r in rows if r[0] not in loses and r[:2] != (2001, rows[0][1] + " more")])
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == expected
