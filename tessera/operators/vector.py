@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import as_double, cosine, dot, norm
 
-HASHES, HASH_BITS = 12, 6
+HASHES, HASH_BITS = 16, 6
 
 
 def guarded(vectors: DataFrame, dimension: int) -> DataFrame:
@@ -63,13 +63,20 @@ def lsh_signatures(vector: Column, model) -> Column:
     return F.transform(planes, lambda table, k: F.struct(k.alias("table"), bucket(table).alias("bucket")))
 
 
+def near_buckets(bucket: Column, bits: int) -> Column:
+    """The bucket itself and those that differ from it in one bit."""
+    return F.array(bucket, *[bucket.bitwiseXOR(F.lit(1 << b)) for b in range(bits)])
+
+
 def lsh_top(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, model=None) -> DataFrame:
-    """(query_id, id, score, rank) among rows that share a bucket with the query in some table."""
+    """(query_id, id, score, rank) among rows in the query's bucket, or one a bit away, in some table."""
     model = model or lsh_model(dimension)
     v = vectors.select("id", as_double(F.col("vector")).alias("v"))
     q = queries.select("query_id", as_double(F.col("query")).alias("q"))
     v_at = v.select("id", "v", F.explode(lsh_signatures(F.col("v"), model)).alias("at"))
-    q_at = q.select("query_id", "q", F.explode(lsh_signatures(F.col("q"), model)).alias("at"))
+    own = q.select("query_id", "q", F.explode(lsh_signatures(F.col("q"), model)).alias("own"))
+    probed = own.select("query_id", "q", "own.table", F.explode(near_buckets(F.col("own.bucket"), len(model[0]))).alias("bucket"))
+    q_at = probed.select("query_id", "q", F.struct("table", "bucket").alias("at"))
     met = v_at.join(F.broadcast(q_at), "at").select("query_id", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score")).distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return met.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
@@ -92,4 +99,4 @@ def sparse_top(embedded: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
-__all__ = ["batch_top", "guarded", "hash_embedding", "lsh_model", "lsh_signatures", "lsh_top", "norm", "query_vector", "scores", "sparse_top", "top"]
+__all__ = ["batch_top", "guarded", "hash_embedding", "lsh_model", "lsh_signatures", "lsh_top", "near_buckets", "norm", "query_vector", "scores", "sparse_top", "top"]

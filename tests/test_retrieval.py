@@ -72,6 +72,14 @@ def test_lsh_recall(spark):
     assert len(exact & near) / len(exact) > 0.9
 
 
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01", "sf0.1"])
+def test_lsh_recall_on_the_embeddings(spark, folder):
+    from tessera.plans.queries import QUERIES
+
+    exact, near = ({(r["query_id"], r["id"]) for r in QUERIES[name](spark, f"/root/testdata/{folder}").collect() if r["query_id"] != r["id"]} for name in ("cosine_batch", "ann_lsh_topk"))
+    assert len(exact & near) / len(exact) >= 0.9
+
+
 # -- full text ---------------------------------------------------------------
 
 DOCS = [
