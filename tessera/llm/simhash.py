@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, small_batches, word_list
 from tessera.llm.graph import connected_components
+from tessera.llm.resemblance import keep_first
 
 SHINGLE = 4
 SEED = 42
@@ -168,19 +169,13 @@ def components(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shin
     return made.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with the document of the smallest id of each component, and rows without an id.
-
-    Of rows that share the id of such a document one stays.
-    """
-    found = materialize(components(docs, id_col=id_col, **options), "components")
-    first = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    repeated = first.filter("n > 1").limit(1).count() > 0
-    row = docs.select(F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    kept = row.join(first.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    if repeated:
-        kept = kept.dropDuplicates(["id"])
-    return kept.select("doc.*").unionByName(row.filter("id IS NULL").select("doc.*"))
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """``docs`` with one row per component, that of the smallest id, then fingerprint; and rows without an id."""
+    small_batches(docs.sparkSession)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    made = materialize(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle).alias("key"), row.alias("doc")), "fingerprints")
+    roots = connected_components(links(made.select(F.col("key").alias("fp")).distinct(), radius, blocks))
+    return keep_first(made, roots.withColumnRenamed("node", "key"))
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -226,6 +226,14 @@ def test_simhash_deduplicate(clashing, empty):
     assert simhash.deduplicate(empty).count() == 0
 
 
+def test_simhash_deduplicate_repeated_ids(spark):
+    """Unlike texts of one id each stand for their component; a near copy doesn't stay for its id's sake."""
+    rng = random.Random(6)
+    one, two, three, four = (prose(rng, 80) for _ in range(4))
+    rows = spark.createDataFrame([(1, one), (2, one), (2, two), (3, three), (3, four)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.deduplicate(rows).collect())) == sorted([(1, one), (2, two), (3, three), (3, four)])
+
+
 def test_components_of_long_chains(spark):
     edges = [(k, k + 1) for k in range(200)] + [(500, 501), (501, 500), (7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
