@@ -167,7 +167,7 @@ def chunk_id(path: str, start: int, end: int, index: int | None = None) -> str:
     return hashlib.sha256(f"{path}:{start}:{end}{tail}".encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def chunk_files(files: DataFrame, size: int = 1000, overlap: int = 200, splitter: str = "ast", max_bytes: int = 1_000_000, compat: bool = False) -> DataFrame:
+def chunk_files(files: DataFrame, size: int = 1000, overlap: int = 200, splitter: str = "ast", max_bytes: int | None = 1_000_000, compat: bool = False) -> DataFrame:
     """Chunks of ``files`` (path, relative_path, ext, language, content); larger files give none.  ``ord`` is a chunk's place in its file."""
     if splitter not in ("ast", "langchain"):
         raise ValueError(f"Invalid splitter type '{splitter}'. Must be 'ast' or 'langchain'.")
@@ -182,7 +182,9 @@ def chunk_files(files: DataFrame, size: int = 1000, overlap: int = 200, splitter
             yield pd.DataFrame(rows, columns=names)
 
     small_batches(files.sparkSession)
-    small = files.filter((F.octet_length("content") <= max_bytes) & F.col("content").isNotNull())
+    small = files.filter(F.col("content").isNotNull())
+    if max_bytes is not None:
+        small = small.filter(F.octet_length("content") <= max_bytes)
     return small.select("path", "relative_path", "ext", "language", "content").mapInPandas(run, CHUNK_TYPE)
 
 

@@ -190,13 +190,13 @@ def _flat(chunks: DataFrame) -> DataFrame:
 @query()
 def chunk_bytes(spark, sf_dir):
     """Byte-exact fixed-size pieces of all documents."""
-    return _flat(chunking.chunk_files(files(spark, sf_dir), SIZE, OVERLAP, "langchain"))
+    return _flat(chunking.chunk_files(files(spark, sf_dir), SIZE, OVERLAP, "langchain", max_bytes=None))
 
 
 @query()
 def chunk_refine(spark, sf_dir):
     """Structural chunks of all documents: most have no nodes, so long ones are refined by lines."""
-    return _flat(chunking.chunk_files(files(spark, sf_dir), SIZE, OVERLAP, "ast"))
+    return _flat(chunking.chunk_files(files(spark, sf_dir), SIZE, OVERLAP, "ast", max_bytes=None))
 
 
 @query("SELECT page_id AS id, unnest(regexp_extract_all(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>')) AS span FROM pages")
@@ -207,7 +207,7 @@ def html_script_style(spark, sf_dir):
 
 @query()
 def html_elements(spark, sf_dir):
-    return _flat(chunking.chunk_files(pages(spark, sf_dir), SIZE, OVERLAP))
+    return _flat(chunking.chunk_files(pages(spark, sf_dir), SIZE, OVERLAP, max_bytes=None))
 
 
 @query(
@@ -217,14 +217,14 @@ def html_elements(spark, sf_dir):
 def json_nodes(spark, sf_dir):
     """Objects in the events' properties, each of which is one flat object on one line."""
     named = table(spark, sf_dir, "events").select(F.concat(F.lit("/corpus/events/"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"), F.col("props").alias("content"))
-    return _flat(chunking.chunk_files(named.select("path", F.col("path").alias("relative_path"), F.lit(".json").alias("ext"), F.lit("json").alias("language"), "content")))
+    return _flat(chunking.chunk_files(named.select("path", F.col("path").alias("relative_path"), F.lit(".json").alias("ext"), F.lit("json").alias("language"), "content"), max_bytes=None))
 
 
 def _rewritten(spark, sf_dir, ext: str, language: str, content) -> DataFrame:
     """All documents as files of another language."""
     path = F.concat(F.lit(f"{ROOT}/{language}/"), F.col("id").cast("string"), F.lit(ext))
     named = files(spark, sf_dir).select("id", "content").select(path.alias("path"), path.alias("relative_path"), F.lit(ext).alias("ext"), F.lit(language).alias("language"), content.alias("content"))
-    return _flat(chunking.chunk_files(named, SIZE, OVERLAP))
+    return _flat(chunking.chunk_files(named, SIZE, OVERLAP, max_bytes=None))
 
 
 @query()

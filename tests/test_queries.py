@@ -51,3 +51,11 @@ def test_plans_scan_only_what_they_need(spark):
     assert "TakeOrderedAndProject" in plan and "label" not in plan and "Python" not in plan
     plan = QUERIES["bm25_topk"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "lang" not in plan and "SortMergeJoin" not in plan
+
+
+def test_chunk_queries_take_long_documents(spark, tmp_path):
+    from tessera.plans.queries import QUERIES
+
+    long = "word " * 240_000
+    spark.createDataFrame([(1, long, "en", "a", len(long))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES["chunk_bytes"](spark, str(tmp_path)).count() > 1000
