@@ -17,8 +17,9 @@ lies nearest its target, so that small sources come near it too.
 Defined results: a null text has size 0; documents of size 0 take 0 words and
 are emitted by the same rule as others; a null source is a source of its own
 and sorts last; equal rows have equal hashes, hence equal copies; an empty
-table gives an empty result; other columns pass through untouched, whatever
-their names (they travel inside one struct).
+table gives an empty result; a text of any length counts with all its words;
+other columns pass through untouched, whatever their names (they travel inside
+one struct).
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
 ROTATIONS = 32
 _UNIT = 2**32
+_STEP = _UNIT // ROTATIONS
 
 
 def n_words(text: Column) -> Column:
@@ -44,11 +46,6 @@ def _hash(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def _extra(hashed: Column, rotation: Column, fraction: Column) -> Column:
-    turned = (hashed + rotation.cast("long") * F.lit(_UNIT // ROTATIONS)) % F.lit(_UNIT)
-    return (turned.cast("double") / F.lit(float(_UNIT)) < fraction).cast("long")
-
-
 def source_targets(sized: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE) -> DataFrame:
     """One row per source: source, source_size, weight, target.
 
@@ -77,29 +74,71 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE)
     return leveled.select("source", "source_size", "weight", F.least("cap", F.col("final") * F.col("weight")).alias("target"))
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc, source, size, hashed) of every row."""
+    text, row = F.col(f"`{text_col}`"), F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("doc"), F.col(f"`{source_col}`").alias("source"), n_words(text).alias("size"), _hash(F.col(f"`{id_col}`"), text).alias("hashed"))
+
+
+def decisions(sized: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE) -> DataFrame:
+    """One row per source: s, source_size, target, whole (copies of every document), edge and turn (see ``_copies``).
+
+    A seed turns the hash by k steps of ``_STEP``.  Whether a turned hash lies below
+    the fraction is known from the step its hash lies in, but for the one step
+    that the fraction cuts; so sizes are summed by source and step, below the
+    cut and in all, and all seeds are compared on those few sums.
+    """
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = source_targets(sized, weights, max_rate).withColumn("rate", rate)
+    targets = targets.select(F.col("source").alias("s"), "source_size", "target", F.floor("rate").alias("whole"), ((F.col("rate") - F.floor("rate")) * float(_UNIT)).alias("edge"))
+    # tables of one row per source are written, so their size is known and decides how they are joined
+    targets = materialize(targets.coalesce(1), "targets")
+    step, low = (F.col("hashed") / _STEP).cast("int"), F.col("hashed") % _STEP
+    cut = F.floor(F.col("edge") / _STEP)
+    joined = sized.select("source", "size", step.alias("step"), low.alias("low")).join(targets, F.col("source").eqNullSafe(F.col("s")))
+    below = F.when(F.col("low") < F.col("edge") - cut * _STEP, F.col("size")).otherwise(0)
+    keys = ["s", "source_size", "target", "whole", "edge"]
+    steps = joined.groupBy(*keys, "step").agg(F.sum("size").alias("all"), F.sum(below).alias("below"))
+    listed = steps.groupBy(*keys).agg(F.collect_list(F.struct("step", "all", "below")).alias("steps"))  # ROTATIONS at most
+
+    def off(turn: Column) -> Column:
+        place = lambda x: (x["step"] + turn) % ROTATIONS
+        extra = lambda x: F.when(place(x) < cut, x["all"]).when(place(x) == cut, x["below"]).otherwise(F.lit(0).cast("long"))
+        got = F.aggregate("steps", F.lit(0).cast("long"), lambda total, x: total + F.col("whole") * x["all"] + extra(x))
+        return F.abs(got - F.col("target"))
+
+    turns = F.transform(F.sequence(F.lit(0), F.lit(ROTATIONS - 1)), lambda k: F.struct(off(k).alias("off"), k.alias("turn")))
+    return materialize(listed.select(*keys, F.array_min(turns)["turn"].alias("turn")).coalesce(1), "rotations")
+
+
+def _copies() -> Column:
+    turned = (F.col("hashed") + F.col("turn").cast("long") * F.lit(_STEP)) % F.lit(_UNIT)
+    return (F.col("whole") + (turned < F.col("edge")).cast("long")).cast("long")
+
+
+def _decided(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    return rows.join(chosen, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", _copies())
+
+
+def mix_sizes(
+    docs: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """(doc_id, size, source_size, target, copies): texts are read once, and numbers only in the passes after."""
+    sized = _sized(docs, id_col, text_col, source_col).select(F.col(f"doc.`{id_col}`").alias("doc_id"), "source", "size", "hashed")
+    sized = materialize(sized, "sizes")
+    return _decided(sized, decisions(sized, weights, max_rate)).select("doc_id", "size", "source_size", "target", "copies")
+
+
 def mix_plan(
     docs: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
-    """``docs`` with its decisions: doc (struct of the row), size, source_size, target, copies."""
-    text = F.col(text_col)
-    sized = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-        F.col(source_col).alias("source"),
-        n_words(text).alias("size"),
-        _hash(F.col(id_col), text).alias("hashed"),
-    )
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = source_targets(sized, weights, max_rate).withColumn("rate", rate).withColumn("fraction", F.col("rate") - F.floor("rate"))
-    # tables of one row per source are written, so their size is known and decides how they are joined
-    targets = materialize(targets, "targets")
-    joined = sized.drop("doc").join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    sums = [F.sum(F.col("size") * (F.floor("rate") + _extra(F.col("hashed"), F.lit(k), F.col("fraction")))).alias(f"k{k}") for k in range(ROTATIONS)]
-    near = F.least(*[F.struct(F.abs(F.col(f"k{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(ROTATIONS)])
-    chosen = joined.groupBy("s", "source_size", "target", "rate", "fraction").agg(*sums).withColumn("rotation", near["k"])
-    chosen = materialize(chosen.select("s", "source_size", "target", "rate", "fraction", "rotation"), "rotations")
-    copies = F.floor("rate") + _extra(F.col("hashed"), F.col("rotation"), F.col("fraction"))
-    decided = sized.join(chosen, F.col("source").eqNullSafe(F.col("s")))
-    return decided.select("doc", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    """``docs`` with its decisions: doc (struct of the row), size, source_size, target, copies.
+
+    Texts are read twice: once for the sources' sums, once for the result.
+    """
+    rows = _sized(docs, id_col, text_col, source_col)
+    chosen = decisions(materialize(rows.drop("doc"), "sizes"), weights, max_rate)
+    return _decided(rows, chosen).select("doc", "size", "source_size", "target", "copies")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:

@@ -45,8 +45,7 @@ FROM newest
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    plan = mixing.mix_plan(docs)
-    return plan.selectExpr("doc.doc_id AS doc_id", "size", "source_size", "target", "size * copies AS taken")
+    return mixing.mix_sizes(docs).selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
 
 
 OP3_SQL = """
