@@ -17,14 +17,25 @@ order of number, checked against the total length, and un-chunked.
 Defined results: a null html is an empty payload; equal rows become records of
 their own; where several rows share the largest id of a payload all of them are
 responses; a null page_id is never referred to, stays a response and is read
-back as null; an empty table gives no record; other columns are not looked at.
-A record that can't be decoded or whose digest or length is wrong is returned
-with its ``problem``, never dropped.
+back as null; an empty table gives no record; other columns are not looked at;
+an html of any length is cut into as many segments as it takes.
+
+Archives may be damaged or of other makers.  A record that can't be decoded or
+whose digest or length is wrong is returned with its ``problem``, never dropped.
+Where bytes are no record, one row names the ``problem``, and reading goes on at
+the next line that starts a record.  A response without this writer's fields is
+taken as it is: its length and digest are those of its payload, its page is null.
+Records of other types (``warcinfo``, ``request``, ``metadata``, ``resource``,
+``conversion``) are no pages and give no row; a continuation whose origin is lost
+does.
 """
 
 from __future__ import annotations
 
+import base64
+import contextlib
 import hashlib
+import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -38,6 +49,9 @@ MIN_REVISIT = 1000
 SEGMENT_BYTES = 32 * 1024
 CHUNK_BYTES = 8 * 1024
 RECORDS_PER_FILE = 1000
+OUT_BYTES = 8_000_000
+#: No field of a record has this name.
+PROBLEM = "\n"
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
 END = b"\r\n\r\n"
@@ -130,7 +144,7 @@ def write_pages(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES,
                 for record in page_records(page, uid, url, bytes(payload), digest, refers, when, segment_bytes):
                     out.append(record)
                     size += len(record)
-                if size > 8_000_000:
+                if size > OUT_BYTES:
                     yield pd.DataFrame({"record": out})
                     out, size = [], 0
             yield pd.DataFrame({"record": out})
@@ -139,38 +153,73 @@ def write_pages(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES,
     records.write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
+def _next_record(data: bytes, at: int) -> int:
+    """Where the next line after byte ``at`` that starts a record stands; the end where there is none."""
+    found = data.find(b"\nWARC/", at)
+    return found + 1 if found >= 0 else len(data)
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields by lower-case name, block) of every record of an archive's bytes."""
+    """(fields by lower-case name, block) of every record of an archive's bytes.
+
+    Bytes that are no record are passed over up to the next record, as an item
+    without a block that has ``PROBLEM`` among its fields.
+    """
     at = 0
     while at < len(data):
         end = data.find(END, at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
+        if not data.startswith(b"WARC/", at) or end < 0:
+            yield {PROBLEM: f"no record at byte {at}"}, b""
+            at = _next_record(data, at)
+            continue
         lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        start, size = end + 4, int(fields["content-length"])
-        if data[start + size : start + size + 4] != END:
-            raise ValueError(f"record at byte {at} is not ended by a blank line")
-        yield fields, data[start : start + size]
-        at = start + size + 4
-
-
-def checked(block: bytes, digest: str, length: int) -> tuple[bytes | None, str | None]:
-    """(payload, None), or (None, problem)."""
+        start, length = end + 4, fields.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
+            yield fields | {PROBLEM: f"record at byte {at} has no length"}, b""
+            at = _next_record(data, at)
+            continue
+        stop = start + int(length)
+        if data[stop : stop + 4] != END:
+            yield fields | {PROBLEM: f"record at byte {at} is not ended by a blank line"}, b""
+            at = _next_record(data, at)
+            continue
+        yield fields, data[start:stop]
+        at = stop + 4
+
+
+def checked(block: bytes, digest: str | None, length: int | None) -> tuple[bytes | None, str | None]:
+    """(payload, None), or (None, problem); a length or digest that isn't known is not checked."""
     try:
         payload = payload_of(block)
     except ValueError as problem:
         return None, str(problem)
-    if len(payload) != length:
+    if length is not None and len(payload) != length:
         return None, f"payload of {len(payload)} bytes instead of {length}"
-    if hashlib.sha1(payload).hexdigest() != digest:
+    if digest is not None and hashlib.sha1(payload).hexdigest() != digest:
         return None, "payload digest differs"
     return payload, None
 
 
-def _page(urn: str) -> str | None:
-    name = urn.strip("<>").split(":")[2]
-    return None if name == "null" else name
+def _page(urn: str | None) -> str | None:
+    """The page that a record id of this writer names."""
+    parts = (urn or "").strip("<>").split(":")
+    return parts[2] if parts[:2] == ["urn", "x-page"] and len(parts) > 2 and parts[2] != "null" else None
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.isascii() and text.isdigit() else None
+
+
+def _sha1(text: str | None) -> str | None:
+    """The SHA-1 of a field in hexadecimal, which archives write in base 32 as well; other digests are not looked at."""
+    kind, _, value = (text or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    if len(value) == 32:
+        with contextlib.suppress(ValueError):
+            return base64.b32decode(value.upper()).hex()
+    return value.lower()
 
 
 def read_pages(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
@@ -178,31 +227,45 @@ def read_pages(spark: SparkSession, path: str, with_payload: bool = False) -> Da
 
     small_batches(spark)
 
+    def row(fields: dict[str, str], block: bytes) -> tuple | None:
+        problem = fields.get(PROBLEM)
+        kind, number, me = fields.get("warc-type"), _number(fields.get("warc-segment-number")), fields.get("warc-record-id") or f"lost:{uuid.uuid4().hex}"
+        if problem or kind == "continuation" and ("warc-segment-origin-id" not in fields or number is None):
+            return me, 0, _page(me), kind, None, None, None, problem or "continuation of nothing", None, -1
+        if kind == "continuation":
+            return fields["warc-segment-origin-id"], number, None, None, None, None, None, None, block, _number(fields.get("warc-segment-total-length")) or -1
+        if kind not in ("response", "revisit"):
+            return None
+        page, digest, size, refers = _page(me), _sha1(fields.get("warc-payload-digest")), _number(fields.get("x-payload-length")), None
+        if kind == "revisit":
+            refers, block = _page(fields.get("warc-refers-to")), None
+        elif number is None:
+            payload, problem = checked(block, digest, size)
+            if payload is not None:
+                digest, size = hashlib.sha1(payload).hexdigest(), len(payload)
+            block = payload if with_payload else None
+        return me, number or 0, page, kind, digest, size, refers, problem, block, -1
+
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                out = []
-                for fields, block in parse(bytes(content)):
-                    number = fields.get("warc-segment-number")
-                    if fields["warc-type"] == "continuation":
-                        out.append((fields["warc-segment-origin-id"], int(number), None, None, None, None, None, None, block, int(fields.get("warc-segment-total-length", -1))))
-                        continue
-                    page, digest, size = _page(fields["warc-record-id"]), fields["warc-payload-digest"].partition(":")[2], int(fields["x-payload-length"])
-                    refers, problem = None, None
-                    if fields["warc-type"] == "revisit":
-                        refers, block = _page(fields["warc-refers-to"]), None
-                    elif number is None:
-                        payload, problem = checked(block, digest, size)
-                        block = payload if with_payload else None
-                    out.append((fields["warc-record-id"], int(number or 0), page, fields["warc-type"], digest, size, refers, problem, block, -1))
+                out, held = [], 0
+                for record in parse(bytes(content)):
+                    if (found := row(*record)) is not None:
+                        out.append(found)
+                        held += len(found[8] or b"")
+                    if held > OUT_BYTES:
+                        yield pd.DataFrame(out, columns=names).astype({"payload_bytes": "Int64"})
+                        out, held = [], 0
                 yield pd.DataFrame(out, columns=names).astype({"payload_bytes": "Int64"})
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            payloads, problems = [], []
+            payloads, problems, digests, sizes = [], [], [], []
             for parts, total, digest, size, problem in zip(batch["parts"], batch["total"], batch["payload_digest"], batch["payload_bytes"], batch["problem"], strict=True):
                 numbers = [p["number"] for p in parts]
                 payload = None
+                size = None if pd.isna(size) else int(size)
                 if numbers == [0]:
                     payload = parts[0]["block"]
                 elif numbers != [*range(1, len(parts) + 1)]:
@@ -212,9 +275,15 @@ def read_pages(spark: SparkSession, path: str, with_payload: bool = False) -> Da
                     problem = None if len(block) == total else f"{len(block)} bytes in segments instead of {total}"
                     if not problem:
                         payload, problem = checked(block, digest, size)
+                    if payload is not None:
+                        digest, size = hashlib.sha1(payload).hexdigest(), len(payload)
                 payloads.append(payload)
                 problems.append(problem)
+                digests.append(digest)
+                sizes.append(size)
             batch["problem"] = pd.Series(problems, dtype=object)
+            batch["payload_digest"] = pd.Series(digests, dtype=object)
+            batch["payload_bytes"] = pd.Series(sizes, dtype="Int64")
             if with_payload:
                 batch["payload"] = pd.Series(payloads, dtype=object)
             yield batch.drop(columns=["parts", "total"])

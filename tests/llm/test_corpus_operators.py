@@ -1,5 +1,6 @@
 """WARC, mixing, near-duplicates, neighbours, packing and substring dedup against brute force."""
 
+import base64
 import hashlib
 import random
 import re
@@ -71,6 +72,34 @@ def test_warc_reports_damage(spark):
     assert "segments" in got[7]["problem"] and "digest" in got[8]["problem"]
 
 
+def test_warc_reads_damaged_and_foreign_archives(spark):
+    sha = lambda b: hashlib.sha1(b).hexdigest()
+    page = lambda n, payload: list(warc.page_records(str(n), 0, "u", payload, sha(payload), None, "2024-01-01T00:00:00Z", 1000))
+    record = lambda block, *fields: b"\r\n".join([b"WARC/1.0", *fields, b"Content-Length: %d" % len(block)]) + b"\r\n\r\n" + block
+    whole, http = page(1, b"a" * 50)[0], b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    archives = {
+        "truncated": [*page(2, b"b" * 300), whole, page(3, b"c" * 300)[0][:-40]],
+        "garbage": [b"not a record", whole, b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:4:0:1>\r\nContent-Length: many", page(5, b"e" * 10)[0]],
+        "wrong length": [page(6, b"f" * 40)[0].replace(b"Content-Length: ", b"Content-Length: 9"), page(7, b"g" * 9)[0]],
+        "foreign": [
+            record(b"software: x\r\n", b"WARC-Type: warcinfo", b"WARC-Record-ID: <urn:uuid:1>"), record(b"GET / HTTP/1.1\r\n\r\n", b"WARC-Type: request", b"WARC-Record-ID: <urn:uuid:2>"),
+            record(http + b"plain", b"WARC-Type: response", b"WARC-Record-ID: <urn:uuid:3>", b"WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"plain").digest())),
+            record(b"x", b"WARC-Type: continuation", b"WARC-Record-ID: <urn:uuid:4>"), record(b"no head", b"WARC-Type: response", b"WARC-Record-ID: <urn:uuid:5>"),
+        ],
+    }
+    path = fresh_path(spark, "test-warc")
+    for name, records in archives.items():
+        spark.createDataFrame([(b"\r\n\r\n".join(records).decode(),)], "value string").coalesce(1).write.option("lineSep", "\r\n\r\n").text(f"{path}/{name}")
+    got = {name: [(r["page_id"], r["record_type"], r["payload_bytes"], r["problem"]) for r in warc.read_pages(spark, f"{path}/{name}").collect()] for name in archives}
+    fine = lambda rows: sorted((i, n) for i, _, n, problem in rows if problem is None and i is not None)
+    wrong = lambda rows: sorted((i or 0, problem.split(" at byte")[0]) for i, _, _, problem in rows if problem)
+    assert fine(got["truncated"]) == [(1, 50), (2, 300)] and wrong(got["truncated"]) == [(3, "record")]
+    assert fine(got["garbage"]) == [(1, 50), (5, 10)] and wrong(got["garbage"]) == [(0, "no record"), (4, "record")]
+    assert fine(got["wrong length"]) == [(7, 9)] and wrong(got["wrong length"]) == [(6, "record")]
+    assert sorted((k, n, p) for _, k, n, p in got["foreign"] if not p) == [("response", 5, None)]
+    assert sorted(p for *_, p in got["foreign"] if p) == ["HTTP head not ended", "continuation of nothing"]
+
+
 def test_chunked_framing():
     for n in (0, 1, 7, 8, 9, 100):
         assert warc.unchunked(warc.chunked(b"a" * n, 8)) == b"a" * n
