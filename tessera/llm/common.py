@@ -7,8 +7,10 @@ A *word* is everywhere a maximal run of characters other than space and
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from tessera.batches import small_batches
 
 _own_dirs: dict[str, str] = {}
+_records: list[list[str]] = []
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -43,7 +46,27 @@ def _own_dir(application: str) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    for made in _records:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that are taken in the shared folder meanwhile."""
+    made: list[str] = []
+    _records.append(made)
+    try:
+        yield made
+    finally:
+        _records.remove(made)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -59,11 +82,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` made and nothing reads any more."""
     spark = df.sparkSession
-    for file in df.inputFiles():
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if path.getName().startswith("tessera-"):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-            return
+    for path in read_paths(df)[:1]:
+        remove(spark, [path])
+
+
+def read_paths(df: DataFrame) -> list[str]:
+    """The folders of this module's making that ``df`` reads."""
+    folders = dict.fromkeys(file.rpartition("/")[0] for file in df.inputFiles())
+    return [f for f in folders if f.rpartition("/")[2].startswith("tessera-")]
 
 
 def clear(spark: SparkSession) -> int:
@@ -89,4 +115,4 @@ def word_list(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-__all__ = ["WORD", "clear", "crc_mod", "discard", "fresh_path", "materialize", "shared_dir", "small_batches", "table", "word_list"]
+__all__ = ["WORD", "clear", "crc_mod", "discard", "fresh_path", "materialize", "read_paths", "recorded", "remove", "shared_dir", "small_batches", "table", "word_list"]

@@ -2,7 +2,9 @@
 
 Alternating large-star and small-star steps (MapReduce connected components,
 Kiveris et al., 2014) on an edge table; every step is written to the shared
-folder, so lineage stays short and nothing is collected but two numbers.
+folder, so lineage stays short and nothing is collected but two numbers.  Hubs
+are no hot keys: minima are combined before they are shuffled, and the joins are
+ones whose large partitions Spark splits.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import discard, materialize
 
+FILE_ROWS = 1_000_000
+
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
     got = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("s")).first()
@@ -33,7 +37,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = now.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("w"))
         hooked = large.join(smallest, "u").filter("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v"))
-        passed, now = now, materialize(hooked.unionByName(smallest.withColumnRenamed("w", "v")).distinct(), "edges")
+        found = hooked.unionByName(smallest.withColumnRenamed("w", "v")).distinct()
+        passed, now = now, materialize(found.coalesce(-(-2 * mark[0] // FILE_ROWS)), "edges")
         before, mark = mark, _mark(now)
         discard(passed)
         if mark == before:

@@ -32,9 +32,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import resemblance
 from tessera.llm.common import materialize, small_batches, word_list
 from tessera.llm.graph import connected_components
-from tessera.llm.resemblance import keep_first
 
 SHINGLE = 4
 SEED = 42
@@ -169,13 +169,22 @@ def components(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shin
     return made.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """``docs`` with one row per component, that of the smallest id, then fingerprint; and rows without an id."""
+def deduplicate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, similarity: float | None = None
+) -> DataFrame:
+    """``docs`` with one row per component, that of the smallest id, then fingerprint; and rows without an id.
+
+    Links are fingerprints within ``radius`` bits or, if ``similarity`` is given,
+    shingle sets of at least that Jaccard similarity (see ``resemblance``).
+    """
+    if similarity is not None:
+        return resemblance.deduplicate(docs, shingle, similarity, id_col, text_col)
     small_batches(docs.sparkSession)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    made = materialize(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle).alias("key"), row.alias("doc")), "fingerprints")
+    text = F.col(f"`{text_col}`")
+    made = docs.select(F.col(f"`{id_col}`").alias("id"), resemblance.digest_of(text).alias("digest"), fingerprint_column(text, shingle).alias("key"))
+    made = materialize(made, "fingerprints")
     roots = connected_components(links(made.select(F.col("key").alias("fp")).distinct(), radius, blocks))
-    return keep_first(made, roots.withColumnRenamed("node", "key"))
+    return resemblance.keep_first(docs, made, roots.withColumnRenamed("node", "key"), id_col, text_col)
 
 
 def hex_fingerprint(fp: Column) -> Column:

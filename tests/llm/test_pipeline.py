@@ -149,8 +149,46 @@ def test_run_over_a_folder(spark):
     assert len({r["sequence_id"] for r in packed}) == len(packed)
 
 
-def test_near_duplicates_at_the_stages_bar(spark):
+def test_near_duplicates_in_a_crowd(spark):
+    """One group is half of all rows, many of its pairs just miss the bar: the components are those of brute force."""
+    import random
+
+    from tests_llm_data import prose
+
+    from tessera.llm.resemblance import deduplicate, jaccard, shingle_set
+
+    rng, rows = random.Random(21), []
+    base = prose(rng, 120).split()
+    for k in range(150):
+        words = list(base)
+        for at in rng.sample(range(0, 120, 5), rng.choice([1, 2, 3, 4, 6, 8])):
+            words[at] = f"new{rng.randrange(40)}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, prose(rng, 60)) for k in range(150)]
+    sets, root = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(150):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    kept = sorted(rows[i][0] for i in range(len(rows)) if top(i) == i)
+    assert 160 < len(kept) < 290
+    got = deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(r["doc_id"] for r in got) == kept
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_near_duplicates_at_the_stages_bar(spark, block, monkeypatch):
     """Every pair just above Jaccard 0.8 is found, none just below; 40 like texts make runs that aren't small."""
+    from tessera.llm import resemblance
+
+    monkeypatch.setattr(resemblance, "BLOCK", block)
     import random
 
     from tests_llm_data import DOC_TYPE, prose
