@@ -449,6 +449,41 @@ def test_substrings_deduplicate(clashing, empty):
     assert substrings.deduplicate(empty).count() == 0 and substrings.digests(empty).count() == 0
 
 
+@pytest.mark.parametrize("held", [50_000, 3])
+def test_substrings_factors_are_copies(spark, held, monkeypatch):
+    """Every factor is a copy of what stands at its source, which is earlier; factors don't overlap, and hold what brute force removes."""
+    monkeypatch.setattr(substrings, "HEADS", held)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # workers meet copies in many batches
+    try:
+        rows = passage_rows() + [(300 + k, " ".join([prose(random.Random(k), 10), PASSAGE, prose(random.Random(-k - 1), 10)])) for k in range(120)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got, words, gone = defaultdict(list), {i: WORD.findall(t) for i, t in rows}, {}
+        for r in substrings.factors(docs).collect():
+            got[r["doc_id"]].append((r["start"], r["length"], r["source_doc"], r["source_start"]))
+        for i, own in got.items():
+            end, covered = 0, set()
+            for start, length, doc, at in sorted(own):
+                assert start >= end and (doc, at) < (i, start) and words[doc][at : at + length] == words[i][start : start + length]
+                end = start + length
+                covered |= set(range(start, end))
+            gone[i] = len(covered)
+        assert {i: n for i, _, n, _ in plain_substrings(rows) if n} == gone
+        assert any(length > 60 for own in got.values() for _, length, *_ in own)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+PASSAGE = prose(random.Random(77), 70)
+
+
+def test_parse_takes_the_match_that_reaches_furthest():
+    match = lambda first, last, doc, at: {"span": (first << 32) | last, "doc": doc, "at": at}
+    assert substrings.parse([]) == [] and substrings.parse(None) == []
+    assert substrings.parse([match(0, 3, 1, 7), match(4, 9, 1, 11)]) == [(0, 29, 1, 7)]
+    assert substrings.parse([match(0, 3, 1, 7), match(2, 30, 2, 5), match(10, 12, 3, 0)]) == [(0, 23, 1, 7), (23, 27, 2, 26)]
+    assert substrings.parse([match(0, 0, 1, 0), match(50, 50, 1, 0)]) == [(0, 20, 1, 0), (50, 20, 1, 0)]
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(1)
     a, b = (rng.integers(0, 2**63, 100).astype(np.uint64) for _ in range(2))
