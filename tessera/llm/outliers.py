@@ -4,15 +4,21 @@ Everything is DataFrame and SQL functions.  Each text becomes base counts (words
 their characters, symbols, duplicate lines, words in repeated 3-word windows) and
 from them a vector of transformed statistics.  Per language and source, the mean
 and covariance of the most central ``SUBSET`` share of the vectors is estimated
-by concentration steps: from a median start, measure squared Mahalanobis
-distances, keep the closest share, re-estimate, repeat.  A document is rejected
-if its distance to its group's estimate exceeds ``CUTOFF``.
-
-How it scales: the counts are written once; every later pass reads a few numbers
-a document.  Means and covariances are sums, combined before the shuffle.  The
-cut that keeps the closest share comes from counts on a fixed fine grid of
+by concentration steps: from a start, measure squared Mahalanobis distances, keep
+the closest share, re-estimate, repeat.  There are three starts: medians with
+squared interquartile ranges, medians with the floors below, and the mean and
+covariance of all.  Of their ends the one with the smallest determinant counts
+(of equals the first).  A document is rejected if its distance to its group's
+estimate exceeds ``CUTOFF``.
+
+How it scales: the counts are written once, and so are the vectors by group;
+every later pass reads a few numbers a document.  All starts take their steps in
+the same passes.  Means and covariances are sums, combined before the shuffle.
+The cut that keeps the closest share comes from counts on a fixed fine grid of
 log-distances, so no group's values are ever collected or sorted: what moves is
-at most the grid's cells for each group.  Groups of under ``LEAST`` usable rows
+at most the grid's cells for each group, added up by cell first.  Estimates and
+cuts are written tables of a row or three a group, so rows meet them without
+being dealt out by group, unless there are too many groups to broadcast.  Groups of under ``LEAST`` usable rows
 take their language's estimate, and languages of under ``LEAST`` the corpus's.
 
 Variances get a floor (``FLOORS``, squared): where more than half of a group has
@@ -22,7 +28,7 @@ Vectors are whole multiples of 1/4096, so their sums are exact whatever the
 order of addition.
 
 Defined results: a null or empty text has zero words and fails the base rules;
-null languages and sources are groups like any other; documents that fail the
+a text of any length counts whole; null languages and sources are groups like any other; documents that fail the
 base rules take no part in the estimates and are not kept; equal texts of a
 group fare equally; an empty table gives an empty result; other columns pass
 through inside ``doc``, the text left out.
@@ -98,6 +104,7 @@ def _x(k: int) -> str:
 
 P = len(STATS)
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+KEYS = ["grp", "start"]
 
 
 def _with_distance(rows: DataFrame) -> DataFrame:
@@ -109,12 +116,12 @@ def _with_distance(rows: DataFrame) -> DataFrame:
 
 
 def _cholesky(estimates: DataFrame) -> DataFrame:
-    """(grp, m*, l*) from (grp, m*, c*): the factor of the covariance, on one row per group."""
+    """(grp, start, m*, l*) from (grp, start, m*, c*): the factor of the covariance, row by row."""
     for i, j in sorted(PAIRS):
         inner = reduce(lambda a, b: a - b, [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.col(f"c{i}{j}"))
         value = F.sqrt(F.greatest(inner, F.lit(1e-9))) if i == j else inner / F.col(f"l{j}{j}")
         estimates = estimates.withColumn(f"l{i}{j}", value)
-    return estimates.select("grp", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in PAIRS])
+    return estimates.select(*KEYS, *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in PAIRS])
 
 
 def _grid_quantile(cells: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -125,16 +132,16 @@ def _grid_quantile(cells: DataFrame, keys: list[str], share: float) -> DataFrame
     return marked.filter(F.col("upto") >= F.col("all") * share).groupBy(*keys).agg(F.min("cell").alias("cell"))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """(grp, m*, c*) of the rows of each group; variances get their floor."""
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, m*, c*) of the rows of each group; variances get their floor."""
     sums = [F.avg(_x(i)).alias(f"m{i}") for i in range(P)] + [F.avg(F.col(_x(i)) * F.col(_x(j))).alias(f"s{i}{j}") for i, j in PAIRS]
-    got = rows.groupBy("grp").agg(*sums)
+    got = rows.groupBy(*keys).agg(*sums)
     cov = [(F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") + F.lit(FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
-    return got.select("grp", *[f"m{i}" for i in range(P)], *cov)
+    return got.select(*keys, *[f"m{i}" for i in range(P)], *cov)
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """(grp, m*, c*): coordinate medians, and squared interquartile ranges on the diagonal."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """(grp, start, m*, c*), three rows a group: medians with squared interquartile ranges, medians with the floors, and the moments of all."""
     stacked = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.floor(F.col(_x(i)) * GRID).alias("cell")) for i in range(P)]))
     cells = rows.select("grp", stacked.alias("e")).groupBy("grp", "e.k", "e.cell").agg(F.count("*").alias("n")).toDF("grp", "k", "cell", "n")
     cells = materialize(cells, "cells")
@@ -142,27 +149,32 @@ def _start(rows: DataFrame) -> DataFrame:
     joined = parts[1].join(parts[0], ["grp", "k"]).join(parts[2], ["grp", "k"])
     wide = [F.max(F.when(F.col("k") == i, (F.col("q2") + 0.5) / GRID)).alias(f"m{i}") for i in range(P)]
     wide += [F.max(F.when(F.col("k") == i, F.pow((F.col("q3") - F.col("q1")) / (GRID * 1.349), F.lit(2.0)) + FLOORS[i] ** 2)).alias(f"c{i}{i}") for i in range(P)]
-    got = joined.groupBy("grp").agg(*wide)
-    return got.withColumns({f"c{i}{j}": F.lit(0.0) for i, j in PAIRS if i != j})
+    middle = joined.groupBy("grp").agg(*wide).withColumns({f"c{i}{j}": F.lit(0.0) for i, j in PAIRS if i != j})
+    round_one = middle.withColumns({f"c{i}{i}": F.lit(FLOORS[i] ** 2) for i in range(P)})
+    listed = [middle, round_one, _moments(rows, ["grp"])]
+    return reduce(DataFrame.unionByName, [df.withColumn("start", F.lit(k)) for k, df in enumerate(listed)])
 
 
-def _cells(measured: DataFrame) -> DataFrame:
+def _cells(measured: DataFrame, keys: list[str]) -> DataFrame:
     cell = F.floor(F.log(F.col("d2") + 1e-9) * GRID)
-    return measured.groupBy("grp", cell.alias("cell")).agg(F.count("*").alias("n"))
+    return measured.groupBy(*keys, cell.alias("cell")).agg(F.count("*").alias("n"))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
     """(grp, m*, l*, scale): the minimum covariance determinant estimate of each group of ``rows`` (grp, x*)."""
-    now = materialize(_cholesky(_start(rows)), "start")
+    now = materialize(_cholesky(_starts(rows)).coalesce(1), "start")
     for _ in range(STEPS):
         measured = _with_distance(rows.join(now, "grp"))
-        cut = _grid_quantile(_cells(measured), ["grp"], SUBSET)
-        close = measured.select("grp", *[_x(i) for i in range(P)], F.floor(F.log(F.col("d2") + 1e-9) * GRID).alias("at")).join(cut, "grp").filter("at <= cell")
-        now = materialize(_cholesky(_moments(close)), "step")
-    middle = _grid_quantile(_cells(_with_distance(rows.join(now, "grp"))), ["grp"], 0.5)
+        cut = materialize(_grid_quantile(_cells(measured, KEYS), KEYS, SUBSET).coalesce(1), "cut")
+        close = measured.select(*KEYS, *[_x(i) for i in range(P)], F.floor(F.log(F.col("d2") + 1e-9) * GRID).alias("at")).join(cut, KEYS).filter("at <= cell")
+        now = materialize(_cholesky(_moments(close, KEYS)).coalesce(1), "step")
+    determinant = reduce(lambda a, b: a * b, [F.col(f"l{i}{i}") * F.col(f"l{i}{i}") for i in range(P)])
+    best = now.groupBy("grp").agg(F.min(F.struct(determinant.alias("det"), "start", *now.columns[2:])).alias("e")).select("grp", *[f"e.{c}" for c in now.columns[2:]])
+    best = materialize(best.coalesce(1), "best")
+    middle = _grid_quantile(_cells(_with_distance(rows.join(best, "grp")), ["grp"]), ["grp"], 0.5)
     # consistency: the median distance should be chi-squared's; a scale below one would only tighten it
     scale = F.greatest(F.exp((F.col("cell") + 0.5) / GRID) / CHI2_MEDIAN, F.lit(1.0))
-    return now.join(middle, "grp").withColumn("scale", scale).drop("cell")
+    return best.join(middle, "grp").withColumn("scale", scale).drop("cell")
 
 
 def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least: int = LEAST) -> DataFrame:
@@ -177,13 +189,13 @@ def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     named = usable.groupBy("g2", "g1").agg(F.count("*").alias("n2"))
     named = named.withColumn("n1", F.sum("n2").over(Window.partitionBy("g1")))
     choice = named.select("g2", F.when(F.col("n2") >= least, F.col("g2")).when(F.col("n1") >= least, F.col("g1")).otherwise(F.lit("{}")).alias("use"))
-    choice = materialize(choice, "groups")
+    choice = materialize(choice.coalesce(1), "groups")
     xs = [_x(i) for i in range(P)]
     # every row counts for its own group, its language and the corpus; only the estimates in use are made
     levels = F.explode(F.array("g2", "g1", "g0"))
     used = choice.select(F.col("use").alias("grp")).distinct()
-    rows = usable.select(levels.alias("grp"), *xs).join(used, "grp", "left_semi")
-    est = materialize(estimates(rows), "estimates")
+    rows = materialize(usable.select(levels.alias("grp"), *xs).join(used, "grp", "left_semi"), "vectors")
+    est = materialize(estimates(rows).coalesce(1), "estimates")
     judged = _with_distance(light.join(choice, "g2", "left").join(est.withColumnRenamed("grp", "use"), "use", "left"))
     distance = F.when(~F.col("base_failed"), F.col("d2") / F.col("scale"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2") / F.col("scale"), F.lit(0.0)) <= CUTOFF)

@@ -49,19 +49,26 @@ def outlier_sql() -> str:
         for i, j in sorted(o.PAIRS):
             inner = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
             out.append(f"sqrt(greatest(c{i}{i}{inner}, 1e-9)) AS l{i}{i}" if i == j else f"(c{i}{j}{inner}) / l{j}{j} AS l{i}{j}")
-        return f"{name} AS (SELECT grp, {', '.join(f'm{i}' for i in ps)}, {', '.join(out)} FROM {source})"
+        return f"{name} AS (SELECT grp, st, {', '.join(f'm{i}' for i in ps)}, {', '.join(out)} FROM {source})"
 
-    def distance(name: str, rows: str, estimate: str, key: str = "grp", kept: str = xs) -> str:
+    def distance(name: str, rows: str, estimate: str, key: str = "grp", kept: str = xs + ", st") -> str:
         z = ", ".join(f"(x{i} - m{i}{''.join(f' - l{i}{j} * z{j}' for j in range(i))}) / l{i}{i} AS z{i}" for i in ps)
         total = " + ".join(f"z{i} * z{i}" for i in ps)
         return f"{name} AS (SELECT r.{key} AS grp, {kept}, {z}, {total} AS d2, floor(ln(d2 + 1e-9) * {o.GRID}) AS cell FROM {rows} r JOIN {estimate} e ON r.{key} = e.grp)"
 
     def quantile(name: str, rows: str, share: float) -> str:
         return (
-            f"{name} AS (SELECT grp, min(cell) AS cut FROM (SELECT grp, cell, sum(n) OVER (PARTITION BY grp ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY grp) AS al "
-            f"FROM (SELECT grp, cell, count(*) AS n FROM {rows} GROUP BY grp, cell)) WHERE upto >= al * {share}e0 GROUP BY grp)"
+            f"{name} AS (SELECT grp, st, min(cell) AS cut FROM (SELECT grp, st, cell, sum(n) OVER (PARTITION BY grp, st ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY grp, st) AS al "
+            f"FROM (SELECT grp, st, cell, count(*) AS n FROM {rows} GROUP BY grp, st, cell)) WHERE upto >= al * {share}e0 GROUP BY grp, st)"
         )
 
+    def moments(name: str, source: str) -> str:
+        return f"{name} AS (SELECT grp, st, " + ", ".join([f"m{i}" for i in ps] + [f"s{i}{j} - m{i} * m{j} + {o.FLOORS[i] ** 2 if i == j else 0.0!r}::DOUBLE AS c{i}{j}" for i, j in o.PAIRS]) + f" FROM {source})"
+
+    averages = ", ".join([f"avg(x{i}) AS m{i}" for i in ps] + [f"avg(x{i} * x{j}) AS s{i}{j}" for i, j in o.PAIRS])
+    columns = "grp, st, " + ", ".join([f"m{i}" for i in ps] + [f"c{i}{j}" for i, j in o.PAIRS])
+    off_diagonal = ", ".join(f"0e0 AS c{i}{j}" for i, j in o.PAIRS if i != j)
+
     n = "greatest(n_words, 1)::DOUBLE"
     raw = [f"ln({n})", f"word_chars / {n}", f"ln(0.01e0 + n_symbols / {n})", f"n_dup_lines / greatest(n_dup_lines + {n} / 20, 1e0)", f"sqrt(n_repeat_words / {n})"]
     parts = [
@@ -78,25 +85,28 @@ def outlier_sql() -> str:
         "placed AS (SELECT grp, k, cell, sum(n) OVER (PARTITION BY grp, k ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY grp, k) AS al "
         "FROM (SELECT grp, k, cell, count(*) AS n FROM stacked GROUP BY grp, k, cell))",
         "quartiles AS (SELECT grp, k, min(cell) FILTER (WHERE upto >= al * 0.25e0) AS q1, min(cell) FILTER (WHERE upto >= al * 0.5e0) AS q2, min(cell) FILTER (WHERE upto >= al * 0.75e0) AS q3 FROM placed GROUP BY grp, k)",
-        "start AS (SELECT grp, "
+        "medians AS (SELECT grp, 0 AS st, "
         + ", ".join(f"max(CASE WHEN k = {i} THEN (q2 + 0.5e0) / {o.GRID} END) AS m{i}, max(CASE WHEN k = {i} THEN pow((q3 - q1) / {o.GRID * 1.349!r}, 2e0) + {o.FLOORS[i] ** 2!r}::DOUBLE END) AS c{i}{i}" for i in ps)
-        + ", "
-        + ", ".join(f"0e0 AS c{i}{j}" for i, j in o.PAIRS if i != j)
-        + " FROM quartiles GROUP BY grp)",
+        + f", {off_diagonal} FROM quartiles GROUP BY grp)",
+        "floors AS (SELECT grp, 1 AS st, " + ", ".join(f"m{i}" for i in ps) + ", " + ", ".join(f"{o.FLOORS[i] ** 2!r}::DOUBLE AS c{i}{i}" for i in ps) + f", {off_diagonal} FROM medians)",
+        f"sums AS (SELECT grp, 2 AS st, {averages} FROM picked GROUP BY grp)",
+        moments("whole", "sums"),
+        f"start AS (SELECT {columns} FROM medians UNION ALL SELECT {columns} FROM floors UNION ALL SELECT {columns} FROM whole)",
         chol("e0", "start"),
     ]
     for k in range(o.STEPS):
         parts += [
             distance(f"d{k}", "picked", f"e{k}"),
             quantile(f"q{k}", f"d{k}", o.SUBSET),
-            f"s{k} AS (SELECT d.grp, " + ", ".join([f"avg(x{i}) AS m{i}" for i in ps] + [f"avg(x{i} * x{j}) AS s{i}{j}" for i, j in o.PAIRS]) + f" FROM d{k} d JOIN q{k} q ON d.grp = q.grp WHERE cell <= cut GROUP BY d.grp)",
-            f"c{k} AS (SELECT grp, " + ", ".join([f"m{i}" for i in ps] + [f"s{i}{j} - m{i} * m{j} + {o.FLOORS[i] ** 2 if i == j else 0.0!r}::DOUBLE AS c{i}{j}" for i, j in o.PAIRS]) + f" FROM s{k})",
+            f"s{k} AS (SELECT d.grp, d.st, {averages} FROM d{k} d JOIN q{k} q ON d.grp = q.grp AND d.st = q.st WHERE cell <= cut GROUP BY d.grp, d.st)",
+            moments(f"c{k}", f"s{k}"),
             chol(f"e{k + 1}", f"c{k}"),
         ]
     parts += [
-        distance("dn", "picked", f"e{o.STEPS}"),
+        f"best AS (SELECT * FROM e{o.STEPS} QUALIFY row_number() OVER (PARTITION BY grp ORDER BY {' * '.join(f'(l{i}{i} * l{i}{i})' for i in ps)}, st) = 1)",
+        distance("dn", "picked", "best"),
         quantile("middle", "dn", 0.5),
-        f"final AS (SELECT e.*, greatest(exp((cut + 0.5e0) / {o.GRID}) / {o.CHI2_MEDIAN}e0, 1e0) AS scale FROM e{o.STEPS} e JOIN middle m ON e.grp = m.grp)",
+        f"final AS (SELECT e.*, greatest(exp((cut + 0.5e0) / {o.GRID}) / {o.CHI2_MEDIAN}e0, 1e0) AS scale FROM best e JOIN middle m ON e.grp = m.grp)",
         "chosen AS (SELECT counted.*, use FROM counted JOIN choice ON counted.g2 = choice.g2 WHERE NOT base_failed)",
         distance("dist", "chosen", "final", "use", "doc_id, scale"),
     ]
