@@ -4,13 +4,15 @@ A text's letters, lower-cased, are read as character n-grams inside words with
 their boundaries; each is hashed to one of ``buckets`` embeddings, the mean of
 which goes through a linear softmax.  Both are trained together by stochastic
 gradient descent in numpy, on the driver, from a bounded sample of labelled
-texts (``per_language`` documents of each of the ``MAX_LANGUAGES`` most frequent
-languages, of at most ``MAX_BYTES`` each) cut into segments of many lengths.  Embeddings start at zero, so subwords never seen
-in training pull a text towards an even distribution.  A fifth of the sample is
-held back to fit the softmax's temperature and the score below which a text is
-rejected: ``FALSE_REJECTIONS`` of the correctly labelled segments lie there, but
-it never exceeds chance by more than ``CHANCE_MARGIN`` of the way to certainty,
-so only texts that no language claims go.
+texts: about ``per_language`` documents of each language, ``SAMPLE_DOCS`` in all,
+and of each document segments of many lengths from all over the text, drawn in
+the workers, ``SAMPLE_BYTES`` in all (at most ``DOC_BYTES`` a document).  Every
+language that has labelled text is learned.  Embeddings start at zero, so subwords
+never seen in training pull a text towards an even distribution.  A fifth of the
+sample is held back to fit the softmax's temperature and the score below which a
+text is rejected: ``FALSE_REJECTIONS`` of the correctly labelled segments lie
+there, but it never exceeds chance by more than ``CHANCE_MARGIN`` of the way to
+certainty, so only texts that no language claims go.
 
 For scoring, embeddings times softmax weights make one table of a few numbers a
 bucket, which is what the workers get; whole texts are scored, however long.
@@ -18,11 +20,12 @@ bucket, which is what the workers get; whole texts are scored, however long.
 Defined results: a null text, or one without a letter, is ``und`` with score 0
 and rejected; with no labelled text at all every text is; equal texts score
 equally, ties go to the language first in code-point order; an empty table gives
-an empty result; other columns pass through.
+an empty result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,8 +40,9 @@ BUCKETS = 1 << 16
 WIDTH = 16
 NGRAMS = (1, 2, 3, 4)
 PER_LANGUAGE = 500
-MAX_BYTES = 1 << 20
-MAX_LANGUAGES = 250
+SAMPLE_DOCS = 100_000
+SAMPLE_BYTES = 64 << 20
+DOC_BYTES = 16 << 10
 FALSE_REJECTIONS = 0.001
 CHANCE_MARGIN = 0.2
 UNKNOWN = "und"
@@ -117,15 +121,34 @@ def _segments(text: str, rng: np.random.Generator) -> list[str]:
     return out
 
 
+def drawn_segments(text: str, most: int) -> list[str]:
+    """Segments from all over a text, ``most`` bytes of it at most, by a draw that depends on the text alone."""
+    raw = text.encode("utf-8", "surrogatepass")
+    rng = np.random.default_rng(zlib.crc32(raw))
+    step = max(1, most // 4)  # in characters; what has no spaces is cut as well
+    parts = [part[i : i + step] for part in _segments(text, rng) for i in range(0, max(1, len(part)), step)]
+    if len(raw) <= most:
+        return parts
+    sizes = np.array([len(p.encode("utf-8", "surrogatepass")) for p in parts])
+    order = rng.permutation(len(parts))
+    return [parts[k] for k in np.sort(order[np.cumsum(sizes[order]) <= most])]
+
+
 def train(texts: list[str], labels: list[str], buckets: int = BUCKETS, width: int = WIDTH, epochs: int = 3, seed: int = 7) -> Model:
-    """Fit a model; the order of the examples matters, so callers sort them."""
+    """Fit a model to whole texts; the order of the examples matters, so callers sort them."""
+    rng = np.random.default_rng(seed)
+    return train_segments([_segments(t, rng) for t in texts], labels, buckets, width, epochs, seed)
+
+
+def train_segments(texts: list[list[str]], labels: list[str], buckets: int = BUCKETS, width: int = WIDTH, epochs: int = 3, seed: int = 7) -> Model:
+    """Fit a model to texts given as segments."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 1.0)
     rng = np.random.default_rng(seed)
     examples, held = [], []
-    for k, (text, label) in enumerate(zip(texts, labels, strict=True)):
-        for part in _segments(text, rng):
+    for k, (parts, label) in enumerate(zip(texts, labels, strict=True)):
+        for part in parts:
             ids = subwords(part, buckets)
             if len(ids):
                 (held if k % 5 == 4 else examples).append((ids, languages.index(label)))
@@ -150,7 +173,10 @@ def train(texts: list[str], labels: list[str], buckets: int = BUCKETS, width: in
             back = (odds @ weight.T) * np.float32(20 * rate / len(goal))  # a bucket is met in few examples: a larger step
             weight -= rate / len(goal) * (mean.T @ odds)
             bias -= rate / len(goal) * odds.sum(0)
-            np.subtract.at(embed, ids, np.repeat((back / sizes[:, None]).astype(np.float32) * 10, sizes, axis=0))
+            by = np.argsort(ids, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], ids[by][1:] != ids[by][:-1])))
+            moves = (back / sizes[:, None]).astype(np.float32) * 10
+            embed[ids[by][first]] -= np.add.reduceat(np.repeat(moves, sizes, axis=0)[by], first, axis=0)
             steps += 1
     model = Model(languages, embed @ weight, bias.astype(np.float64), 1.0, 0.0)
     return _calibrate(model, held or examples)
@@ -178,15 +204,25 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
     """Train on a bounded sample of the labelled rows outside fold ``fold``: about ``per_language`` rows of each language."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(crc_mod("id", folds) != fold).filter("lang IS NOT NULL AND text IS NOT NULL")
-    frequent = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    counts = {r["lang"]: r["n"] for r in frequent.collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return train([], [])
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
+    per_language = max(1, min(per_language, SAMPLE_DOCS // len(counts)))
+    most = max(64, min(DOC_BYTES, SAMPLE_BYTES // (per_language * len(counts))))
+    small_batches(docs.sparkSession)
+    sizes = rows.sparkSession.createDataFrame([(lang, min(1.0, per_language / n)) for lang, n in counts.items()], "lang string, share double")
     place = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("null")).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
-    sample = rows.filter(place < F.element_at(share, F.col("lang"))).filter(F.octet_length("text") <= MAX_BYTES).toPandas()
-    sample = sample.sort_values(["id", "text"], kind="stable")
-    return train(sample["text"].tolist(), sample["lang"].tolist())
+    chosen = rows.select(F.col("id").cast("string").alias("id"), F.col("lang").cast("string").alias("lang"), "text", place.alias("place"))
+    chosen = chosen.join(F.broadcast(sizes), "lang").filter("place < share").select("id", "lang", "text")  # a row for each class that is learned
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "lang": batch["lang"], "parts": [drawn_segments(t, most) for t in batch["text"]]})
+
+    sample = chosen.mapInPandas(draw, "id string, lang string, parts array<string>").toPandas()
+    sample["parts"] = [list(p) for p in sample["parts"]]
+    sample = sample.assign(order=[(i or "", p) for i, p in zip(sample["id"], sample["parts"], strict=True)]).sort_values("order", kind="stable")
+    return train_segments(sample["parts"].tolist(), sample["lang"].tolist())
 
 
 def prediction(model: Model, text: Column) -> Column:
