@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by learned partitions.
 
-Fit, on the driver, on at most about ``SAMPLE`` vectors: their exact neighbour
+Fit, on the driver, on a sample of a sixteenth of the vectors, between ``SAMPLE``
+and ``MOST_SAMPLE`` of them: their exact neighbour
 graph by inner product is cut into balanced parts (spectral bisection at the
 median, refined by swaps, repeated on the halves), and a small network learns
 which parts a vector's neighbours lie in.  Index: every vector goes to its most
@@ -10,7 +11,8 @@ sample that the network didn't learn from must find ``RECALL`` of their nearest
 in the sample.  Vectors without structure (all directions alike) need most
 parts, clustered ones few.
 
-The number of parts follows the number of vectors, up to ``MAX_PARTS``.  Whole
+The number of parts follows the number of vectors, up to ``MAX_PARTS``, and a
+query probes further parts where those it is due hold too few vectors.  Whole
 parts are put together into blocks of about ``BLOCK_BYTES`` of vectors, a part
 that is larger is split, the queries of a block are dealt out as well, and every
 pair of a block and some of its queries is a task of bounded size that returns k
@@ -35,10 +37,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, small_batches
 
-SAMPLE = 4096
+SAMPLE, MOST_SAMPLE = 4096, 32_768
 GRAPH_K = 16
 PART_ROWS = 800
-MIN_PARTS, MAX_PARTS = 8, 256
+MIN_PARTS, MAX_PARTS = 8, 2048
 RECALL = 0.94
 BLOCK_BYTES = 16 << 20
 QUERY_ROWS = 2048
@@ -154,10 +156,9 @@ def probes_for(router: Router, x: np.ndarray, queries: np.ndarray, k: int, recal
 
 
 def fit(x: np.ndarray, parts: int, k: int, recall: float = RECALL) -> tuple[Router, int]:
-    """A router, and the number of parts to probe, from a sample."""
+    """A router to at most ``parts`` parts of 8 vectors of the sample or more, and the number of parts to probe."""
     learned = np.flatnonzero(np.arange(len(x)) % 5 != 4)
-    if len(learned) < 8 * parts:  # too few to learn from: everything is one part
-        return Router(np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)), 1
+    parts = min(parts, 1 << max(0, int(np.log2(max(1, len(learned) // 8)))))
     own = x[learned]
     near = neighbour_graph(own.astype(np.float32))
     part = balanced_parts(near, parts)
@@ -165,7 +166,8 @@ def fit(x: np.ndarray, parts: int, k: int, recall: float = RECALL) -> tuple[Rout
     target = np.zeros((len(own), parts))
     np.add.at(target, (np.repeat(np.arange(len(own)), around.shape[1]), part[around].reshape(-1)), 1 / around.shape[1])
     router = train_router(own.astype(np.float64), target)
-    return router, probes_for(router, x, np.setdiff1d(np.arange(len(x)), learned), k, recall)
+    asked = np.setdiff1d(np.arange(len(x)), learned)
+    return router, probes_for(router, x, asked if len(asked) else learned, k, recall) if len(x) > 1 else router.parts
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -228,7 +230,7 @@ def lay_out(sizes: dict[int, int], most: int) -> tuple[dict[int, int], dict[int,
     return first, split
 
 
-def search(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col: str = "embedding", sample: int | None = None, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``is_query`` (a condition on vec_id) holds, its k nearest found."""
     spark = vectors.sparkSession
     small_batches(spark)
@@ -240,6 +242,7 @@ def search(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_
     dim, n = sizes[0]["dim"], sizes[0]["n"]
     rows = rows.filter(F.size("v") == dim)
     place = F.conv(F.substring(F.md5(F.col("vec_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
+    sample = sample or min(MOST_SAMPLE, max(SAMPLE, n // 16))
     taken = rows.filter(place < sample / n).toPandas().sort_values("vec_id")
     router, probes = fit(_stack(taken["v"]).reshape(-1, dim), parts_for(n), k, recall)
 
@@ -252,29 +255,32 @@ def search(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_
     held = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()}
     first, split = lay_out(held, max(1024, BLOCK_BYTES // (8 * dim)))
 
+    own_sizes = np.array([held.get(p, 0) for p in range(router.parts)])
+
     @F.pandas_udf("array<struct<block: int, parts: array<int>>>")
     def blocks_of(v: pd.Series) -> pd.Series:
-        order = np.argsort(-router.logits(_stack(v).reshape(-1, dim)), axis=1, kind="stable")[:, :probes]
+        order = np.argsort(-router.logits(_stack(v).reshape(-1, dim)), axis=1, kind="stable")
+        # as many parts as were found to do, and more until they hold k besides the query
+        enough = np.maximum((np.cumsum(own_sizes[order], axis=1) <= k).sum(1) + 1, probes)
         out = []
-        for own in order.tolist():
+        for own, most in zip(order.tolist(), enough.tolist(), strict=True):
             at: dict[int, list[int]] = {}
-            for p in own:
-                for k in range(split.get(p, 0)):
-                    at.setdefault(first[p] + k, []).append(p)
-            out.append([{"block": k, "parts": parts} for k, parts in at.items()])
+            for p in own[:most]:
+                for nth in range(split.get(p, 0)):
+                    at.setdefault(first[p] + nth, []).append(p)
+            out.append([{"block": block, "parts": parts} for block, parts in at.items()])
         return pd.Series(out)
 
     routed = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), blocks_of.asNondeterministic()("v").alias("to"))
     routed = materialize(routed.select("query_id", "q", F.explode("to").alias("e")).select("query_id", "q", "e.block", "e.parts"), "queries")
-    asked = {r["block"]: r["n"] for r in routed.groupBy("block").agg(F.count("*").alias("n")).collect()}
-    if not asked:
-        return spark.createDataFrame([], f"query_id {id_type}, rank int, vec_id {id_type}, score double")
-    look = lambda table, key: F.element_at(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v)]), key)
-    dealt = {k: -(-n // QUERY_ROWS) for k, n in asked.items()}
-    block = look(first, F.col("part")) + F.pmod(F.xxhash64("vec_id"), look(split, F.col("part"))).cast("int")
-    left = index.select(block.alias("block"), "part", "vec_id", "v").filter(F.col("block").isin(list(asked)))
-    left = left.withColumn("q_block", F.explode(F.sequence(F.lit(0), look(dealt, F.col("block")) - 1)))
-    right = routed.withColumn("q_block", F.pmod(F.xxhash64("query_id"), look(dealt, F.col("block"))).cast("int"))
+    # how many groups the queries of a block are dealt out in: a row a block, joined, since blocks grow with the data
+    asked = routed.groupBy("block").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("groups"))
+    asked = materialize(asked, "asked")
+    look = lambda table, key: F.element_at(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v)]), key)  # noqa: E731  # a row a part
+    block = look(first, F.col("part")) + F.pmod(F.xxhash64("vec_id"), look(split, F.col("part"))).cast("int") if held else F.lit(0)
+    left = index.select(block.alias("block"), "part", "vec_id", "v").join(asked, "block")
+    left = left.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    right = routed.join(asked, "block").withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int")).drop("groups")
 
     def rank(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
