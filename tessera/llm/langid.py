@@ -9,10 +9,15 @@ and of each document segments of many lengths from all over the text, drawn in
 the workers, ``SAMPLE_BYTES`` in all (at most ``DOC_BYTES`` a document).  Every
 language that has labelled text is learned.  Embeddings start at zero, so subwords
 never seen in training pull a text towards an even distribution.  A fifth of the
-sample is held back to fit the softmax's temperature and the score below which a
-text is rejected: ``FALSE_REJECTIONS`` of the correctly labelled segments lie
-there, but it never exceeds chance by more than ``CHANCE_MARGIN`` of the way to
-certainty, so only texts that no language claims go.
+sample is held back to fit the softmax's temperature and two bounds below which a
+text is rejected.  One is for the score: ``FALSE_REJECTIONS`` of the correctly
+labelled segments lie below it, but it never exceeds chance by more than
+``CHANCE_MARGIN`` of the way to certainty.  The other is for how familiar the text
+is, since a softmax is sure of languages it has never met as well: the mean
+log-frequency of its subwords, each in the language where it is most frequent,
+with ``PRIOR`` subwords of median frequency added, which keep very short texts.
+The bound lies twice as far below the median of the documents held back as their
+``FALSE_REJECTIONS`` quantile does.
 
 For scoring, embeddings times softmax weights make one table of a few numbers a
 bucket, which is what the workers get; whole texts are scored, however long.
@@ -45,6 +50,7 @@ SAMPLE_BYTES = 64 << 20
 DOC_BYTES = 16 << 10
 FALSE_REJECTIONS = 0.001
 CHANCE_MARGIN = 0.2
+PRIOR = 100
 UNKNOWN = "und"
 _MIX = np.uint32(0x9E3779B1)
 _STEP = 1 << 20
@@ -86,14 +92,16 @@ def subwords(text: str, buckets: int = BUCKETS, ngrams=NGRAMS) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # bucket by language: what a subword adds to the mean logits
+    table: np.ndarray  # bucket by language: what a subword adds to the mean logits; a last column: how familiar it is
     bias: np.ndarray
     temperature: float
     threshold: float
+    familiar: float = -np.inf
+    median: float = 0.0
 
-    def logits(self, text: str) -> np.ndarray | None:
-        """Mean logits of a whole text, read in steps; None without a letter."""
-        total, count, at = np.zeros(len(self.languages)), 0, 0
+    def measures(self, text: str) -> tuple[np.ndarray, float] | None:
+        """(mean logits, familiarity) of a whole text, read in steps; None without a letter."""
+        total, count, at = np.zeros(len(self.languages) + 1), 0, 0
         while at < len(text):
             end = at + _STEP  # steps end at white space where there is some
             if end < len(text):
@@ -101,15 +109,21 @@ class Model:
             ids = subwords(text[at:end], len(self.table))
             total += self.table[ids].sum(0, dtype=np.float64)
             count, at = count + len(ids), end
-        return total / count + self.bias if count else None
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        logits = self.logits(text) if text and self.languages else None
-        if logits is None:
-            return UNKNOWN, 0.0
+        return (total[:-1] / count + self.bias, float((total[-1] + PRIOR * self.median) / (count + PRIOR))) if count else None
+
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, score, whether the text is rejected)."""
+        found = self.measures(text) if text and self.languages else None
+        if found is None:
+            return UNKNOWN, 0.0, True
+        logits, familiar = found
         odds = np.exp((logits - logits.max()) / self.temperature)
         best = int(odds.argmax())
-        return self.languages[best], float(odds[best] / odds.sum())
+        score = float(odds[best] / odds.sum())
+        return self.languages[best], score, score < self.threshold or familiar < self.familiar
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
 def _segments(text: str, rng: np.random.Generator) -> list[str]:
@@ -144,14 +158,14 @@ def train_segments(texts: list[list[str]], labels: list[str], buckets: int = BUC
     """Fit a model to texts given as segments."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 1.0)
+        return Model([], np.zeros((buckets, 1), np.float32), np.zeros(0), 1.0, 1.0)
     rng = np.random.default_rng(seed)
-    examples, held = [], []
+    examples, held, documents = [], [], []
     for k, (parts, label) in enumerate(zip(texts, labels, strict=True)):
-        for part in parts:
-            ids = subwords(part, buckets)
-            if len(ids):
-                (held if k % 5 == 4 else examples).append((ids, languages.index(label)))
+        own = [(ids, languages.index(label)) for ids in (subwords(part, buckets) for part in parts) if len(ids)]
+        (held if k % 5 == 4 else examples).extend(own)
+        if own and k % 5 == 4:
+            documents.append(np.concatenate([ids for ids, _ in own]))
     embed = np.zeros((buckets, width), np.float32)
     weight = rng.normal(0, 1, (width, len(languages))).astype(np.float32)
     bias = np.zeros(len(languages), np.float32)
@@ -178,12 +192,18 @@ def train_segments(texts: list[list[str]], labels: list[str], buckets: int = BUC
             moves = (back / sizes[:, None]).astype(np.float32) * 10
             embed[ids[by][first]] -= np.add.reduceat(np.repeat(moves, sizes, axis=0)[by], first, axis=0)
             steps += 1
-    model = Model(languages, embed @ weight, bias.astype(np.float64), 1.0, 0.0)
-    return _calibrate(model, held or examples)
-
-
-def _calibrate(model: Model, held: list[tuple[np.ndarray, int]]) -> Model:
-    logits = np.array([model.table[ids].mean(0, dtype=np.float64) + model.bias for ids, _ in held])
+    share = np.full(buckets, 0.5 / buckets)
+    for k in range(len(languages)):
+        own = [ids for ids, label in examples if label == k]
+        met = np.bincount(np.concatenate(own), minlength=buckets) + 0.5 if own else np.ones(buckets)
+        share = np.maximum(share, met / met.sum())
+    model = Model(languages, np.concatenate((embed @ weight, np.log(share)[:, None].astype(np.float32)), 1), bias.astype(np.float64), 1.0, 0.0)
+    held = held or examples
+    return _calibrate(model, held, documents or [ids for ids, _ in held])
+
+
+def _calibrate(model: Model, held: list[tuple[np.ndarray, int]], documents: list[np.ndarray]) -> Model:
+    logits = np.array([model.table[ids, :-1].mean(0, dtype=np.float64) + model.bias for ids, _ in held])
     goal = np.array([y for _, y in held])
 
     def odds(t: float) -> np.ndarray:
@@ -196,6 +216,9 @@ def _calibrate(model: Model, held: list[tuple[np.ndarray, int]]) -> Model:
     right = best.max(1)[best.argmax(1) == goal]
     chance = 1 / len(model.languages)
     most = chance + CHANCE_MARGIN * (1 - chance)
+    sums, sizes = np.array([(model.table[ids, -1].sum(dtype=np.float64), len(ids)) for ids in documents]).reshape(-1, 2).T
+    model.median = float(np.median(sums / sizes))
+    model.familiar = 2 * float(np.quantile((sums + PRIOR * model.median) / (sizes + PRIOR), FALSE_REJECTIONS)) - model.median
     model.threshold = min(most, float(np.quantile(right, FALSE_REJECTIONS))) if len(right) else most
     return model
 
@@ -231,8 +254,7 @@ def prediction(model: Model, text: Column) -> Column:
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [model.predict(t) for t in batch]
-            yield pd.DataFrame({"lang_pred": [x for x, _ in found], "score": [s for _, s in found], "rejected": [x == UNKNOWN or s < model.threshold for x, s in found]})
+            yield pd.DataFrame([model.judge(t) for t in batch], columns=["lang_pred", "score", "rejected"])
 
     return of.asNondeterministic()(text)
 

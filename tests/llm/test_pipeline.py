@@ -96,7 +96,7 @@ def plain_pipeline(spark, docs):
 
     rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
     model = langid.fit(docs)
-    rows = [r for r in rows if model.predict(r[1])[0] != "und" and model.predict(r[1])[1] >= model.threshold]
+    rows = [r for r in rows if not model.judge(r[1])[2]]
     comps = plain_components([(i, plain_fingerprint(t, 5)) for i, t, _ in rows])
     seen, kept = set(), []
     for (i, t, s), c in zip(rows, comps, strict=True):

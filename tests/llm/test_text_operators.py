@@ -117,6 +117,38 @@ def test_langid_awkward(docs, clashing, empty):
     assert {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("missing", ["de", "fr", "es"])
+def test_langid_rejects_a_language_it_never_met(missing):
+    """Trained without one of the languages of sf0.01, nearly all of its documents are rejected, and none of the others'."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+    rows = [r for r in rows if r["text"] and r["lang"] and any(c.isalpha() for c in r["text"])]
+    learned = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["lang"] != missing]
+    model = langid.train_segments([langid.drawn_segments(r["text"], langid.DOC_BYTES) for r in learned], [r["lang"] for r in learned])
+    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    gone = {kind: np.mean([model.judge(r["text"])[2] for r in held if (r["lang"] == missing) == kind]) for kind in (True, False)}
+    assert gone[True] > 0.9 and gone[False] < 0.01, gone
+
+
+def test_langid_draws_from_all_over_long_texts():
+    text = " ".join(f"w{k}" for k in range(50_000))
+    parts = langid.drawn_segments(text, 4096)
+    places = [int(re.search(r"w(\d+)", p)[1]) for p in parts]
+    assert 2000 < sum(map(len, parts)) <= 4096 and places == sorted(places) and places[-1] > 25_000 and parts == langid.drawn_segments(text, 4096)
+    assert langid.drawn_segments("ab cd", 4096) and "".join(langid.drawn_segments("é" * 9000, 1000)) and all(len(p) <= 256 for p in langid.drawn_segments("é" * 9000, 1000))
+
+
+def test_langid_learns_every_language(spark):
+    """More languages than documents a language of some, one of them in long texts only."""
+    rng = random.Random(9)
+    rows = [(k, prose(rng, 30, f"{chr(97 + k % 13)}x {chr(110 + k % 13)}y zq"), f"l{k % 260:03}") for k in range(1040)]
+    rows += [(2000 + k, prose(rng, 300_000, "ωα βη γι δο"), "long") for k in range(3)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=4)
+    assert "long" in model.languages and len(model.languages) > 250
+    assert model.predict(prose(rng, 50, "ωα βη γι δο"))[0] == "long"
+
+
 # -- outliers ----------------------------------------------------------------
 
 
