@@ -26,6 +26,7 @@ class SearchConfig:
     candidates: int = 50  # per leg
     min_score: float | None = None
     rrf_k: int = 100
+    approximate: bool = False  # vectors of near buckets only, from a stored index, instead of all
     snippet_bytes: int = 5000
 
 
@@ -66,7 +67,7 @@ class Config:
                 base_url=known.get("EMBEDDING_BASE_URL"),
                 batch_size=whole("BATCH_SIZE", base.embedding.batch_size),
             ),
-            search=SearchConfig(default_limit=whole("DEFAULT_TOP_K", 10), min_score=None if least is None else float(least), rrf_k=whole("RRF_K", 100)),
+            search=SearchConfig(default_limit=whole("DEFAULT_TOP_K", 10), min_score=None if least is None else float(least), rrf_k=whole("RRF_K", 100), approximate=known.get("APPROXIMATE", "").lower() in ("1", "true", "yes")),
             indexing=IndexingConfig(
                 chunk_size=whole("CHUNK_SIZE", 1000), chunk_overlap=whole("CHUNK_OVERLAP", 200), max_chunks=whole("MAX_CHUNKS", 450_000)
             ),

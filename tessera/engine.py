@@ -98,6 +98,7 @@ class Engine:
         files = scan.scan(
             self.spark, path, own.max_file_bytes, extensions=own.extensions, custom_extensions=custom, ignore_patterns=[*own.ignore_patterns, *ignored], hidden=own.include_hidden
         ).persist()
+        held = [files]
         try:
             n_files = files.count()
             self._progress(path, 10)
@@ -105,24 +106,29 @@ class Engine:
             changed, kept = files, None
             if incremental:
                 changes = sync.diff(store.read("file_hashes"), hashes).persist()
+                held.append(changes)
                 if not changes.head(1):
                     n_chunks = store.read("chunks").count()
                     self._done(path, n_files, n_chunks, own.max_chunks)
                     return {"files": n_files, "chunks": n_chunks}
-                kept = store.read("chunks").join(F.broadcast(changes.select("relative_path")), "relative_path", "left_anti")
+                kept = store.read("chunks").join(changes.select("relative_path"), "relative_path", "left_anti")
                 changed = files.join(changes.filter("change <> 'removed'").select("relative_path"), "relative_path", "left_semi")
             chunks = self.capped(chunking.chunk_files(changed, own.chunk_size, own.chunk_overlap, splitter, own.max_file_bytes)).persist()
+            held.append(chunks)
             self._progress(path, 30)
             vectors = vector.guarded(chunks.select("id", embedding(self.embedder, F.col("content"), self.config.embedding.batch_size).alias("vector")), self.dimension)
             texts = chunks.select("id", "content")
             made = {"chunks": chunks, "vectors": vectors, "postings": bm25.postings(texts), "doc_len": bm25.document_lengths(texts), "file_hashes": hashes}
             if kept is not None:
                 kept = kept.persist()
+                held.append(kept)
                 keys = kept.select("id")
                 made["chunks"] = kept.select(chunks.columns).unionByName(chunks)
                 for name in ("vectors", "postings", "doc_len"):
                     made[name] = store.read(name).join(keys, "id", "left_semi").unionByName(made[name])
             made["postings"] = bm25.clustered(made["postings"])
+            made["vectors"] = made["vectors"].repartitionByRange("id").sortWithinPartitions("id")
+            made["signatures"] = vector.signature_rows(made["vectors"], self.dimension)
             made["chunks"] = made["chunks"].repartitionByRange("id").sortWithinPartitions("id")
             self._progress(path, 60)
             store.commit(made)
@@ -130,7 +136,8 @@ class Engine:
             self._done(path, n_files, n_chunks, own.max_chunks)
             return {"files": n_files, "chunks": n_chunks}
         finally:
-            files.unpersist()
+            for df in held:
+                df.unpersist()
 
     def capped(self, chunks: DataFrame) -> DataFrame:
         """Chunks of the files, in path order, that start below the cap."""
@@ -151,8 +158,11 @@ class Engine:
         """
         own, store = self.config.search, self.store(path)
         chunks = store.read("chunks")
-        asked = vector.query_vector(embed_texts(self.embedder, [query])[0])
-        by_vector = vector.top(store.read("vectors"), asked, own.candidates)
+        values = embed_texts(self.embedder, [query])[0]
+        vectors = store.read("vectors")
+        if own.approximate:
+            vectors = vectors.join(vector.lsh_candidates(store.read("signatures"), values, self.dimension), "id", "left_semi")
+        by_vector = vector.top(vectors, vector.query_vector(values), own.candidates)
         texts = chunks.select("id", "content", "file_path")
         if query_language:
             by_text = bm25.Searcher(texts, store.read("postings"), store.read("doc_len")).search(query, own.candidates)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,13 +34,15 @@ def top(vectors: DataFrame, query: Column, k: int) -> DataFrame:
 
 
 def batch_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank) for each of a stated, bounded set of ``queries`` (query_id, query).
+    """(query_id, id, score, rank) for each of a stated set of ``queries`` (query_id, query).
 
-    The query set is broadcast; vectors are read once, and norms computed once each.
+    Every task keeps its k best of each query, so k rows a query and task are
+    shuffled.  The queries are broadcast if their size allows it, else both sides
+    meet in blocks.
     """
     q = queries.select("query_id", as_double(F.col("query")).alias("q"))
     v = vectors.select("id", as_double(F.col("vector")).alias("v"))
-    pairs = v.crossJoin(F.broadcast(q)).select("query_id", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score"))
+    pairs = v.crossJoin(q).select("query_id", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return pairs.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
 
@@ -73,15 +77,45 @@ def lsh_top(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, mode
     model = model or lsh_model(dimension)
     v = vectors.select("id", as_double(F.col("vector")).alias("v"))
     q = queries.select("query_id", as_double(F.col("query")).alias("q"))
-    v_at = v.select("id", "v", F.explode(lsh_signatures(F.col("v"), model)).alias("at"))
-    own = q.select("query_id", "q", F.explode(lsh_signatures(F.col("q"), model)).alias("own"))
-    probed = own.select("query_id", "q", "own.table", F.explode(near_buckets(F.col("own.bucket"), len(model[0]))).alias("bucket"))
-    q_at = probed.select("query_id", "q", F.struct("table", "bucket").alias("at"))
-    met = v_at.join(F.broadcast(q_at), "at").select("query_id", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score")).distinct()
+    v_at = v.select("id", F.explode(lsh_signatures(F.col("v"), model)).alias("at"))
+    own = q.select("query_id", F.explode(lsh_signatures(F.col("q"), model)).alias("own"))
+    probed = own.select("query_id", "own.table", F.explode(near_buckets(F.col("own.bucket"), len(model[0]))).alias("bucket"))
+    q_at = probed.select("query_id", F.struct("table", "bucket").alias("at"))
+    # only ids meet in buckets; vectors join the distinct pairs
+    met = v_at.join(q_at, "at").select("query_id", "id").distinct().join(q, "query_id").join(v, "id")
+    met = met.select("query_id", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return met.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
 
 
+def signature_rows(vectors: DataFrame, dimension: int, model=None) -> DataFrame:
+    """(tbl, bucket, id): the index of ``lsh_candidates`` over ``vectors`` (id, vector), laid out by bucket."""
+    model = model or lsh_model(dimension)
+    rows = vectors.select("id", F.explode(lsh_signatures(as_double(F.col("vector")), model)).alias("at")).select(F.col("at.table").alias("tbl"), F.col("at.bucket").alias("bucket"), "id")
+    return rows.repartitionByRange("tbl", "bucket").sortWithinPartitions("tbl", "bucket", "id")
+
+
+def lsh_buckets(values, model) -> list[tuple[int, int]]:
+    """(table, bucket) of a query vector's own buckets and of those that differ in one bit."""
+    out = []
+    for table, planes in enumerate(model):
+        bucket = 0
+        for plane in planes:
+            bucket = 2 * bucket + (sum(a * b for a, b in zip(plane, values, strict=True)) >= 0)
+        out += [(table, bucket), *((table, bucket ^ (1 << bit)) for bit in range(len(planes)))]
+    return out
+
+
+def lsh_candidates(signatures: DataFrame, values, dimension: int, model=None) -> DataFrame:
+    """(id) of the stored vectors that share a bucket with a query, or lie one bit away; the buckets are pushed into the scan."""
+    model = model or lsh_model(dimension)
+    by_table: dict[int, list[int]] = {}
+    for table, bucket in lsh_buckets([float(x) for x in values], model):
+        by_table.setdefault(table, []).append(bucket)
+    wanted = [(F.col("tbl") == table) & F.col("bucket").isin(buckets) for table, buckets in by_table.items()]
+    return signatures.filter(reduce(lambda a, b: a | b, wanted)).select("id").distinct()
+
+
 def hash_embedding(docs: DataFrame, dimension: int) -> DataFrame:
     """(id, bucket, weight): the hashing embedder's sparse vectors of ``docs`` (id, content), of unit length."""
     from tessera.functions.text import tokens
@@ -99,4 +133,4 @@ def sparse_top(embedded: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
-__all__ = ["batch_top", "guarded", "hash_embedding", "lsh_model", "lsh_signatures", "lsh_top", "near_buckets", "norm", "query_vector", "scores", "sparse_top", "top"]
+__all__ = ["batch_top", "guarded", "hash_embedding", "lsh_buckets", "lsh_candidates", "lsh_model", "lsh_signatures", "lsh_top", "near_buckets", "norm", "query_vector", "scores", "signature_rows", "sparse_top", "top"]

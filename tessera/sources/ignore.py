@@ -91,34 +91,72 @@ def in_repository(root: str) -> bool:
             return False
 
 
-def walk(root: str, patterns=(), hidden: bool = False):
-    """Paths of the files below ``root`` that no ignore file and no extra pattern excludes; links are not followed.
+#: A folder still to be read: its path and the rules from above it.
+Open = tuple[str, list[Rules]]
+
+
+def _entries(folder: str, above: list[Rules], extra: Rules, versioned: bool, hidden: bool) -> tuple[list[str], list[Open]]:
+    """(files, folders) of one folder that nothing excludes; both empty where it can't be read."""
+    own = [read_rules(os.path.join(folder, ".ignore"), folder), read_rules(os.path.join(folder, ".gitignore"), folder) if versioned else None]
+    rules, files, folders = above + [r for r in reversed(own) if r], [], []
+    try:
+        entries = sorted(os.scandir(folder), key=lambda e: e.name)
+    except OSError:
+        return [], []
+    for entry in entries:
+        is_dir = entry.is_dir(follow_symlinks=False)
+        if entry.name == ".git" or (entry.name.startswith(".") and not hidden):
+            continue
+        if extra.verdict(entry.path, is_dir):
+            continue
+        if next((v for r in reversed(rules) if (v := r.verdict(entry.path, is_dir)) is not None), None):
+            continue
+        if is_dir:
+            folders.append((entry.path, rules))
+        elif entry.is_file(follow_symlinks=False):
+            files.append(entry.path)
+    return files, folders
+
+
+class Walk:
+    """Files below ``root`` that no ignore file and no extra pattern excludes; links are not followed.
 
-    Folders that can't be read are skipped.
+    Folders that can't be read are skipped.  ``spread`` reads the uppermost folders
+    and leaves the others, with the rules that hold for them, to ``below``, which
+    can run elsewhere.
     """
-    extra = Rules(root)
-    for p in patterns:
-        extra.add(p)
-    versioned = in_repository(root)
-    todo = [(root, global_rules(root) if versioned else [])]
-    while todo:
-        folder, above = todo.pop()
-        own = [read_rules(os.path.join(folder, ".ignore"), folder), read_rules(os.path.join(folder, ".gitignore"), folder) if versioned else None]
-        rules = above + [r for r in reversed(own) if r]
-        try:
-            entries = sorted(os.scandir(folder), key=lambda e: e.name)
-        except OSError:
-            continue
-        for entry in entries:
-            is_dir = entry.is_dir(follow_symlinks=False)
-            if entry.name == ".git" or (entry.name.startswith(".") and not hidden):
-                continue
-            if extra.verdict(entry.path, is_dir):
-                continue
-            verdict = next((v for r in reversed(rules) if (v := r.verdict(entry.path, is_dir)) is not None), None)
-            if verdict:
-                continue
-            if is_dir:
-                todo.append((entry.path, rules))
-            elif entry.is_file(follow_symlinks=False):
-                yield entry.path
+
+    def __init__(self, root: str, patterns=(), hidden: bool = False):
+        self.root, self.hidden, self.versioned = root, hidden, in_repository(root)
+        self.extra = Rules(root)
+        for pattern in patterns:
+            self.extra.add(pattern)
+
+    def top(self) -> Open:
+        return self.root, global_rules(self.root) if self.versioned else []
+
+    def spread(self, least: int) -> tuple[list[str], list[Open]]:
+        """(files met, folders left), as soon as ``least`` folders are left or none."""
+        files, left = [], [self.top()]
+        while left and len(left) < least:
+            met, deeper = [], []
+            for folder in left:
+                own, inner = _entries(*folder, self.extra, self.versioned, self.hidden)
+                met += own
+                deeper += inner
+            files, left = files + met, deeper
+        return files, left
+
+    def below(self, todo: list[Open]):
+        """Paths of the files in and below the folders ``todo``."""
+        todo = list(todo)
+        while todo:
+            files, folders = _entries(*todo.pop(), self.extra, self.versioned, self.hidden)
+            yield from files
+            todo += folders
+
+
+def walk(root: str, patterns=(), hidden: bool = False):
+    """All paths of ``Walk``, read here."""
+    whole = Walk(root, patterns, hidden)
+    return whole.below([whole.top()])

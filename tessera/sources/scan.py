@@ -1,7 +1,8 @@
 """Codebases as tables of files.
 
-The driver walks the folder (ignore files need its order); workers read the
-files.  Files that are not UTF-8, or vanish meanwhile, are skipped.  Of files over
+The driver reads the uppermost folders only, until there are enough for all
+workers; they walk what lies below, each folder with the ignore rules that hold for
+it, and read the files.  Files that are not UTF-8, or vanish meanwhile, are skipped.  Of files over
 the size cap, which give no chunks, only the hash is taken, block by block.
 """
 
@@ -9,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import pickle
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,22 +22,42 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tessera.batches import ship
 from tessera.functions.languages import DEFAULT_EXTENSIONS, language_of, with_dots
 from tessera.functions.paths import file_extension, relative_path
-from tessera.sources.ignore import walk
+from tessera.sources.ignore import Walk, walk
 
 FILE_TYPE = "path string, content string"
 READ_TYPE = "path string, content string, n_bytes long, hash string"
 BLOCK = 1 << 20
+FOLDERS = 256
+
+
+def _ext(path: str) -> str:
+    name = os.path.basename(path)
+    return "" if name.rfind(".") <= 0 else name[name.rfind(".") :]
 
 
 def list_files(root: str, extensions=DEFAULT_EXTENSIONS, custom_extensions=(), ignore_patterns=(), hidden: bool = False) -> list[str]:
-    """Paths below ``root`` with one of the extensions (case-sensitive), in order."""
+    """Paths below ``root`` with one of the extensions (case-sensitive), in order, all read here."""
     wanted = {*extensions, *with_dots(custom_extensions)}
+    return sorted(p for p in walk(root, ignore_patterns, hidden) if _ext(p) in wanted)
+
 
-    def ext(path: str) -> str:
-        name = os.path.basename(path)
-        return "" if name.rfind(".") <= 0 else name[name.rfind(".") :]
+def paths_below(spark: SparkSession, root: str, extensions=DEFAULT_EXTENSIONS, custom_extensions=(), ignore_patterns=(), hidden: bool = False) -> DataFrame:
+    """(path): what ``list_files`` lists, walked by the workers."""
+    wanted, whole = {*extensions, *with_dots(custom_extensions)}, Walk(root, ignore_patterns, hidden)
+    met, left = whole.spread(FOLDERS)
+
+    def below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["folder"]:
+                found = [p for p in whole.below([pickle.loads(folder)]) if _ext(p) in wanted]
+                for i in range(0, len(found), 10_000):
+                    yield pd.DataFrame({"path": found[i : i + 10_000]})
 
-    return sorted(p for p in walk(root, ignore_patterns, hidden) if ext(p) in wanted)
+    near = spark.createDataFrame([(p,) for p in met if _ext(p) in wanted], "path string")
+    if not left:
+        return near
+    folders = spark.createDataFrame([(pickle.dumps(f),) for f in left], "folder binary").repartition(len(left))
+    return near.unionByName(folders.mapInPandas(below, "path string"))
 
 
 def _read(path: str) -> str | None:
@@ -75,9 +98,8 @@ def scan(spark: SparkSession, root: str, max_bytes: int = 1_000_000, **options)
     """The files of a codebase: (path, relative_path, ext, language, content, n_bytes, hash)."""
     root = os.path.abspath(root)
     ship(spark)
-    paths = list_files(root, **options)
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    slices = min(len(paths), spark.sparkContext.defaultParallelism * 4) or 1
+    listed = paths_below(spark, root, **options)
+    slices = spark.sparkContext.defaultParallelism * 4
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -86,7 +108,7 @@ def scan(spark: SparkSession, root: str, max_bytes: int = 1_000_000, **options)
                 found = [(p, *got) for p in part if (got := _measure(p, max_bytes)) is not None]
                 yield pd.DataFrame(found, columns=["path", "content", "n_bytes", "hash"])
 
-    return with_names(listed.repartition(slices).mapInPandas(run, READ_TYPE), root)
+    return with_names(listed.repartition(slices, "path").mapInPandas(run, READ_TYPE), root)
 
 
 class CodebaseSource(DataSource):
@@ -109,13 +131,15 @@ class _CodebaseReader(DataSourceReader):
         self.custom, self.ignored = ([x for x in options.get(k, "").split(",") if x] for k in ("custom_extensions", "ignore_patterns"))
 
     def partitions(self):
-        paths = list_files(self.root, custom_extensions=self.custom, ignore_patterns=self.ignored)
-        return [InputPartition(paths[i : i + 256]) for i in range(0, len(paths), 256)] or [InputPartition([])]
+        """Files that were met near the root, and the folders below it."""
+        met, left = Walk(self.root, self.ignored).spread(FOLDERS)
+        parts = [(met[i : i + 256], []) for i in range(0, len(met), 256)] + [([], [folder]) for folder in left]
+        return [InputPartition(p) for p in parts] or [InputPartition(([], []))]
 
     def read(self, partition):
-        for path in partition.value:
-            content = _read(path)
-            if content is not None:
+        wanted, (paths, folders) = {*DEFAULT_EXTENSIONS, *with_dots(self.custom)}, partition.value
+        for path in chain(paths, Walk(self.root, self.ignored).below(folders)):
+            if _ext(path) in wanted and (content := _read(path)) is not None:
                 yield path, content
 
 

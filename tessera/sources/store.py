@@ -1,6 +1,6 @@
 """Versioned Parquet tables of one codebase.
 
-``<data_dir>/<key>/gen=<n>/{chunks,vectors,postings,doc_len,file_hashes}`` plus a
+``<data_dir>/<key>/gen=<n>/{chunks,vectors,postings,doc_len,signatures,file_hashes}`` plus a
 ``CURRENT`` file that is replaced as a whole: a generation holds data and file
 hashes together, readers keep the generation they opened, and a failed write
 leaves the one before in force.
@@ -21,6 +21,7 @@ SCHEMAS = {
     "vectors": "id string, vector array<float>",
     "postings": "id string, term string, pos long",
     "doc_len": "id string, dl long",
+    "signatures": "tbl int, bucket int, id string",
     "file_hashes": "relative_path string, hash string",
 }
 KEPT = 2

@@ -2,12 +2,15 @@
 
 The engine's own sync is pulled (``Engine.analyze_code``).  Where files arrive as
 a stream of (path, relative_path, ext, language, content), ``keep_current`` cuts
-each micro-batch and upserts it by file into a Parquet table per batch.
+each micro-batch and appends its chunks and the list of its files; ``current``
+reads what holds now: of every file the chunks of the last batch that had it, none
+where that version gave none.  So a batch costs what it brings, whatever the size
+of the table.  ``compact`` writes what holds now as a table of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,9 +24,30 @@ def latest(files: DataFrame, order: str) -> DataFrame:
 
 
 def keep_current(files: DataFrame, target: str, checkpoint: str, order: str = "version", **options) -> StreamingQuery:
-    """Write the chunks of every micro-batch's latest files to ``target``/batch=<n>; rerun batches overwrite themselves."""
+    """Write the chunks of every micro-batch's latest files to ``target``/batch=<n>, their paths to ``target``/_files; rerun batches overwrite themselves.
+
+    A row with null content says that its file is gone.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        chunk_files(latest(batch, order), **options).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        batch.persist()
+        try:
+            newest = latest(batch, order)
+            chunk_files(newest.filter("content IS NOT NULL"), **options).write.mode("overwrite").parquet(f"{target}/batch={number}")
+            # what makes the batch count comes last
+            newest.select("path").write.mode("overwrite").parquet(f"{target}/_files/batch={number}")
+        finally:
+            batch.unpersist()
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, target: str) -> DataFrame:
+    """The chunks that hold now."""
+    chunks = spark.read.parquet(target)
+    last = spark.read.parquet(f"{target}/_files").groupBy(F.col("path").alias("file_path")).agg(F.max("batch").alias("batch"))
+    return chunks.join(last, ["file_path", "batch"], "left_semi").select([c for c in chunks.columns if c != "batch"])
+
+
+def compact(spark: SparkSession, target: str, path: str) -> None:
+    current(spark, target).write.mode("overwrite").parquet(path)

@@ -240,3 +240,54 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
     keep_current(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert [r["content"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["new text"]
+
+
+def test_streams_upsert_by_file(spark, tmp_path):
+    """Three batches: a file is new, changed, and gone; what holds now has its last version only."""
+    from tessera.streaming.ingest import compact, current, keep_current
+
+    kind = "path string, relative_path string, ext string, language string, content string, version int"
+    row = lambda name, content, version: (f"/{name}", name, ".txt", "unknown", content, version)
+    steps = [[row("a.txt", "first", 1), row("b.txt", "stays", 1), row("c.txt", "goes", 1)], [row("a.txt", "second", 2)], [row("c.txt", None, 3), row("d.txt", "late", 3)]]
+    seen = []
+    for rows in steps:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        keep_current(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
+        seen.append(sorted(r["content"] for r in current(spark, str(tmp_path / "out")).collect()))
+    assert seen == [["first", "goes", "stays"], ["goes", "second", "stays"], ["late", "second", "stays"]]
+    compact(spark, str(tmp_path / "out"), str(tmp_path / "whole"))
+    assert spark.read.parquet(str(tmp_path / "whole")).count() == 3
+
+
+def test_workers_walk_what_the_driver_would(spark, tmp_path, monkeypatch):
+    """However few folders the driver leaves to the workers, the same files are found, by the same ignore rules."""
+    for k in range(5):
+        for j in range(3):
+            put(str(tmp_path), f"d{k}/e{j}/f.py", f"x = {k}{j}\n")
+            put(str(tmp_path), f"d{k}/e{j}/skip.py", "y = 0\n")
+        put(str(tmp_path), f"d{k}/.ignore", "skip.py\n" if k % 2 else "e1/\n")
+    whole = scan.list_files(str(tmp_path))
+    assert len(whole) == 2 * 3 + 3 * 4
+    for least in (1, 3, 8, 1000):
+        monkeypatch.setattr(scan, "FOLDERS", least)
+        assert sorted(r["path"] for r in scan.paths_below(spark, str(tmp_path)).collect()) == whole
+        assert sorted(r["path"] for r in scan.scan(spark, str(tmp_path)).select("path").collect()) == whole
+
+
+def test_approximate_search_reads_the_stored_index(spark, tmp_path, tree):
+    """The engine finds by near buckets what it finds by all vectors, and keeps the index in step with changes."""
+    from dataclasses import replace
+
+    config = Config(data_dir=str(tmp_path / "data"), embedding=EmbeddingConfig(provider="hashing", dimension=32))
+    exact = Engine(spark, config)
+    exact.index(tree)
+    near = Engine(spark, replace(config, search=replace(config.search, approximate=True)))
+    ids = lambda engine: [r["relative_path"] for r in engine.results(tree, "fn parse_header", 5).orderBy("rank").collect()]
+    assert ids(near)[0] == ids(exact)[0] == "deep/er/y.rs"
+    put(tree, "deep/er/new.rs", "fn brand_new_name() { }\n")
+    near.index(tree, incremental=True)
+    signed = {r["id"] for r in near.store(tree).read("signatures").select("id").distinct().collect()}
+    assert signed == {r["id"] for r in near.store(tree).read("vectors").select("id").collect()}
+    assert near.results(tree, "brand_new_name", 5).orderBy("rank").first()["relative_path"] == "deep/er/new.rs"
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
