@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import zipfile
@@ -27,9 +29,15 @@ def ship(spark: SparkSession) -> None:
                         path = os.path.join(folder, name)
                         z.write(path, os.path.relpath(path, os.path.dirname(root)))
         context.addPyFile(archive)
+        atexit.register(_gone, archive)  # workers fetch it as long as the driver lives
     context._tessera_shipped = True
 
 
+def _gone(path: str) -> None:
+    with contextlib.suppress(OSError):
+        os.unlink(path)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Make the workers ready for long texts: they get the package, and Arrow batches are bounded in rows and bytes.
 

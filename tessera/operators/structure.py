@@ -12,11 +12,13 @@ import ast
 import re
 from collections.abc import Iterable
 
+from tessera.functions.languages import NODE_KINDS
+
 Span = tuple[int, int]
 
 
 def split_structure(text: str, language: str) -> list[tuple[str, int, int]] | None:
-    scanner = SCANNERS.get(language)
+    scanner = SCANNERS.get(language) if language in NODE_KINDS else None
     if scanner is None:
         return None
     try:
@@ -226,41 +228,63 @@ def _braces(text: str, family: str, heads: Iterable[str]) -> list[Span]:
 
 _MOD = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|override|virtual|async|open|data|inline|suspend|partial|readonly|export|default|implicit|lazy|case|fileprivate|mutating|class|unsafe|extern|new|synchronized|native|strictfp|fileprivate|convenience|required|operator|companion|inner|enum|annotation|tailrec|infix|external)\s+)*"
 _START = r"^[ \t]*(?P<n>" + _MOD
+#: How nodes of each kind start, by language; which kinds are cut is ``NODE_KINDS``' choice.
 HEADS = {
-    "java": [_START + r"(?:class|interface|record)\s+\w+)", _START + r"[\w<>\[\],.? ]+\s+\w+\s*\([^;{}]*\)(?:\s*throws[\w,. ]+)?(?=\s*[{;]))", _START + r"[A-Z]\w*\s*\([^;{}]*\)(?=\s*\{))"],
-    "csharp": [_START + r"(?:class|interface|struct|enum|record)\s+\w+)", _START + r"[\w<>\[\],.? ]+\s+\w+\s*(?:<[^>]*>)?\([^;{}]*\)(?=\s*\{))"],
-    "go": [r"^(?P<n>func\b[^{;\n]*)", r"^(?P<n>type\s+\w+[^{;\n]*)(?=\{)"],
-    "rust": [r"^[ \t]*(?P<n>(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+|extern\s+)*(?:fn|impl|struct|enum|trait|mod)\b)"],
-    "swift": [_START + r"(?:func|class|protocol|struct|enum|extension)\s+\w+)"],
-    "kotlin": [_START + r"(?:fun|class|object|interface)\b[^{;\n]*)(?=\{)"],
-    "scala": [_START + r"(?:def|class|object|trait)\s+\w+[^{;\n]*)(?=\{)"],
-    "php": [_START + r"(?:class|interface|trait|function)\s+&?\w+)"],
-    "javascript": [
-        r"^[ \t]*(?P<n>export\b)", r"(?P<n>(?:async\s+)?function\s*\*?\s*\w+\s*\()", r"(?P<n>\bclass\s+\w+)",
-        r"(?P<n>(?:async\s+)?\([^()]*\)\s*(?::\s*[\w<>\[\]| ]+)?=>\s*(?=\{))", r"^[ \t]+(?P<n>(?:static\s+|async\s+|get\s+|set\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b)[\w$]+\s*\([^;{}]*\)\s*(?::[^{;=]+)?(?=\{))",
-    ],
-    "c": [
-        r"^(?P<n>(?!typedef|using|return|else|if|for|while|switch|do)[A-Za-z_][\w\s*&:<>,~]*?\b[\w:~]+\s*\([^;{}]*\)\s*(?:const|noexcept|override|\s)*(?=\{))",
-        r"^[ \t]*(?P<n>(?:class|namespace)\s+\w*[^;{}()]*)(?=\{)", r"^(?P<n>(?!return|using|typedef)[A-Za-z_][\w\s*&:<>,]*\s[*&]*\w+(?:\[[^\]]*\])*(?:\s*=[^;{]*)?)(?=;)",
-    ],
-    "objc": [r"^(?P<n>[-+]\s*\([^)]*\)[^;{]*)(?=\{)", r"^(?P<n>[A-Za-z_][\w\s*]*\b\w+\s*\([^;{}]*\)\s*)(?=\{)"],
-    "css": [r"(?P<n>@(?:media|keyframes|import)\b)", r"(?:^|(?<=[{};]))\s*(?P<n>[^@{};\s][^{};@]*)(?=\{)"],
+    "java": {
+        "class_declaration": _START + r"class\s+\w+)", "interface_declaration": _START + r"interface\s+\w+)",
+        "method_declaration": _START + r"[\w<>\[\],.? ]+\s+\w+\s*\([^;{}]*\)(?:\s*throws[\w,. ]+)?(?=\s*[{;]))", "constructor_declaration": _START + r"[A-Z]\w*\s*\([^;{}]*\)(?=\s*\{))",
+    },
+    "csharp": {
+        "class_declaration": _START + r"class\s+\w+)", "interface_declaration": _START + r"interface\s+\w+)", "struct_declaration": _START + r"struct\s+\w+)",
+        "enum_declaration": _START + r"enum\s+\w+)", "method_declaration": _START + r"[\w<>\[\],.? ]+\s+\w+\s*(?:<[^>]*>)?\([^;{}]*\)(?=\s*\{))",
+    },
+    "go": {"function_declaration": r"^(?P<n>func\s+\w[^{;\n]*)", "method_declaration": r"^(?P<n>func\s*\([^{;\n]*)", "type_declaration": r"^(?P<n>type\s+\w+[^{;\n]*)(?=\{)"},
+    "rust": {kind: r"^[ \t]*(?P<n>(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+|extern\s+)*" + word + r"\b)" for kind, word in
+             (("function_item", "fn"), ("impl_item", "impl"), ("struct_item", "struct"), ("enum_item", "enum"), ("trait_item", "trait"), ("mod_item", "mod"))},
+    "swift": {
+        "function_declaration": _START + r"func\s+\w+)", "class_declaration": _START + r"(?:class|extension)\s+\w+)", "protocol_declaration": _START + r"protocol\s+\w+)",
+        "struct_declaration": _START + r"struct\s+\w+)", "enum_declaration": _START + r"enum\s+\w+)",
+    },
+    "kotlin": {kind: _START + word + r"\b[^{;\n]*)(?=\{)" for kind, word in
+               (("function_declaration", "fun"), ("class_declaration", "class"), ("object_declaration", "object"), ("interface_declaration", "interface"))},
+    "scala": {"method_declaration": _START + r"def\s+\w+[^{;\n]*)(?=\{)", "class_declaration": _START + r"(?:class|object)\s+\w+[^{;\n]*)(?=\{)", "interface_declaration": _START + r"trait\s+\w+[^{;\n]*)(?=\{)"},
+    "php": {"class_declaration": _START + r"(?:class|trait)\s+&?\w+)", "interface_declaration": _START + r"interface\s+&?\w+)", "function_definition": _START + r"function\s+&?\w+)"},
+    "javascript": {
+        "export_statement": r"^[ \t]*(?P<n>export\b)", "function_declaration": r"(?P<n>(?:async\s+)?function\s*\*?\s*\w+\s*\()", "class_declaration": r"(?P<n>\bclass\s+\w+)",
+        "arrow_function": r"(?P<n>(?:async\s+)?\([^()]*\)\s*(?::\s*[\w<>\[\]| ]+)?=>\s*(?=\{))",
+        "method_definition": r"^[ \t]+(?P<n>(?:static\s+|async\s+|get\s+|set\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b)[\w$]+\s*\([^;{}]*\)\s*(?::[^{;=]+)?(?=\{))",
+        "interface_declaration": r"(?P<n>\binterface\s+\w+)", "type_alias_declaration": r"^[ \t]*(?P<n>type\s+\w+[^;{=]*=)",
+    },
+    "c": {
+        "function_definition": r"^(?P<n>(?!typedef|using|return|else|if|for|while|switch|do)[A-Za-z_][\w\s*&:<>,~]*?\b[\w:~]+\s*\([^;{}]*\)\s*(?:const|noexcept|override|\s)*(?=\{))",
+        "class_specifier": r"^[ \t]*(?P<n>class\s+\w*[^;{}()]*)(?=\{)", "namespace_definition": r"^[ \t]*(?P<n>namespace\s+\w*[^;{}()]*)(?=\{)",
+        "declaration": r"^(?P<n>(?!return|using|typedef)[A-Za-z_][\w\s*&:<>,]*\s[*&]*\w+(?:\[[^\]]*\])*(?:\s*=[^;{]*)?)(?=;)",
+    },
+    "objc": {"method_definition": r"^(?P<n>[-+]\s*\([^)]*\)[^;{]*)(?=\{)", "function_definition": r"^(?P<n>[A-Za-z_][\w\s*]*\b\w+\s*\([^;{}]*\)\s*)(?=\{)"},
+    "css": {
+        "media_statement": r"(?P<n>@media\b)", "keyframes_statement": r"(?P<n>@keyframes\b)", "import_statement": r"(?P<n>@import\b)", "rule_set": r"(?:^|(?<=[{};]))\s*(?P<n>[^@{};\s][^{};@]*)(?=\{)",
+        "mixin_statement": r"(?P<n>@mixin\b)", "function_statement": r"(?P<n>@function\b)", "include_statement": r"(?P<n>@include\b)",
+    },
 }
-HEADS["typescript"] = [*HEADS["javascript"], r"(?P<n>\binterface\s+\w+)", r"^[ \t]*(?P<n>type\s+\w+[^;{=]*=)"]
-HEADS["cpp"] = HEADS["c"]
-HEADS["scss"] = [*HEADS["css"], r"(?P<n>@(?:mixin|function|include)\b)"]
+for _name, _like in {"typescript": "javascript", "cpp": "c", "scss": "css"}.items():
+    HEADS[_name] = HEADS[_like]
+
+
+def heads(language: str) -> list[str]:
+    """How the nodes start that a language is cut at."""
+    return [HEADS[language][kind] for kind in NODE_KINDS[language] if kind in HEADS[language]]
 
 
 def _objc(text: str) -> list[Span]:
     masked = _masked(text, "c")
     own = [m.span() for m in re.finditer(r"^@(?:interface|implementation|protocol)\b.*?^@end", masked, re.M | re.S)]
-    return own + _braces(text, "c", HEADS["objc"])
+    return own + _braces(text, "c", HEADS["objc"].values())
 
 
 def _go(text: str) -> list[Span]:
     masked = _masked(text, "js")
     grouped = [m.span() for m in re.finditer(r"^(?:var|const|type)\s*\([^)]*\)|^(?:var|const)\s+\w[^\n({]*|^type\s+\w+\s+[^\n{]+$", masked, re.M)]
-    return grouped + _braces(text, "js", HEADS["go"])
+    return grouped + _braces(text, "js", heads("go"))
 
 
 # -- languages with end ------------------------------------------------------
@@ -304,4 +328,4 @@ SCANNERS = {
     "elixir": _elixir,
 }
 for _name, _family in {"java": "c", "csharp": "c", "rust": "rust", "swift": "c", "kotlin": "c", "scala": "c", "php": "php", "javascript": "js", "typescript": "js", "c": "c", "cpp": "c", "css": "css", "scss": "css"}.items():
-    SCANNERS[_name] = lambda t, n=_name, f=_family: _braces(t, f, HEADS[n])
+    SCANNERS[_name] = lambda t, n=_name, f=_family: _braces(t, f, heads(n))

@@ -187,7 +187,33 @@ def _flat(chunks: DataFrame) -> DataFrame:
     return chunks.select("id", "relative_path", "start_line", "end_line", "language", "ord", "metadata.*")
 
 
-@query()
+def _whole(at: str) -> str:
+    """SQL: whether no character is cut at a byte of h, a text's bytes in hexadecimal, n of them."""
+    return f"({at} >= n OR substring(h, 2 * ({at}) + 1, 1) NOT IN ('8', '9', 'A', 'B'))"
+
+
+def _moved(at: str, by: int) -> str:
+    """SQL: the nearest byte before or after ``at`` that cuts no character."""
+    return "CASE " + " ".join(f"WHEN {_whole(f'{at} + {k * by}')} THEN {at} + {k * by}" for k in range(3)) + f" ELSE {at} + {3 * by} END"
+
+
+_BYTES_SQL = f"""RECURSIVE {FILES_SQL}, raw AS (
+  SELECT id, path, relative_path, ext, hex(encode(content)) AS h, strlen(content)::BIGINT AS n FROM files
+), cut AS (
+  SELECT id, 0::BIGINT AS k, 0::BIGINT AS a, {_moved(f"least({SIZE}, n)", -1)} AS b FROM raw WHERE n > 0
+  UNION ALL
+  SELECT id, k, a, {_moved(f"least(a + {SIZE}, n)", -1)} AS b FROM (SELECT cut.id, k + 1 AS k, {_moved(f"b - {OVERLAP}", 1)} AS a, h, n FROM cut JOIN raw ON cut.id = raw.id WHERE b < n)
+), pieces AS (
+  SELECT path, relative_path, ext, k, decode(unhex(substring(h, 2 * a + 1, 2 * (b - a)))) AS piece, decode(unhex(substring(h, 1, 2 * a))) AS lead FROM cut JOIN raw ON cut.id = raw.id
+), lined AS (
+  SELECT *, (length(lead) - length(replace(lead, chr(10), '')) + 1)::BIGINT AS start_line, {_LINES.format('piece')} AS n_lines FROM pieces
+), ended AS (SELECT *, start_line + greatest(n_lines, 1) - 1 AS end_line FROM lined)"""
+
+
+@query(
+    f"WITH {_BYTES_SQL} SELECT sha256(path || ':' || start_line::VARCHAR || ':' || end_line::VARCHAR || ':' || k::VARCHAR) AS id, relative_path, start_line, end_line, "
+    "CASE ext WHEN '.md' THEN 'markdown' WHEN '.rs' THEN 'rust' WHEN '.py' THEN 'python' ELSE 'unknown' END AS language, k AS ord, ltrim(ext, '.') AS file_extension, k AS chunk_index, sha256(piece) AS hash FROM ended"
+)
 def chunk_bytes(spark, sf_dir):
     """Byte-exact fixed-size pieces of all documents."""
     return _flat(chunking.chunk_files(files(spark, sf_dir), SIZE, OVERLAP, "langchain", max_bytes=None))
@@ -310,6 +336,46 @@ def bm25_phrase(spark, sf_dir):
     return _matching(spark, sf_dir, '"of the"')
 
 
+@query(
+    f"WITH {_TOKENS_SQL}, flat AS (SELECT id, unnest(range(len(w))) AS pos, unnest(w) AS term FROM toks) SELECT DISTINCT a.id FROM flat a JOIN flat b ON a.id = b.id AND b.pos BETWEEN a.pos + 1 AND a.pos + 3 "
+    "WHERE a.term = 'of' AND b.term = 'the'"
+)
+def bm25_slop(spark, sf_dir):
+    return _matching(spark, sf_dir, '"of the"~2')
+
+
+@query(f"WITH {_TOKENS_SQL} SELECT id FROM toks WHERE list_contains(w, 'die') OR list_contains(w, 'les')")
+def bm25_in(spark, sf_dir):
+    return _matching(spark, sf_dir, "IN [die les]")
+
+
+@query(f"WITH {_TOKENS_SQL} SELECT id FROM toks WHERE len(list_filter(w, lambda t: t >= 'thea' AND t < 'thek')) > 0")
+def bm25_range(spark, sf_dir):
+    return _matching(spark, sf_dir, "[thea TO thek}")
+
+
+@query(f"WITH {FILES_SQL} SELECT id FROM files WHERE path >= '/corpus/src1' AND path <= '/corpus/src2' OR path = '/corpus/src3/7.md'")
+def bm25_field(spark, sf_dir):
+    """A range and a term over a field that is no text."""
+    searcher = bm25.Searcher(files(spark, sf_dir).select("id", "content", F.col("path").alias("file_path")))
+    return searcher.run(bm25.parse("file_path:[/corpus/src1 TO /corpus/src2] OR file_path:/corpus/src3/7.md")).select("id")
+
+
+@query("SELECT doc_id AS id, 1e0 AS score FROM documents")
+def bm25_any(spark, sf_dir):
+    return bm25.Searcher(texts(spark, sf_dir)).run(bm25.parse("*"))
+
+
+@query(
+    f"WITH {_STATS_SQL}, tf AS (SELECT id, term, count(*) AS tf FROM flat WHERE term IN ('the', 'and') GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), "
+    f"parts AS (SELECT tf.id, CASE tf.term WHEN 'the' THEN 2.5e0 ELSE 1e0 END * {_SCORE_SQL} AS s FROM tf JOIN df USING (term) JOIN lens USING (id), stats) "
+    "SELECT id, round(sum(s), 5) AS score FROM parts GROUP BY id"
+)
+def bm25_boost(spark, sf_dir):
+    found = bm25.Searcher(texts(spark, sf_dir)).run(bm25.parse("the^2.5 OR and"))
+    return found.select("id", F.round("score", 5).alias("score"))
+
+
 @query(
     f"WITH {_STATS_SQL}, asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda t: strlen(t) <= 39)) AS term FROM benchmark), "
     "tf AS (SELECT id, term, count(*) AS tf FROM flat WHERE term IN (SELECT term FROM asked) GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), "
@@ -353,6 +419,12 @@ def cosine_filtered(spark, sf_dir):
     return vector.top(rows, vector.query_vector(query_vector(spark, sf_dir)), CANDIDATES)
 
 
+@query("SELECT vec_id AS id, len(embedding)::BIGINT AS n FROM embeddings")
+def dimension_guard(spark, sf_dir):
+    """All vectors pass the guard of the query vector's length."""
+    return vector.guarded(vectors(spark, sf_dir), len(query_vector(spark, sf_dir))).select("id", F.size("vector").cast("long").alias("n"))
+
+
 @query()
 def ann_lsh_topk(spark, sf_dir):
     v = vectors(spark, sf_dir)
@@ -539,6 +611,16 @@ def dag_compare(spark, sf_dir):
     return sync.compare_dags(sync.merkle_leaves(old), sync.merkle_leaves(new))
 
 
+@query(f"WITH {_STATES_SQL}, nodes AS (SELECT relative_path || ':' || hash AS data FROM old) SELECT 'child' AS part, data FROM nodes UNION ALL SELECT 'leaf', data FROM nodes UNION ALL SELECT 'root', 'root'")
+def dag_parts(spark, sf_dir):
+    """The root, its children and the leaves of the tree over the old state."""
+    nodes = sync.merkle_nodes(_states(spark, sf_dir)[0])
+    root = sync.roots(nodes)
+    parts = (("child", nodes.join(root.select(F.col("node").alias("parent")), "parent", "left_semi")), ("leaf", sync.leaves(nodes)), ("root", root))
+    named = [df.select(F.lit(name).alias("part"), "data") for name, df in parts]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
 @query(f"WITH {_STATES_SQL}, {_DIFF_SQL} SELECT relative_path, change FROM changes")
 def diff_states(spark, sf_dir):
     return sync.diff(*_states(spark, sf_dir))
