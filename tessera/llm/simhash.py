@@ -8,16 +8,22 @@ radius; linked ones then share a variant.  On the whole 64-bit word with radius
 cut in two: linked fingerprints differ in at most half the radius in one of the
 halves, so every half emits its variants within half of *that*, 33 each, 66 in
 all.  No link is lost for any number of blocks, as candidates are always
-verified on the whole fingerprints; ``blocks=1`` is the plain form.
+verified on the whole fingerprints; ``blocks=1`` is the plain form.  Halves have 32
+bits, so unlike fingerprints meet by chance: about n / 8,000,000 of them for each of
+n.  From some ten billion distinct fingerprints on that is more than the plain
+form's 2,081 variants cost, which then is the one to use.
 
 Only distinct fingerprints emit variants, so exact copies cost nothing.  Rows
 that share a variant are compared in a stream over sorted partitions: small runs
 in full, larger ones by a search that yields a spanning forest of their links,
-never all pairs.  Links then become components by distributed star contraction.
+never all pairs; the largest ones by balls again, within the run, on the half of
+the word that differs most, so time doesn't grow with the square of a run.  Links
+then become components by distributed star contraction.
 
 Defined results: a null or wordless text has fingerprint zero and links like any
-other; a text with fewer words than a shingle is one shingle; equal rows have
-equal fingerprints; null ids never name a component unless it has no other; an
+other; a text with fewer words than a shingle is one shingle, and one of any length
+counts whole; equal rows have equal fingerprints, and it doesn't matter which of
+equals comes first; null ids never name a component unless it has no other; an
 empty table gives an empty result; other columns pass through where a function
 returns documents, and are not looked at elsewhere.
 """
@@ -41,6 +47,8 @@ SEED = 42
 RADIUS = 4
 BLOCKS = 2
 SMALL_RUN = 16
+LARGE_RUN = 4096
+HELD_KEYS = 8_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -98,6 +106,37 @@ def _forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
+def _forest_by_balls(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges that join what ``_forest`` joins, for a large run: linked values share a variant, within half the radius, of either half of the word."""
+    halves = [(values >> np.uint64(32)).astype(np.uint32), (values & np.uint64(0xFFFFFFFF)).astype(np.uint32)]
+    half = max(halves, key=lambda h: len(np.unique(h)))
+    reach = radius // 2 + radius % 2
+    masks = np.array([sum(1 << b for b in bits) for n in range(reach + 1) for bits in combinations(range(32), n)], np.uint32)
+    passes = -(-len(values) * len(masks) // HELD_KEYS)
+    edges: set[tuple[int, int]] = set()
+    for k in range(passes):
+        parts = []
+        for mask in masks:
+            key = half ^ mask
+            mine = np.flatnonzero((key * np.uint32(0x9E3779B1) >> np.uint32(7)) % np.uint32(passes) == k)
+            parts.append((key[mine], mine))
+        key, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((at, key))
+        key, at = key[order], at[order]
+        cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        sizes = np.diff(cut)
+        for lag in range(1, SMALL_RUN):
+            i = np.flatnonzero(key[lag:] == key[:-lag])
+            if not len(i):
+                break
+            i = i[np.bitwise_count(values[at[i]] ^ values[at[i + lag]]) <= radius]
+            edges.update(zip(at[i].tolist(), at[i + lag].tolist(), strict=True))
+        for run in np.flatnonzero(sizes > SMALL_RUN):
+            own = at[cut[run] : cut[run + 1]]
+            edges.update((int(own[a]), int(own[b])) for a, b in _forest(values[own], radius))
+    return sorted(edges)
+
+
 def _links(keys: np.ndarray, values: np.ndarray, radius: int) -> pd.DataFrame:
     """Verified links within whole runs of equal keys; values are unsigned."""
     a, b = [], []
@@ -112,7 +151,8 @@ def _links(keys: np.ndarray, values: np.ndarray, radius: int) -> pd.DataFrame:
         b.append(values[i + lag])
     for run in np.flatnonzero(sizes > SMALL_RUN):
         own = values[cut[run] : cut[run + 1]]
-        edges = np.array(_forest(own, radius), np.int64).reshape(-1, 2)
+        search = _forest if len(own) <= LARGE_RUN else _forest_by_balls
+        edges = np.array(search(own, radius), np.int64).reshape(-1, 2)
         a.append(own[edges[:, 0]])
         b.append(own[edges[:, 1]])
     empty = np.zeros(0, np.uint64)

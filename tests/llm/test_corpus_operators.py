@@ -449,6 +449,37 @@ def test_substrings_deduplicate(clashing, empty):
     assert substrings.deduplicate(empty).count() == 0 and substrings.digests(empty).count() == 0
 
 
+def test_long_runs_are_searched_by_balls():
+    """6,000 values that share a half, clustered and not: the same components as by the search over all, in linear time."""
+    import time
+
+    rng = np.random.default_rng(3)
+    far = rng.integers(0, 1 << 32, 5000, np.uint64)
+    near = rng.choice(far[:40], 1000) ^ (np.uint64(1) << rng.integers(0, 32, 1000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 32, 1000).astype(np.uint64))
+    values = np.unique(np.concatenate((far, near)) | (np.uint64(7) << np.uint64(40)) | (rng.integers(0, 2, 6000).astype(np.uint64) << np.uint64(33)))
+
+    def components(edges) -> dict[int, int]:
+        root = list(range(len(values)))
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            assert int(values[a] ^ values[b]).bit_count() <= 4
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+        return {k: top(k) for k in range(len(values))}
+
+    assert components(simhash._forest_by_balls(values, 4)) == components(simhash._forest(values, 4))
+    many = np.unique(rng.integers(0, 1 << 32, 60_000, np.uint64))
+    began = time.perf_counter()
+    simhash._forest_by_balls(many, 4)
+    assert time.perf_counter() - began < 60
+
+
 @pytest.mark.parametrize("held", [50_000, 3])
 def test_substrings_factors_are_copies(spark, held, monkeypatch):
     """Every factor is a copy of what stands at its source, which is earlier; factors don't overlap, and hold what brute force removes."""
