@@ -4,12 +4,14 @@ A document's token ids, an end id after them, are cut into pieces whose lengths
 are powers of two: as many of the full length as fit, then the binary digits of
 the rest, largest first.  Pieces of equal length form a bucket, so a batch is a
 rectangle without padding and no sequence crosses documents: a piece is a
-sequence.  No row is ever shuffled.
+sequence.  Every task lays its pieces out by bucket, so equal lengths lie together
+in each file; no row is ever shuffled.
 
 Tokens come from a tokenizer file of the ``tokenizers`` library.
 
-Defined results: a null or empty text is the end id alone; equal rows are
-packed independently of each other; an empty table gives an empty result; other
+Defined results: a null or empty text is the end id alone; a text of any length is
+packed whole; equal rows are packed independently of each other, and pieces of
+equal length lie in the order of their documents and places; an empty table gives an empty result; other
 columns are not looked at.  Strings of special tokens in a text are encoded as
 the tokenizer file has it by default.
 """
@@ -130,5 +132,5 @@ def pack(docs: DataFrame, tokenizer_path: str, full: int = FULL, id_col: str = "
     schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     # ids travel as strings: a nullable number would become a float in pandas
     packed = docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).mapInPandas(run, schema)
-    packed = packed.withColumn("doc_id", F.col("doc_id").cast(id_type))
+    packed = packed.withColumn("doc_id", F.col("doc_id").cast(id_type)).sortWithinPartitions("length", "doc_id", "start")
     return packed.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.col("length")})

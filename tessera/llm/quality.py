@@ -11,8 +11,8 @@ are boosted alike.  Scoring digitises a batch of feature vectors and adds bins.
 Training runs on the driver from a bounded sample: at most about ``max_rows``
 labelled feature vectors outside the held-out fold; the texts stay where they are.
 
-Defined results: a null text is measured as an empty one, and both get the score
-of the model's bins for zeros; without labels, or with one label only, every
+Defined results: a text of any length is measured whole; a null text is measured
+as an empty one, and both get the score of the model's bins for zeros; without labels, or with one label only, every
 score is that label's share (0.5 without any); equal texts score equally; a
 document labelled more than once counts once per label; labels other than 0 and
 1, and null, are not learned from; an empty table gives an empty result; other

@@ -113,7 +113,7 @@ def op8_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack(docs, tokenizer_path()).drop("bucket")
+    return packing.pack(docs, tokenizer_path())
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
