@@ -16,8 +16,8 @@ labelled segments lie below it, but it never exceeds chance by more than
 is, since a softmax is sure of languages it has never met as well: the mean
 log-frequency of its subwords, each in the language where it is most frequent,
 with ``PRIOR`` subwords of median frequency added, which keep very short texts.
-The bound lies twice as far below the median of the documents held back as their
-``FALSE_REJECTIONS`` quantile does.
+The bound lies ``FAR`` times as far below the median of the documents held back as
+their ``FALSE_REJECTIONS`` quantile does.
 
 For scoring, embeddings times softmax weights make one table of a few numbers a
 bucket, which is what the workers get; whole texts are scored, however long.
@@ -50,7 +50,8 @@ SAMPLE_BYTES = 64 << 20
 DOC_BYTES = 16 << 10
 FALSE_REJECTIONS = 0.001
 CHANCE_MARGIN = 0.2
-PRIOR = 100
+PRIOR = 400
+FAR = 2.5
 UNKNOWN = "und"
 _MIX = np.uint32(0x9E3779B1)
 _STEP = 1 << 20
@@ -218,7 +219,8 @@ def _calibrate(model: Model, held: list[tuple[np.ndarray, int]], documents: list
     most = chance + CHANCE_MARGIN * (1 - chance)
     sums, sizes = np.array([(model.table[ids, -1].sum(dtype=np.float64), len(ids)) for ids in documents]).reshape(-1, 2).T
     model.median = float(np.median(sums / sizes))
-    model.familiar = 2 * float(np.quantile((sums + PRIOR * model.median) / (sizes + PRIOR), FALSE_REJECTIONS)) - model.median
+    least = float(np.quantile((sums + PRIOR * model.median) / (sizes + PRIOR), FALSE_REJECTIONS))
+    model.familiar = model.median - FAR * (model.median - least)
     model.threshold = min(most, float(np.quantile(right, FALSE_REJECTIONS))) if len(right) else most
     return model
 
