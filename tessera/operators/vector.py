@@ -89,10 +89,10 @@ def lsh_top(vectors: DataFrame, queries: DataFrame, k: int, dimension: int, mode
 
 
 def signature_rows(vectors: DataFrame, dimension: int, model=None) -> DataFrame:
-    """(tbl, bucket, id): the index of ``lsh_candidates`` over ``vectors`` (id, vector), laid out by bucket."""
+    """(tbl, bucket, id): the index of ``lsh_candidates`` over ``vectors`` (id, vector)."""
     model = model or lsh_model(dimension)
-    rows = vectors.select("id", F.explode(lsh_signatures(as_double(F.col("vector")), model)).alias("at")).select(F.col("at.table").alias("tbl"), F.col("at.bucket").alias("bucket"), "id")
-    return rows.repartitionByRange("tbl", "bucket").sortWithinPartitions("tbl", "bucket", "id")
+    rows = vectors.select("id", F.explode(lsh_signatures(as_double(F.col("vector")), model)).alias("at"))
+    return rows.select(F.col("at.table").alias("tbl"), F.col("at.bucket").alias("bucket"), "id")
 
 
 def lsh_buckets(values, model) -> list[tuple[int, int]]:

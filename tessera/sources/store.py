@@ -1,18 +1,24 @@
 """Versioned Parquet tables of one codebase.
 
-``<data_dir>/<key>/gen=<n>/{chunks,vectors,postings,doc_len,signatures,file_hashes}`` plus a
-``CURRENT`` file that is replaced as a whole: a generation holds data and file
-hashes together, readers keep the generation they opened, and a failed write
+``<data_dir>/<key>/gen=<n>/{chunks,vectors,postings,doc_len,signatures,file_hashes}``
+plus a ``CURRENT`` file that is replaced as a whole: a generation holds data and
+file hashes together, readers keep the generation they opened, and a failed write
 leaves the one before in force.
+
+Tables with a column ``part`` are written by it, ``PARTS`` of them.  A generation
+that replaces some parts writes those only; its ``MANIFEST.json`` says which
+generation holds each of the others, so a sync costs the parts that it touches.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import shutil
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.operators.chunking import CHUNK_TYPE
 
@@ -25,6 +31,12 @@ SCHEMAS = {
     "file_hashes": "relative_path string, hash string",
 }
 KEPT = 2
+PARTS = 16
+
+
+def part_of(relative_path: Column) -> Column:
+    """The part of the tables that a file's rows are in."""
+    return F.pmod(F.xxhash64(relative_path), F.lit(PARTS)).cast("int")
 
 
 def store_key(path: str) -> str:
@@ -47,27 +59,68 @@ class Store:
     def _path(self, generation: int, name: str) -> str:
         return os.path.join(self.folder, f"gen={generation}", name)
 
-    def read(self, name: str, generation: int | None = None) -> DataFrame:
-        """A table of a generation (the current one); empty where there is none."""
+    def manifest(self, generation: int) -> dict[str, dict[str, int]]:
+        """For each table the generation that holds each part; a table that is not written by part has one named by the empty string."""
+        try:
+            with open(os.path.join(self.folder, f"gen={generation}", "MANIFEST.json"), encoding="utf-8") as f:
+                return json.load(f)
+        except FileNotFoundError:
+            return {}
+
+    def _folder(self, name: str, part: str, generation: int) -> str:
+        return os.path.join(self._path(generation, name), f"part={part}") if part else self._path(generation, name)
+
+    def read(self, name: str, generation: int | None = None, parts: list[int] | None = None) -> DataFrame:
+        """A table of a generation (the current one), or some of its parts; empty where there is none."""
         at = self.current if generation is None else generation
-        if at is None or not os.path.isdir(self._path(at, name)):
+        held = {} if at is None else self.manifest(at).get(name, {})
+        found = [self._folder(name, part, g) for part, g in sorted(held.items()) if parts is None or not part or int(part) in parts]
+        if not found:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(self._path(at, name))
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*found)
 
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Write a whole new generation and make it current; older ones but the last are dropped."""
+    def commit(self, tables: dict[str, DataFrame], replaced: list[int] | None = None) -> int:
+        """Write a new generation and make it current; parts that are not ``replaced`` (all, if None) stay as they were, older generations' but the last's go."""
         new = (self.current or 0) + 1
+        before = {} if replaced is None or self.current is None else self.manifest(self.current)
+        made = {name: held for name, held in before.items() if name not in tables}
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(self._path(new, name))
+            path = self._path(new, name)
+            if "part" not in df.columns:
+                df.write.mode("overwrite").parquet(path)
+                made[name] = {"": new}
+                continue
+            df.write.mode("overwrite").partitionBy("part").parquet(path)
+            written = {entry[5:]: new for entry in os.listdir(path) if entry.startswith("part=")}
+            made[name] = {part: g for part, g in before.get(name, {}).items() if part and int(part) not in replaced} | written
+        os.makedirs(os.path.join(self.folder, f"gen={new}"), exist_ok=True)
+        with open(os.path.join(self.folder, f"gen={new}", "MANIFEST.json"), "w", encoding="utf-8") as f:
+            json.dump(made, f)
         pointer = os.path.join(self.folder, "CURRENT")
         with open(f"{pointer}.new", "w", encoding="utf-8") as f:
             f.write(str(new))
         os.replace(f"{pointer}.new", pointer)
-        for entry in os.listdir(self.folder):
-            if entry.startswith("gen=") and int(entry[4:]) <= new - KEPT:
-                shutil.rmtree(os.path.join(self.folder, entry), ignore_errors=True)
+        self._tidy(new)
         return new
 
+    def _tidy(self, new: int) -> None:
+        """Remove what none of the last ``KEPT`` generations reads."""
+        used = {self._folder(name, part, g) for n in range(new - KEPT + 1, new + 1) for name, held in self.manifest(n).items() for part, g in held.items()}
+        for entry in os.listdir(self.folder):
+            if not entry.startswith("gen=") or int(entry[4:]) > new - KEPT:
+                continue
+            at = os.path.join(self.folder, entry)
+            tables = [os.path.join(at, name) for name in os.listdir(at) if name in SCHEMAS]
+            for table in tables:
+                parts = [os.path.join(table, x) for x in os.listdir(table) if x.startswith("part=")]
+                for part in parts:
+                    if part not in used:
+                        shutil.rmtree(part, ignore_errors=True)
+                if table not in used and not any(part in used for part in parts):
+                    shutil.rmtree(table, ignore_errors=True)
+            if not any(os.path.isdir(table) for table in tables):
+                shutil.rmtree(at, ignore_errors=True)
+
     def exists(self) -> bool:
         return self.current is not None
 

@@ -291,3 +291,31 @@ def test_approximate_search_reads_the_stored_index(spark, tmp_path, tree):
     assert signed == {r["id"] for r in near.store(tree).read("vectors").select("id").collect()}
     assert near.results(tree, "brand_new_name", 5).orderBy("rank").first()["relative_path"] == "deep/er/new.rs"
     assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_a_sync_writes_the_parts_it_touches(spark, tmp_path):
+    """After a change to one file the other parts are those of the generation before; the tables are those of a new index."""
+    root = str(tmp_path / "code")
+    for k in range(40):
+        put(root, f"m{k}.py", f"def name_{k}():\n    return {k}\n")
+    config = lambda name: Config(data_dir=str(tmp_path / name), embedding=EmbeddingConfig(provider="hashing", dimension=16))
+    engine = Engine(spark, config("data"))
+    engine.index(root)
+    put(root, "m3.py", "def renamed():\n    return 3\n")
+    engine.index(root, incremental=True)
+    store = engine.store(root)
+    parts = store.manifest(store.current)
+    assert all(sum(g == 2 for g in parts[name].values()) == 1 and len(parts[name]) > 8 for name in ("chunks", "vectors", "postings", "file_hashes"))
+    os.remove(os.path.join(root, "m5.py"))
+    put(root, "m41.py", "x = 1\n")
+    engine.index(root, incremental=True)
+    engine.index(root, incremental=True)  # nothing has changed
+    assert store.current == 3
+    fresh = Engine(spark, config("other"))
+    fresh.index(root)
+    for name in ("chunks", "vectors", "postings", "doc_len", "signatures", "file_hashes"):
+        assert sorted(map(str, store.read(name).collect())) == sorted(map(str, fresh.store(root).read(name).collect())), name
+    engine.index(root)
+    engine.index(root)
+    assert sorted(x for x in os.listdir(store.folder) if x.startswith("gen=")) == ["gen=4", "gen=5"]
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
