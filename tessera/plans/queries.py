@@ -253,19 +253,81 @@ def _rewritten(spark, sf_dir, ext: str, language: str, content) -> DataFrame:
     return _flat(chunking.chunk_files(named, SIZE, OVERLAP, max_bytes=None))
 
 
-@query()
+_PY_HEAD, _PY_TAIL = "import os\n\n@cached\ndef first(a):\n    return a\n\nclass Second:\n    def third(self):\n", "\n        return 3\n"
+_STRIPPED = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _nodes_sql(nodes: str, language: str, ext: str) -> str:
+    """SQL of ``_flat`` for files whose syntax nodes are (path, k, first, last, text): those over the size are cut into runs of whole lines by a recursive walk."""
+    return f"""WITH RECURSIVE {nodes}, lined AS (
+  SELECT *, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS lines FROM nodes
+), sized AS (
+  SELECT *, len(lines) AS n, list_transform(lines, lambda x, i: strlen(x) + CASE WHEN i < len(lines) THEN 1 ELSE 0 END) AS sizes FROM lined
+), summed AS (
+  SELECT *, list_transform(sizes, lambda x, i: list_sum(sizes[1:i])) AS upto FROM sized
+), cut AS (
+  SELECT path, k, 0::BIGINT AS piece, 0::BIGINT AS a, CASE WHEN strlen(text) <= {SIZE} THEN n ELSE greatest(1, len(list_filter(upto, lambda x: x <= {SIZE}))) END::BIGINT AS b FROM summed
+  UNION ALL
+  SELECT c.path, c.k, piece + 1, b, greatest(b + 1, len(list_filter(upto, lambda x: x <= upto[b] + {SIZE})))::BIGINT FROM cut c JOIN summed s ON c.path = s.path AND c.k = s.k WHERE b < n
+), pieces AS (
+  SELECT c.path, c.k, piece, CASE WHEN strlen(text) <= {SIZE} THEN text ELSE {_STRIPPED.format('array_to_string(lines[a + 1 : b], chr(10))')} END AS piece_text, first + a AS start_at,
+    CASE WHEN strlen(text) <= {SIZE} THEN last ELSE first + b - 1 END AS end_line, CASE WHEN strlen(text) <= {SIZE} THEN c.k ELSE c.k * 1000 + piece END AS chunk_index, b = s.n AS final
+  FROM cut c JOIN summed s ON c.path = s.path AND c.k = s.k
+), tailed AS (
+  SELECT *, hex(encode(piece_text)) AS h, strlen(piece_text)::BIGINT AS n FROM pieces WHERE piece_text <> '' OR NOT final
+), leads AS (
+  SELECT *, decode(unhex(substring(h, 2 * {_moved(f"greatest(n - {OVERLAP}, 0)", 1)} + 1))) AS tail FROM tailed
+), led AS (
+  SELECT *, lag(tail) OVER (PARTITION BY path ORDER BY k, piece) AS lead_text, sha256(path || ':' || start_at::VARCHAR || ':' || end_line::VARCHAR) AS id FROM leads
+), fresh AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, piece) AS nth FROM led
+)
+SELECT id, path AS relative_path, CASE WHEN lead_text IS NULL THEN start_at ELSE greatest(0, start_at - {_LINES.format('lead_text')}) END::BIGINT AS start_line, end_line::BIGINT AS end_line, '{language}' AS language,
+  row_number() OVER (PARTITION BY path ORDER BY k, piece) - 1 AS ord, '{ext}' AS file_extension, chunk_index::BIGINT AS chunk_index, sha256(piece_text) AS hash FROM fresh WHERE nth = 1"""
+
+
+def _led_lines(lead: str) -> str:
+    """SQL: ``text`` with ``lead`` before each of its lines; a line end at the end starts none, and an empty text has none."""
+    return f"CASE WHEN text = '' THEN '' ELSE regexp_replace(rtrim(text, chr(10)), '(?m)^', {lead}, 'g') || repeat(chr(10), (length(text) - length(rtrim(text, chr(10))))::INT) END"
+
+
+_PY_NODES = f"""bodies AS (
+  SELECT '/corpus/python/' || doc_id::VARCHAR || '.py' AS path, {_led_lines("'        # '")} AS body FROM documents WHERE text IS NOT NULL
+), placed AS (
+  SELECT path, unnest([
+    {{'k': 0, 'first': 3, 'text': '@cached' || chr(10) || 'def first(a):' || chr(10) || '    return a'}}, {{'k': 1, 'first': 4, 'text': 'def first(a):' || chr(10) || '    return a'}},
+    {{'k': 2, 'first': 7, 'text': 'class Second:' || chr(10) || '    def third(self):' || chr(10) || body || chr(10) || '        return 3'}},
+    {{'k': 3, 'first': 8, 'text': 'def third(self):' || chr(10) || body || chr(10) || '        return 3'}}
+  ], recursive := true) FROM bodies
+), nodes AS (SELECT *, first + length(text) - length(replace(text, chr(10), '')) AS last FROM placed)"""
+
+_MD_NODES = f"""bodies AS (
+  SELECT '/corpus/markdown/' || doc_id::VARCHAR || '.md' AS path, '# Document ' || doc_id::VARCHAR || chr(10) || {_led_lines("'\n## Part\n\n'")} AS body, text FROM documents WHERE text IS NOT NULL
+), counted AS (
+  SELECT *, CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, '\n$', ''), chr(10)) END AS parts, length(body) - length(replace(body, chr(10), '')) + 1 AS n_lines FROM bodies
+), split AS (
+  SELECT path, body, parts, n_lines, unnest(range(len(parts))) AS i FROM counted
+), nodes AS (
+  SELECT path, 0 AS k, 1 AS first, n_lines AS last, body AS text FROM counted
+  UNION ALL SELECT path, 1, 1, 1, split_part(body, chr(10), 1) FROM counted
+  UNION ALL SELECT path, 2 + 2 * i, 3 + 4 * i, CASE WHEN i + 1 < len(parts) THEN 7 + 4 * i ELSE n_lines END,
+    '## Part' || chr(10) || chr(10) || parts[i + 1] || CASE WHEN i + 1 < len(parts) THEN chr(10) || chr(10) WHEN right(body, 1) = chr(10) AND parts[i + 1] <> '' THEN chr(10) WHEN right(body, 1) = chr(10) THEN right(body, n_lines::INT - (5 + 4 * i)::INT) ELSE '' END FROM split
+  UNION ALL SELECT path, 3 + 2 * i, 3 + 4 * i, 3 + 4 * i, '## Part' FROM split
+)"""
+
+
+@query(_nodes_sql(_MD_NODES, "markdown", "md"))
 def md_sections(spark, sf_dir):
     """Every document with a heading over each of its paragraphs."""
     body = F.regexp_replace("content", "(?m)^", "\n## Part\n\n")
     return _rewritten(spark, sf_dir, ".md", "markdown", F.concat(F.lit("# Document "), F.col("id").cast("string"), F.lit("\n"), body))
 
 
-@query()
+@query(_nodes_sql(_PY_NODES, "python", "py"))
 def py_defs(spark, sf_dir):
     """Every document as a class whose method returns its lines as comments."""
     body = F.regexp_replace("content", "(?m)^", "        # ")
-    head, tail = F.lit("import os\n\n@cached\ndef first(a):\n    return a\n\nclass Second:\n    def third(self):\n"), F.lit("\n        return 3\n")
-    return _rewritten(spark, sf_dir, ".py", "python", F.concat(head, body, tail))
+    return _rewritten(spark, sf_dir, ".py", "python", F.concat(F.lit(_PY_HEAD), body, F.lit(_PY_TAIL)))
 
 
 # -- full text ---------------------------------------------------------------
