@@ -26,7 +26,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b); root is the component's smallest node.
 
     Repeated edges, loops and nulls are allowed; a node with loops only, or a
-    null end, has no row.  An empty table gives an empty result.
+    null end, has no row.  The order of rows and of ends doesn't matter, so there are
+    no ties to break.  An empty table gives an empty result; other columns are not
+    looked at.
     """
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = materialize(now, "edges")

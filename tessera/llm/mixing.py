@@ -6,7 +6,8 @@ shared again by weight among the others.  That is water-filling.  Its level is
 found in one pass over the sources in the order of the level at which each one
 overflows: were all before it full, the rest shared by weight would give a
 level; that of the first source that does not overflow, which is the largest of
-those that fit, is the answer.
+those that fit, is the answer.  One task orders the sources, a row of some 100
+bytes each, so a few million of them are no burden; documents are never ordered.
 
 Copies: a source's rate is target / size; each document is emitted floor(rate)
 times, plus once more if its hash, a uniform number in [0, 1), is below the
