@@ -270,6 +270,14 @@ def test_components_of_long_chains(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_star_with_half_of_all_edges(spark):
+    """One node has half of the edges, at either end of them; the rest are pairs."""
+    rows = [(10_000, k) if k % 2 else (k, 10_000) for k in range(20_000, 23_000)] + [(k, k + 1) for k in range(0, 6000, 2)]
+    edges = spark.createDataFrame(rows, "a long, b long").repartition(6)
+    got = {r["node"]: r["root"] for r in graph.connected_components(edges).collect()}
+    assert got == {k: 10_000 for k in [10_000, *range(20_000, 23_000)]} | {k: k - k % 2 for k in range(6000)}
+
+
 # -- neighbours --------------------------------------------------------------
 
 
