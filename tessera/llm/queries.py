@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, mixing, neighbours, outliers, packing, quality, recurrent, simhash, sql, substrings, warc
+from tessera.llm import conversations, langid, mixing, neighbours, outliers, packing, quality, recurrent, simhash, sql, substrings, warc
 from tessera.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,9 +120,14 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return conversations.digested(conversations.repair(rows, F.col("absent"), F.col("copies")))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_mix_sources": op3_mix_sources, "op4_recurrent": op4_recurrent, "op5_simhash": op5_simhash, "op6_neighbours": op6_neighbours, "op7_langid": op7_langid, "op8_outliers": op8_outliers, "op9_pack": op9_pack, "op10_substrings": op10_substrings}
+    return {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_mix_sources": op3_mix_sources, "op4_recurrent": op4_recurrent, "op5_simhash": op5_simhash, "op6_neighbours": op6_neighbours, "op7_langid": op7_langid, "op8_outliers": op8_outliers, "op9_pack": op9_pack, "op10_substrings": op10_substrings, "op11_conversations": op11_conversations}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op3_mix_sources": OP3_SQL, "op8_outliers": sql.outlier_sql(), "op10_substrings": sql.SUBSTRINGS}
+    return {"op2_warc": OP2_SQL, "op3_mix_sources": OP3_SQL, "op8_outliers": sql.outlier_sql(), "op10_substrings": sql.SUBSTRINGS, "op11_conversations": sql.CONVERSATIONS}

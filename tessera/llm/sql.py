@@ -114,3 +114,70 @@ def outlier_sql() -> str:
         f"WITH {', '.join(parts)} SELECT b.doc_id, b.n_words, b.word_chars, b.n_symbols, b.n_dup_lines, b.n_repeat_words, b.base_failed, round(d.d2 / d.scale, 4) AS distance, "
         f"coalesce(d.d2 / d.scale <= {o.CUTOFF!r}, FALSE) AS kept FROM counted b LEFT JOIN dist d ON b.doc_id = d.doc_id"
     )
+
+
+# -- conversation repair: a walk over the turns, with the cheapest edits for each role written last ----
+
+_least = lambda *ways: f"list_min([{', '.join(ways)}])"
+_edit = lambda state, cost, letter: f"CASE WHEN {state} IS NOT NULL THEN {{'cost': {state}.cost + {cost}, 'audit': {state}.audit || '{letter}'}} END"
+_keep = lambda state, initial: f"CASE WHEN initial = '{initial}' AND NOT due AND {state} IS NOT NULL THEN {{'cost': {state}.cost + charge, 'audit': {state}.audit || 'K'}} END"
+_role = lambda state: f"CASE WHEN NOT due AND {state} IS NOT NULL THEN {{'cost': {state}.cost + 3 + charge, 'audit': {state}.audit || 'R'}} END"
+_WRITTEN = _least("u", *(_edit(s, 3, "I") for s in ("none", "sys", "a")))
+
+CONVERSATIONS = f"""
+WITH RECURSIVE source AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: unicode(c)::BIGINT)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, bit: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS kind
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM source, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, substring(role, 1, 1) AS initial,
+    rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS solid
+  FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+      WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair
+  FROM placed
+), turns AS (
+  SELECT *, fault IN ('blank', 'duplicate') AS due, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS charge FROM judged
+), states AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS n, {{'cost': 0::BIGINT, 'audit': ''}} AS none, NULL::STRUCT(cost BIGINT, audit VARCHAR) AS sys,
+    NULL::STRUCT(cost BIGINT, audit VARCHAR) AS u, NULL::STRUCT(cost BIGINT, audit VARCHAR) AS a
+  FROM conversations
+  UNION ALL
+  SELECT conv_id, n, {_edit("none", 4, "D")}, {_least(_edit("sys", 4, "D"), _keep("none", "s"))},
+    {_least(_edit("u", 4, "D"), *(f(s, *x) for s in ("none", "sys", "a") for f, x in ((_keep, ("u",)), (_role, ()))))},
+    {_least(_edit("a", 4, "D"), _keep("u", "a"), _role("u"))}
+  FROM (
+    SELECT conv_id, n, none, sys, u, {_least("a", _edit("u", 3, "I"))} AS a, initial, due, charge
+    FROM (SELECT s.conv_id, t.n, none, sys, {_WRITTEN} AS u, a, initial, due, charge FROM states s JOIN turns t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.n = s.n + 1)
+  )
+), ended AS (
+  SELECT conv_id, n, {_least("none", "a", _edit("u", 3, "I"))} AS best
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) AS back FROM states) WHERE back = 1
+), letters AS (
+  SELECT conv_id, k, best.audit[k] AS letter FROM (SELECT conv_id, best, unnest(range(1, length(best.audit) + 1)) AS k FROM ended)
+), located AS (
+  SELECT *, sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER run AS n, sum(CASE WHEN letter <> 'D' THEN 1 ELSE 0 END) OVER run AS place
+  FROM letters WINDOW run AS (PARTITION BY conv_id ORDER BY k)
+), written AS (
+  SELECT l.conv_id, l.k, l.letter, l.place, CASE WHEN letter <> 'I' THEN t.role END AS role, CASE WHEN letter = 'I' THEN '' ELSE t.text END AS text,
+    max(CASE WHEN place = 1 AND letter = 'K' AND t.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS led
+  FROM located l LEFT JOIN turns t ON l.conv_id IS NOT DISTINCT FROM t.conv_id AND l.n = t.n WHERE letter <> 'D'
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS lines
+  FROM written GROUP BY conv_id
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, best.cost AS cost, best.audit AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON e.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
