@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import conversations, langid, mixing, neighbours, outliers, packing, quality, recurrent, simhash, sql, substrings, warc
+from tessera.llm import conversations, langid, mixing, neighbours, outliers, packing, quality, recurrent, simhash, sql, substrings, toxicity, warc
 from tessera.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,8 +125,14 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digested(conversations.repair(rows, F.col("absent"), F.col("copies")))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.classify(docs, labels).withColumn("held_out", crc_mod("doc_id", 5) == 0)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_mix_sources": op3_mix_sources, "op4_recurrent": op4_recurrent, "op5_simhash": op5_simhash, "op6_neighbours": op6_neighbours, "op7_langid": op7_langid, "op8_outliers": op8_outliers, "op9_pack": op9_pack, "op10_substrings": op10_substrings, "op11_conversations": op11_conversations}
+    return {"op1_quality": op1_quality, "op2_warc": op2_warc, "op3_mix_sources": op3_mix_sources, "op4_recurrent": op4_recurrent, "op5_simhash": op5_simhash, "op6_neighbours": op6_neighbours, "op7_langid": op7_langid, "op8_outliers": op8_outliers, "op9_pack": op9_pack, "op10_substrings": op10_substrings, "op11_conversations": op11_conversations, "op12_toxicity": op12_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
