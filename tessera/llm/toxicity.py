@@ -43,7 +43,7 @@ GRAMS, STARTS = (3, 5), (4, 6, 8, 9)
 WORD_ROWS, GRAM_ROWS, WIDTH = 1 << 15, 1 << 17, 16
 HIDDEN, WINDOW, STRIDE = 12, 48, 36
 ROUNDS, PASSES, BATCH, RATE, DECAY = 8, 2, 64, 1e-2, 1e-4
-LEAST_TEXTS = 10
+LEAST_TEXTS, LEAST_STEPS = 10, 400
 LANES, KEPT_WORDS = 1024, 1 << 18
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -339,7 +339,7 @@ def train(texts: list[list[bytes]], y: np.ndarray, seed: int = 3) -> dict[str, n
     """Weights learned from texts (as words) and 0/1 labels; both kinds weigh alike.
 
     Every round finds each text's worst window as the weights are, and learns from
-    those ``PASSES`` times in mixed order.
+    those ``PASSES`` times in mixed order, oftener where that would be under ``LEAST_STEPS`` steps in all.
     """
     w, rng = new_weights(seed), np.random.default_rng(seed)
     vocabulary = list(dict.fromkeys(x for t in texts for x in t))
@@ -355,7 +355,9 @@ def train(texts: list[list[bytes]], y: np.ndarray, seed: int = 3) -> dict[str, n
     seen = {"word": np.bincount(word, texts_with, WORD_ROWS) >= LEAST_TEXTS, "gram": np.bincount(grams, np.repeat(texts_with, counts), GRAM_ROWS) >= LEAST_TEXTS}
     for k, which in seen.items():
         w[k][~which] = 0
-    adam, steps = _Adam(w), ROUNDS * PASSES * -(-len(texts) // BATCH)
+    batches = -(-len(texts) // BATCH)
+    passes = max(PASSES, -(-LEAST_STEPS // (ROUNDS * batches)))
+    adam, steps = _Adam(w), ROUNDS * passes * batches
     for _ in range(ROUNDS):
         products = np.zeros((max(len(vocabulary), 1), 6 * HIDDEN), np.float32)
         for k in range(0, len(vocabulary), 1 << 14):
@@ -365,7 +367,7 @@ def train(texts: list[list[bytes]], y: np.ndarray, seed: int = 3) -> dict[str, n
         # the longer window of equal ones
         order = np.lexsort((np.arange(len(of)), -odds, of))
         worst = order[np.unique(of[order], return_index=True)[1]]
-        for turn in (rng.permutation(len(worst)) for _ in range(PASSES)):
+        for turn in (rng.permutation(len(worst)) for _ in range(passes)):
             for b in range(0, len(turn), BATCH):
                 chosen = np.sort(worst[turn[b : b + BATCH]])
                 who = of[chosen]
