@@ -17,15 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, path, relative_path, ext, language, source, content): documents as files."""
+def as_files(docs: DataFrame, *more: str) -> DataFrame:
+    """(id, path, relative_path, ext, language, source, content): rows of ``documents`` as files; ``more`` columns are kept."""
     ext = F.lit("")
     for lang, e in EXT_OF_LANG.items():
         ext = F.when(F.col("lang") == lang, e).otherwise(ext)
     path = F.concat(F.lit(f"{ROOT}/"), "source", F.lit("/"), F.col("doc_id").cast("string"), ext)
-    named = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), path.alias("path"), "source", F.col("text").alias("content"))
+    named = docs.select(F.col("doc_id").alias("id"), path.alias("path"), "source", F.col("text").alias("content"), *more)
     named = named.withColumn("ext", file_extension(F.col("path")))
-    return named.select("id", "path", relative_path(F.col("path"), ROOT).alias("relative_path"), "ext", language_of(F.col("ext")).alias("language"), "source", "content")
+    return named.select("id", "path", relative_path(F.col("path"), ROOT).alias("relative_path"), "ext", language_of(F.col("ext")).alias("language"), "source", "content", *more)
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_files(table(spark, sf_dir, "documents"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from tessera.functions import languages, paths
 from tessera.functions.text import embedding_input, line_count, tokens
 from tessera.functions.vectors import as_double, cosine
-from tessera.operators import bm25, chunking, fusion, sync, vector
+from tessera.operators import blockmax, bm25, chunking, fusion, sync, vector
 from tessera.plans.corpus import FILES_SQL, ROOT, files, pages, query_vector, table, texts, vectors
+from tessera.sources.places import fresh_folder
 from tessera.sources.embedding import HashingEmbedder, embedding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,7 +198,7 @@ def _moved(at: str, by: int) -> str:
     return "CASE " + " ".join(f"WHEN {_whole(f'{at} + {k * by}')} THEN {at} + {k * by}" for k in range(3)) + f" ELSE {at} + {3 * by} END"
 
 
-_BYTES_SQL = f"""RECURSIVE {FILES_SQL}, raw AS (
+BYTES_SQL = f"""RECURSIVE {FILES_SQL}, raw AS (
   SELECT id, path, relative_path, ext, hex(encode(content)) AS h, strlen(content)::BIGINT AS n FROM files
 ), cut AS (
   SELECT id, 0::BIGINT AS k, 0::BIGINT AS a, {_moved(f"least({SIZE}, n)", -1)} AS b FROM raw WHERE n > 0
@@ -211,7 +212,7 @@ _BYTES_SQL = f"""RECURSIVE {FILES_SQL}, raw AS (
 
 
 @query(
-    f"WITH {_BYTES_SQL} SELECT sha256(path || ':' || start_line::VARCHAR || ':' || end_line::VARCHAR || ':' || k::VARCHAR) AS id, relative_path, start_line, end_line, "
+    f"WITH {BYTES_SQL} SELECT sha256(path || ':' || start_line::VARCHAR || ':' || end_line::VARCHAR || ':' || k::VARCHAR) AS id, relative_path, start_line, end_line, "
     "CASE ext WHEN '.md' THEN 'markdown' WHEN '.rs' THEN 'rust' WHEN '.py' THEN 'python' ELSE 'unknown' END AS language, k AS ord, ltrim(ext, '.') AS file_extension, k AS chunk_index, sha256(piece) AS hash FROM ended"
 )
 def chunk_bytes(spark, sf_dir):
@@ -451,6 +452,15 @@ def bm25_multi(spark, sf_dir):
     return bm25.batch_scores(texts(spark, sf_dir), asked, 10).select("query_id", "id", "score", "rank")
 
 
+@query(ORACLES["bm25_multi"])
+def bm25_blockmax(spark, sf_dir):
+    """The same through a stored index of block-max postings."""
+    path = fresh_folder(spark, "blockmax")
+    blockmax.write(blockmax.build(texts(spark, sf_dir)), path)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return blockmax.top(spark.read.parquet(path), asked, 10).select("query_id", "id", "score", "rank")
+
+
 # -- vectors -----------------------------------------------------------------
 
 _Q0 = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
