@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from tessera.functions import languages, paths
 from tessera.functions.text import embedding_input, line_count, tokens
 from tessera.functions.vectors import as_double, cosine
-from tessera.operators import blockmax, bm25, chunking, fusion, sync, vector
+from tessera.operators import blockmax, bm25, chunking, fusion, neighbour_graph, sync, vector
 from tessera.plans.corpus import FILES_SQL, ROOT, files, pages, query_vector, table, texts, vectors
-from tessera.sources.places import fresh_folder
 from tessera.sources.embedding import HashingEmbedder, embedding
+from tessera.sources.places import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -504,6 +504,14 @@ def ann_lsh_topk(spark, sf_dir):
     return vector.lsh_top(v, asked, 10, len(query_vector(spark, sf_dir))).select("query_id", "id", "score", "rank")
 
 
+@query()
+def ann_graph_topk(spark, sf_dir):
+    """The queries of ``cosine_batch`` through a graph of neighbours."""
+    v = vectors(spark, sf_dir)
+    asked = v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    return neighbour_graph.search(*neighbour_graph.build(v), asked, 10).top
+
+
 @query("SELECT doc_id AS id, md5(CASE WHEN text = '' THEN ' ' WHEN strlen(text) > 2048 THEN substring(text, 1, 2048) ELSE text END) AS digest FROM documents")
 def embed_preprocess(spark, sf_dir):
     return texts(spark, sf_dir).select("id", F.md5(embedding_input(F.col("content"), 512).cast("binary")).alias("digest"))
