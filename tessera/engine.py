@@ -22,7 +22,7 @@ from tessera.operators import bm25, chunking, fusion, sync, vector
 from tessera.sources import scan, status
 from tessera.sources.embedding import Embedder, dimension, embed_texts, embedding, make_embedder
 from tessera.sources.status import StatusBook
-from tessera.sources.store import Store, part_of
+from tessera.sources.store import Store
 
 
 def absolute(path: str) -> str:
@@ -102,45 +102,27 @@ class Engine:
         try:
             n_files = files.count()
             self._progress(path, 10)
-            part = part_of(F.col("relative_path")).alias("part")
-            hashes = sync.file_hashes(files).withColumn("part", part)
-            changed, kept, touched = files, None, None
+            hashes, changed, replaced = sync.file_hashes(files), files, None
             if incremental:
-                changes = sync.diff(store.read("file_hashes"), hashes.drop("part")).persist()
+                changes = sync.diff(store.read("file_hashes"), hashes).persist()
                 held.append(changes)
-                touched = sorted(r["part"] for r in changes.select(part).distinct().collect())
-                if not touched:
+                if changes.isEmpty():
                     n_chunks = store.read("chunks").count()
                     self._done(path, n_files, n_chunks, own.max_chunks)
                     return {"files": n_files, "chunks": n_chunks}
-                kept = store.read("chunks", parts=touched).join(changes.select("relative_path"), "relative_path", "left_anti")
-                changed = files.join(changes.filter("change <> 'removed'").select("relative_path"), "relative_path", "left_semi")
-                hashes = hashes.filter(F.col("part").isin(touched))
+                replaced, there = changes.select("relative_path"), changes.filter("change <> 'removed'").select("relative_path")
+                changed, hashes = (df.join(there, "relative_path", "left_semi") for df in (files, hashes))
             chunks = self.capped(chunking.chunk_files(changed, own.chunk_size, own.chunk_overlap, splitter, own.max_file_bytes)).persist()
             held.append(chunks)
             self._progress(path, 30)
-            vectors = chunks.select("id", part, embedding(self.embedder, F.col("content"), self.config.embedding.batch_size).alias("vector"))
-            # an id travels with its part
-            texts = chunks.select(F.struct("id", part).alias("id"), "content")
-            made = {"chunks": chunks.withColumn("part", part), "vectors": vector.guarded(vectors, self.dimension)}
-            for name, rows in (("postings", bm25.postings(texts)), ("doc_len", bm25.document_lengths(texts))):
-                made[name] = rows.select("id.*", *rows.columns[1:])
-            if kept is not None:
-                kept = kept.withColumn("part", part).persist()
-                held.append(kept)
-                made["chunks"] = kept.select(made["chunks"].columns).unionByName(made["chunks"])
-                for name in ("vectors", "postings", "doc_len"):
-                    made[name] = store.read(name, parts=touched).join(kept.select("id", "part"), "id").unionByName(made[name])
-            made["vectors"] = made["vectors"].persist()  # an embedding is asked for once
-            held.append(made["vectors"])
-            signed = vector.signature_rows(made["vectors"].select(F.struct("id", "part").alias("id"), "vector"), self.dimension)
-            made["signatures"] = signed.select("tbl", "bucket", "id.*")
-            order = {"chunks": ["id"], "vectors": ["id"], "postings": ["term", "id", "pos"], "doc_len": ["id"], "signatures": ["tbl", "bucket", "id"]}
-            for name, keys in order.items():  # each part in the order that its lookups ask for
-                made[name] = made[name].repartitionByRange("part", keys[0]).sortWithinPartitions("part", *keys)
-            made["file_hashes"] = hashes
+            vectors = vector.guarded(chunks.select("id", embedding(self.embedder, F.col("content"), self.config.embedding.batch_size).alias("vector")), self.dimension).persist()
+            held.append(vectors)  # an embedding is asked for once
+            texts = chunks.select("id", "content")
+            made = {"chunks": chunks, "vectors": vectors, "postings": bm25.postings(texts), "doc_len": bm25.document_lengths(texts), "signatures": vector.signature_rows(vectors, self.dimension), "file_hashes": hashes}
             self._progress(path, 60)
-            store.commit(made, touched)
+            store.commit(made, replaced)
+            if store.due():
+                store.compact()
             n_chunks = store.read("chunks").count()
             self._done(path, n_files, n_chunks, own.max_chunks)
             return {"files": n_files, "chunks": n_chunks}
@@ -150,9 +132,9 @@ class Engine:
 
     def capped(self, chunks: DataFrame) -> DataFrame:
         """Chunks of the files, in path order, that start below the cap."""
-        counts = chunks.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("n"))
-        inside = chunking.within_cap(counts, self.config.indexing.max_chunks).select(F.col("path").alias("file_path"))
-        return chunks.join(inside, "file_path", "left_semi").select(chunks.columns)
+        counts = chunks.groupBy(F.col("relative_path").alias("path")).agg(F.count("*").alias("n"))
+        inside = chunking.within_cap(counts, self.config.indexing.max_chunks).select(F.col("path").alias("relative_path"))
+        return chunks.join(inside, "relative_path", "left_semi").select(chunks.columns)
 
     def _done(self, path: str, files: int, chunks: int, cap: int) -> None:
         self.book.set_indexed(path, files, chunks, "limit_reached" if chunks >= cap else "completed")

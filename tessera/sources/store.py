@@ -5,9 +5,12 @@ plus a ``CURRENT`` file that is replaced as a whole: a generation holds data and
 file hashes together, readers keep the generation they opened, and a failed write
 leaves the one before in force.
 
-Tables with a column ``part`` are written by it, ``PARTS`` of them.  A generation
-that replaces some parts writes those only; its ``MANIFEST.json`` says which
-generation holds each of the others, so a sync costs the parts that it touches.
+A generation is a stack of layers, named by its ``MANIFEST.json``: a base, and the
+deltas of later syncs.  A delta has the rows of new and changed files, and the names
+of what they replace: ``dead_files`` and the ``dead_ids`` of their chunks.  Readers
+take all layers and leave out, by one anti-join, what a later layer names; so a sync
+writes as much as its changes.  Where deltas get many or large, ``compact`` writes
+the stack out as a new base, in as many files as its bytes ask for.
 """
 
 from __future__ import annotations
@@ -16,10 +19,12 @@ import hashlib
 import json
 import os
 import shutil
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.errors import EngineError
 from tessera.operators.chunking import CHUNK_TYPE
 
 SCHEMAS = {
@@ -29,14 +34,16 @@ SCHEMAS = {
     "doc_len": "id string, dl long",
     "signatures": "tbl int, bucket int, id string",
     "file_hashes": "relative_path string, hash string",
+    "dead_files": "relative_path string",
+    "dead_ids": "id string",
 }
+TABLES = [name for name in SCHEMAS if not name.startswith("dead_")]
+#: The columns in whose order each table lies, as its lookups ask for.
+ORDER = {"chunks": ["id"], "vectors": ["id"], "postings": ["term", "id", "pos"], "doc_len": ["id"], "signatures": ["tbl", "bucket", "id"], "file_hashes": ["relative_path"]}
 KEPT = 2
-PARTS = 16
-
-
-def part_of(relative_path: Column) -> Column:
-    """The part of the tables that a file's rows are in."""
-    return F.pmod(F.xxhash64(relative_path), F.lit(PARTS)).cast("int")
+#: Deltas are merged into the base when there are more than so many, or when they have this share of its bytes and are worth it.
+MOST_DELTAS, DELTA_SHARE, WORTH_BYTES = 16, 0.25, 64 << 20
+FILE_BYTES = 128 << 20
 
 
 def store_key(path: str) -> str:
@@ -59,67 +66,103 @@ class Store:
     def _path(self, generation: int, name: str) -> str:
         return os.path.join(self.folder, f"gen={generation}", name)
 
-    def manifest(self, generation: int) -> dict[str, dict[str, int]]:
-        """For each table the generation that holds each part; a table that is not written by part has one named by the empty string."""
+    def layers(self, generation: int | None = None) -> list[dict]:
+        """The layers of a generation (the current one), the base first: {gen, tables}."""
+        at = self.current if generation is None else generation
+        if at is None:
+            return []
         try:
-            with open(os.path.join(self.folder, f"gen={generation}", "MANIFEST.json"), encoding="utf-8") as f:
-                return json.load(f)
+            with open(self._path(at, "MANIFEST.json"), encoding="utf-8") as f:
+                return json.load(f)["layers"]
         except FileNotFoundError:
-            return {}
-
-    def _folder(self, name: str, part: str, generation: int) -> str:
-        return os.path.join(self._path(generation, name), f"part={part}") if part else self._path(generation, name)
+            return []
 
-    def read(self, name: str, generation: int | None = None, parts: list[int] | None = None) -> DataFrame:
-        """A table of a generation (the current one), or some of its parts; empty where there is none."""
-        at = self.current if generation is None else generation
-        held = {} if at is None else self.manifest(at).get(name, {})
-        found = [self._folder(name, part, g) for part, g in sorted(held.items()) if parts is None or not part or int(part) in parts]
-        if not found:
+    def read(self, name: str, generation: int | None = None) -> DataFrame:
+        """A table of a generation (the current one); empty where there is none."""
+        layers = self.layers(generation)
+        held = [layer["gen"] for layer in layers if name in layer["tables"]]
+        if not held:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*found)
-
-    def commit(self, tables: dict[str, DataFrame], replaced: list[int] | None = None) -> int:
-        """Write a new generation and make it current; parts that are not ``replaced`` (all, if None) stay as they were, older generations' but the last's go."""
-        new = (self.current or 0) + 1
-        before = {} if replaced is None or self.current is None else self.manifest(self.current)
-        made = {name: held for name, held in before.items() if name not in tables}
+        one = lambda table, g: self.spark.read.schema(SCHEMAS[table]).parquet(self._path(g, table))
+        key = "relative_path" if name in ("chunks", "file_hashes") else "id"
+        dead = "dead_files" if key == "relative_path" else "dead_ids"
+        later = [layer["gen"] for layer in layers if dead in layer["tables"] and layer["gen"] > held[0]]
+        if not later:
+            return reduce(DataFrame.unionByName, (one(name, g) for g in held))
+        rows = reduce(DataFrame.unionByName, (one(name, g).withColumn("layer", F.lit(g)) for g in held))
+        gone = reduce(DataFrame.unionByName, (one(dead, g).withColumn("until", F.lit(g)) for g in later))
+        gone = gone.groupBy(F.col(key).alias("gone")).agg(F.max("until").alias("until"))
+        return rows.join(gone, (F.col(key) == F.col("gone")) & (F.col("layer") < F.col("until")), "left_anti").drop("layer")
+
+    def commit(self, tables: dict[str, DataFrame], replaced: DataFrame | None = None) -> int:
+        """Write a new generation and make it current; older generations' but the last's files go.
+
+        ``replaced`` (relative_path) names the files whose rows so far no longer hold;
+        where it is None, all of them are.
+        """
+        before = self.current
+        new = self._claim()
+        if replaced is not None and before is not None:
+            chunks = self.read("chunks", before).join(replaced, "relative_path", "left_semi")
+            tables = tables | {"dead_files": replaced.select("relative_path"), "dead_ids": chunks.select("id")}
         for name, df in tables.items():
-            path = self._path(new, name)
-            if "part" not in df.columns:
-                df.write.mode("overwrite").parquet(path)
-                made[name] = {"": new}
-                continue
-            df.write.mode("overwrite").partitionBy("part").parquet(path)
-            written = {entry[5:]: new for entry in os.listdir(path) if entry.startswith("part=")}
-            made[name] = {part: g for part, g in before.get(name, {}).items() if part and int(part) not in replaced} | written
-        os.makedirs(os.path.join(self.folder, f"gen={new}"), exist_ok=True)
-        with open(os.path.join(self.folder, f"gen={new}", "MANIFEST.json"), "w", encoding="utf-8") as f:
-            json.dump(made, f)
+            keys = ORDER.get(name)
+            laid = df.repartitionByRange(*keys[:1]).sortWithinPartitions(*keys) if keys else df.coalesce(1)
+            laid.write.mode("overwrite").parquet(self._path(new, name))
+        own = {"gen": new, "tables": sorted(tables)}
+        return self._publish(new, before, [own] if replaced is None or before is None else [*self.layers(before), own])
+
+    def _claim(self) -> int:
+        """A generation number that no other writer has: making its folder succeeds once."""
+        new = (self.current or 0) + 1
+        os.makedirs(self.folder, exist_ok=True)
+        while True:
+            try:
+                os.mkdir(os.path.join(self.folder, f"gen={new}"))
+                return new
+            except FileExistsError:
+                new += 1
+
+    def _publish(self, new: int, before: int | None, layers: list[dict]) -> int:
+        if self.current != before:
+            shutil.rmtree(os.path.join(self.folder, f"gen={new}"), ignore_errors=True)
+            raise EngineError("another run has changed the index meanwhile")
+        with open(self._path(new, "MANIFEST.json"), "w", encoding="utf-8") as f:
+            json.dump({"layers": layers}, f)
         pointer = os.path.join(self.folder, "CURRENT")
-        with open(f"{pointer}.new", "w", encoding="utf-8") as f:
+        with open(f"{pointer}.{new}", "w", encoding="utf-8") as f:
             f.write(str(new))
-        os.replace(f"{pointer}.new", pointer)
-        self._tidy(new)
+        os.replace(f"{pointer}.{new}", pointer)
+        self._tidy(new, before)
         return new
 
-    def _tidy(self, new: int) -> None:
-        """Remove what none of the last ``KEPT`` generations reads."""
-        used = {self._folder(name, part, g) for n in range(new - KEPT + 1, new + 1) for name, held in self.manifest(n).items() for part, g in held.items()}
+    def size(self, layers: list[dict], tables: list[str] = TABLES) -> int:
+        """Bytes of the files of some layers."""
+        found = (self._path(layer["gen"], name) for layer in layers for name in layer["tables"] if name in tables)
+        return sum(os.path.getsize(os.path.join(at, f)) for path in found for at, _, files in os.walk(path) for f in files)
+
+    def due(self) -> bool:
+        """Whether the current generation's deltas should be merged."""
+        base, *deltas = self.layers() or [{"gen": 0, "tables": []}]
+        written = self.size(deltas)
+        return len(deltas) > MOST_DELTAS or (written > WORTH_BYTES and written > DELTA_SHARE * self.size([base]))
+
+    def compact(self) -> int:
+        """Write the current generation as one base, in files of about ``FILE_BYTES``."""
+        before, layers = self.current, self.layers()
+        new = self._claim()
+        for name in TABLES:
+            files = max(1, -(-self.size(layers, [name]) // FILE_BYTES))
+            self.read(name, before).repartitionByRange(files, ORDER[name][0]).sortWithinPartitions(*ORDER[name]).write.mode("overwrite").parquet(self._path(new, name))
+        return self._publish(new, before, [{"gen": new, "tables": TABLES}])
+
+    def _tidy(self, new: int, before: int | None) -> None:
+        """Remove what the last ``KEPT`` generations don't read; folders that a writer still fills are newer than these."""
+        last = sorted({g for g in (new, before) if g is not None})[-KEPT:]
+        used = {layer["gen"] for n in last for layer in self.layers(n)} | set(last)
         for entry in os.listdir(self.folder):
-            if not entry.startswith("gen=") or int(entry[4:]) > new - KEPT:
-                continue
-            at = os.path.join(self.folder, entry)
-            tables = [os.path.join(at, name) for name in os.listdir(at) if name in SCHEMAS]
-            for table in tables:
-                parts = [os.path.join(table, x) for x in os.listdir(table) if x.startswith("part=")]
-                for part in parts:
-                    if part not in used:
-                        shutil.rmtree(part, ignore_errors=True)
-                if table not in used and not any(part in used for part in parts):
-                    shutil.rmtree(table, ignore_errors=True)
-            if not any(os.path.isdir(table) for table in tables):
-                shutil.rmtree(at, ignore_errors=True)
+            if entry.startswith("gen=") and int(entry[4:]) < new and int(entry[4:]) not in used:
+                shutil.rmtree(os.path.join(self.folder, entry), ignore_errors=True)
 
     def exists(self) -> bool:
         return self.current is not None

@@ -293,8 +293,8 @@ def test_approximate_search_reads_the_stored_index(spark, tmp_path, tree):
     assert not spark.sparkContext._jsc.getPersistentRDDs()
 
 
-def test_a_sync_writes_the_parts_it_touches(spark, tmp_path):
-    """After a change to one file the other parts are those of the generation before; the tables are those of a new index."""
+def test_a_sync_writes_what_has_changed(spark, tmp_path):
+    """A sync adds a small layer, the tables read are those of a new index, and compaction changes no row."""
     root = str(tmp_path / "code")
     for k in range(40):
         put(root, f"m{k}.py", f"def name_{k}():\n    return {k}\n")
@@ -304,18 +304,64 @@ def test_a_sync_writes_the_parts_it_touches(spark, tmp_path):
     put(root, "m3.py", "def renamed():\n    return 3\n")
     engine.index(root, incremental=True)
     store = engine.store(root)
-    parts = store.manifest(store.current)
-    assert all(sum(g == 2 for g in parts[name].values()) == 1 and len(parts[name]) > 8 for name in ("chunks", "vectors", "postings", "file_hashes"))
+    opened, files = store.read("chunks"), lambda g: {p: p.stat().st_mtime_ns for p in (tmp_path / "data").rglob(f"gen={g}/**/*.parquet")}
+    base = files(1)
+    assert [layer["gen"] for layer in store.layers()] == [1, 2] and opened.count() == 40
     os.remove(os.path.join(root, "m5.py"))
     put(root, "m41.py", "x = 1\n")
+    put(root, "m3.py", "def name_3():\n    return 3\n")  # as it was first
     engine.index(root, incremental=True)
     engine.index(root, incremental=True)  # nothing has changed
-    assert store.current == 3
+    assert store.current == 3 and files(1) == base and opened.count() == 40
     fresh = Engine(spark, config("other"))
     fresh.index(root)
-    for name in ("chunks", "vectors", "postings", "doc_len", "signatures", "file_hashes"):
-        assert sorted(map(str, store.read(name).collect())) == sorted(map(str, fresh.store(root).read(name).collect())), name
+    tables = ("chunks", "vectors", "postings", "doc_len", "signatures", "file_hashes")
+    rows = lambda of: {name: sorted(map(str, of.store(root).read(name).collect())) for name in tables}
+    assert rows(engine) == rows(fresh)
+    assert not store.due() and store.compact() == 4
+    assert rows(engine) == rows(fresh) and [layer["gen"] for layer in store.layers()] == [4]
     engine.index(root)
     engine.index(root)
-    assert sorted(x for x in os.listdir(store.folder) if x.startswith("gen=")) == ["gen=4", "gen=5"]
+    assert sorted(x for x in os.listdir(store.folder) if x.startswith("gen=")) == ["gen=5", "gen=6"]
     assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_fifty_files_of_many_write_little(spark, tmp_path):
+    """50 changed files of 20,000: the layer they add has under 1 % of the index's bytes, and the base stays as it is."""
+    from pyspark.sql import functions as F
+
+    store = Store(spark, str(tmp_path / "data"), "/code")
+    text = lambda k, salt: F.concat_ws(" ", *[F.substring(F.sha2(F.concat(k.cast("string"), F.lit(f"{salt}-{j}")), 256), 1, 9) for j in range(60)])
+
+    def tables(ids, salt):
+        from tessera.operators import bm25, vector
+
+        rows = ids.select(F.format_string("src/f%06d.txt", "id").alias("relative_path"), text(F.col("id"), salt).alias("content"))
+        rows = rows.withColumn("id", F.sha2(F.concat("relative_path", F.lit(salt)), 256))
+        chunks = rows.select("id", "content", F.col("relative_path").alias("file_path"), "relative_path", F.lit(1).cast("long").alias("start_line"), F.lit(1).cast("long").alias("end_line"),
+            F.lit("unknown").alias("language"), F.struct(F.lit("txt").alias("file_extension"), F.lit(0).cast("long").alias("chunk_index"), F.lit("").alias("hash")).alias("metadata"), F.lit(0).cast("long").alias("ord"))
+        vectors = rows.select("id", F.array(*[(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 1000).cast("float") for k in range(16)]).alias("vector"))
+        return {"chunks": chunks, "vectors": vectors, "postings": bm25.postings(rows), "doc_len": bm25.document_lengths(rows), "signatures": vector.signature_rows(vectors, 16), "file_hashes": rows.select("relative_path", F.sha2("content", 256).alias("hash"))}
+
+    store.commit(tables(spark.range(20_000), "a"))
+    changed = tables(spark.range(0, 20_000, 400), "b")
+    store.commit(changed, changed["chunks"].select("relative_path"))
+    base, delta = store.layers()
+    every = [*delta["tables"], *base["tables"]]
+    assert store.size([delta], every) < 0.01 * store.size([base], every)
+    assert store.counts() == {"chunks": 20_000, "vectors": 20_000, "doc_len": 20_000, "file_hashes": 20_000}
+    assert store.read("postings").filter("id IS NOT NULL").select("id").distinct().count() == 20_000
+    assert len([p for p in (tmp_path / "data").rglob("gen=2/*/*.parquet")]) < 40
+
+
+def test_two_writers_do_not_meet(spark, tmp_path, monkeypatch):
+    from tessera.errors import EngineError
+
+    store = Store(spark, str(tmp_path / "data"), "/code")
+    rows = lambda i: spark.createDataFrame([(i, [1.0])], "id string, vector array<float>")
+    store.commit({"vectors": rows("a")})
+    claimed = store._claim()
+    assert store.commit({"vectors": rows("b")}) == claimed + 1
+    with pytest.raises(EngineError, match="another run"):
+        store._publish(claimed, 1, [{"gen": claimed, "tables": []}])
+    assert [r["id"] for r in store.read("vectors").collect()] == ["b"]
