@@ -60,20 +60,25 @@ _NAMES = ["Rust", "py", "JS", "ts", "c++", "C#", "ex", "Objective-C", "md", "YML
 
 
 @query(
-    "SELECT name, CASE lower(name) WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'c++' THEN 'cpp' WHEN 'c#' THEN 'csharp' WHEN 'ex' THEN 'elixir' "
+    "SELECT id, name, CASE lower(name) WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'c++' THEN 'cpp' WHEN 'c#' THEN 'csharp' WHEN 'ex' THEN 'elixir' "
     "WHEN 'objective-c' THEN 'objc' WHEN 'md' THEN 'markdown' WHEN 'yml' THEN 'yaml' WHEN 'sass' THEN 'scss' WHEN 'rust' THEN 'rust' WHEN 'toml' THEN 'toml' WHEN 'go' THEN 'go' "
-    "ELSE 'unknown' END AS language FROM (VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + ") t(name)"
+    f"WHEN 'py' THEN 'python' ELSE 'unknown' END AS language FROM (SELECT doc_id AS id, ([{', '.join(map(repr, _NAMES))}])[(doc_id % {len(_NAMES)} + 1)::INT] AS name FROM documents)"
 )
 def lang_alias(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", languages.canonical_language(F.col("name")).alias("language"))
+    """A language name that each document claims, by its id, and what is meant by it."""
+    claimed = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (F.col("id") % len(_NAMES) + 1).cast("int"))
+    return texts(spark, sf_dir).select("id", claimed.alias("name")).withColumn("language", languages.canonical_language(F.col("name")))
 
 
-_GIVEN = [".ts", ".py", "py", ".", "", ". ts", ".a b", ".rs"]
-
-
-@query("SELECT ext, starts_with(ext, '.') AND length(ext) > 1 AND NOT contains(ext, ' ') AS valid FROM (VALUES " + ", ".join(f"('{n}')" for n in _GIVEN) + ") t(ext)")
+@query(
+    "SELECT id, ext, starts_with(ext, '.') AND length(ext) > 1 AND NOT contains(ext, ' ') AS valid FROM (SELECT doc_id AS id, "
+    "CASE WHEN doc_id % 3 = 0 THEN '' ELSE '.' END || substring(coalesce(text, ''), 1, (doc_id % 5)::INT) AS ext FROM documents)"
+)
 def ext_validate(spark, sf_dir):
-    return spark.createDataFrame([(e,) for e in _GIVEN], "ext string").select("ext", languages.valid_extension(F.col("ext")).alias("valid"))
+    """The beginnings of documents as extension filters: without a dot, empty, with spaces, and sound ones."""
+    dot = F.when(F.col("id") % 3 == 0, "").otherwise(".")
+    ext = F.concat(dot, F.substr(F.coalesce("content", F.lit("")), F.lit(1), (F.col("id") % 5).cast("int")))
+    return texts(spark, sf_dir).select("id", ext.alias("ext")).withColumn("valid", languages.valid_extension(F.col("ext")))
 
 
 @query(f"WITH {FILES_SQL} SELECT id, CASE WHEN source = 'src0' AND starts_with(path, '/corpus/src0/') THEN substring(path, 14) ELSE path END AS below FROM files")
@@ -751,20 +756,15 @@ def store_counts(spark, sf_dir):
     return count(files(spark, sf_dir), "files").crossJoin(count(chunks, "chunks")).crossJoin(count(vectors(spark, sf_dir), "vectors"))
 
 
-_STATUS = [
-    ("/a", "indexed", 100, 500, "completed", None, None), ("/b", "indexing", None, None, None, 5, None), ("/c", "indexing", None, None, None, 50, None),
-    ("/d", "indexfailed", None, None, None, 30, "no service"), ("/e", "indexed", 7, 450_000, "limit_reached", None, None),
-]
-_STATUS_ROWS = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in row) + ")" for row in _STATUS)
-
-
 @query(
-    "WITH s AS (SELECT status, CASE WHEN status = 'indexed' THEN 'ready' WHEN status = 'indexing' AND percentage < 10 THEN 'scanning' WHEN status = 'indexing' THEN 'embedding' ELSE 'failed' END AS phase, files, chunks "
-    f"FROM (VALUES {_STATUS_ROWS}) t(path, status, files, chunks, index_status, percentage, message)) "
-    "SELECT status, phase, count(*) AS codebases, coalesce(sum(files), 0)::BIGINT AS files, coalesce(sum(chunks), 0)::BIGINT AS chunks FROM s GROUP BY status, phase"
+    "WITH s AS (SELECT CASE event_type WHEN 'error' THEN 'indexfailed' WHEN 'view' THEN 'indexing' ELSE 'indexed' END AS status, user_id AS files, event_id AS chunks, value AS percentage FROM events), "
+    "p AS (SELECT *, CASE WHEN status = 'indexed' THEN 'ready' WHEN status = 'indexfailed' THEN 'failed' WHEN percentage < 10 THEN 'scanning' ELSE 'embedding' END AS phase FROM s) "
+    "SELECT status, phase, count(*) AS codebases, coalesce(sum(files), 0)::BIGINT AS files, coalesce(sum(chunks), 0)::BIGINT AS chunks FROM p GROUP BY status, phase"
 )
 def status_summary(spark, sf_dir):
-    rows = spark.createDataFrame(_STATUS, "path string, status string, files long, chunks long, index_status string, percentage int, message string")
+    """Codebases by status and phase; events stand for the status of one each."""
+    status = F.when(F.col("event_type") == "error", "indexfailed").when(F.col("event_type") == "view", "indexing").otherwise("indexed")
+    rows = table(spark, sf_dir, "events").select(status.alias("status"), F.col("user_id").alias("files"), F.col("event_id").alias("chunks"), F.col("value").alias("percentage"))
     phase = F.when(F.col("status") == "indexed", "ready").when(F.col("status") == "indexfailed", "failed").when(F.col("percentage") < 10, "scanning").otherwise("embedding")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     return rows.groupBy("status", phase.alias("phase")).agg(F.count("*").alias("codebases"), total("files"), total("chunks"))
