@@ -62,7 +62,7 @@ _NAMES = ["Rust", "py", "JS", "ts", "c++", "C#", "ex", "Objective-C", "md", "YML
 @query(
     "SELECT id, name, CASE lower(name) WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'c++' THEN 'cpp' WHEN 'c#' THEN 'csharp' WHEN 'ex' THEN 'elixir' "
     "WHEN 'objective-c' THEN 'objc' WHEN 'md' THEN 'markdown' WHEN 'yml' THEN 'yaml' WHEN 'sass' THEN 'scss' WHEN 'rust' THEN 'rust' WHEN 'toml' THEN 'toml' WHEN 'go' THEN 'go' "
-    f"WHEN 'py' THEN 'python' ELSE 'unknown' END AS language FROM (SELECT doc_id AS id, ([{', '.join(map(repr, _NAMES))}])[(doc_id % {len(_NAMES)} + 1)::INT] AS name FROM documents)"
+    f"ELSE 'unknown' END AS language FROM (SELECT doc_id AS id, ([{', '.join(map(repr, _NAMES))}])[(doc_id % {len(_NAMES)} + 1)::INT] AS name FROM documents)"
 )
 def lang_alias(spark, sf_dir):
     """A language name that each document claims, by its id, and what is meant by it."""
