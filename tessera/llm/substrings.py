@@ -241,13 +241,13 @@ def matches(keyed: DataFrame) -> DataFrame:
     ranked = blocks.withColumn("many", F.col("hot") | (F.first("block").over(in_anchor) != F.last("block").over(in_anchor))).withColumns(
         {"doc0": F.first("doc").over(in_block), "at0": F.shiftright(F.first("span").over(in_block), 32)}
     )
-    # rows of equal place (equal rows of the table) are not earlier than themselves
+    # rows of equal place (equal rows of the table) are not earlier than themselves, and say the same, which counts once
     first = F.shiftright("span", 32)
     copied = F.col("settled") | (F.col("doc") != F.col("doc0")) | (first != F.col("at0"))
     source = [F.when(F.col("settled"), F.col(own)).otherwise(F.col(other)).alias(name) for own, other, name in (("from_doc", "doc0", "doc"), ("from_at", "at0", "at"))]
     judged = ranked.select("doc", "digest", "span", F.struct("span", *source).alias("match"), copied.alias("copied"), "many").filter("copied OR many")
     return judged.groupBy("doc", "digest").agg(
-        F.collect_list(F.when(F.col("copied"), F.col("match"))).alias("copied"), F.collect_list(F.when(~F.col("copied"), F.col("span"))).alias("open")
+        F.collect_set(F.when(F.col("copied"), F.col("match"))).alias("copied"), F.collect_set(F.when(~F.col("copied"), F.col("span"))).alias("open")
     )
 
 

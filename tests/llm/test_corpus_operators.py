@@ -443,6 +443,20 @@ def test_substrings(spark, clashing, source, monkeypatch):
     assert got == expected
 
 
+def test_matches_of_equal_rows_count_once(spark):
+    """2,000 equal rows of one document carry the matches of a few."""
+    text = " ".join(f"w{k}" for k in range(60))
+    found = {}
+    for k in (20, 2000):
+        docs = spark.createDataFrame([(1, text)] + [(5, text)] * k, "doc_id long, text string").repartition(4)
+        rows = substrings.marked(substrings._keyed(docs, "doc_id", "text")).filter("doc = 5").selectExpr("size(matches) AS n").collect()
+        assert len(rows) == k
+        found[k] = max(r["n"] for r in rows)
+    assert found[2000] <= found[20] + 2 <= 130
+    digests = {(r["doc_id"], r["n_removed"]) for r in substrings.digests(docs).collect()}
+    assert digests == {(1, 0), (5, 60)}
+
+
 def test_substrings_deduplicate(clashing, empty):
     rows = awkward_rows()
     expected = Counter()
