@@ -47,7 +47,7 @@ def run(spark: SparkSession, source: str, target: str, checkpoint: str, version_
     batches = {p["batchId"]: p["numInputRows"] for p in stream.recentProgress if p["numInputRows"]}
     done = {"rows": sum(batches.values()), "batches": len(batches), "chunks": 0}
     if batches:
-        done["chunks"] = spark.read.parquet(*[f"{target}/batch={k}" for k in batches]).count()
+        done["chunks"] = ingest.written(spark, target).filter(F.col("batch").isin(list(batches))).count()
     log.info("read %d new rows of %s in %d batches", done["rows"], source, done["batches"])
     log.info("wrote %d chunks to %s", done["chunks"], target)
     return done

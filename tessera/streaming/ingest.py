@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.chunking import chunk_files
+from tessera.operators.chunking import CHUNK_TYPE, chunk_files
 
 #: What makes one version of a file newer than another.
 _AGE = ("order", "hash")
@@ -64,9 +64,14 @@ def versions(spark: SparkSession, target: str) -> DataFrame:
     return newest.select("file_path", F.col("newest.batch").alias("batch"))
 
 
+def written(spark: SparkSession, target: str) -> DataFrame:
+    """All chunks of all batches, with ``batch``; batches that only removed files have none."""
+    return spark.read.schema(f"{CHUNK_TYPE}, batch int").parquet(target)
+
+
 def current(spark: SparkSession, target: str) -> DataFrame:
     """The chunks that hold now."""
-    chunks = spark.read.parquet(target)
+    chunks = written(spark, target)
     return chunks.join(versions(spark, target), ["file_path", "batch"], "left_semi").select([c for c in chunks.columns if c != "batch"])
 
 

@@ -75,6 +75,16 @@ def test_ingest_takes_only_what_is_new(spark, tmp_path):
     assert run()["rows"] == 1 and now() == ["new", "second", "stays"]
 
 
+def test_a_batch_that_only_removes(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    grow(spark, source, [(1, None, "en", "a", 2)])
+    assert ingest_chunks.run(spark, source, target, checkpoint, version_column="version") == {"rows": 1, "batches": 1, "chunks": 0}
+    assert ingest_chunks.read(spark, target).count() == 0
+    grow(spark, source, [(1, "late", "en", "a", 1), (2, "there", None, "b", 1)])
+    assert ingest_chunks.run(spark, source, target, checkpoint, version_column="version")["rows"] == 2
+    assert [r["content"] for r in ingest_chunks.read(spark, target).collect()] == ["there"]
+
+
 def test_a_run_that_broke_off_is_taken_up(spark, tmp_path):
     source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "mark"))
     grow(spark, source, [(1, "first", "en", "a", 1), (2, "second", "fr", "a", 1)])
