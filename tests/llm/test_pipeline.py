@@ -64,7 +64,7 @@ def test_tables_can_be_cleared(spark):
 
 def test_queries_are_registered():
     names = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 13)] == [1] * 12
     assert "pipeline" in names and set(queries.oracle_sql()) <= set(names)
 
 
@@ -74,7 +74,7 @@ def test_sql_agrees(spark, name):
 
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
     found = con.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in found.description]
