@@ -221,13 +221,17 @@ def previous_tail(content: str, key: str, order: str, overlap: int) -> Column:
     return F.substr(before, F.greatest(F.length(before) - overlap + 1, F.lit(1)), F.lit(overlap))
 
 
-def within_cap(counts: DataFrame, cap: int, prefix: int = 12) -> DataFrame:
+def within_cap(counts: DataFrame, cap: int, splits: int = 256) -> DataFrame:
     """(path, n, before): files in path order whose chunks start below the cap; the file that crosses it is kept.
 
-    The running sum is taken in two steps, within prefixes of paths and over the
-    prefixes' totals, so no task sorts all files.
+    The running sum is taken in two steps, within stretches of the order and over
+    the stretches' totals.  Stretches are bounded by the ``splits`` paths of smallest
+    hash, so they are about equal whatever the paths have in common, and no task
+    sorts all files.
     """
-    keyed = counts.withColumn("head", F.substring("path", 1, prefix))
+    drawn = counts.select("path").orderBy(F.xxhash64("path"), "path").limit(splits)
+    bounds = drawn.agg(F.collect_list("path").alias("bounds"))
+    keyed = counts.crossJoin(F.broadcast(bounds)).withColumn("head", F.size(F.filter("bounds", lambda b: b <= F.col("path")))).drop("bounds")
     heads = keyed.groupBy("head").agg(F.sum("n").alias("total"))
     upto = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.withColumn("offset", F.coalesce(F.sum("total").over(upto), F.lit(0))).filter(F.col("offset") < cap)

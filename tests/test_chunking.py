@@ -1,10 +1,12 @@
 """Chunking against independent models, by properties and on inputs at the edges."""
 
+import bisect
 import hashlib
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.operators import chunking
 from tessera.operators.structure import SCANNERS, split_structure
@@ -169,8 +171,21 @@ def test_cap_keeps_the_file_that_crosses_it(spark):
         if before < 50:
             expected.append((path, n, before))
         before += n
-    got = [tuple(r) for r in chunking.within_cap(counts, 50, prefix=4).orderBy("path").collect()]
+    got = [tuple(r) for r in chunking.within_cap(counts, 50, splits=4).orderBy("path").collect()]
     assert got == expected
+    assert chunking.within_cap(counts.limit(0), 50).count() == 0
+
+
+def test_cap_deals_paths_out_that_share_a_folder(spark):
+    counts = spark.range(4000).selectExpr("format_string('/home/someone/a/long/folder/%05d.py', id) AS path", "1 + id % 3 AS n")
+    capped = chunking.within_cap(counts, 3000)
+    got = [tuple(r) for r in capped.orderBy("path").collect()]
+    assert [r[2] for r in got] == [sum(1 + k % 3 for k in range(i)) for i in range(len(got))] and got[-1][2] < 3000 <= got[-1][1] + got[-1][2]
+    drawn = sorted(r["path"] for r in counts.orderBy(F.xxhash64("path"), "path").limit(256).collect())
+    sizes = [0] * 257
+    for r in counts.collect():
+        sizes[bisect.bisect(drawn, r["path"])] += 1
+    assert max(sizes) < 4000 // 20
 
 
 def test_closed_form_equals_bytes_on_ascii(spark):
