@@ -162,15 +162,15 @@ def _cells(measured: DataFrame, keys: list[str]) -> DataFrame:
 
 def estimates(rows: DataFrame) -> DataFrame:
     """(grp, m*, l*, scale): the minimum covariance determinant estimate of each group of ``rows`` (grp, x*)."""
-    now = materialize(_cholesky(_starts(rows)).coalesce(1), "start")
+    now = materialize(_cholesky(_starts(rows)), "start")
     for _ in range(STEPS):
         measured = _with_distance(rows.join(now, "grp"))
-        cut = materialize(_grid_quantile(_cells(measured, KEYS), KEYS, SUBSET).coalesce(1), "cut")
+        cut = materialize(_grid_quantile(_cells(measured, KEYS), KEYS, SUBSET), "cut")
         close = measured.select(*KEYS, *[_x(i) for i in range(P)], F.floor(F.log(F.col("d2") + 1e-9) * GRID).alias("at")).join(cut, KEYS).filter("at <= cell")
-        now = materialize(_cholesky(_moments(close, KEYS)).coalesce(1), "step")
+        now = materialize(_cholesky(_moments(close, KEYS)), "step")
     determinant = reduce(lambda a, b: a * b, [F.col(f"l{i}{i}") * F.col(f"l{i}{i}") for i in range(P)])
     best = now.groupBy("grp").agg(F.min(F.struct(determinant.alias("det"), "start", *now.columns[2:])).alias("e")).select("grp", *[f"e.{c}" for c in now.columns[2:]])
-    best = materialize(best.coalesce(1), "best")
+    best = materialize(best, "best")
     middle = _grid_quantile(_cells(_with_distance(rows.join(best, "grp")), ["grp"]), ["grp"], 0.5)
     # consistency: the median distance should be chi-squared's; a scale below one would only tighten it
     scale = F.greatest(F.exp((F.col("cell") + 0.5) / GRID) / CHI2_MEDIAN, F.lit(1.0))
@@ -189,13 +189,13 @@ def judge(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     named = usable.groupBy("g2", "g1").agg(F.count("*").alias("n2"))
     named = named.withColumn("n1", F.sum("n2").over(Window.partitionBy("g1")))
     choice = named.select("g2", F.when(F.col("n2") >= least, F.col("g2")).when(F.col("n1") >= least, F.col("g1")).otherwise(F.lit("{}")).alias("use"))
-    choice = materialize(choice.coalesce(1), "groups")
+    choice = materialize(choice, "groups")
     xs = [_x(i) for i in range(P)]
     # every row counts for its own group, its language and the corpus; only the estimates in use are made
     levels = F.explode(F.array("g2", "g1", "g0"))
     used = choice.select(F.col("use").alias("grp")).distinct()
     rows = materialize(usable.select(levels.alias("grp"), *xs).join(used, "grp", "left_semi"), "vectors")
-    est = materialize(estimates(rows).coalesce(1), "estimates")
+    est = materialize(estimates(rows), "estimates")
     judged = _with_distance(light.join(choice, "g2", "left").join(est.withColumnRenamed("grp", "use"), "use", "left"))
     distance = F.when(~F.col("base_failed"), F.col("d2") / F.col("scale"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2") / F.col("scale"), F.lit(0.0)) <= CUTOFF)

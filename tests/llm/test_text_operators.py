@@ -231,6 +231,15 @@ def test_outliers_smallest_determinant_wins(spark):
     assert {r["grp"] for r in outliers.estimates(hot).collect()} == {"g", "h0", "h1", "h2", "h3"}
 
 
+def test_outliers_many_groups_beside_a_hot_one(spark):
+    """2,500 groups, of which one has half of all rows: its estimate is that of the group alone."""
+    xs = [f"round(pmod(hash(id, {k}), 1000) / 250.0 * 4096) / 4096 AS x{k}" for k in range(outliers.P)]
+    rows = spark.range(20_000).selectExpr("if(id % 2 = 0, 'hot', concat('g', id % 5000)) AS grp", *xs)
+    got = {r["grp"]: r for r in outliers.estimates(rows).collect()}
+    assert len(got) == 2501
+    assert got["hot"] == outliers.estimates(rows.filter("grp = 'hot'")).first()
+
+
 def test_outliers_awkward(docs, clashing, empty):
     got = outliers.judge(clashing).collect()
     assert len(got) == len(awkward_rows())
