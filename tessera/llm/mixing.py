@@ -93,7 +93,7 @@ def decisions(sized: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE) -> Da
     targets = source_targets(sized, weights, max_rate).withColumn("rate", rate)
     targets = targets.select(F.col("source").alias("s"), "source_size", "target", F.floor("rate").alias("whole"), ((F.col("rate") - F.floor("rate")) * float(_UNIT)).alias("edge"))
     # tables of one row per source are written, so their size is known and decides how they are joined
-    targets = materialize(targets.coalesce(1), "targets")
+    targets = materialize(targets, "targets")
     step, low = (F.col("hashed") / _STEP).cast("int"), F.col("hashed") % _STEP
     cut = F.floor(F.col("edge") / _STEP)
     joined = sized.select("source", "size", step.alias("step"), low.alias("low")).join(targets, F.col("source").eqNullSafe(F.col("s")))
@@ -109,7 +109,7 @@ def decisions(sized: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE) -> Da
         return F.abs(got - F.col("target"))
 
     turns = F.transform(F.sequence(F.lit(0), F.lit(ROTATIONS - 1)), lambda k: F.struct(off(k).alias("off"), k.alias("turn")))
-    return materialize(listed.select(*keys, F.array_min(turns)["turn"].alias("turn")).coalesce(1), "rotations")
+    return materialize(listed.select(*keys, F.array_min(turns)["turn"].alias("turn")), "rotations")
 
 
 def _copies() -> Column:
