@@ -8,7 +8,7 @@ the generation that was complete before.
 from __future__ import annotations
 
 import json
-import os
+import posixpath
 from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,21 +19,23 @@ from tessera.batches import ship
 from tessera.config import Config
 from tessera.errors import EngineError, InvalidPathError
 from tessera.operators import bm25, chunking, fusion, sync, vector
+from tessera.sources import files as places
 from tessera.sources import scan, status
 from tessera.sources.embedding import Embedder, dimension, embed_texts, embedding, make_embedder
+from tessera.sources.files import Hadoop, absolute
 from tessera.sources.status import StatusBook
 from tessera.sources.store import Store
 
 
-def absolute(path: str) -> str:
-    return os.path.abspath(os.path.expanduser(path))
-
-
 def checked_path(path: str) -> str:
     full = absolute(path)
-    if not os.path.exists(full):
+    try:
+        kind = places.kind(full)
+    except (OSError, ValueError) as problem:
+        raise InvalidPathError(f"Path '{full}' can't be read: {problem}. Original input: '{path}'") from problem
+    if kind is None:
         raise InvalidPathError(f"Path '{full}' does not exist. Original input: '{path}'")
-    if not os.path.isdir(full):
+    if kind != "dir":
         raise InvalidPathError(f"Path '{full}' is not a directory. Original input: '{path}'")
     return full
 
@@ -44,7 +46,7 @@ class Engine:
         self.spark, self.config = spark, config or Config.from_env()
         self.embedder = embedder or make_embedder(self.config.embedding)
         self.dimension = dimension(self.embedder)
-        self.book = StatusBook(os.path.join(self.config.data_dir, "snapshot.json"))
+        self.book = StatusBook(posixpath.join(absolute(self.config.data_dir), "snapshot.json"), Hadoop(spark))
         self.pool = ThreadPoolExecutor(max_workers=2)
         self.running: dict[str, Future] = {}
         self.stores: dict[str, Store] = {}
@@ -180,7 +182,7 @@ class Engine:
                 return {"error": messages.INVALID_EXTENSION.format(ext=ext)}
         try:
             found = self.results(full, query, limit, extension_filter)
-            rows = fusion.result_text(found, os.path.basename(full) or "unknown", own.snippet_bytes).orderBy("display_rank").collect()
+            rows = fusion.result_text(found, posixpath.basename(full) or "unknown", own.snippet_bytes).orderBy("display_rank").collect()
         except EngineError as problem:
             return {"error": str(problem)}
         if not rows:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import posixpath
 import re
 from dataclasses import dataclass, field
 
+from tessera.sources import files as places
+
 
 def _translate(pattern: str) -> str:
     out, at = "", 0
@@ -57,7 +60,7 @@ class Rules:
 
     def verdict(self, path: str, is_dir: bool) -> bool | None:
         """True: ignored; False: kept explicitly; None: no rule matches."""
-        relative = os.path.relpath(path, self.base).replace(os.sep, "/")
+        relative = path.removeprefix(self.base).lstrip("/")
         for keep, folder, found in reversed(self.rules):
             if (is_dir or not folder) and found.match(relative):
                 return not keep
@@ -65,11 +68,11 @@ class Rules:
 
 
 def read_rules(path: str, base: str) -> Rules | None:
-    if not os.path.isfile(path):
+    if places.kind(path) != "file":
         return None
     rules = Rules(base)
-    with open(path, encoding="utf-8", errors="replace") as lines:
-        for line in lines:
+    with places.opened(path) as found:
+        for line in found.read().decode("utf-8", errors="replace").split("\n"):
             rules.add(line)
     return rules
 
@@ -82,11 +85,11 @@ def global_rules(root: str) -> list[Rules]:
 
 
 def in_repository(root: str) -> bool:
-    at = os.path.abspath(root)
+    at = places.absolute(root)
     while True:
-        if os.path.exists(os.path.join(at, ".git")):
+        if places.kind(posixpath.join(at, ".git")):
             return True
-        at, before = os.path.dirname(at), at
+        at, before = places.parent(at), at
         if at == before:
             return False
 
@@ -97,24 +100,24 @@ Open = tuple[str, list[Rules]]
 
 def _entries(folder: str, above: list[Rules], extra: Rules, versioned: bool, hidden: bool) -> tuple[list[str], list[Open]]:
     """(files, folders) of one folder that nothing excludes; both empty where it can't be read."""
-    own = [read_rules(os.path.join(folder, ".ignore"), folder), read_rules(os.path.join(folder, ".gitignore"), folder) if versioned else None]
+    own = [read_rules(posixpath.join(folder, ".ignore"), folder), read_rules(posixpath.join(folder, ".gitignore"), folder) if versioned else None]
     rules, files, folders = above + [r for r in reversed(own) if r], [], []
     try:
-        entries = sorted(os.scandir(folder), key=lambda e: e.name)
+        entries = places.entries(folder)
     except OSError:
         return [], []
-    for entry in entries:
-        is_dir = entry.is_dir(follow_symlinks=False)
-        if entry.name == ".git" or (entry.name.startswith(".") and not hidden):
+    for name, path, kind in entries:
+        is_dir = kind == "dir"
+        if name == ".git" or (name.startswith(".") and not hidden):
             continue
-        if extra.verdict(entry.path, is_dir):
+        if extra.verdict(path, is_dir):
             continue
-        if next((v for r in reversed(rules) if (v := r.verdict(entry.path, is_dir)) is not None), None):
+        if next((v for r in reversed(rules) if (v := r.verdict(path, is_dir)) is not None), None):
             continue
         if is_dir:
-            folders.append((entry.path, rules))
-        elif entry.is_file(follow_symlinks=False):
-            files.append(entry.path)
+            folders.append((path, rules))
+        else:
+            files.append(path)
     return files, folders
 
 

@@ -2,7 +2,7 @@
 
 The driver reads the uppermost folders only, until there are enough for all
 workers; they walk what lies below, each folder with the ignore rules that hold for
-it, and read the files.  Files that are not UTF-8, or vanish meanwhile, are skipped.  Of files over
+it, and read the files.  The root is a path or a URI (``tessera.sources.files``).  Files that are not UTF-8, or vanish meanwhile, are skipped.  Of files over
 the size cap, which give no chunks, only the hash is taken, block by block.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tessera.batches import ship
 from tessera.functions.languages import DEFAULT_EXTENSIONS, language_of, with_dots
 from tessera.functions.paths import file_extension, relative_path
+from tessera.sources import files as places
 from tessera.sources.ignore import Walk, walk
 
 FILE_TYPE = "path string, content string"
@@ -62,7 +63,7 @@ def paths_below(spark: SparkSession, root: str, extensions=DEFAULT_EXTENSIONS, c
 
 def _read(path: str) -> str | None:
     try:
-        with open(path, "rb") as f:
+        with places.opened(path) as f:
             return f.read().decode("utf-8")
     except (OSError, UnicodeDecodeError):
         return None
@@ -71,12 +72,12 @@ def _read(path: str) -> str | None:
 def _measure(path: str, most: int) -> tuple[str | None, int, str] | None:
     """(content, size, SHA-256); no content over ``most`` bytes; None for what can't be read as text."""
     try:
-        if os.path.getsize(path) <= most:
-            with open(path, "rb") as f:
+        if places.size(path) <= most:
+            with places.opened(path) as f:
                 raw = f.read()
             return raw.decode("utf-8"), len(raw), hashlib.sha256(raw).hexdigest()
         digest, size = hashlib.sha256(), 0
-        with open(path, "rb") as f:
+        with places.opened(path) as f:
             while block := f.read(BLOCK):
                 digest.update(block)
                 size += len(block)
@@ -96,7 +97,7 @@ def with_names(files: DataFrame, root: str) -> DataFrame:
 
 def scan(spark: SparkSession, root: str, max_bytes: int = 1_000_000, **options) -> DataFrame:
     """The files of a codebase: (path, relative_path, ext, language, content, n_bytes, hash)."""
-    root = os.path.abspath(root)
+    root = places.absolute(root)
     ship(spark)
     listed = paths_below(spark, root, **options)
     slices = spark.sparkContext.defaultParallelism * 4
@@ -127,7 +128,7 @@ class CodebaseSource(DataSource):
 
 class _CodebaseReader(DataSourceReader):
     def __init__(self, options):
-        self.root = os.path.abspath(options["path"])
+        self.root = places.absolute(options["path"])
         self.custom, self.ignored = ([x for x in options.get(k, "").split(",") if x] for k in ("custom_extensions", "ignore_patterns"))
 
     def partitions(self):

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 import threading
 from datetime import UTC, datetime
 
 from tessera import messages
 from tessera.errors import StatusError
+from tessera.sources import files
+from tessera.sources.files import Hadoop, Local
 
 VERSION = "v2"
 
@@ -17,31 +18,41 @@ def _now() -> str:
     return datetime.now(UTC).isoformat()
 
 
+def _vanished(path: str) -> bool:
+    """Whether a path surely isn't there; a file system that can't be reached says nothing."""
+    try:
+        return files.kind(path) is None
+    except (OSError, ValueError):
+        return False
+
+
 class StatusBook:
-    """Status by path.  Entries whose path has vanished are left out when the file is read."""
+    """Status by path.  Entries whose path has vanished are left out when the file is read.
 
-    def __init__(self, path: str):
-        self.path, self.lock = path, threading.RLock()
+    ``place`` reads and writes the file: the local file system, or Spark's.
+    """
+
+    def __init__(self, path: str, place: Local | Hadoop | None = None):
+        self.path, self.lock, self.place = path, threading.RLock(), place or Local()
         self.entries: dict[str, dict] = {}
-        if os.path.exists(path):
+        try:
             self.load()
+        except FileNotFoundError:
+            pass
 
     def load(self) -> None:
         try:
-            with open(self.path, encoding="utf-8") as f:
-                found = json.load(f)
+            found = json.loads(self.place.read(self.path))
             if found["formatVersion"] != VERSION:
                 raise KeyError(f"version {found['formatVersion']}")
-            self.entries = {p: e for p, e in found["codebases"].items() if os.path.exists(p)}
+            self.entries = {p: e for p, e in found["codebases"].items() if not _vanished(p)}
         except (ValueError, KeyError, TypeError) as problem:
             raise StatusError(f"{self.path}: {problem}") from problem
 
     def save(self) -> None:
         with self.lock:
-            os.makedirs(os.path.dirname(os.path.abspath(self.path)), exist_ok=True)
-            with open(f"{self.path}.new", "w", encoding="utf-8") as f:
-                json.dump({"formatVersion": VERSION, "codebases": self.entries, "lastUpdated": _now()}, f, indent=2)
-            os.replace(f"{self.path}.new", self.path)
+            saved = {"formatVersion": VERSION, "codebases": self.entries, "lastUpdated": _now()}
+            self.place.replace(self.path, json.dumps(saved, indent=2).encode())
 
     def _set(self, path: str, **entry) -> None:
         with self.lock:

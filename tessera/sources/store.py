@@ -11,14 +11,15 @@ of what they replace: ``dead_files`` and the ``dead_ids`` of their chunks.  Read
 take all layers and leave out, by one anti-join, what a later layer names; so a sync
 writes as much as its changes.  Where deltas get many or large, ``compact`` writes
 the stack out as a new base, in as many files as its bytes ask for.
+
+The data folder is a path or URI of any file system that Spark writes to.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
-import shutil
+import posixpath
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from tessera.errors import EngineError
 from tessera.operators.chunking import CHUNK_TYPE
+from tessera.sources import files
+from tessera.sources.files import Hadoop
 
 SCHEMAS = {
     "chunks": CHUNK_TYPE,
@@ -52,19 +55,18 @@ def store_key(path: str) -> str:
 
 class Store:
     def __init__(self, spark: SparkSession, data_dir: str, codebase: str):
-        self.spark, self.data_dir = spark, os.path.abspath(data_dir)
-        self.folder = os.path.join(self.data_dir, store_key(codebase))
+        self.spark, self.data_dir, self.files = spark, files.absolute(data_dir), Hadoop(spark)
+        self.folder = posixpath.join(self.data_dir, store_key(codebase))
 
     @property
     def current(self) -> int | None:
         try:
-            with open(os.path.join(self.folder, "CURRENT"), encoding="utf-8") as f:
-                return int(f.read())
+            return int(self.files.read(posixpath.join(self.folder, "CURRENT")))
         except FileNotFoundError:
             return None
 
     def _path(self, generation: int, name: str) -> str:
-        return os.path.join(self.folder, f"gen={generation}", name)
+        return posixpath.join(self.folder, f"gen={generation}", name)
 
     def layers(self, generation: int | None = None) -> list[dict]:
         """The layers of a generation (the current one), the base first: {gen, tables}."""
@@ -72,8 +74,7 @@ class Store:
         if at is None:
             return []
         try:
-            with open(self._path(at, "MANIFEST.json"), encoding="utf-8") as f:
-                return json.load(f)["layers"]
+            return json.loads(self.files.read(self._path(at, "MANIFEST.json")))["layers"]
         except FileNotFoundError:
             return []
 
@@ -115,31 +116,23 @@ class Store:
     def _claim(self) -> int:
         """A generation number that no other writer has: making its folder succeeds once."""
         new = (self.current or 0) + 1
-        os.makedirs(self.folder, exist_ok=True)
-        while True:
-            try:
-                os.mkdir(os.path.join(self.folder, f"gen={new}"))
-                return new
-            except FileExistsError:
-                new += 1
+        while not self.files.claim(posixpath.join(self.folder, f"gen={new}")):
+            new += 1
+        return new
 
     def _publish(self, new: int, before: int | None, layers: list[dict]) -> int:
         if self.current != before:
-            shutil.rmtree(os.path.join(self.folder, f"gen={new}"), ignore_errors=True)
+            self.files.remove(posixpath.join(self.folder, f"gen={new}"))
             raise EngineError("another run has changed the index meanwhile")
-        with open(self._path(new, "MANIFEST.json"), "w", encoding="utf-8") as f:
-            json.dump({"layers": layers}, f)
-        pointer = os.path.join(self.folder, "CURRENT")
-        with open(f"{pointer}.{new}", "w", encoding="utf-8") as f:
-            f.write(str(new))
-        os.replace(f"{pointer}.{new}", pointer)
+        self.files.write(self._path(new, "MANIFEST.json"), json.dumps({"layers": layers}).encode())
+        self.files.replace(posixpath.join(self.folder, "CURRENT"), str(new).encode())
         self._tidy(new, before)
         return new
 
     def size(self, layers: list[dict], tables: list[str] = TABLES) -> int:
         """Bytes of the files of some layers."""
         found = (self._path(layer["gen"], name) for layer in layers for name in layer["tables"] if name in tables)
-        return sum(os.path.getsize(os.path.join(at, f)) for path in found for at, _, files in os.walk(path) for f in files)
+        return sum(map(self.files.bytes_below, found))
 
     def due(self) -> bool:
         """Whether the current generation's deltas should be merged."""
@@ -152,17 +145,17 @@ class Store:
         before, layers = self.current, self.layers()
         new = self._claim()
         for name in TABLES:
-            files = max(1, -(-self.size(layers, [name]) // FILE_BYTES))
-            self.read(name, before).repartitionByRange(files, ORDER[name][0]).sortWithinPartitions(*ORDER[name]).write.mode("overwrite").parquet(self._path(new, name))
+            parts = max(1, -(-self.size(layers, [name]) // FILE_BYTES))
+            self.read(name, before).repartitionByRange(parts, ORDER[name][0]).sortWithinPartitions(*ORDER[name]).write.mode("overwrite").parquet(self._path(new, name))
         return self._publish(new, before, [{"gen": new, "tables": TABLES}])
 
     def _tidy(self, new: int, before: int | None) -> None:
         """Remove what the last ``KEPT`` generations don't read; folders that a writer still fills are newer than these."""
         last = sorted({g for g in (new, before) if g is not None})[-KEPT:]
         used = {layer["gen"] for n in last for layer in self.layers(n)} | set(last)
-        for entry in os.listdir(self.folder):
+        for entry in self.files.names(self.folder):
             if entry.startswith("gen=") and int(entry[4:]) < new and int(entry[4:]) not in used:
-                shutil.rmtree(os.path.join(self.folder, entry), ignore_errors=True)
+                self.files.remove(posixpath.join(self.folder, entry))
 
     def exists(self) -> bool:
         return self.current is not None
@@ -175,5 +168,5 @@ class Store:
 
     def drop(self) -> None:
         """Remove everything; nothing outside the data folder is touched."""
-        if os.path.commonpath([self.data_dir, self.folder]) == self.data_dir and self.folder != self.data_dir:
-            shutil.rmtree(self.folder, ignore_errors=True)
+        if self.folder == posixpath.join(self.data_dir, posixpath.basename(self.folder)) and self.folder != self.data_dir:
+            self.files.remove(self.folder)
