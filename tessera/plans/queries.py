@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import languages, paths
 from tessera.functions.text import embedding_input, line_count, tokens
 from tessera.functions.vectors import as_double, cosine
-from tessera.operators import blockmax, bm25, chunking, fusion, neighbour_graph, sync, vector
+from tessera.operators import blockmax, bm25, chunking, folder_tree, fusion, neighbour_graph, sync, vector
 from tessera.plans.corpus import FILES_SQL, ROOT, files, pages, query_vector, table, texts, vectors
 from tessera.sources.embedding import HashingEmbedder, embedding
 from tessera.sources.places import fresh_folder
@@ -706,6 +706,46 @@ def dag_parts(spark, sf_dir):
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
+#: DuckDB: the states with a folder for each digit of the document's number.
+_DEEP_SQL = (
+    "deep_{0} AS (SELECT regexp_replace(relative_path, '/.*', '') || '/' || regexp_replace(regexp_extract(relative_path, '/([0-9]+)', 1), '(.)', '\\1/', 'g') || "
+    "regexp_replace(relative_path, '.*/', '') AS relative_path, hash FROM {0})"
+)
+
+
+def _deep(state: DataFrame) -> DataFrame:
+    """A state of the corpus with a folder for each digit of the document's number."""
+    digits = F.regexp_replace(F.regexp_extract("relative_path", "/([0-9]+)", 1), "(.)", "$1/")
+    path = F.concat(F.substring_index("relative_path", "/", 1), F.lit("/"), digits, F.substring_index("relative_path", "/", -1))
+    return state.select(path.alias("relative_path"), "hash")
+
+
+@query(
+    f"WITH RECURSIVE {_STATES_SQL}, {_DEEP_SQL.format('old')}, "
+    "own AS (SELECT relative_path AS node, 'file' AS kind, hash, len(string_split(relative_path, '/')) - 1 AS level FROM deep_old), "
+    "inner_nodes AS (SELECT NULL::VARCHAR AS node, 'none' AS kind, NULL::VARCHAR AS hash, (SELECT max(level) FROM own) + 1 AS level "
+    "UNION ALL SELECT node, 'folder', sha256(string_agg(fan || hash, '' ORDER BY fan)), level FROM ("
+    "SELECT node, level, fan, sha256(string_agg(part, '' ORDER BY part)) AS hash FROM ("
+    "SELECT regexp_replace(child, '/?[^/]*$', '') AS node, level, substring(sha256(regexp_replace(child, '.*/', '')), 1, 3) AS fan, substring(kind, 1, 2) || sha256(regexp_replace(child, '.*/', '')) || hash AS part "
+    "FROM (SELECT node AS child, kind, hash, level - 1 AS level FROM inner_nodes WHERE kind = 'folder' AND level > 0 "
+    "UNION ALL SELECT own.node, own.kind, own.hash, own.level FROM own WHERE own.level = (SELECT max(level) - 1 FROM inner_nodes))) GROUP BY node, level, fan) GROUP BY node, level) "
+    "SELECT node, kind, hash FROM inner_nodes WHERE kind = 'folder' UNION ALL SELECT node, kind, hash FROM own"
+)
+def folder_hashes(spark, sf_dir):
+    """Hashes of all folders and files, from the deepest up."""
+    return folder_tree.build(spark, _deep(_states(spark, sf_dir)[0])).nodes()
+
+
+@query(
+    f"WITH {_STATES_SQL.replace('old AS', 'flat_old AS').replace('new AS', 'flat_new AS')}, {_DEEP_SQL.format('flat_old')}, {_DEEP_SQL.format('flat_new')}, "
+    f"old AS (SELECT * FROM deep_flat_old), new AS (SELECT * FROM deep_flat_new), {_DIFF_SQL} SELECT relative_path, change FROM changes"
+)
+def folder_diff(spark, sf_dir):
+    """Changed files, found by descending from the roots of two trees through what is unlike."""
+    old, new = (folder_tree.build(spark, _deep(state)) for state in _states(spark, sf_dir))
+    return folder_tree.compare(old, new)[0]
+
+
 @query(f"WITH {_STATES_SQL}, {_DIFF_SQL} SELECT relative_path, change FROM changes")
 def diff_states(spark, sf_dir):
     return sync.diff(*_states(spark, sf_dir))
