@@ -132,6 +132,12 @@ def test_unreadable_structure_falls_back():
     assert [p.text for _, p in chunking.split_code("def broken(:", "python", "/p")] == ["def broken(:"]
 
 
+@pytest.mark.parametrize("deep", ["-" * 20_000 + "1", "lorem [" * 5_000])
+def test_text_too_deep_for_the_parser_falls_back(deep):
+    assert split_structure(deep, "python") is None
+    assert "".join(p.text for _, p in chunking.split_code(deep, "python", "/p", size=1000, overlap=0)) == deep
+
+
 @given(st.text(max_size=200), st.sampled_from(sorted(SCANNERS)))
 @settings(max_examples=400, deadline=None)
 def test_scanners_never_fail(text, language):
