@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 if __name__ == "__main__":
     sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from jobs.settings import command_line
+from jobs.settings import command_line, shuffles_cleaned
 from tessera.functions.text import tokens
 from tessera.operators import blockmax
 
@@ -34,7 +34,8 @@ def run(spark: SparkSession, source: str, target: str, format: str = "parquet",
     docs = spark.read.format(format).load(source).select(F.col(id_column).alias("id"), F.col(text_column).alias("content")).filter("id IS NOT NULL")
     sized = docs.select("id", F.size(tokens(F.coalesce("content", F.lit("")))).cast("long").alias("dl"))
     sized = sized.withColumn("class", blockmax.length_class(F.col("dl")))
-    blockmax.write(blockmax.build(docs, block_docs, buckets), f"{target}/postings")
+    with shuffles_cleaned(spark):
+        blockmax.write(blockmax.build(docs, block_docs, buckets), f"{target}/postings")
     sized.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("class").parquet(f"{target}/documents")
     documents, postings = spark.read.parquet(f"{target}/documents"), spark.read.schema("bucket int, term string, docs long").parquet(f"{target}/postings")
     size = documents.agg(F.count("*").alias("documents"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first().asDict()

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,6 +21,18 @@ def load(path: str, known: dict) -> dict:
     return known | given
 
 
+@contextlib.contextmanager
+def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the write that made them ends, not when the driver's collector gets to them; the setting is restored."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def command_line(job: Callable[..., dict], known: dict, config: str, about: str, argv: list[str] | None = None) -> int:
     """Run ``job`` with the settings of --config and the options given; creates and stops the session."""
     parser = argparse.ArgumentParser(description=about)

@@ -19,11 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
-from tessera.operators.bm25 import idf, weight
+from tessera.operators.bm25 import document_frequencies, idf, weight
 
 BLOCK_DOCS = 128
 BUCKETS = 16
 LEAD = 4
+HOT_DOCS = 2048
 #: Scores are rounded to six digits; bounds have to clear the bar by less than that.
 SLACK = 2e-6
 
@@ -43,32 +44,51 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return (hashed(term, 4) % buckets).cast("int")
 
 
-def build(docs: DataFrame, block_docs: int = BLOCK_DOCS, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, term, block, df, docs, top, ids, parts) of ``docs`` (id, content).
+def counted(split: DataFrame) -> DataFrame:
+    """The rows of ``split`` (…, w) with ``terms``, an array of (term, tf), null where there are none, instead of ``w``; nothing is shuffled."""
+    held = split.withColumn("w", F.sort_array("w"))
+    new = lambda k: (k == 0) | (F.get("w", k) != F.get("w", k - 1))
+    held = held.withColumn("starts", F.when(F.size("w") > 0, F.filter(F.sequence(F.lit(0), F.size("w") - 1), new)))
+    ends = lambda i: F.coalesce(F.get("starts", i + 1), F.size("w"))
+    return held.withColumn("terms", F.transform("starts", lambda k, i: F.struct(F.get("w", k).alias("term"), (ends(i) - k).alias("tf")))).drop("w", "starts")
+
+
+def build(docs: DataFrame, block_docs: int = BLOCK_DOCS, buckets: int = BUCKETS, hot_docs: int = HOT_DOCS) -> DataFrame:
+    """(bucket, term, block, df, docs, top, ids, parts) of ``docs`` (id, content), laid out in order of terms within buckets.
 
     ``parts`` are the term's contributions to the scores of ``ids``, ``top`` is the
-    largest.  Documents of a length class are dealt to as many blocks as it needs; the
-    classes, at most a few hundred, and the corpus's size are the only broadcasts.
+    largest.  Documents of a length class are dealt to as many blocks as it needs.  Terms
+    are counted within documents; documents are exchanged by block, and the blocks'
+    postings once more, into the order in which they are stored.  A term's rows meet
+    there in one task and are counted in it; a term of over ``hot_docs`` documents and a
+    hundredth of all is counted apart and may be laid over several tasks.  One row of
+    sizes and those terms, at most a hundred times a document's, are the only broadcasts.
     """
     split = docs.select("id", tokens(F.col("content")).alias("w")).select("id", "w", F.size("w").cast("long").alias("dl"))
     split = split.withColumn("class", length_class(F.col("dl")))
-    stats = split.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    classes = split.groupBy("class").agg(F.ceil(F.count("*") / block_docs).alias("shards"))
-    counted = split.select("id", "dl", "class", F.explode("w").alias("term")).groupBy("id", "term", "dl", "class").agg(F.count("*").alias("tf"))
-    placed = counted.join(F.broadcast(classes), "class").withColumn("block", F.concat_ws("-", "class", (hashed(F.col("id")) % F.col("shards")).cast("string")))
-    blocks = placed.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("held"))
-    # terms are counted by block, so a term of every document is a key of a block's worth of rows each
-    df = blocks.groupBy("term").agg(F.sum(F.size("held")).alias("df"))
-    known = blocks.join(df, "term").crossJoin(F.broadcast(stats))
-    part = lambda p: idf(F.col("n"), F.col("df")) * weight(p["tf"], p["dl"], F.col("avgdl"))
-    rows = known.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", "block", "df", F.size("held").cast("long").alias("docs"), F.col("held.id").alias("ids"), F.transform("held", part).alias("parts"))
-    return rows.select("bucket", "term", "block", "df", "docs", F.array_max("parts").alias("top"), "ids", "parts")
+    classes = split.groupBy("class").agg(F.count("*").alias("n"), F.sum("dl").alias("dl"), F.count("dl").alias("sized"))
+    shards = F.map_from_entries(F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", F.ceil(F.col("n") / block_docs)))))
+    sizes = classes.agg(F.sum("n").alias("n"), (F.sum("dl") / F.nullif(F.sum("sized"), F.lit(0))).alias("avgdl"), shards.alias("shards"))
+    block = F.concat_ws("-", "class", (hashed(F.col("id")) % F.element_at("shards", F.col("class"))).cast("string"))
+    placed = counted(split).crossJoin(F.broadcast(sizes)).select(block.alias("block"), "id", "dl", "n", "avgdl", "terms").repartition("block")
+    # a plain explode makes Spark test the array below, where it would be computed anew for each of its terms
+    each = placed.select("block", "id", "dl", "n", "avgdl", F.explode_outer("terms").alias("t")).filter("t IS NOT NULL")
+    blocks = each.groupBy("block", F.col("t.term").alias("term"), "n", "avgdl").agg(F.sort_array(F.collect_list(F.struct("id", F.col("t.tf").alias("tf"), F.col("dl").cast("int").alias("dl")))).alias("held"))
+    compact = blocks.select("block", "term", "n", "avgdl", F.col("held.id").alias("ids"), F.col("held.tf").alias("tfs"), F.col("held.dl").alias("dls"))
+    common = document_frequencies(docs).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).filter((F.col("df") > hot_docs) & (F.col("df") * 100 > F.col("n")))
+    known = compact.join(F.broadcast(common.select("term", F.col("df").alias("hot"))), "term", "left")
+    keys = known.withColumn("bucket", bucket_of(F.col("term"), buckets)).withColumn("place", F.when(F.col("hot").isNotNull(), F.col("block")).otherwise(""))
+    laid = keys.repartitionByRange("bucket", "term", "place").sortWithinPartitions("bucket", "term", "place", "block")
+    own = F.sum(F.size("ids")).over(Window.partitionBy("bucket", "term", "place"))
+    rows = laid.withColumn("df", F.coalesce("hot", own))
+    part = lambda p: idf(F.col("n"), F.col("df")) * weight(p["tfs"], p["dls"], F.col("avgdl"))
+    rows = rows.withColumn("parts", F.transform(F.arrays_zip("tfs", "dls"), part))
+    return rows.select("bucket", "term", "block", "df", F.size("ids").cast("long").alias("docs"), F.array_max("parts").alias("top"), "ids", "parts")
 
 
 def write(index: DataFrame, path: str) -> None:
-    """The index as files by bucket, in order of terms: a query's terms are in few of them, and hot terms in several."""
-    laid = index.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
-    laid.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path)
+    """The index of ``build`` as files by bucket, in order of terms: a query's terms are in few of them, and hot terms in several."""
+    index.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path)
 
 
 def bounds(index: DataFrame, queries: DataFrame, buckets: int = BUCKETS) -> DataFrame:

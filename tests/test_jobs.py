@@ -157,6 +157,15 @@ def test_blocks_are_passed_over_and_bounds_hold(spark, tmp_path, corpus):
     assert "parts" not in plan and "ids" not in plan
 
 
+def test_index_is_the_same_whatever_counts_as_hot_and_postings_move_by_block_alone(spark, corpus):
+    docs, _ = corpus
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.select("bucket", "term", "block", "df", "docs", "top", "ids", "parts").collect())
+    cold, hot = blockmax.build(docs, 16, hot_docs=10**9), blockmax.build(docs, 16, hot_docs=50)
+    assert rows(cold) == rows(hot)
+    plan = hot._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan and "hashpartitioning(block" in plan and "SortMergeJoin" not in plan
+
+
 def test_newest_versions_in_any_order(spark, tmp_path):
     from itertools import permutations
 
