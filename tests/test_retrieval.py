@@ -72,6 +72,27 @@ def test_lsh_recall(spark):
     assert len(exact & near) / len(exact) > 0.9
 
 
+def test_batches_and_buckets_equal_single_pairs(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    some = [[1.0, *(float(rng.choice([-2, -1, 0, 1, 2])) for _ in range(3))] for _ in range(40)]
+    odd = [None, [float("nan")] * 4, [1.0, None, 1.0, 1.0], [1.0, 2.0]]
+    rows = frame(spark, list(enumerate(some + some + odd)), "id int, vector array<double>")
+    asked = rows.filter("id % 3 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    monkeypatch.setattr(vector, "SET_VECTORS", 16)
+    monkeypatch.setattr(vector, "SET_QUERIES", 8)
+    text = lambda df: sorted(map(str, df.collect()))
+    pairs = rows.crossJoin(asked).select("query_id", "id", F.round(vector.cosine(F.col("vector"), F.col("query")), 6).alias("score"))
+    placed = lambda df: df.selectExpr("*", "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank").filter("rank <= 7").withColumn("rank", F.col("rank").cast("long"))
+    assert text(vector.batch_top(rows, asked, 7)) == text(placed(pairs))
+    model = vector.lsh_model(4, 2, 3)
+    v, q = rows.withColumnRenamed("vector", "v"), asked.withColumnRenamed("query", "q")
+    near = vector.lsh_top(rows, asked, 7, 4, model)
+    assert text(near) == text(placed(vector._lsh_pairs(v, q, model)))
+    assert "MapInArrow" in near._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("folder", ["sf0.001", "sf0.01", "sf0.1"])
 def test_lsh_recall_on_the_embeddings(spark, folder):
     from tessera.plans.queries import QUERIES
