@@ -10,13 +10,14 @@ byte trigrams, which can spell any word (its weight is the share of words met
 once, as by Good and Turing), so every text has a probability.
 
 Training is truncated backpropagation through time on segments of ``SEGMENT``
-words, drawn by a hash from all training documents, whatever their length: first
-on the driver, on ``SAMPLE_TOKENS`` words or so of about ``sample_docs``
-documents; then, distributed, on a share of all words, ``PASS_LEAST`` and a
-sixteenth of the corpus (``PASS_SHARE``), so what the network learns from grows
-with its input.  Counts, groups' masses and base cover every word.  The state is
-carried across windows, in training within a segment, in scoring through the
-whole document, so a score is the whole document's log-likelihood.
+words of all training documents: first on the driver, on those that a hash puts
+first, ``SAMPLE_TOKENS`` words or so of about ``sample_docs`` documents; then,
+distributed, on all others, so no training word is left out.  Counts, groups'
+masses and base cover every word, too.  The state is carried across windows, in
+training within a segment, in scoring through the whole document, so a score is
+the whole document's log-likelihood.
+
+Texts become numbers once, in a table that training and scoring read.
 
 Corpus counts.  The unigram base needs the count of every token over all training
 documents.  Counts are combined in the workers before they are shuffled; the
@@ -72,12 +73,14 @@ SCORE_WINDOW = 64
 EPOCHS = 2
 FLUSH = 100_000
 SCORED_TOKENS = 2_000_000
-#: The pass over the corpus: its words, a part that is fixed and one that grows; words that a worker trains on at once, its step, shards while few and later, sums of weights that reach the driver.
-PASS_LEAST, PASS_SHARE = 1_000_000, 1 / 16
-PASS_TOKENS = 200_000
+#: The pass over the corpus: words that a worker trains on at once, in how many lanes after the first ones of a shard, its step, shards while few and later, sums of weights that reach the driver.
+PASS_TOKENS, PASS_LANES = 200_000, 384
 PASS_RATE = 0.003
 SHARD_TOKENS, FEW_SHARDS, LARGE_SHARD_TOKENS = 500_000, 64, 4_000_000
 PASS_SUMS = 16
+#: How the rows of words are stored.
+ROW = np.dtype("<i4")
+ROW_BYTES = ROW.itemsize
 WEIGHTS = ("embed", "inner", "recur", "bias", "to_class", "class_bias", "to_word", "word_bias")
 
 
@@ -298,20 +301,20 @@ def gradients(net: Network, state: np.ndarray, given: np.ndarray, goals: np.ndar
     for k in ("to_class", "class_bias", "to_word", "word_bias"):
         grads[k] /= max(1, used.sum())
     back = np.zeros((lanes, hidden), net.recur.dtype)
-    d_table = np.empty_like(table)
+    d_table, reset = np.empty_like(table), np.empty_like(after)
     for t in range(size - 1, -1, -1):
         (z, r, c), h = gate[t], entry[t]
         d = d_after[t] + back
         dc = d * (1 - z) * (1 - c * c)
         drh = dc @ net.recur[:, 2 * hidden :].T
         dz, dr = d * (h - c) * z * (1 - z), drh * h * r * (1 - r)
-        dzr = np.concatenate((dz, dr), 1)
-        grads["recur"][:, : 2 * hidden] += h.T @ dzr
-        grads["recur"][:, 2 * hidden :] += (r * h).T @ dc
-        d_table[t] = np.concatenate((dzr, dc), 1)
-        back = d * z + drh * r + dzr @ net.recur[:, : 2 * hidden].T
+        own = d_table[t]
+        own[:, :hidden], own[:, hidden : 2 * hidden], own[:, 2 * hidden :], reset[t] = dz, dr, dc, r * h
+        back = d * z + drh * r + own[:, : 2 * hidden] @ net.recur[:, : 2 * hidden].T
         back[first[t]] = 0
     flat, words = d_table.reshape(-1, 3 * hidden), given.reshape(-1)
+    grads["recur"][:, : 2 * hidden] = np.concatenate(entry).T @ flat[:, : 2 * hidden]
+    grads["recur"][:, 2 * hidden :] = reset.reshape(-1, hidden).T @ flat[:, 2 * hidden :]
     grads["bias"] = flat.sum(0)
     grads["inner"] = net.embed[words].T @ flat
     order = np.argsort(words, kind="stable")
@@ -502,18 +505,29 @@ def frequent_words(counts: DataFrame, head: int) -> list:
     return sorted(counts.filter((F.col("c") >= least) & (F.col("word") != END)).collect(), key=lambda r: (-r["c"], r["word"]))
 
 
-def _segments(batches: Iterator[pd.DataFrame], share: float) -> Iterator[pd.DataFrame]:
-    """(place, text, ended): the segments of texts whose place, a number that a hash puts in [0, 1), lies below ``share``."""
+def _own_name(doc: str | None, text: str | None) -> str:
+    """What a document's segments are drawn by."""
     from xxhash import xxh64_intdigest
 
+    return f"{doc}:{xxh64_intdigest((text or '').encode('utf-8', 'surrogatepass'))}"
+
+
+def _place(own: str, k: int) -> float:
+    """A number in [0, 1) for the segment of a document that starts at its word k."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(f"{own}:{k}") / 2.0**64
+
+
+def _segments(batches: Iterator[pd.DataFrame], share: float) -> Iterator[pd.DataFrame]:
+    """(place, text, ended): the segments of texts whose place lies below ``share``."""
     names = ["place", "text", "ended"]
     for batch in batches:
         out = []
         for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-            words = word_list(text, lower=True)
-            own = f"{doc}:{xxh64_intdigest((text or '').encode('utf-8', 'surrogatepass'))}"
+            words, own = word_list(text, lower=True), _own_name(doc, text)
             for k in range(0, len(words) + 1, SEGMENT):
-                place = xxh64_intdigest(f"{own}:{k}") / 2.0**64
+                place = _place(own, k)
                 if place < share:
                     out.append((place, b" ".join(words[k : k + SEGMENT]), k + SEGMENT > len(words)))
             if len(out) > 2000:
@@ -522,10 +536,22 @@ def _segments(batches: Iterator[pd.DataFrame], share: float) -> Iterator[pd.Data
         yield pd.DataFrame(out, columns=names)
 
 
+def _numbered_segments(batches: Iterator[pd.DataFrame], share: float) -> Iterator[pd.DataFrame]:
+    """(place, numbers): the other segments, of documents (own, numbers) whose words and end are rows of the network."""
+    for batch in batches:
+        out = []
+        for own, numbers in zip(batch["own"], batch["numbers"], strict=True):
+            for k in range(0, len(numbers) // ROW_BYTES, SEGMENT):
+                place = _place(own, k)
+                if place >= share:
+                    out.append((place, numbers[k * ROW_BYTES : (k + SEGMENT) * ROW_BYTES]))
+        yield pd.DataFrame(out, columns=["place", "numbers"])
+
+
 def fit(
     texts: DataFrame, counts: DataFrame, total: int, distinct: int, sample_docs: int = SAMPLE_DOCS, head: int = HEAD, vocabulary: int = VOCABULARY, groups: int = GROUPS, **options
-) -> Model:
-    """Train on segments of ``texts`` (doc_id, text), see above; vocabulary, masses and base come from all counts."""
+) -> tuple[Model, float]:
+    """(a model that has learned from the first segments of ``texts`` (doc_id, text), by place, and their share); vocabulary, masses and base come from all counts."""
     frequent = frequent_words(counts, head)
     norm = float(np.log10(max(1, total + distinct + 1)))
     ends = next((r["c"] for r in counts.filter(F.col("word") == END).collect()), 0)
@@ -533,11 +559,9 @@ def fit(
     c = np.array([r["c"] for r in frequent], np.float64)
     vocabulary = min(vocabulary, len(words))
     rank = {w: k for k, w in enumerate(words)}
-    first = min(sample_docs / max(1, ends), SAMPLE_TOKENS / max(1, total))  # every training document has one end
-    share = min(1.0, first + PASS_LEAST / max(1, total) + PASS_SHARE)
-    drawn = texts.select(F.col("doc_id").cast("string"), "text").mapInPandas(lambda batches: _segments(batches, share), "place double, text binary, ended boolean")
-    drawn = materialize(drawn, "segments")
-    sample = drawn.filter(F.col("place") < first).toPandas().sort_values(["place", "text"], kind="stable")
+    first = min(1.0, sample_docs / max(1, ends), SAMPLE_TOKENS / max(1, total))  # every training document has one end
+    drawn = texts.select(F.col("doc_id").cast("string"), "text").mapInPandas(lambda batches: _segments(batches, first), "place double, text binary, ended boolean")
+    sample = drawn.toPandas().sort_values(["place", "text"], kind="stable")
     parts = [bytes(t).split() for t in sample["text"]]
     tail = tail_groups(speller(words[vocabulary:]), parts, words[vocabulary:], groups)
     mass, once = group_masses(counts, rank, vocabulary, tail)
@@ -548,10 +572,8 @@ def fit(
     lexicon = Lexicon(rank, vocabulary, tail, rows)
     docs = [lexicon.numbers(w, e)[0] for w, e in zip(parts, sample["ended"].tolist(), strict=True)]
     net = train([d for d in docs if len(d)], np.concatenate(([ends], mass, c[:vocabulary])), **options)
-    if first < share:
-        net = whole_pass(net, drawn.filter(F.col("place") >= first), lexicon, int(total * (share - first)))
     rarer = tail.chance(c[vocabulary:], own, tail.spelled(words[vocabulary:], own))
-    return Model(net, net.gates(), lexicon, np.concatenate((np.log10(c + 1) - norm, [0.0])), np.concatenate((np.zeros(vocabulary), rarer, [0.0])), float(np.log10(ends + 1) - norm))
+    return Model(net, net.gates(), lexicon, np.concatenate((np.log10(c + 1) - norm, [0.0])), np.concatenate((np.zeros(vocabulary), rarer, [0.0])), float(np.log10(ends + 1) - norm)), first
 
 
 def group_masses(counts: DataFrame, rank: dict[bytes, int], vocabulary: int, tail: Tail) -> tuple[np.ndarray, np.ndarray]:
@@ -576,36 +598,34 @@ def group_masses(counts: DataFrame, rank: dict[bytes, int], vocabulary: int, tai
     return mass, once
 
 
-def whole_pass(net: Network, segments: DataFrame, lexicon: Lexicon, total: int) -> Network:
-    """``net`` after one pass over ``segments`` (place, text, ended): shards train from it apart, and their weights are averaged by tokens.
+def whole_pass(net: Network, segments: DataFrame, total: int) -> Network:
+    """``net`` after one pass over ``segments`` (place, numbers): shards train from it apart, and their weights are averaged by tokens.
 
     Shards and their order depend on the rows alone, not on how they were partitioned.
     """
     shards = max(1, min(FEW_SHARDS, -(-total // SHARD_TOKENS)), -(-total // LARGE_SHARD_TOKENS))
-    sent = segments.sparkSession.sparkContext.broadcast((net, lexicon))
+    sent = segments.sparkSession.sparkContext.broadcast(net)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, lexicon = sent.value
+        first = sent.value
         fresh = lambda: replace(first, **{k: getattr(first, k).copy() for k in WEIGHTS})
         own, held, size, tokens, shard = fresh(), [], 0, 0, -1
 
         def out() -> pd.DataFrame:
-            descend(own, held, rate=PASS_RATE)
+            descend(own, held, lanes=PASS_LANES if tokens else LANES, rate=PASS_RATE)
             flat = np.concatenate([getattr(own, k).reshape(-1) for k in WEIGHTS]).astype(np.float64)
             return pd.DataFrame({"part": [shard % PASS_SUMS], "shard": [shard], "n": [tokens + size], "w": [flat.tobytes()]})
 
         for batch in batches:
-            for text, ended, at in zip(batch["text"], batch["ended"].tolist(), batch["shard"].tolist(), strict=True):
+            for row, at in zip(batch["numbers"], batch["shard"].tolist(), strict=True):
                 if at != shard:
                     if tokens + size:
                         yield out()
                     own, held, size, tokens, shard = fresh(), [], 0, 0, at
-                numbers = lexicon.numbers(bytes(text).split(), ended)[0]
-                if len(numbers):
-                    held.append(numbers)
-                    size += len(numbers)
+                held.append(np.frombuffer(row, ROW))
+                size += len(held[-1])
                 if size >= PASS_TOKENS:
-                    descend(own, held, rate=PASS_RATE)
+                    descend(own, held, lanes=PASS_LANES if tokens else LANES, rate=PASS_RATE)
                     held, size, tokens = [], 0, tokens + size
         if tokens + size:
             yield out()
@@ -624,7 +644,7 @@ def whole_pass(net: Network, segments: DataFrame, lexicon: Lexicon, total: int)
             yield pd.DataFrame({"part": [part], "n": [n], "w": [total.tobytes()]})
 
     dealt = segments.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int"))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "place", "text").select("text", "ended", "shard")
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "place", "numbers").select("numbers", "shard")
     learned = dealt.mapInPandas(learn, "part int, shard int, n long, w binary")
     ordered = learned.repartition("part").sortWithinPartitions("part", "shard")
     sums = sorted(ordered.mapInPandas(add, "part int, n long, w binary").collect(), key=lambda r: r["part"])
@@ -642,39 +662,50 @@ def _ranks(rank: dict[bytes, int], words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(rank.get, words, repeat(-1)), np.int32, len(words))
 
 
-def _score_batches(model: Model, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per text: tokens, tokens in the head, their base score, the network's score, and the other words' counts, groups and spelling.
-
-    Texts become numbers at once, and many are scored together: a long document
-    runs beside others instead of alone.
-    """
-    names = ["uid", "doc_id", "held_out", "n_tokens", "head_tokens", "head_base", "odd", "words", "ns", "groups", "spelled"]
-    log10 = np.log(10)
-
-    def out(rows: list, numbers: list[np.ndarray]) -> pd.DataFrame:
-        got = pd.DataFrame(rows, columns=names)
-        got["score"] = score_documents(model.net, numbers, model.gates) / log10 + got.pop("odd")
-        return got
-
-    rows, numbers, held = [], [], 0
+def _encode_batches(model: Model, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per text: tokens, tokens in the head, their base score, what they cost within their groups, the other words' counts, groups and spelling, and all tokens as rows of the network."""
+    names = ["uid", "doc_id", "held_out", "own", "n_tokens", "head_tokens", "head_base", "odd", "words", "ns", "groups", "spelled", "numbers"]
     for batch in batches:
+        rows = []
         for uid, doc_id, held_out, text in zip(batch["uid"], batch["doc_id"], batch["held_out"], batch["text"], strict=True):
             words = word_list(text, lower=True)
-            own, ranks, groups = model.lexicon.numbers(words)
+            numbers, ranks, groups = model.lexicon.numbers(words)
             tail = Counter(words[i] for i in np.flatnonzero(ranks < 0))
             other, kinds = list(tail), np.fromiter((groups[w] for w in tail), np.int64, len(tail))
             known = int((ranks >= 0).sum()) + 1
             rows.append((
-                uid, doc_id, held_out, len(words) + 1, known, model.base_end + float(model.base[ranks].sum()), float(model.rarer[ranks].sum()),
+                uid, doc_id, held_out, _own_name(doc_id, text), len(words) + 1, known, model.base_end + float(model.base[ranks].sum()), float(model.rarer[ranks].sum()),
                 [w.decode("utf-8", "surrogatepass") for w in other], np.fromiter(tail.values(), np.int64, len(tail)), kinds.astype(np.int32), model.lexicon.tail.spelled(other, kinds),
+                numbers.astype(ROW).tobytes(),
             ))
-            numbers.append(own)
-            held += len(words)
-            if held > SCORED_TOKENS:
-                yield out(rows, numbers)
-                rows, numbers, held = [], [], 0
-    if rows:
-        yield out(rows, numbers)
+        yield pd.DataFrame(rows, columns=names)
+
+
+def _score_batches(model: Model, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``_score_numbers`` of texts."""
+    yield from _score_numbers(model.net, model.gates, _encode_batches(model, batches))
+
+
+def _score_numbers(net: Network, gates: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The network's score of texts that are numbers, and the other columns but for what it is made of.
+
+    Many are scored together: a long document runs beside others instead of alone.
+    """
+    held, size = [], 0
+
+    def out() -> pd.DataFrame:
+        got = pd.concat(held, ignore_index=True)
+        numbers = [np.frombuffer(x, ROW) for x in got.pop("numbers")]
+        return got.assign(score=score_documents(net, numbers, gates) / np.log(10) + got.pop("odd"))
+
+    for batch in batches:
+        held.append(batch)
+        size += int(batch["n_tokens"].sum())
+        if size > SCORED_TOKENS:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7, **options) -> DataFrame:
@@ -686,19 +717,33 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     counts = materialize(token_counts(learned), "counts")
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = totals["n"] or 0, totals["v"]
-    model = fit(learned, counts, total, distinct, **options)
+    model, first = fit(learned, counts, total, distinct, **options)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _score_batches(sent.value, batches)
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _encode_batches(sent.value, batches)
 
     id_type = docs.schema[id_col].dataType
     made = rows.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("string"), held_out.alias("held_out"), "text").mapInPandas(
-        run, "uid long, doc_id string, held_out boolean, n_tokens long, head_tokens long, head_base double, words array<string>, ns array<long>, groups array<int>, spelled array<double>, score double"
+        encode,
+        "uid long, doc_id string, held_out boolean, own string, n_tokens long, head_tokens long, head_base double, odd double, "
+        "words array<string>, ns array<long>, groups array<int>, spelled array<double>, numbers binary",
     )
-    scored = materialize(made.withColumn("doc_id", F.col("doc_id").cast(id_type)), "scores")
+    encoded = materialize(made, "encoded")
+    net = model.net
+    if first < 1:
+        segments = encoded.filter("NOT held_out").select("own", "numbers").mapInPandas(lambda b: _numbered_segments(b, first), "place double, numbers binary")
+        net = whole_pass(net, segments, int(total * (1 - first)))
+    learned_net = docs.sparkSession.sparkContext.broadcast((net, net.gates()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _score_numbers(*learned_net.value, batches)
+
+    given = encoded.select("uid", "doc_id", "held_out", "n_tokens", "head_tokens", "head_base", "odd", "numbers")
+    done = given.mapInPandas(run, "uid long, doc_id string, held_out boolean, n_tokens long, head_tokens long, head_base double, score double")
+    scored = materialize(done.withColumn("doc_id", F.col("doc_id").cast(id_type)), "scores")
     norm = float(np.log10(max(1, total + distinct + 1)))
-    rare = scored.select("uid", F.explode(F.arrays_zip("words", "ns", "groups", "spelled")).alias("e")).select(
+    rare = encoded.select("uid", F.explode(F.arrays_zip("words", "ns", "groups", "spelled")).alias("e")).select(
         "uid", F.col("e.words").alias("word"), F.col("e.ns").alias("n"), F.col("e.groups").alias("grp"), F.col("e.spelled").alias("spelled")
     )
     met = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
@@ -711,7 +756,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     )
     if total == 0:  # nothing was learned, so no token is known, the end included
         scored = scored.withColumn("head_tokens", F.lit(0).cast("long"))
-    joined = scored.drop("words", "ns", "groups", "spelled").join(sums, "uid", "left")
+    joined = scored.join(sums, "uid", "left")
     return joined.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("head_tokens") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),

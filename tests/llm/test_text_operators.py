@@ -387,6 +387,21 @@ print(next(int(x.split()[1]) // 1024 for x in open('/proc/self/status') if x.sta
     assert int(done.stdout.split()[-1]) < 500
 
 
+def test_every_training_segment_is_learned_from(spark, monkeypatch):
+    """The driver's segments and those of the pass are all training words and ends, each once, also in a corpus of which a sixteenth was enough before."""
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(k % 700))) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(recurrent, "SAMPLE_TOKENS", 10_000)
+    first, passed = [], []
+    train, whole_pass = recurrent.train, recurrent.whole_pass
+    monkeypatch.setattr(recurrent, "train", lambda docs, *a, **k: first.extend(docs) or train(docs, *a, **k))
+    monkeypatch.setattr(recurrent, "whole_pass", lambda net, segments, total: passed.extend(segments.collect()) or whole_pass(net, segments, total))
+    got = recurrent.score(docs, sample_docs=100, vocabulary=50, classes=5).collect()
+    pass_tokens = sum(len(r["numbers"]) // recurrent.ROW_BYTES for r in passed)
+    assert sum(map(len, first)) + pass_tokens == got[0]["train_tokens"] == sum(r["n_tokens"] for r in got if not r["held_out"])
+    assert sum(map(len, first)) < 0.1 * pass_tokens and all(np.frombuffer(r["numbers"], recurrent.ROW).max() < 70 for r in passed)
+
+
 def test_groups_of_spelling_are_distributions():
     rng = random.Random(3)
     kinds = ["an er on en re nt", "le qa xu zo ki wy"]
