@@ -1,9 +1,12 @@
 """Approximate nearest neighbours by a proximity graph, for many queries at once.
 
 The graph is a table (id, nb, sim): each vector's ``DEGREE`` nearest known ones by
-cosine and those that have it among theirs.  It starts from small groups of vectors
-on the same sides of random hyperplanes, in which all are compared, and is bettered
-by rounds of joins with the neighbours of neighbours.
+cosine and those that have it among theirs.  It starts from groups of vectors on the
+same sides of random hyperplanes, in which all are compared, and is bettered by
+rounds in which the neighbours of each vector, at most twice ``DEGREE``, meet in one
+row and are compared with each other.  So vectors travel to where they are compared,
+as they were given, and pairs don't carry them: a comparison hands on two ids and a
+similarity, and only if it betters what is known.
 
 A search starts every query at its best of ``PIVOTS`` vectors and keeps its ``WIDTH``
 best so far.  In each round the ``STEP`` best that were not followed yet are, for all
@@ -19,6 +22,7 @@ compared in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,19 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.batches import small_batches
 from tessera.functions.vectors import as_double, dot, norm
 from tessera.sources.places import fresh_folder
 
 DEGREE, ROUNDS = 16, 2
-LEAF, TREES = 256, 4
+LEAF, TREES = 2048, 8
+#: Rows of a product of matrices; meetings that are computed at once.
+BLOCK, MEETINGS = 512, 256
 WIDTH, STEP, PIVOTS = 96, 16, 64
 
 
 def unit(vectors: DataFrame) -> DataFrame:
-    """(id, v): vectors of length one; those without a direction are left out."""
-    v = vectors.select("id", as_double(F.col("vector")).alias("v")).withColumn("n", norm(F.col("v")))
+    """(id, v, given): vectors of length one, and as they were; those without a direction are left out."""
+    v = vectors.select("id", F.col("vector").alias("given"), as_double(F.col("vector")).alias("v")).withColumn("n", norm(F.col("v")))
     sound = v.filter((F.col("n") > 0) & (F.col("n") < float("inf")) & ~F.isnan("n"))
-    return sound.select("id", F.transform("v", lambda x: x / F.col("n")).alias("v"))
+    return sound.select("id", F.transform("v", lambda x: x / F.col("n")).alias("v"), "given")
 
 
 def _kept(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -53,16 +60,28 @@ def _best(edges: DataFrame, by: str, n: int) -> DataFrame:
     return edges.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n).drop("place")
 
 
-def _within(degree: int, kind: pa.DataType):
+def _matrix(vectors: pa.ListArray, rows: int) -> np.ndarray:
+    """Vectors of one length, as given, as rows of length one."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _within(degree: int):
     def compared(table: pa.Table) -> pa.Table:
-        ids = np.array(table.column("id").to_pylist())
-        x = np.array(table.column("v").to_pylist(), np.float64)
-        sims = x @ x.T
-        np.fill_diagonal(sims, -np.inf)
+        ids = table.column("id").combine_chunks()
+        x = _matrix(table.column("given").combine_chunks(), len(ids))
         most = min(degree, len(ids) - 1)
-        near = np.argsort(-sims, axis=1, kind="stable")[:, :most]
-        rows = np.repeat(np.arange(len(ids)), most)
-        return pa.table({"id": pa.array(ids[rows].tolist(), kind), "nb": pa.array(ids[near.ravel()].tolist(), kind), "sim": sims[rows, near.ravel()]})
+        rows, near, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for a in range(0, len(ids) if most else 0, BLOCK):
+            s = x[a : a + BLOCK] @ x.T
+            own = np.arange(len(s))
+            s[own, a + own] = -np.inf
+            at = np.argpartition(-s, most - 1, axis=1)[:, :most]
+            rows.append(np.repeat(a + own, most))
+            near.append(at.ravel())
+            sims.append(np.take_along_axis(s, at, 1).ravel())
+        rows, near, sims = (np.concatenate(x) for x in (rows, near, sims))
+        return pa.table({"id": ids.take(pa.array(rows)), "nb": ids.take(pa.array(near)), "sim": sims})
 
     return compared
 
@@ -72,36 +91,66 @@ def _first_edges(units: DataFrame, n: int, dimension: int, degree: int, leaf: in
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
     rng = np.random.default_rng(29)
     kind = units.schema["id"].dataType.simpleString()
-    arrow = pa.int32() if kind == "int" else pa.int64() if kind == "bigint" else pa.string()
-    planes = [[F.array(*[F.lit(float(x)) for x in rng.standard_normal(dimension)]) for _ in range(bits)] for _ in range(trees)]
+    # of vectors that fit one group every tree would compare the same pairs
+    planes = [[F.array(*[F.lit(float(x)) for x in rng.standard_normal(dimension)]) for _ in range(bits)] for _ in range(trees if bits else 1)]
     sides = lambda tree: F.concat_ws("", *[(dot(F.col("v"), p) >= 0).cast("int").cast("string") for p in tree])
-    coded = units.select("id", "v", F.explode(F.array(*[F.concat(F.lit(f"{k}:"), sides(tree)) for k, tree in enumerate(planes)])).alias("code"))
-    # a code of too many vectors is divided by hash
+    coded = units.select("id", "given", F.explode(F.array(*[F.concat(F.lit(f"{k}:"), sides(tree)) for k, tree in enumerate(planes)])).alias("code"))
+    # a code of too many vectors is divided by hash; codes are few
     sizes = coded.groupBy("code").agg(F.ceil(F.count("*") / (2 * leaf)).alias("shards"))
-    dealt = coded.join(sizes, "code").withColumn("shard", F.pmod(F.xxhash64("id", "code"), F.col("shards")))
-    found = dealt.groupBy("code", "shard").applyInArrow(_within(degree, arrow), f"id {kind}, nb {kind}, sim double")
+    dealt = coded.join(F.broadcast(sizes), "code").withColumn("shard", F.pmod(F.xxhash64("id", "code"), F.col("shards")))
+    found = dealt.groupBy("code", "shard").applyInArrow(_within(degree), f"id {kind}, nb {kind}, sim double")
     return _best(found.dropDuplicates(["id", "nb"]), "id", degree)
 
 
-def _scored(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """(id, nb, sim) for pairs of ids."""
-    w = units.select(F.col("id").alias("nb"), F.col("v").alias("w"))
-    return pairs.join(units, "id").join(w, "nb").select("id", "nb", dot(F.col("v"), F.col("w")).alias("sim"))
+def _met(degree: int):
+    """For every row of members (id, bar, given) that meet: each member's best others, those of a similarity above its bar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, MEETINGS):
+                held = whole.column("members").slice(first, MEETINGS)
+                ids, bars, given = held.flatten().flatten()
+                x, bars = _matrix(given, len(ids)), bars.to_numpy(zero_copy_only=False)
+                sizes = held.value_lengths().to_numpy()
+                starts, most = np.cumsum(sizes) - sizes, int(sizes.max())
+                # rows of one width; what fills them up is no candidate
+                at = np.minimum(starts[:, None] + np.arange(most), len(x) - 1)
+                real = np.arange(most) < sizes[:, None]
+                s = x[at] @ x[at].transpose(0, 2, 1)
+                s[~(real[:, :, None] & real[:, None, :])] = -np.inf
+                s[:, np.arange(most), np.arange(most)] = -np.inf
+                if most > degree:
+                    s[s < -np.partition(-s, degree - 1, axis=2)[:, :, degree - 1 : degree]] = -np.inf
+                row, one, other = np.nonzero(s > bars[at][:, :, None])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[row, one])), ids.take(pa.array(at[row, other])), pa.array(s[row, one, other])], names=["id", "nb", "sim"])
+
+    return run
+
+
+def _bettered(edges: DataFrame, units: DataFrame, degree: int) -> DataFrame:
+    """``edges`` after the neighbours of each vector, and those that have it among theirs, have met."""
+    kind = units.schema["id"].dataType.simpleString()
+    bars = edges.groupBy("id").agg(F.count("*").alias("n"), F.min("sim").alias("bar")).select("id", F.when(F.col("n") == degree, F.col("bar")).otherwise(-2.0).alias("bar"))
+    both = edges.select("id", "nb").unionByName(_best(edges, "nb", degree).select(F.col("nb").alias("id"), F.col("id").alias("nb"))).distinct()
+    # a vector meets its neighbours, too: an edge has two ends
+    at = both.select(F.col("id").alias("place"), F.col("nb").alias("id")).unionByName(units.select(F.col("id").alias("place"), "id"))
+    held = units.select("id", "given").join(bars, "id", "left").select("id", "given", F.coalesce("bar", F.lit(-2.0)).alias("bar"))
+    met = at.join(held, "id").groupBy("place").agg(F.collect_list(F.struct("id", "bar", "given")).alias("members"))
+    new = met.select("members").mapInArrow(_met(degree), f"id {kind}, nb {kind}, sim double")
+    return _best(edges.unionByName(new).groupBy("id", "nb").agg(F.max("sim").alias("sim")), "id", degree)
 
 
 def build(vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, leaf: int = LEAF, trees: int = TREES, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(graph, unit vectors) of ``vectors`` (id, vector), as tables in ``folder``."""
     spark = vectors.sparkSession
+    small_batches(spark)
     folder = folder or fresh_folder(spark, "graph")
     units = _kept(unit(vectors), folder, "units")
     n, dimension = units.agg(F.count("*"), F.max(F.size("v"))).first()
     edges = _kept(_first_edges(units, n, dimension or 1, degree, leaf, trees), folder, "edges-0")
-    for k in range(rounds):
-        both = edges.unionByName(_best(edges, "nb", degree).select(F.col("nb").alias("id"), F.col("id").alias("nb"), "sim")).select("id", "nb").distinct()
-        far = both.select(F.col("id").alias("nb"), F.col("nb").alias("far"))
-        pairs = edges.select("id", "nb").join(far, "nb").filter("id <> far").select("id", F.col("far").alias("nb")).distinct()
-        new = _scored(pairs.join(edges.select("id", "nb"), ["id", "nb"], "left_anti"), units)
-        edges = _kept(_best(edges.unionByName(new), "id", degree), folder, f"edges-{k + 1}")
+    for k in range(rounds if n > leaf else 0):  # in one group all were compared
+        edges = _kept(_bettered(edges, units, degree), folder, f"edges-{k + 1}")
+    units = units.select("id", "v")
     back = _best(edges, "nb", 2 * degree).select(F.col("nb").alias("id"), F.col("id").alias("nb"), "sim")
     return _kept(edges.unionByName(back).dropDuplicates(["id", "nb"]), folder, "graph"), units
 

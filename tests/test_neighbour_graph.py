@@ -63,3 +63,28 @@ def test_few_vectors(spark):
     for rows, expected in ((one, {(1, 1)}), (one.limit(0), set()), (one.unionByName(spark.createDataFrame([(2, [0.0, 1.0])], TYPE)), {(1, 1), (1, 2)})):
         found = g.search(*g.build(rows), one.selectExpr("id AS query_id", "vector AS query"), 5)
         assert {(r["query_id"], r["id"]) for r in found.top.collect()} == expected
+
+
+def _shuffled(spark) -> int:
+    """Bytes that all stages so far have written to shuffles."""
+    jvm = spark._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_pairs_do_not_carry_vectors(spark):
+    """Where nothing is small enough to be broadcast, a build shuffles under 60 kB a vector, and finds most true neighbours."""
+    x = np.random.default_rng(8).standard_normal((3000, 64)).astype(np.float32)
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<float>").repartition(4).localCheckpoint()
+    before, limit = _shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        graph, _ = g.build(vectors, leaf=500)
+        assert _shuffled(spark) - before < 60_000 * len(x)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    unit = x / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -1)
+    true = {(i, int(j)) for i, near in enumerate(np.argsort(-sims, axis=1)[:, : g.DEGREE]) for j in near}
+    assert len(true & {(r["id"], r["nb"]) for r in graph.collect()}) > 0.8 * len(true)
