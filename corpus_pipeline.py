@@ -29,7 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles at a Jaccard similarity of 0.8 or more, which no small SimHash radius reaches."""
+    """Five-word shingles at a Jaccard similarity of 0.8 or more: SimHash and its balls, then MinHash for what no small radius reaches, all verified."""
     return simhash.deduplicate(docs, shingle=5, similarity=0.8)
 
 

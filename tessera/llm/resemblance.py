@@ -1,9 +1,11 @@
 """Near-duplicates by exact Jaccard similarity of word shingles.
 
 This is what the SimHash operator does where a similarity is asked for
-(``simhash.deduplicate(..., similarity=0.8)``): a pair at Jaccard 0.8 differs in
-about 10 of 64 SimHash bits, which no ball of half the radius reaches, so
-candidates come from MinHash there and every link is verified on the texts.
+(``simhash.deduplicate(..., similarity=0.8)``).  Candidates come from its ball
+hashing first: texts of equal fingerprints, and those of fingerprints within the
+operator's radius.  But a pair at Jaccard 0.8 differs in about 10 of 64 SimHash
+bits, which no ball of half the radius reaches, so MinHash adds the candidates
+beyond it.  Every link is verified on the texts.
 
 Two texts are linked if their sets of word shingles overlap by at least
 ``SIMILARITY`` (size of the intersection over that of the union).  A text's sketch
@@ -30,7 +32,7 @@ whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -219,15 +221,31 @@ def digest_of(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def classes(made: DataFrame, docs: DataFrame, text: Column, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, root) of the distinct texts that have a link; ``made`` has digest, key, n and code of the rows of ``docs``."""
-    distinct = made.filter("n > 0").groupBy("key").agg(F.min("digest").alias("digest"), F.first("n").alias("n"), F.first("code").alias("code"))
+def _ball_pairs(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b) of texts whose fingerprints are equal or linked: each with the first of its fingerprint, and the first ones of linked fingerprints."""
+    first = materialize(distinct.groupBy("fp").agg(F.min("key").alias("first")), "balls")
+    equal = distinct.select("fp", "key").join(first, "fp").filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    ends = links.join(first.select(F.col("fp").alias("a"), F.col("first").alias("one")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("other")), "b")
+    return equal.unionByName(ends.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")))
+
+
+def classes(
+    made: DataFrame, docs: DataFrame, text: Column, shingle: int = SHINGLE, similarity: float = SIMILARITY, balls: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """(key, root) of the distinct texts that have a link; ``made`` has digest, key, n, code and fp of the rows of ``docs``.
+
+    ``balls`` gives the links (a, b) of a column ``fp`` of fingerprints.
+    """
+    own = [F.first("fp").alias("fp")] if balls else []
+    distinct = made.filter("n > 0").groupBy("key").agg(F.min("digest").alias("digest"), F.first("n").alias("n"), F.first("code").alias("code"), *own)
     distinct = materialize(distinct, "distinct")
     at = lambda j: F.struct(j.alias("band"), F.xxhash64(j, F.substring("code", j * ROWS + 1, F.lit(ROWS))).alias("run"))
     spread = distinct.select("key", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), at)).alias("at")).select("at.run", "at.band", "key", "n")
     sorted_runs = spread.repartition("run").sortWithinPartitions("run", "key")
     found = materialize(sorted_runs.mapInPandas(lambda b: _run_pairs(b, similarity), "a long, b long, run long, band int"), "candidates")
     pairs = found.filter("b IS NOT NULL").select("a", "b")
+    if balls:
+        pairs = pairs.unionByName(_ball_pairs(distinct, balls(distinct.select("fp").distinct())))
     crowd = found.filter("b IS NULL").select("run", "band", F.col("a").alias("key"))
     if not crowd.head(1):
         return connected_components(_verified(pairs, distinct, docs, text, shingle, similarity)[0]).withColumnRenamed("node", "key")
@@ -265,10 +283,16 @@ def keep_first(docs: DataFrame, made: DataFrame, roots: DataFrame, id_col: str,
     return kept.select("doc.*").unionByName(row.filter("id IS NULL").select("doc.*"))
 
 
-def deduplicate(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row per component, that of the smallest id, and rows without an id."""
+def deduplicate(
+    docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
+    fingerprint: Column | None = None, balls: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """``docs`` with one row per component, that of the smallest id, and rows without an id.
+
+    ``fingerprint`` of a row and ``balls`` (see ``classes``) are the SimHash operator's.
+    """
     small_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`")
-    made = docs.select(F.col(f"`{id_col}`").alias("id"), digest_of(text).alias("digest"), sketch_column(text, shingle).alias("sketch"))
-    made = materialize(made.select("id", "digest", "sketch.*"), "sketches")
-    return keep_first(docs, made, classes(made, docs, text, shingle, similarity), id_col, text_col)
+    made = docs.select(F.col(f"`{id_col}`").alias("id"), digest_of(text).alias("digest"), sketch_column(text, shingle).alias("sketch"), *([] if fingerprint is None else [fingerprint.alias("fp")]))
+    made = materialize(made.select("id", "digest", "sketch.*", *([] if fingerprint is None else ["fp"])), "sketches")
+    return keep_first(docs, made, classes(made, docs, text, shingle, similarity, balls), id_col, text_col)

@@ -215,12 +215,13 @@ def deduplicate(
     """``docs`` with one row per component, that of the smallest id, then fingerprint; and rows without an id.
 
     Links are fingerprints within ``radius`` bits or, if ``similarity`` is given,
-    shingle sets of at least that Jaccard similarity (see ``resemblance``).
+    shingle sets of at least that Jaccard similarity: links of fingerprints are
+    candidates there, which the texts verify, beside those of ``resemblance``.
     """
+    text = F.col(f"`{text_col}`")
     if similarity is not None:
-        return resemblance.deduplicate(docs, shingle, similarity, id_col, text_col)
+        return resemblance.deduplicate(docs, shingle, similarity, id_col, text_col, fingerprint_column(text, shingle), lambda fps: links(fps, radius, blocks))
     small_batches(docs.sparkSession)
-    text = F.col(f"`{text_col}`")
     made = docs.select(F.col(f"`{id_col}`").alias("id"), resemblance.digest_of(text).alias("digest"), fingerprint_column(text, shingle).alias("key"))
     made = materialize(made, "fingerprints")
     roots = connected_components(links(made.select(F.col("key").alias("fp")).distinct(), radius, blocks))

@@ -214,3 +214,20 @@ def test_near_duplicates_at_the_stages_bar(spark, block, monkeypatch):
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOC_TYPE).repartition(4), "").collect()
     expected = sorted([(r[0], r[1]) for r in rows if r[0] not in loses and r[:2] != (2001, rows[0][1] + " more")])
     assert sorted((r["doc_id"], r["text"]) for r in kept) == expected
+
+
+def test_near_duplicates_go_through_ball_hashing(spark, monkeypatch):
+    """The stage takes the SimHash operator's links as candidates, beside MinHash's; texts that are not as similar stay."""
+    import corpus_pipeline
+    from tessera.llm import resemblance, simhash
+
+    words = [f"w{k * 7919 % 5000}" for k in range(400)]
+    changed = [*words[:200], "other", *words[201:]]
+    rows = [(3, " ".join(words)), (5, " ".join(changed)), (8, " ".join(words[::-1])), (9, " ".join(words).upper()), (11, None)]
+    docs = spark.createDataFrame([(i, t, "en", "web", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    links, seen = simhash.links, []
+    monkeypatch.setattr(simhash, "links", lambda *given: seen.append(links(*given)) or seen[-1])
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert kept == [3, 8, 11] and len(seen) == 1
+    distinct = spark.createDataFrame([(1, 5), (2, 5), (3, 7), (4, 0x7777), (-5, 0x7776)], "key long, fp long")
+    assert {tuple(r) for r in resemblance._ball_pairs(distinct, links(distinct.select("fp").distinct())).collect()} == {(1, 2), (1, 3), (-5, 4)}
