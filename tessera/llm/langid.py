@@ -162,8 +162,9 @@ def train_segments(texts: list[list[str]], labels: list[str], buckets: int = BUC
         return Model([], np.zeros((buckets, 1), np.float32), np.zeros(0), 1.0, 1.0)
     rng = np.random.default_rng(seed)
     examples, held, documents = [], [], []
+    narrow = np.uint16 if buckets <= 1 << 16 else np.int32  # the sample's subwords are all held at once
     for k, (parts, label) in enumerate(zip(texts, labels, strict=True)):
-        own = [(ids, languages.index(label)) for ids in (subwords(part, buckets) for part in parts) if len(ids)]
+        own = [(ids.astype(narrow), languages.index(label)) for ids in (subwords(part, buckets) for part in parts) if len(ids)]
         (held if k % 5 == 4 else examples).extend(own)
         if own and k % 5 == 4:
             documents.append(np.concatenate([ids for ids, _ in own]))

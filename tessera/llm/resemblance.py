@@ -19,7 +19,9 @@ many share are joined to their sketches: first each is paired with the few that
 look most like it, and the verified links give components; then every pair whose
 ends are still in unlike components is verified too, unless its sketches put its
 similarity ``SLACK`` standard deviations below the threshold (as rare as pairs at
-the threshold that don't meet).  A pair is listed for the first band it shares
+the threshold that don't meet).  Links of fingerprints wait for the components,
+too, where there is such a band: a crowd of near copies has many more of them than
+texts, nearly all within one component.  A pair is listed for the first band it shares
 only.  Crowded bands are dealt out in blocks of ``BLOCK`` texts, so neither the
 rows nor the comparisons of a task grow with the largest group.
 
@@ -221,14 +223,33 @@ def digest_of(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _ball_pairs(distinct: DataFrame, links: DataFrame) -> DataFrame:
-    """(a, b) of texts whose fingerprints are equal or linked: each with the first of its fingerprint, and the first ones of linked fingerprints."""
-    first = materialize(distinct.groupBy("fp").agg(F.min("key").alias("first")), "balls")
-    equal = distinct.select("fp", "key").join(first, "fp").filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
-    ends = links.join(first.select(F.col("fp").alias("a"), F.col("first").alias("one")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("other")), "b")
+def _ball_pairs(distinct: DataFrame, links: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(a, b) of texts whose fingerprints are equal or linked: each with the first of its fingerprint, and the first ones of linked fingerprints.
+
+    If ``roots`` (key, root) are given, pairs whose ends they join already are left out.
+    Near fingerprints share many variants, so their link is listed many times.
+    """
+    own = distinct.select("fp", "key")
+    own = own.withColumn("root", F.col("key")) if roots is None else own.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    first = materialize(own.groupBy("fp").agg(F.min(F.struct("key", "root")).alias("at")).select("fp", F.col("at.key").alias("first"), F.col("at.root").alias("top")), "balls")
+    equal = own.join(first, "fp").filter("root <> top").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    end = lambda fp, key, top: first.select(F.col("fp").alias(fp), F.col("first").alias(key), F.col("top").alias(top))
+    ends = links.distinct().join(end("a", "one", "one_top"), "a").join(end("b", "other", "other_top"), "b").filter("one_top <> other_top")
     return equal.unionByName(ends.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")))
 
 
+def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """``roots`` (key, root) after the links ``more`` (a, b) as well, of which only those between unlike components count."""
+    if not more.head(1):
+        return roots
+    top = lambda end: roots.select(F.col("key").alias(end), F.col("root").alias(f"{end}_root"))
+    between = more.join(top("a"), "a", "left").join(top("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    tops = connected_components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(tops, "root", "left").select("key", F.coalesce("top", "root").alias("root"))
+    new = tops.join(roots.select(F.col("key").alias("root")), "root", "left_anti").select(F.col("root").alias("key"), F.col("top").alias("root"))
+    return moved.unionByName(new)
+
+
 def classes(
     made: DataFrame, docs: DataFrame, text: Column, shingle: int = SHINGLE, similarity: float = SIMILARITY, balls: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
@@ -244,10 +265,10 @@ def classes(
     sorted_runs = spread.repartition("run").sortWithinPartitions("run", "key")
     found = materialize(sorted_runs.mapInPandas(lambda b: _run_pairs(b, similarity), "a long, b long, run long, band int"), "candidates")
     pairs = found.filter("b IS NOT NULL").select("a", "b")
-    if balls:
-        pairs = pairs.unionByName(_ball_pairs(distinct, balls(distinct.select("fp").distinct())))
+    near = balls(distinct.select("fp").distinct()) if balls else None
     crowd = found.filter("b IS NULL").select("run", "band", F.col("a").alias("key"))
     if not crowd.head(1):
+        pairs = pairs.unionByName(_ball_pairs(distinct, near)) if balls else pairs
         return connected_components(_verified(pairs, distinct, docs, text, shingle, similarity)[0]).withColumnRenamed("node", "key")
     blocks = materialize(crowd.groupBy("run").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "runs")
     crowd = materialize(crowd.join(blocks, "run").join(distinct.select("key", "n", "code"), "key"), "crowd")
@@ -264,8 +285,9 @@ def classes(
     asked = rest.join(rest.filter("root <> largest").groupBy("run").agg(F.collect_set("own").alias("ones")), "run")
     asked = asked.select(*columns, F.lit(False).alias("asks"), F.explode("ones").alias("one"), F.col("own").alias("other"))
     cross = asking.unionByName(asked).groupBy("run", "one", "other").applyInPandas(lambda rows: _cross_pairs(rows, similarity), "a long, b long")
+    cross = cross.unionByName(_ball_pairs(distinct, near, roots)) if balls else cross
     more = _verified(cross.distinct().join(seen, ["a", "b"], "left_anti"), distinct, docs, text, shingle, similarity)[0]
-    return connected_components(links.unionByName(more)).withColumnRenamed("node", "key")
+    return _joined(roots, more)
 
 
 def keep_first(docs: DataFrame, made: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:

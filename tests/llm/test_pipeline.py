@@ -231,3 +231,24 @@ def test_near_duplicates_go_through_ball_hashing(spark, monkeypatch):
     assert kept == [3, 8, 11] and len(seen) == 1
     distinct = spark.createDataFrame([(1, 5), (2, 5), (3, 7), (4, 0x7777), (-5, 0x7776)], "key long, fp long")
     assert {tuple(r) for r in resemblance._ball_pairs(distinct, links(distinct.select("fp").distinct())).collect()} == {(1, 2), (1, 3), (-5, 4)}
+
+
+def test_ball_pairs_join_unlike_components_only(spark):
+    """A crowd's links of fingerprints are not verified on the texts where the crowd is one component already."""
+    from tessera.llm import resemblance, simhash
+
+    distinct = spark.createDataFrame([(k, 0x1000 + k) for k in range(16)] + [(50, 0x1000), (60, 0x1001)], "key long, fp long")
+    roots = spark.createDataFrame([(k, 0) for k in range(16)] + [(60, 0)], "key long, root long")
+    links = simhash.links(distinct.select("fp").distinct())
+    assert resemblance._ball_pairs(distinct, links).count() > 16
+    assert {tuple(r) for r in resemblance._ball_pairs(distinct, links, roots).collect()} == {(0, 50)}
+
+
+def test_components_after_more_links(spark):
+    from tessera.llm import resemblance
+
+    roots = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "key long, root long")
+    links = lambda *rows: spark.createDataFrame(list(rows), "a long, b long")
+    found = {tuple(r) for r in resemblance._joined(roots, links((2, 6), (-3, 9), (20, 21), (1, 2))).collect()}
+    assert found == {(1, 1), (2, 1), (5, 1), (6, 1), (8, -3), (9, -3), (-3, -3), (20, 20), (21, 20)}
+    assert {tuple(r) for r in resemblance._joined(roots, links()).collect()} == {tuple(r) for r in roots.collect()}

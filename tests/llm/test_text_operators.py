@@ -131,6 +131,23 @@ def test_langid_rejects_a_language_it_never_met(missing):
     assert gone[True] > 0.9 and gone[False] < 0.01, gone
 
 
+def test_langid_sample_is_held_narrowly():
+    """The driver holds all subwords of the sample; they take two bytes each, not eight."""
+    import tracemalloc
+
+    from tessera.llm import langid
+
+    langid.letters()
+    rng = np.random.default_rng(3)
+    texts = [[" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(2000))] for _ in range(100)]
+    held = sum(len(langid.subwords(t)) for (t,) in texts)
+    tracemalloc.start()
+    langid.train_segments(texts, ["en", "de"] * 50, epochs=0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held > 4_000_000 and peak < 6 * held + (24 << 20)
+
+
 def test_langid_draws_from_all_over_long_texts():
     text = " ".join(f"w{k}" for k in range(50_000))
     parts = langid.drawn_segments(text, 4096)
