@@ -115,18 +115,35 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
 #: States lie in (-1, 1); if no logit can pass this, single precision holds the exponentials as they are.
 SAFE_LOGIT = 80.0
+#: Rows of logits that stay in a core's cache.
+LOGIT_ROWS = 2048
 
 
-def _log_softmax(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, goals: np.ndarray) -> np.ndarray:
+def _safe(weights: np.ndarray, bias: np.ndarray) -> bool:
+    return (np.abs(weights).sum(0) + np.abs(bias)).max() <= SAFE_LOGIT
+
+
+def _by_class(cls: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the rows by class, where each class begins in it)."""
+    order = np.argsort(cls.astype(np.uint16 if len(starts) <= 1 << 16 else np.int64), kind="stable")
+    return order, np.concatenate(([0], np.cumsum(np.bincount(cls, minlength=len(starts) - 1))))
+
+
+def _log_softmax(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, goals: np.ndarray, safe: bool) -> np.ndarray:
     """Log-probability of one goal column for each state."""
-    logits = states @ weights + bias
-    at = logits[np.arange(len(goals)), goals]
-    if (np.abs(weights).sum(0) + np.abs(bias)).max() > SAFE_LOGIT:
-        top = logits.max(1)
-        logits -= top[:, None]
-        at = at - top
-    np.exp(logits, out=logits)
-    return at - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+    ones = np.ones(len(bias), states.dtype)
+    out, every = np.empty(len(goals), states.dtype), np.arange(min(len(goals), LOGIT_ROWS))
+    for i in range(0, len(goals), LOGIT_ROWS):
+        logits = states[i : i + LOGIT_ROWS] @ weights
+        logits += bias
+        at = logits[every[: len(logits)], goals[i : i + LOGIT_ROWS]]
+        if not safe:
+            top = logits.max(1)
+            logits -= top[:, None]
+            at = at - top
+        np.exp(logits, out=logits)
+        out[i : i + LOGIT_ROWS] = at - np.log(logits @ ones)
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -163,13 +180,16 @@ class Network:
     def log_likelihood(self, states: np.ndarray, goals: np.ndarray) -> np.ndarray:
         """Natural log-probability of each goal word after its state."""
         cls = self.class_of[goals]
-        out = _log_softmax(states, self.to_class, self.class_bias, cls)
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(len(self.starts)))
+        order, edges = _by_class(cls, self.starts)
+        states, goals = states[order], goals[order]
+        found = _log_softmax(states, self.to_class, self.class_bias, cls[order], _safe(self.to_class, self.class_bias))
+        safe = _safe(self.to_word, self.word_bias)
         for c in np.flatnonzero(np.diff(edges)):
-            rows, a, b = order[edges[c] : edges[c + 1]], self.starts[c], self.starts[c + 1]
+            rows, a, b = slice(edges[c], edges[c + 1]), self.starts[c], self.starts[c + 1]
             if b - a > 1:
-                out[rows] += _log_softmax(states[rows], self.to_word[:, a:b], self.word_bias[a:b], goals[rows] - a)
+                found[rows] += _log_softmax(states[rows], self.to_word[:, a:b], self.word_bias[a:b], goals[rows] - a, safe)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
 
@@ -263,7 +283,7 @@ def train(docs: list[np.ndarray], counts: np.ndarray, epochs: int = EPOCHS, lane
 
 def descend(net: Network, docs: list[np.ndarray], epochs: int = 1, lanes: int = LANES, window: int = WINDOW, rate: float = 0.01) -> Network:
     """Truncated backpropagation through time with Adam; changes ``net``."""
-    m1, m2 = ({k: np.zeros_like(getattr(net, k)) for k in WEIGHTS} for _ in range(2))
+    m1, m2, one, two = ({k: np.zeros_like(getattr(net, k)) for k in WEIGHTS} for _ in range(4))
     steps = 0
     if not docs:
         return net
@@ -274,12 +294,18 @@ def descend(net: Network, docs: list[np.ndarray], epochs: int = 1, lanes: int =
             grads, state = gradients(net, state[: goals.shape[1]], given, goals, doc >= 0, first)
             steps += 1
             pace = rate * (1 - 0.8 * epoch / max(1, epochs))
-            for k in WEIGHTS:
-                g = np.clip(grads[k], -1, 1)
-                m1[k] += 0.1 * (g - m1[k])
-                m2[k] += 0.01 * (g * g - m2[k])
-                w = getattr(net, k)
-                w -= (pace / (1 - 0.9**steps)) * m1[k] / (np.sqrt(m2[k] / (1 - 0.99**steps)) + 1e-7)
+            for k in WEIGHTS:  # in place: at this size, fresh arrays cost more than the sums
+                g, a, b, w = grads[k], one[k], two[k], getattr(net, k)
+                np.clip(g, -1, 1, out=g)
+                np.multiply(np.subtract(g, m1[k], out=a), 0.1, out=a)
+                m1[k] += a
+                np.multiply(g, g, out=a)
+                np.multiply(np.subtract(a, m2[k], out=a), 0.01, out=a)
+                m2[k] += a
+                np.sqrt(np.divide(m2[k], 1 - 0.99**steps, out=a), out=a)
+                a += 1e-7
+                np.divide(np.multiply(m1[k], pace / (1 - 0.9**steps), out=b), a, out=b)
+                w -= b
     return net
 
 
@@ -287,12 +313,14 @@ def gradients(net: Network, state: np.ndarray, given: np.ndarray, goals: np.ndar
     """(gradients of the mean negative log-likelihood of the goals in use, state after) for one window."""
     size, lanes = goals.shape
     hidden = net.recur.shape[0]
-    table = net.embed[given] @ net.inner + net.bias
-    entry, after, gate = [], np.empty((size, lanes, hidden), net.recur.dtype), []
+    table = net.gates()[given] if given.size > len(net.embed) else net.embed[given] @ net.inner + net.bias
+    entry, after, gate = np.empty((size, lanes, hidden), net.recur.dtype), np.empty((size, lanes, hidden), net.recur.dtype), []
+    fresh = first.any(1)
     for t in range(size):
-        state = np.where(first[t][:, None], net.recur.dtype.type(0), state)
-        entry.append(state)
-        state, own = net.step(state, table[t])
+        entry[t] = state
+        if fresh[t]:
+            entry[t, first[t]] = 0
+        state, own = net.step(entry[t], table[t])
         after[t] = state
         gate.append(own)
     grads = {k: np.zeros_like(getattr(net, k)) for k in WEIGHTS}
@@ -311,40 +339,52 @@ def gradients(net: Network, state: np.ndarray, given: np.ndarray, goals: np.ndar
         own = d_table[t]
         own[:, :hidden], own[:, hidden : 2 * hidden], own[:, 2 * hidden :], reset[t] = dz, dr, dc, r * h
         back = d * z + drh * r + own[:, : 2 * hidden] @ net.recur[:, : 2 * hidden].T
-        back[first[t]] = 0
+        if fresh[t]:
+            back[first[t]] = 0
     flat, words = d_table.reshape(-1, 3 * hidden), given.reshape(-1)
-    grads["recur"][:, : 2 * hidden] = np.concatenate(entry).T @ flat[:, : 2 * hidden]
+    grads["recur"][:, : 2 * hidden] = entry.reshape(-1, hidden).T @ flat[:, : 2 * hidden]
     grads["recur"][:, 2 * hidden :] = reset.reshape(-1, hidden).T @ flat[:, 2 * hidden :]
     grads["bias"] = flat.sum(0)
     grads["inner"] = net.embed[words].T @ flat
-    order = np.argsort(words, kind="stable")
-    starts = np.flatnonzero(np.concatenate(([True], words[order][1:] != words[order][:-1])))
-    grads["embed"][words[order][starts]] = np.add.reduceat((flat @ net.inner.T)[order], starts, axis=0)
+    order = np.argsort(words.astype(np.uint16 if len(net.embed) <= 1 << 16 else words.dtype), kind="stable")
+    words = words[order]
+    starts = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+    grads["embed"][words[starts]] = np.add.reduceat((flat @ net.inner.T)[order], starts, axis=0)
     return grads, state
 
 
 def _output_gradient(net: Network, states: np.ndarray, goals: np.ndarray, grads: dict[str, np.ndarray]) -> np.ndarray:
     """Adds the output weights' gradients of the negative log-likelihood; returns the states'."""
-    logits = states @ net.to_class + net.class_bias
-    p = np.exp(logits - logits.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
     cls = net.class_of[goals]
-    p[np.arange(len(goals)), cls] -= 1
-    grads["to_class"] += states.T @ p
-    grads["class_bias"] += p.sum(0)
-    d = p @ net.to_class.T
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(len(net.starts)))
+    order, edges = _by_class(cls, net.starts)
+    states, goals, cls = states[order], goals[order], cls[order]
+    found = np.empty_like(states)
+
+    def add(rows: slice, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, weights_grad: np.ndarray, bias_grad: np.ndarray, safe: bool) -> np.ndarray:
+        own = states[rows]
+        p = own @ weights
+        p += bias
+        if not safe:
+            p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        p *= (1 / (p @ np.ones(len(bias), p.dtype)))[:, None]
+        p[np.arange(len(own)), at] -= 1
+        weights_grad += own.T @ p
+        bias_grad += np.ones(len(own), p.dtype) @ p
+        return p @ weights.T
+
+    safe = _safe(net.to_class, net.class_bias)
+    for i in range(0, len(goals), LOGIT_ROWS):
+        rows = slice(i, i + LOGIT_ROWS)
+        found[rows] = add(rows, net.to_class, net.class_bias, cls[rows], grads["to_class"], grads["class_bias"], safe)
+    safe = _safe(net.to_word, net.word_bias)
     for c in np.flatnonzero(np.diff(edges)):
-        rows, a, b = order[edges[c] : edges[c + 1]], net.starts[c], net.starts[c + 1]
-        own = states[rows] @ net.to_word[:, a:b] + net.word_bias[a:b]
-        q = np.exp(own - own.max(1, keepdims=True))
-        q /= q.sum(1, keepdims=True)
-        q[np.arange(len(rows)), goals[rows] - a] -= 1
-        grads["to_word"][:, a:b] += states[rows].T @ q
-        grads["word_bias"][a:b] += q.sum(0)
-        d[rows] += q @ net.to_word[:, a:b].T
-    return d
+        rows, a, b = slice(edges[c], edges[c + 1]), net.starts[c], net.starts[c + 1]
+        if b - a > 1:  # else its only word is certain, and nothing is to be learned
+            found[rows] += add(rows, net.to_word[:, a:b], net.word_bias[a:b], goals[rows] - a, grads["to_word"][:, a:b], grads["word_bias"][a:b], safe)
+    out = np.empty_like(found)
+    out[order] = found
+    return out
 
 
 # -- spelling ----------------------------------------------------------------

@@ -448,3 +448,30 @@ def test_network_learns_from_documents_outside_the_sample(spark):
     got = recurrent.score(docs, sample_docs=1, vocabulary=50, classes=5).collect()
     per_token = {held: np.mean([r["score"] / r["n_tokens"] for r in got if r["held_out"] == held]) for held in (True, False)}
     assert min(per_token.values()) > -0.8
+
+
+@pytest.mark.parametrize("steep", [0.5, 40.0])
+def test_outputs_are_worked_out_class_by_class_in_order(monkeypatch, steep):
+    """Rows meet each class's weights as one slice, in blocks that stay in the cache, not picked one by one; values are those of the plain form."""
+    rng = np.random.default_rng(5)
+    net = recurrent.new_network(rng.integers(1, 50, 90), classes=7, hidden=6, width=4)
+    net.to_class[:], net.to_word[:] = rng.normal(0, steep, net.to_class.shape), rng.normal(0, steep, net.to_word.shape)
+    states, goals = rng.uniform(-1, 1, (500, 6)).astype(np.float32), rng.integers(0, 90, 500)
+
+    def share(weights, bias, state, goal):
+        logits = (state @ weights + bias).astype(np.float64)
+        return logits[goal] - logits.max() - np.log(np.exp(logits - logits.max()).sum())
+
+    plain = []
+    for state, goal in zip(states, goals, strict=True):
+        c = net.class_of[goal]
+        a, b = net.starts[c], net.starts[c + 1]
+        plain.append(share(net.to_class, net.class_bias, state, c) + share(net.to_word[:, a:b], net.word_bias[a:b], state, goal - a))
+    monkeypatch.setattr(recurrent, "LOGIT_ROWS", 64)
+    assert np.allclose(net.log_likelihood(states, goals), plain, rtol=1e-4, atol=1e-3)
+    grads = {k: np.zeros_like(getattr(net, k)) for k in recurrent.WEIGHTS}
+    recurrent._output_gradient(net, states, goals, grads)
+    once = {k: np.zeros_like(v) for k, v in grads.items()}
+    for i in range(500):
+        recurrent._output_gradient(net, states[i : i + 1], goals[i : i + 1], once)
+    assert all(np.allclose(grads[k], once[k], rtol=1e-3, atol=1e-2) for k in grads)
