@@ -41,13 +41,14 @@ empty result; other columns are not looked at.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ LANES = 64
 SCORE_LANES = 512
 SCORE_WINDOW = 64
 EPOCHS = 2
-FLUSH = 100_000
+FLUSH = 4_000_000
 SCORED_TOKENS = 2_000_000
 #: The pass over the corpus: words that a worker trains on at once, in how many lanes after the first ones of a shard, its step, shards while few and later, sums of weights that reach the driver.
 PASS_TOKENS, PASS_LANES = 200_000, 384
@@ -87,27 +88,34 @@ WEIGHTS = ("embed", "inner", "recur", "bias", "to_class", "class_bias", "to_word
 # -- corpus counts -----------------------------------------------------------
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(all words of the texts, A-Z lower-cased, as bytes; how many each text has); Arrow's blanks are those of ``WORD``."""
+    lowered = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    pieces = pc.ascii_split_whitespace(pc.if_else(pc.equal(lowered, ""), None, lowered))
+    return pieces.flatten().cast(pa.binary()), pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, c) partial counts of texts, flushed when many words are held."""
 
-    def out(held: Counter) -> pd.DataFrame:
-        return pd.DataFrame({"word": [w.decode("utf-8", "surrogatepass") for w in held], "c": list(held.values())})
+    def out() -> pa.RecordBatch:
+        words, c = pc.value_counts(pa.chunked_array(held, pa.binary())).flatten()
+        return pa.record_batch({"word": pa.concat_arrays([words, pa.array([END.encode()], pa.binary())]).cast(pa.string()), "c": pa.concat_arrays([c, pa.array([ends], pa.int64())])})
 
-    held: Counter = Counter()
+    held, size, ends = [], 0, 0
     for batch in batches:
-        for text in batch["text"]:
-            held.update(word_list(text, lower=True))
-            held[b""] += 1
-            if len(held) > FLUSH:
-                yield out(held)
-                held = Counter()
-    if held:
-        yield out(held)
+        held.append(_words(batch.column("text"))[0])
+        size, ends = size + len(held[-1]), ends + len(batch)
+        if size > FLUSH:
+            yield out()
+            held, size, ends = [], 0, 0
+    if ends:
+        yield out()
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
     """(word, c) for all tokens of a column ``text``; the end token is the empty string."""
-    return texts.select("text").mapInPandas(_count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(_count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 # -- the network -------------------------------------------------------------
@@ -129,14 +137,29 @@ def _by_class(cls: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order, np.concatenate(([0], np.cumsum(np.bincount(cls, minlength=len(starts) - 1))))
 
 
-def _log_softmax(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, goals: np.ndarray, safe: bool) -> np.ndarray:
+def _with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The weights, a row for each output, so that those of a class lie together; the bias comes last, met by a column of ones of the states."""
+    out = np.empty((len(bias), len(weights) + 1), weights.dtype)
+    out[:, :-1] = weights.T
+    out[:, -1] = bias
+    return out
+
+
+def _in_order(states: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The states in an order, with a column of ones."""
+    out = np.ones((len(order), states.shape[1] + 1), states.dtype)
+    out[:, :-1] = states.take(order, 0)
+    return out
+
+
+def _log_softmax(states: np.ndarray, weights: np.ndarray, goals: np.ndarray, safe: bool) -> np.ndarray:
     """Log-probability of one goal column for each state."""
-    ones = np.ones(len(bias), states.dtype)
-    out, every = np.empty(len(goals), states.dtype), np.arange(min(len(goals), LOGIT_ROWS))
+    size = len(weights)
+    ones = np.ones(size, states.dtype)
+    out, firsts = np.empty(len(goals), states.dtype), np.arange(min(len(goals), LOGIT_ROWS)) * size
     for i in range(0, len(goals), LOGIT_ROWS):
-        logits = states[i : i + LOGIT_ROWS] @ weights
-        logits += bias
-        at = logits[every[: len(logits)], goals[i : i + LOGIT_ROWS]]
+        logits = states[i : i + LOGIT_ROWS] @ weights.T
+        at = logits.reshape(-1).take(firsts[: len(logits)] + goals[i : i + LOGIT_ROWS])
         if not safe:
             top = logits.max(1)
             logits -= top[:, None]
@@ -146,8 +169,54 @@ def _log_softmax(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, goal
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+def _sigmoid_of_negative(x: np.ndarray) -> np.ndarray:
+    """The sigmoid of -x, in place: an exponential costs half of what a tanh does."""
+    with np.errstate(over="ignore"):  # 1 / inf is 0
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+@dataclass
+class Cell:
+    """The recurrent layer with a lane to a column, so that each gate of all lanes is one block of memory.
+
+    Gates are worked out from exponentials, so what goes into update and reset has its sign turned, and what goes into
+    the candidate is -2 times as much: tanh x is twice the sigmoid of 2x, less 1.
+    """
+
+    inner: np.ndarray  # WIDTH x 3H
+    bias: np.ndarray  # 3H
+    both: np.ndarray  # 2H x H
+    fresh: np.ndarray  # H x H
+
+    def gates(self, embed: np.ndarray) -> np.ndarray:
+        """What words, rows of ``embed``, add to the gates before activation."""
+        out = embed @ self.inner
+        out += self.bias
+        return out
+
+    def step(self, state: np.ndarray, word_in: np.ndarray):
+        """(state after, gates); word_in has a row for each lane."""
+        n = len(state)
+        both = self.both @ state
+        both += word_in[:, : 2 * n].T
+        _sigmoid_of_negative(both)
+        z, r = both[:n], both[n:]
+        c = self.fresh @ (r * state)
+        c += word_in[:, 2 * n :].T
+        _sigmoid_of_negative(c)
+        c *= 2
+        c -= 1
+        after = state - c
+        after *= z
+        after += c
+        return after, (z, r, c)
+
+
+def _turned(hidden: int, dtype: np.dtype) -> np.ndarray:
+    """What ``Cell`` takes the gates' weights times."""
+    return np.repeat(np.array([-1, -2], dtype), [2 * hidden, hidden])
 
 
 @dataclass
@@ -165,13 +234,16 @@ class Network:
     starts: np.ndarray  # class -> its first word; one more at the end
     class_of: np.ndarray  # word -> class
 
+    def cell(self) -> Cell:
+        n = self.recur.shape[0]
+        turned = _turned(n, self.recur.dtype)
+        recur = np.ascontiguousarray((self.recur * turned).T)
+        return Cell(self.inner * turned, self.bias * turned, recur[: 2 * n], recur[2 * n :])
+
     def step(self, state: np.ndarray, word_in: np.ndarray):
-        """One step; word_in is the input's share of the gates (rows of ``gates()``)."""
-        n = state.shape[1]
-        both = _sigmoid(word_in[:, : 2 * n] + state @ self.recur[:, : 2 * n])
-        z, r = both[:, :n], both[:, n:]
-        c = np.tanh(word_in[:, 2 * n :] + (r * state) @ self.recur[:, 2 * n :])
-        return z * state + (1 - z) * c, (z, r, c)
+        """One step of lanes in rows; word_in is the input's share of the gates (rows of ``gates()``)."""
+        after, gate = self.cell().step(state.T, word_in * _turned(state.shape[1], word_in.dtype))
+        return after.T, tuple(x.T for x in gate)
 
     def gates(self) -> np.ndarray:
         """For every word, what it adds to the gates before activation."""
@@ -181,13 +253,13 @@ class Network:
         """Natural log-probability of each goal word after its state."""
         cls = self.class_of[goals]
         order, edges = _by_class(cls, self.starts)
-        states, goals = states[order], goals[order]
-        found = _log_softmax(states, self.to_class, self.class_bias, cls[order], _safe(self.to_class, self.class_bias))
-        safe = _safe(self.to_word, self.word_bias)
+        states, goals = _in_order(states, order), goals[order]
+        found = _log_softmax(states, _with_bias(self.to_class, self.class_bias), cls[order], _safe(self.to_class, self.class_bias))
+        safe, to_word = _safe(self.to_word, self.word_bias), _with_bias(self.to_word, self.word_bias)
         for c in np.flatnonzero(np.diff(edges)):
             rows, a, b = slice(edges[c], edges[c + 1]), self.starts[c], self.starts[c + 1]
             if b - a > 1:
-                found[rows] += _log_softmax(states[rows], self.to_word[:, a:b], self.word_bias[a:b], goals[rows] - a, safe)
+                found[rows] += _log_softmax(states[rows], to_word[a:b], goals[rows] - a, safe)
         out = np.empty_like(found)
         out[order] = found
         return out
@@ -229,29 +301,23 @@ def _lanes(docs: list[np.ndarray], lanes: int, window: int) -> Iterator[tuple[np
         heapq.heappush(free, (load + len(docs[k]), lane))
     rows.sort(key=lambda own: -sum(len(docs[k]) for k in own))  # lanes that end early come last
     loads = np.array([sum(len(docs[k]) for k in own) for own in rows])
-    place = [[0, 0] for _ in rows]  # of each lane: which of its documents is next, and where in it
+    listed = [k for own in rows for k in own if len(docs[k])]
+    sizes = np.array([len(docs[k]) for k in listed], np.int64)
+    goal = np.concatenate([docs[k] for k in listed] or [np.zeros(0)]).astype(np.int32)  # lane after lane
+    owner, fresh = np.repeat(np.array(listed, np.int32), sizes), np.zeros(len(goal), bool)
+    fresh[np.cumsum(sizes) - sizes] = True
+    before = np.where(fresh, 0, np.roll(goal, 1)).astype(np.int32)
+    starts = np.cumsum(loads) - loads
     for i in range(0, int(loads[0]), window):
         live = int(np.searchsorted(-loads, -i))
-        size = int(min(window, loads[0] - i))
-        given, goals = np.zeros((size, live), np.int32), np.zeros((size, live), np.int32)
-        doc, first = np.full((size, live), -1, np.int32), np.zeros((size, live), bool)
-        for lane in range(live):
-            own, (at, inside), t = rows[lane], place[lane], 0
-            while t < size and at < len(own):
-                numbers = docs[own[at]]
-                n = min(size - t, len(numbers) - inside)
-                goals[t : t + n, lane] = numbers[inside : inside + n]
-                doc[t : t + n, lane] = own[at]
-                if inside:
-                    given[t : t + n, lane] = numbers[inside - 1 : inside + n - 1]
-                else:
-                    first[t, lane] = True
-                    given[t + 1 : t + n, lane] = numbers[: n - 1]
-                t, inside = t + n, inside + n
-                if inside == len(numbers):
-                    at, inside = at + 1, 0
-            place[lane] = [at, inside]
-        yield given, goals, doc, first
+        step = np.arange(i, min(i + window, int(loads[0])))[:, None]
+        at = starts[:live] + step
+        if i + len(step) <= loads[live - 1]:
+            yield before[at], goal[at], owner[at], fresh[at]
+        else:
+            ended = step >= loads[:live]
+            at[ended] = 0
+            yield np.where(ended, 0, before[at]), np.where(ended, 0, goal[at]), np.where(ended, -1, owner[at]), fresh[at] & ~ended
 
 
 def score_documents(net: Network, docs: list[np.ndarray], gates: np.ndarray, lanes: int = SCORE_LANES) -> np.ndarray:
@@ -261,21 +327,27 @@ def score_documents(net: Network, docs: list[np.ndarray], gates: np.ndarray, lan
         return total
     lanes = min(lanes, len(docs))
     hidden = net.recur.shape[0]
-    state = np.zeros((lanes, hidden), np.float32)
+    cell, gates = net.cell(), gates * _turned(hidden, gates.dtype)
+    state = np.zeros((hidden, lanes), np.float32)
     for given, goals, doc, first in _lanes(docs, lanes, SCORE_WINDOW):
-        state = state[: goals.shape[1]]
-        states = np.empty((*goals.shape, hidden), np.float32)
+        state = np.ascontiguousarray(state[:, : goals.shape[1]])
+        states, fresh = np.empty((*goals.shape, hidden), np.float32), first.any(1)
         for t in range(len(goals)):
-            if first[t].any():
-                state[first[t]] = 0
-            state, _ = net.step(state, gates[given[t]])
-            states[t] = state
-        used = doc >= 0
-        got = net.log_likelihood(states[used], goals[used])
-        total += np.bincount(doc[used], got, len(docs))
+            if fresh[t]:
+                state[:, first[t]] = 0
+            state, _ = cell.step(state, gates.take(given[t], 0))
+            states[t] = state.T
+        used = _used(doc >= 0)
+        got = net.log_likelihood(states.reshape(-1, hidden)[used], goals.reshape(-1)[used])
+        total += np.bincount(doc.reshape(-1)[used], got, len(docs))
     return total
 
 
+def _used(cells: np.ndarray) -> np.ndarray | slice:
+    """Where steps and lanes are in use, as an index."""
+    return slice(None) if cells.all() else np.flatnonzero(cells)
+
+
 def train(docs: list[np.ndarray], counts: np.ndarray, epochs: int = EPOCHS, lanes: int = LANES, window: int = WINDOW, rate: float = 0.01, seed: int = 11, **shape) -> Network:
     """A network that learned from documents, which are number sequences ending in 0."""
     return descend(new_network(counts, seed=seed, **shape), docs, epochs, lanes, window, rate)
@@ -312,76 +384,104 @@ def descend(net: Network, docs: list[np.ndarray], epochs: int = 1, lanes: int =
 def gradients(net: Network, state: np.ndarray, given: np.ndarray, goals: np.ndarray, used: np.ndarray, first: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """(gradients of the mean negative log-likelihood of the goals in use, state after) for one window."""
     size, lanes = goals.shape
-    hidden = net.recur.shape[0]
-    table = net.gates()[given] if given.size > len(net.embed) else net.embed[given] @ net.inner + net.bias
-    entry, after, gate = np.empty((size, lanes, hidden), net.recur.dtype), np.empty((size, lanes, hidden), net.recur.dtype), []
-    fresh = first.any(1)
+    hidden, dtype = net.recur.shape[0], net.recur.dtype
+    cell, words = net.cell(), given.reshape(-1)
+    every = given.size > len(net.embed)  # else only the words that occur are worked out
+    table = cell.gates(net.embed if every else net.embed.take(words, 0))
+    entry, after, gate = np.empty((size, hidden, lanes), dtype), np.empty((size, lanes, hidden), dtype), []
+    fresh, now = first.any(1), state.T
     for t in range(size):
-        entry[t] = state
+        entry[t] = now
         if fresh[t]:
-            entry[t, first[t]] = 0
-        state, own = net.step(entry[t], table[t])
-        after[t] = state
+            entry[t][:, first[t]] = 0
+        now, own = cell.step(entry[t], table.take(given[t], 0) if every else table[t * lanes : (t + 1) * lanes])
+        after[t] = now.T
         gate.append(own)
     grads = {k: np.zeros_like(getattr(net, k)) for k in WEIGHTS}
-    d_after = np.zeros_like(after)
-    d_after[used] = _output_gradient(net, after[used], goals[used], grads) / max(1, used.sum())
+    at, n = _used(used), max(1, used.sum())
+    d_after = np.zeros((size * lanes, hidden), dtype)
+    d_after[at] = _output_gradient(net, after.reshape(-1, hidden)[at], goals.reshape(-1)[at], grads) / n
     for k in ("to_class", "class_bias", "to_word", "word_bias"):
-        grads[k] /= max(1, used.sum())
-    back = np.zeros((lanes, hidden), net.recur.dtype)
-    d_table, reset = np.empty_like(table), np.empty_like(after)
+        grads[k] /= n
+    d_after = d_after.reshape(size, lanes, hidden)
+    to_both, to_fresh, inner = net.recur[:, : 2 * hidden].copy(), net.recur[:, 2 * hidden :].copy(), net.inner.T.copy()
+    back, ones = np.zeros((hidden, lanes), dtype), np.ones(lanes, dtype)
+    d_gates, d_embed = np.empty((3 * hidden, lanes), dtype), np.empty((size, lanes, net.embed.shape[1]), dtype)
+    dz, dr, dc = d_gates[:hidden], d_gates[hidden : 2 * hidden], d_gates[2 * hidden :]
+    recur_both, recur_fresh = np.zeros_like(to_both), np.zeros_like(to_fresh)
     for t in range(size - 1, -1, -1):
         (z, r, c), h = gate[t], entry[t]
-        d = d_after[t] + back
-        dc = d * (1 - z) * (1 - c * c)
-        drh = dc @ net.recur[:, 2 * hidden :].T
-        dz, dr = d * (h - c) * z * (1 - z), drh * h * r * (1 - r)
-        own = d_table[t]
-        own[:, :hidden], own[:, hidden : 2 * hidden], own[:, 2 * hidden :], reset[t] = dz, dr, dc, r * h
-        back = d * z + drh * r + own[:, : 2 * hidden] @ net.recur[:, : 2 * hidden].T
+        back += d_after[t].T
+        rest = 1 - z
+        np.subtract(h, c, out=dz)
+        dz *= back
+        dz *= z
+        dz *= rest
+        np.multiply(c, c, out=dc)
+        np.subtract(1, dc, out=dc)
+        dc *= back
+        dc *= rest
+        d_reset, reset = to_fresh @ dc, r * h
+        np.subtract(1, r, out=dr)
+        dr *= reset
+        dr *= d_reset
+        recur_both += h @ d_gates[: 2 * hidden].T
+        recur_fresh += reset @ dc.T
+        grads["bias"] += d_gates @ ones
+        grads["inner"] += (d_gates @ net.embed.take(given[t], 0)).T
+        d_embed[t] = d_gates.T @ inner
+        back *= z
+        d_reset *= r
+        back += d_reset
+        back += to_both @ d_gates[: 2 * hidden]
         if fresh[t]:
-            back[first[t]] = 0
-    flat, words = d_table.reshape(-1, 3 * hidden), given.reshape(-1)
-    grads["recur"][:, : 2 * hidden] = entry.reshape(-1, hidden).T @ flat[:, : 2 * hidden]
-    grads["recur"][:, 2 * hidden :] = reset.reshape(-1, hidden).T @ flat[:, 2 * hidden :]
-    grads["bias"] = flat.sum(0)
-    grads["inner"] = net.embed[words].T @ flat
+            back[:, first[t]] = 0
+    grads["recur"] = np.concatenate((recur_both, recur_fresh), 1)
     order = np.argsort(words.astype(np.uint16 if len(net.embed) <= 1 << 16 else words.dtype), kind="stable")
     words = words[order]
     starts = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
-    grads["embed"][words[starts]] = np.add.reduceat((flat @ net.inner.T)[order], starts, axis=0)
-    return grads, state
+    grads["embed"][words[starts]] = np.add.reduceat(d_embed.reshape(len(words), -1)[order], starts, axis=0)
+    return grads, now.T
 
 
 def _output_gradient(net: Network, states: np.ndarray, goals: np.ndarray, grads: dict[str, np.ndarray]) -> np.ndarray:
     """Adds the output weights' gradients of the negative log-likelihood; returns the states'."""
     cls = net.class_of[goals]
     order, edges = _by_class(cls, net.starts)
-    states, goals, cls = states[order], goals[order], cls[order]
-    found = np.empty_like(states)
+    sizes, ones = np.diff(net.starts), np.ones(max(len(net.starts), np.diff(net.starts).max()), states.dtype)
+    found, named = np.empty_like(states), np.zeros_like(states)
+    states, goals, cls = _in_order(states, order), goals[order], cls[order]
 
-    def add(rows: slice, weights: np.ndarray, bias: np.ndarray, at: np.ndarray, weights_grad: np.ndarray, bias_grad: np.ndarray, safe: bool) -> np.ndarray:
-        own = states[rows]
-        p = own @ weights
-        p += bias
+    def errors(own: np.ndarray, weights: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
+        """Each state's probabilities, less 1 at the goal; ``at`` are flat places."""
+        p = own @ weights.T
         if not safe:
             p -= p.max(1, keepdims=True)
         np.exp(p, out=p)
-        p *= (1 / (p @ np.ones(len(bias), p.dtype)))[:, None]
-        p[np.arange(len(own)), at] -= 1
-        weights_grad += own.T @ p
-        bias_grad += np.ones(len(own), p.dtype) @ p
-        return p @ weights.T
+        p *= np.reciprocal(p @ ones[: p.shape[1]])[:, None]
+        p.reshape(-1)[at] -= 1
+        return p
 
-    safe = _safe(net.to_class, net.class_bias)
+    weights, safe = _with_bias(net.to_class, net.class_bias), _safe(net.to_class, net.class_bias)
+    grad, at = np.zeros(weights.shape, grads["to_class"].dtype), np.arange(min(len(goals), LOGIT_ROWS)) * len(weights)
     for i in range(0, len(goals), LOGIT_ROWS):
-        rows = slice(i, i + LOGIT_ROWS)
-        found[rows] = add(rows, net.to_class, net.class_bias, cls[rows], grads["to_class"], grads["class_bias"], safe)
-    safe = _safe(net.to_word, net.word_bias)
-    for c in np.flatnonzero(np.diff(edges)):
-        rows, a, b = slice(edges[c], edges[c + 1]), net.starts[c], net.starts[c + 1]
-        if b - a > 1:  # else its only word is certain, and nothing is to be learned
-            found[rows] += add(rows, net.to_word[:, a:b], net.word_bias[a:b], goals[rows] - a, grads["to_word"][:, a:b], grads["word_bias"][a:b], safe)
+        own = states[i : i + LOGIT_ROWS]
+        p = errors(own, weights, at[: len(own)] + cls[i : i + LOGIT_ROWS], safe)
+        grad += p.T @ own
+        np.matmul(p, weights[:, :-1], out=found[i : i + LOGIT_ROWS])
+    grads["to_class"] += grad[:, :-1].T
+    grads["class_bias"] += grad[:, -1]
+    weights, safe = _with_bias(net.to_word, net.word_bias), _safe(net.to_word, net.word_bias)
+    grad, at = np.zeros(weights.shape, grads["to_word"].dtype), (np.arange(len(goals)) - edges[cls]) * sizes[cls] + goals - net.starts[cls]
+    for c in np.flatnonzero((np.diff(edges) > 0) & (sizes > 1)).tolist():  # of one word, it is certain, and nothing is to be learned
+        rows, words = slice(edges[c], edges[c + 1]), slice(net.starts[c], net.starts[c + 1])
+        own, to_word = states[rows], weights[words]
+        p = errors(own, to_word, at[rows], safe)
+        grad[words] = p.T @ own
+        np.matmul(p, to_word[:, :-1], out=named[rows])
+    grads["to_word"] += grad[:, :-1].T
+    grads["word_bias"] += grad[:, -1]
+    found += named
     out = np.empty_like(found)
     out[order] = found
     return out
@@ -545,11 +645,11 @@ def frequent_words(counts: DataFrame, head: int) -> list:
     return sorted(counts.filter((F.col("c") >= least) & (F.col("word") != END)).collect(), key=lambda r: (-r["c"], r["word"]))
 
 
-def _own_name(doc: str | None, text: str | None) -> str:
+def _own_name(doc: str | None, text: bytes) -> str:
     """What a document's segments are drawn by."""
     from xxhash import xxh64_intdigest
 
-    return f"{doc}:{xxh64_intdigest((text or '').encode('utf-8', 'surrogatepass'))}"
+    return f"{doc}:{xxh64_intdigest(text)}"
 
 
 def _place(own: str, k: int) -> float:
@@ -565,11 +665,11 @@ def _segments(batches: Iterator[pd.DataFrame], share: float) -> Iterator[pd.Data
     for batch in batches:
         out = []
         for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-            words, own = word_list(text, lower=True), _own_name(doc, text)
-            for k in range(0, len(words) + 1, SEGMENT):
-                place = _place(own, k)
-                if place < share:
-                    out.append((place, b" ".join(words[k : k + SEGMENT]), k + SEGMENT > len(words)))
+            own = _own_name(doc, (text or "").encode("utf-8", "surrogatepass"))
+            most = (len(text or "") + 1) // 2  # a word takes a character and a blank
+            drawn = [(place, k) for k in range(0, most + 1, SEGMENT) if (place := _place(own, k)) < share]
+            words = word_list(text, lower=True) if drawn else []  # few texts are cut up for a small share
+            out += [(place, b" ".join(words[k : k + SEGMENT]), k + SEGMENT > len(words)) for place, k in drawn if k <= len(words)]
             if len(out) > 2000:
                 yield pd.DataFrame(out, columns=names)
                 out = []
@@ -618,20 +718,21 @@ def fit(
 
 def group_masses(counts: DataFrame, rank: dict[bytes, int], vocabulary: int, tail: Tail) -> tuple[np.ndarray, np.ndarray]:
     """By group: how often words outside the vocabulary were counted, and how many were counted once."""
-    sent = counts.sparkSession.sparkContext.broadcast((rank, vocabulary, tail))
+    sent = counts.sparkSession.sparkContext.broadcast((list(rank)[:vocabulary], tail))
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rank, vocabulary, tail = sent.value
-        n = tail.profile.shape[1]
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, tail = sent.value
+        known, n = pa.array([END.encode(), *known], pa.binary()), tail.profile.shape[1]
         mass, once = np.zeros(n), np.zeros(n)
         for batch in batches:
-            rows = [(w, c) for w, c in zip((x.encode("utf-8", "surrogatepass") for x in batch["word"]), batch["c"], strict=True) if w and not 0 <= rank.get(w, -1) < vocabulary]
-            own, c = tail.groups([w for w, _ in rows]), np.array([c for _, c in rows], np.float64)
+            words = batch.column("word").cast(pa.binary())
+            batch = batch.filter(pc.invert(pc.is_in(words, value_set=known)))
+            own, c = tail.groups(batch.column("word").cast(pa.binary()).to_pylist()), batch.column("c").to_numpy().astype(np.float64)
             mass += np.bincount(own, c, n)
             once += np.bincount(own, c == 1, n)
-        yield pd.DataFrame({"group": np.arange(n), "mass": mass, "once": once})
+        yield pa.record_batch({"group": pa.array(np.arange(n, dtype=np.int32)), "mass": mass, "once": once})
 
-    found = counts.mapInPandas(add, "group int, mass double, once double").groupBy("group").agg(F.sum("mass").alias("mass"), F.sum("once").alias("once"))
+    found = counts.mapInArrow(add, "group int, mass double, once double").groupBy("group").agg(F.sum("mass").alias("mass"), F.sum("once").alias("once"))
     mass, once = np.zeros(tail.profile.shape[1]), np.zeros(tail.profile.shape[1])
     for r in found.collect():
         mass[r["group"]], once[r["group"]] = r["mass"], r["once"]
@@ -684,7 +785,7 @@ def whole_pass(net: Network, segments: DataFrame, total: int) -> Network:
             yield pd.DataFrame({"part": [part], "n": [n], "w": [total.tobytes()]})
 
     dealt = segments.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int"))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "place", "numbers").select("numbers", "shard")
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "place", "numbers").select("numbers", "shard")
     learned = dealt.mapInPandas(learn, "part int, shard int, n long, w binary")
     ordered = learned.repartition("part").sortWithinPartitions("part", "shard")
     sums = sorted(ordered.mapInPandas(add, "part int, n long, w binary").collect(), key=lambda r: r["part"])
@@ -702,28 +803,47 @@ def _ranks(rank: dict[bytes, int], words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(rank.get, words, repeat(-1)), np.int32, len(words))
 
 
-def _encode_batches(model: Model, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per text: tokens, tokens in the head, their base score, what they cost within their groups, the other words' counts, groups and spelling, and all tokens as rows of the network."""
-    names = ["uid", "doc_id", "held_out", "own", "n_tokens", "head_tokens", "head_base", "odd", "words", "ns", "groups", "spelled", "numbers"]
+def _encode_batches(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text: tokens, tokens in the head, their base score, what they cost within their groups, the other words' counts, groups and spelling, and all tokens as rows of the network.
+
+    A batch's words are looked up together, and each other word is spelled once a batch.
+    """
+    lexicon = model.lexicon
+    tail, head = lexicon.tail, pa.array(list(lexicon.rank), pa.binary())
     for batch in batches:
-        rows = []
-        for uid, doc_id, held_out, text in zip(batch["uid"], batch["doc_id"], batch["held_out"], batch["text"], strict=True):
-            words = word_list(text, lower=True)
-            numbers, ranks, groups = model.lexicon.numbers(words)
-            tail = Counter(words[i] for i in np.flatnonzero(ranks < 0))
-            other, kinds = list(tail), np.fromiter((groups[w] for w in tail), np.int64, len(tail))
-            known = int((ranks >= 0).sum()) + 1
-            rows.append((
-                uid, doc_id, held_out, _own_name(doc_id, text), len(words) + 1, known, model.base_end + float(model.base[ranks].sum()), float(model.rarer[ranks].sum()),
-                [w.decode("utf-8", "surrogatepass") for w in other], np.fromiter(tail.values(), np.int64, len(tail)), kinds.astype(np.int32), model.lexicon.tail.spelled(other, kinds),
-                numbers.astype(ROW).tobytes(),
-            ))
-        yield pd.DataFrame(rows, columns=names)
+        texts = batch.column("text")
+        words, sizes = _words(texts)
+        n, owner = len(batch), np.repeat(np.arange(len(batch)), sizes)
+        ranks = pc.fill_null(pc.index_in(words, value_set=head), -1).to_numpy(zero_copy_only=False)
+        rows = lexicon.row[ranks]
+        at = np.flatnonzero(ranks < 0)
+        met = words.take(pa.array(at)).dictionary_encode()
+        other, which = met.dictionary.to_pylist(), met.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        groups = tail.groups(other)
+        rows[at] = 1 + groups[which]
+        spelled = tail.spelled(other, groups)
+        pairs, times = np.unique(owner[at] * max(1, len(other)) + which, return_counts=True)
+        of, which = np.divmod(pairs, max(1, len(other)))
+        numbers = np.zeros(len(words) + n, ROW)  # each text's end is left 0
+        numbers[np.arange(len(words)) + owner] = rows
+        offsets = lambda lengths: np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+        listed = lambda values: pa.ListArray.from_arrays(pa.array(offsets(np.bincount(of, minlength=n))), values)  # noqa: E731, B023
+        raw = pc.fill_null(texts, "").cast(pa.binary()).to_pylist()
+        yield pa.record_batch({
+            "uid": batch.column("uid"), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
+            "own": pa.array([_own_name(doc, text) for doc, text in zip(batch.column("doc_id").to_pylist(), raw, strict=True)], pa.string()),
+            "n_tokens": pa.array(sizes + 1), "head_tokens": pa.array(np.bincount(owner, ranks >= 0, n).astype(np.int64) + 1),
+            "head_base": pa.array(model.base_end + np.bincount(owner, model.base[ranks], n)), "odd": pa.array(np.bincount(owner, model.rarer[ranks], n)),
+            "words": listed(met.dictionary.take(pa.array(which)).cast(pa.string())), "ns": listed(pa.array(times.astype(np.int64))),
+            "groups": listed(pa.array(groups[which].astype(np.int32))), "spelled": listed(pa.array(spelled[which])),
+            "numbers": pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets((sizes + 1) * ROW_BYTES)), pa.py_buffer(numbers)]),
+        })
 
 
 def _score_batches(model: Model, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """``_score_numbers`` of texts."""
-    yield from _score_numbers(model.net, model.gates, _encode_batches(model, batches))
+    encoded = _encode_batches(model, (pa.RecordBatch.from_pandas(batch, preserve_index=False) for batch in batches))
+    yield from _score_numbers(model.net, model.gates, (batch.to_pandas() for batch in encoded))
 
 
 def _score_numbers(net: Network, gates: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -760,11 +880,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     model, first = fit(learned, counts, total, distinct, **options)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _encode_batches(sent.value, batches)
 
     id_type = docs.schema[id_col].dataType
-    made = rows.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("string"), held_out.alias("held_out"), "text").mapInPandas(
+    made = rows.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("string"), held_out.alias("held_out"), "text").mapInArrow(
         encode,
         "uid long, doc_id string, held_out boolean, own string, n_tokens long, head_tokens long, head_base double, odd double, "
         "words array<string>, ns array<long>, groups array<int>, spelled array<double>, numbers binary",
