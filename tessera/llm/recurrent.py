@@ -170,9 +170,8 @@ def _log_softmax(states: np.ndarray, weights: np.ndarray, goals: np.ndarray, saf
 
 
 def _sigmoid_of_negative(x: np.ndarray) -> np.ndarray:
-    """The sigmoid of -x, in place: an exponential costs half of what a tanh does."""
-    with np.errstate(over="ignore"):  # 1 / inf is 0
-        np.exp(x, out=x)
+    """The sigmoid of -x, in place: an exponential costs half of what a tanh does. Callers ignore its overflow: 1 / inf is 0."""
+    np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
@@ -185,26 +184,20 @@ class Cell:
     the candidate is -2 times as much: tanh x is twice the sigmoid of 2x, less 1.
     """
 
-    inner: np.ndarray  # WIDTH x 3H
-    bias: np.ndarray  # 3H
+    words: np.ndarray  # V x (WIDTH + 1), with a column of ones
+    inner: np.ndarray  # 3H x (WIDTH + 1), with the bias
     both: np.ndarray  # 2H x H
     fresh: np.ndarray  # H x H
 
-    def gates(self, embed: np.ndarray) -> np.ndarray:
-        """What words, rows of ``embed``, add to the gates before activation."""
-        out = embed @ self.inner
-        out += self.bias
-        return out
-
-    def step(self, state: np.ndarray, word_in: np.ndarray):
-        """(state after, gates); word_in has a row for each lane."""
+    def step(self, state: np.ndarray, given: np.ndarray):
+        """(state after, gates); ``given``, a row for each lane, is from ``words``."""
         n = len(state)
-        both = self.both @ state
-        both += word_in[:, : 2 * n].T
+        pre = self.inner @ given.T
+        both, c = pre[: 2 * n], pre[2 * n :]
+        both += self.both @ state
         _sigmoid_of_negative(both)
         z, r = both[:n], both[n:]
-        c = self.fresh @ (r * state)
-        c += word_in[:, 2 * n :].T
+        c += self.fresh @ (r * state)
         _sigmoid_of_negative(c)
         c *= 2
         c -= 1
@@ -237,12 +230,16 @@ class Network:
     def cell(self) -> Cell:
         n = self.recur.shape[0]
         turned = _turned(n, self.recur.dtype)
+        words = np.ones((len(self.embed), self.embed.shape[1] + 1), self.embed.dtype)
+        words[:, :-1] = self.embed
         recur = np.ascontiguousarray((self.recur * turned).T)
-        return Cell(self.inner * turned, self.bias * turned, recur[: 2 * n], recur[2 * n :])
+        return Cell(words, np.ascontiguousarray((np.concatenate((self.inner, self.bias[None])) * turned).T), recur[: 2 * n], recur[2 * n :])
 
+    @np.errstate(over="ignore")
     def step(self, state: np.ndarray, word_in: np.ndarray):
         """One step of lanes in rows; word_in is the input's share of the gates (rows of ``gates()``)."""
-        after, gate = self.cell().step(state.T, word_in * _turned(state.shape[1], word_in.dtype))
+        own = replace(self.cell(), inner=np.diag(_turned(state.shape[1], word_in.dtype)))
+        after, gate = own.step(state.T, word_in)
         return after.T, tuple(x.T for x in gate)
 
     def gates(self) -> np.ndarray:
@@ -320,14 +317,15 @@ def _lanes(docs: list[np.ndarray], lanes: int, window: int) -> Iterator[tuple[np
             yield np.where(ended, 0, before[at]), np.where(ended, 0, goal[at]), np.where(ended, -1, owner[at]), fresh[at] & ~ended
 
 
-def score_documents(net: Network, docs: list[np.ndarray], gates: np.ndarray, lanes: int = SCORE_LANES) -> np.ndarray:
-    """Natural log-likelihood of each document, a sequence of word numbers ending in 0."""
+@np.errstate(over="ignore")
+def score_documents(net: Network, docs: list[np.ndarray], gates: np.ndarray | None = None, lanes: int = SCORE_LANES) -> np.ndarray:
+    """Natural log-likelihood of each document, a sequence of word numbers ending in 0; ``gates`` are not needed any more, as a step works out its own."""
     total = np.zeros(len(docs))
     if not docs:
         return total
     lanes = min(lanes, len(docs))
     hidden = net.recur.shape[0]
-    cell, gates = net.cell(), gates * _turned(hidden, gates.dtype)
+    cell = net.cell()
     state = np.zeros((hidden, lanes), np.float32)
     for given, goals, doc, first in _lanes(docs, lanes, SCORE_WINDOW):
         state = np.ascontiguousarray(state[:, : goals.shape[1]])
@@ -335,7 +333,7 @@ def score_documents(net: Network, docs: list[np.ndarray], gates: np.ndarray, lan
         for t in range(len(goals)):
             if fresh[t]:
                 state[:, first[t]] = 0
-            state, _ = cell.step(state, gates.take(given[t], 0))
+            state, _ = cell.step(state, cell.words.take(given[t], 0))
             states[t] = state.T
         used = _used(doc >= 0)
         got = net.log_likelihood(states.reshape(-1, hidden)[used], goals.reshape(-1)[used])
@@ -355,7 +353,7 @@ def train(docs: list[np.ndarray], counts: np.ndarray, epochs: int = EPOCHS, lane
 
 def descend(net: Network, docs: list[np.ndarray], epochs: int = 1, lanes: int = LANES, window: int = WINDOW, rate: float = 0.01) -> Network:
     """Truncated backpropagation through time with Adam; changes ``net``."""
-    m1, m2, one, two = ({k: np.zeros_like(getattr(net, k)) for k in WEIGHTS} for _ in range(4))
+    m1, m2, one = ({k: np.zeros_like(getattr(net, k)) for k in WEIGHTS} for _ in range(3))
     steps = 0
     if not docs:
         return net
@@ -366,35 +364,38 @@ def descend(net: Network, docs: list[np.ndarray], epochs: int = 1, lanes: int =
             grads, state = gradients(net, state[: goals.shape[1]], given, goals, doc >= 0, first)
             steps += 1
             pace = rate * (1 - 0.8 * epoch / max(1, epochs))
-            for k in WEIGHTS:  # in place: at this size, fresh arrays cost more than the sums
-                g, a, b, w = grads[k], one[k], two[k], getattr(net, k)
-                np.clip(g, -1, 1, out=g)
-                np.multiply(np.subtract(g, m1[k], out=a), 0.1, out=a)
+            second = (0.01 / (1 - 0.99**steps)) ** 0.5
+            pace *= 0.1 / (1 - 0.9**steps) / second
+            for k in WEIGHTS:  # in place: at this size, fresh arrays cost more than the sums; moments are kept as plain sums
+                g, a, w = grads[k], one[k], getattr(net, k)
+                np.maximum(np.minimum(g, 1, out=a), -1, out=a)
+                m1[k] *= 0.9
                 m1[k] += a
-                np.multiply(g, g, out=a)
-                np.multiply(np.subtract(a, m2[k], out=a), 0.01, out=a)
+                np.multiply(a, a, out=a)
+                m2[k] *= 0.99
                 m2[k] += a
-                np.sqrt(np.divide(m2[k], 1 - 0.99**steps, out=a), out=a)
-                a += 1e-7
-                np.divide(np.multiply(m1[k], pace / (1 - 0.9**steps), out=b), a, out=b)
-                w -= b
+                np.sqrt(m2[k], out=a)
+                a += 1e-7 / second
+                np.divide(m1[k], a, out=a)
+                a *= pace
+                w -= a
     return net
 
 
+@np.errstate(over="ignore")
 def gradients(net: Network, state: np.ndarray, given: np.ndarray, goals: np.ndarray, used: np.ndarray, first: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """(gradients of the mean negative log-likelihood of the goals in use, state after) for one window."""
     size, lanes = goals.shape
     hidden, dtype = net.recur.shape[0], net.recur.dtype
     cell, words = net.cell(), given.reshape(-1)
-    every = given.size > len(net.embed)  # else only the words that occur are worked out
-    table = cell.gates(net.embed if every else net.embed.take(words, 0))
     entry, after, gate = np.empty((size, hidden, lanes), dtype), np.empty((size, lanes, hidden), dtype), []
+    rows = cell.words.take(given, 0)
     fresh, now = first.any(1), state.T
     for t in range(size):
         entry[t] = now
         if fresh[t]:
             entry[t][:, first[t]] = 0
-        now, own = cell.step(entry[t], table.take(given[t], 0) if every else table[t * lanes : (t + 1) * lanes])
+        now, own = cell.step(entry[t], rows[t])
         after[t] = now.T
         gate.append(own)
     grads = {k: np.zeros_like(getattr(net, k)) for k in WEIGHTS}
@@ -405,7 +406,7 @@ def gradients(net: Network, state: np.ndarray, given: np.ndarray, goals: np.ndar
         grads[k] /= n
     d_after = d_after.reshape(size, lanes, hidden)
     to_both, to_fresh, inner = net.recur[:, : 2 * hidden].copy(), net.recur[:, 2 * hidden :].copy(), net.inner.T.copy()
-    back, ones = np.zeros((hidden, lanes), dtype), np.ones(lanes, dtype)
+    back, d_inner = np.zeros((hidden, lanes), dtype), np.zeros_like(cell.inner)
     d_gates, d_embed = np.empty((3 * hidden, lanes), dtype), np.empty((size, lanes, net.embed.shape[1]), dtype)
     dz, dr, dc = d_gates[:hidden], d_gates[hidden : 2 * hidden], d_gates[2 * hidden :]
     recur_both, recur_fresh = np.zeros_like(to_both), np.zeros_like(to_fresh)
@@ -427,8 +428,7 @@ def gradients(net: Network, state: np.ndarray, given: np.ndarray, goals: np.ndar
         dr *= d_reset
         recur_both += h @ d_gates[: 2 * hidden].T
         recur_fresh += reset @ dc.T
-        grads["bias"] += d_gates @ ones
-        grads["inner"] += (d_gates @ net.embed.take(given[t], 0)).T
+        d_inner += d_gates @ rows[t]
         d_embed[t] = d_gates.T @ inner
         back *= z
         d_reset *= r
@@ -436,7 +436,7 @@ def gradients(net: Network, state: np.ndarray, given: np.ndarray, goals: np.ndar
         back += to_both @ d_gates[: 2 * hidden]
         if fresh[t]:
             back[:, first[t]] = 0
-    grads["recur"] = np.concatenate((recur_both, recur_fresh), 1)
+    grads["recur"], grads["inner"], grads["bias"] = np.concatenate((recur_both, recur_fresh), 1), d_inner[:, :-1].T, d_inner[:, -1]
     order = np.argsort(words.astype(np.uint16 if len(net.embed) <= 1 << 16 else words.dtype), kind="stable")
     words = words[order]
     starts = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
@@ -843,10 +843,10 @@ def _encode_batches(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator
 def _score_batches(model: Model, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """``_score_numbers`` of texts."""
     encoded = _encode_batches(model, (pa.RecordBatch.from_pandas(batch, preserve_index=False) for batch in batches))
-    yield from _score_numbers(model.net, model.gates, (batch.to_pandas() for batch in encoded))
+    yield from _score_numbers(model.net, (batch.to_pandas() for batch in encoded))
 
 
-def _score_numbers(net: Network, gates: np.ndarray, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _score_numbers(net: Network, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The network's score of texts that are numbers, and the other columns but for what it is made of.
 
     Many are scored together: a long document runs beside others instead of alone.
@@ -856,7 +856,7 @@ def _score_numbers(net: Network, gates: np.ndarray, batches: Iterator[pd.DataFra
     def out() -> pd.DataFrame:
         got = pd.concat(held, ignore_index=True)
         numbers = [np.frombuffer(x, ROW) for x in got.pop("numbers")]
-        return got.assign(score=score_documents(net, numbers, gates) / np.log(10) + got.pop("odd"))
+        return got.assign(score=score_documents(net, numbers) / np.log(10) + got.pop("odd"))
 
     for batch in batches:
         held.append(batch)
@@ -894,10 +894,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     if first < 1:
         segments = encoded.filter("NOT held_out").select("own", "numbers").mapInPandas(lambda b: _numbered_segments(b, first), "place double, numbers binary")
         net = whole_pass(net, segments, int(total * (1 - first)))
-    learned_net = docs.sparkSession.sparkContext.broadcast((net, net.gates()))
+    learned_net = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _score_numbers(*learned_net.value, batches)
+        yield from _score_numbers(learned_net.value, batches)
 
     given = encoded.select("uid", "doc_id", "held_out", "n_tokens", "head_tokens", "head_base", "odd", "numbers")
     done = given.mapInPandas(run, "uid long, doc_id string, held_out boolean, n_tokens long, head_tokens long, head_base double, score double")
