@@ -739,6 +739,12 @@ def group_masses(counts: DataFrame, rank: dict[bytes, int], vocabulary: int, tai
     return mass, once
 
 
+def _dealt(segments: DataFrame, shards: int) -> DataFrame:
+    """(numbers, shard): each shard in a partition of its own, in order."""
+    dealt = segments.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int"))
+    return dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "place", "numbers").select("numbers", "shard")
+
+
 def whole_pass(net: Network, segments: DataFrame, total: int) -> Network:
     """``net`` after one pass over ``segments`` (place, numbers): shards train from it apart, and their weights are averaged by tokens.
 
@@ -784,9 +790,7 @@ def whole_pass(net: Network, segments: DataFrame, total: int) -> Network:
         if n:
             yield pd.DataFrame({"part": [part], "n": [n], "w": [total.tobytes()]})
 
-    dealt = segments.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int"))
-    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "place", "numbers").select("numbers", "shard")
-    learned = dealt.mapInPandas(learn, "part int, shard int, n long, w binary")
+    learned = _dealt(segments, shards).mapInPandas(learn, "part int, shard int, n long, w binary")
     ordered = learned.repartition("part").sortWithinPartitions("part", "shard")
     sums = sorted(ordered.mapInPandas(add, "part int, n long, w binary").collect(), key=lambda r: r["part"])
     if not sums:

@@ -7,6 +7,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from tests_llm_data import awkward_rows, prose
 
@@ -475,3 +477,55 @@ def test_outputs_are_worked_out_class_by_class_in_order(monkeypatch, steep):
     for i in range(500):
         recurrent._output_gradient(net, states[i : i + 1], goals[i : i + 1], once)
     assert all(np.allclose(grads[k], once[k], rtol=1e-3, atol=1e-2) for k in grads)
+
+
+def test_words_of_texts_are_those_of_python():
+    """Arrow cuts texts at the blanks of ``WORD`` and at no other, and lowers A-Z only."""
+    texts = ["", None, " \t\n", " A\x1cB \x85c\xa0D e\x0b\x0cF\r\n\x00 \u00c4Z\u2003z ", "one", "Zz zz\u0085ZZ\tq "]
+    words, sizes = recurrent._words(pa.array(texts, pa.string()))
+    assert words.to_pylist() == [w for t in texts for w in recurrent.word_list(t, lower=True)]
+    assert sizes.tolist() == [len(recurrent.word_list(t)) for t in texts]
+    counted = pd.concat([b.to_pandas() for b in recurrent._count(iter([pa.record_batch({"text": pa.array(texts, pa.string())})] * 2))])
+    expected = Counter(w.decode() for t in texts for w in recurrent.word_list(t, lower=True))
+    assert dict(zip(counted["word"], counted["c"], strict=True)) == {"": 12} | {w: 2 * c for w, c in expected.items()}
+
+
+def test_a_batch_spells_each_rare_word_once(monkeypatch):
+    """Words outside the head are grouped and spelled once for all texts of a batch, not once a text; the texts keep their own counts."""
+    words = [b"w%d" % k for k in range(300)]
+    tail = recurrent.tail_groups(recurrent.speller(words), [words[k : k + 30] for k in range(0, 300, 10)], words)
+    n = tail.profile.shape[1]
+    rows = np.concatenate((1 + n + np.arange(100), 1 + tail.groups(words[100:]), [0])).astype(np.int32)
+    net = recurrent.new_network(np.ones(1 + n + 100))
+    model = recurrent.Model(net, net.gates(), recurrent.Lexicon({w: k for k, w in enumerate(words)}, 100, tail, rows), np.zeros(301), np.zeros(301), 0.0)
+    seen, spelled = [], recurrent.Tail.spelled
+    monkeypatch.setattr(recurrent.Tail, "spelled", lambda self, words, groups: seen.extend(words) or spelled(self, words, groups))
+    batch = pd.DataFrame({"uid": range(40), "doc_id": "1", "held_out": False, "text": [f"w{k} rare Rare other{k % 2}" for k in range(40)]})
+    got = pd.concat(recurrent._score_batches(model, iter([batch])))
+    assert sorted(seen) == [b"other0", b"other1", b"rare"]
+    assert [dict(zip(w, k, strict=True)) for w, k in zip(got["words"], got["ns"], strict=True)] == [{"rare": 2, f"other{k % 2}": 1} for k in range(40)]
+    assert (got["n_tokens"] == 5).all() and (got["head_tokens"] == 2).all()
+
+
+def test_no_task_trains_on_several_shards(spark):
+    """Shards are dealt by number; by hash, some tasks got four or five of 64 and others none."""
+    segments = spark.range(5000).selectExpr("id / 5000D AS place", "encode(CAST(id AS string), 'utf-8') AS numbers")
+    dealt = {(r["shard"], r["part"]) for r in recurrent._dealt(segments, 64).selectExpr("shard", "spark_partition_id() AS part").collect()}
+    assert dealt == {(k, k) for k in range(64)}
+
+
+def test_steep_gates_are_those_of_the_plain_form():
+    """Gates far beyond what an exponential holds are 0 or 1, without a warning."""
+    import warnings
+
+    rng = np.random.default_rng(3)
+    net = recurrent.new_network(np.arange(1.0, 9), classes=2, hidden=5, width=3)
+    net.inner[:], net.recur[:] = rng.normal(0, 200, net.inner.shape), rng.normal(0, 20, net.recur.shape)
+    state, word_in = rng.uniform(-1, 1, (8, 5)).astype(np.float32), net.gates()
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        after = net.step(state, word_in)[0]
+        scored = recurrent.score_documents(net, [np.array([3, 5, 7, 2, 0], np.int32)], net.gates())
+    z, r = np.split(0.5 * (np.tanh(0.5 * (word_in[:, :10] + state @ net.recur[:, :10]).astype(float)) + 1), 2, axis=1)
+    c = np.tanh(word_in[:, 10:] + (r * state) @ net.recur[:, 10:])
+    assert np.allclose(after, z * state + (1 - z) * c, atol=1e-4) and np.isfinite(scored).all()
