@@ -15,6 +15,7 @@ import logging
 import sys
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,6 @@ if __name__ == "__main__":
     sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from jobs.settings import command_line, shuffles_cleaned
-from tessera.functions.text import tokens
 from tessera.operators import blockmax
 
 log = logging.getLogger("jobs.build_index")
@@ -32,11 +32,17 @@ SETTINGS = {"source": "", "target": "", "format": "parquet", "id_column": "doc_i
 def run(spark: SparkSession, source: str, target: str, format: str = "parquet", id_column: str = "doc_id", text_column: str = "text", buckets: int = blockmax.BUCKETS, block_docs: int = blockmax.BLOCK_DOCS) -> dict:
     """Build the index of ``source`` into ``target``; returns what was read and written."""
     docs = spark.read.format(format).load(source).select(F.col(id_column).alias("id"), F.col(text_column).alias("content")).filter("id IS NOT NULL")
-    sized = docs.select("id", F.size(tokens(F.coalesce("content", F.lit("")))).cast("long").alias("dl"))
-    sized = sized.withColumn("class", blockmax.length_class(F.col("dl")))
-    with shuffles_cleaned(spark):
-        blockmax.write(blockmax.build(docs, block_docs, buckets), f"{target}/postings")
-    sized.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("class").parquet(f"{target}/documents")
+    # texts are split once and then read several times; they lie on the executors' disks meanwhile
+    texts = blockmax.worded(docs).persist(StorageLevel.DISK_ONLY)
+    try:
+        with shuffles_cleaned(spark):
+            sized = texts.select("id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
+            sized = sized.withColumn("class", blockmax.length_class(F.col("dl")))
+            # classes differ in size; each is written by as many tasks as it needs
+            sized.hint("rebalance", "class").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("class").parquet(f"{target}/documents")
+            blockmax.write(blockmax.inverted(texts, block_docs, buckets), f"{target}/postings")
+    finally:
+        texts.unpersist(blocking=True)
     documents, postings = spark.read.parquet(f"{target}/documents"), spark.read.schema("bucket int, term string, docs long").parquet(f"{target}/postings")
     size = documents.agg(F.count("*").alias("documents"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first().asDict()
     done = size | postings.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("docs"), F.lit(0)).alias("postings")).first().asDict()

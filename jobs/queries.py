@@ -19,10 +19,11 @@ def job1_build_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = fresh_folder(spark, "job1")
     for _ in range(2):
         build_index.run(spark, f"{sf_dir}/documents.parquet", target)
-    millionths = lambda x: F.round(x * 1_000_000).cast("long")
-    as_text = lambda c, f=lambda x: x: F.array_join(F.transform(c, lambda x: f(x).cast("string")), " ")
+    # contributions are positive, so half of them up is what ROUND does; it goes through decimals
+    millionths = lambda x: F.floor(x * 1_000_000 + 0.5)
+    as_text = lambda c: F.array_join(c.cast("array<string>"), " ")
     found = build_index.read(spark, target)
-    return found.select("bucket", "term", "block", "df", "docs", millionths(F.col("top")).alias("top"), as_text("ids").alias("ids"), as_text("parts", millionths).alias("parts"))
+    return found.select("bucket", "term", "block", "df", "docs", millionths(F.col("top")).alias("top"), as_text(F.col("ids")).alias("ids"), as_text(F.transform("parts", millionths)).alias("parts"))
 
 
 JOB1_SQL = f"""

@@ -55,6 +55,12 @@ def test_index_partitions_are_folders(spark, tmp_path):
     assert {p.name for p in (tmp_path / "index/postings").iterdir() if p.is_dir()} == {f"bucket={k}" for k in range(4)}
 
 
+def test_index_leaves_nothing_persisted(spark, tmp_path):
+    before = set(spark.sparkContext._jsc.getPersistentRDDs())
+    build_index.run(spark, f"{FOLDER}/documents.parquet", str(tmp_path / "index"))
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= before
+
+
 def grow(spark, path, rows):
     spark.createDataFrame(rows, DOCS).coalesce(1).write.mode("append").parquet(path)
 
@@ -166,6 +172,40 @@ def test_index_is_the_same_whatever_counts_as_hot_and_postings_move_by_block_alo
     assert "hashpartitioning(id" not in plan and "hashpartitioning(block" in plan and "SortMergeJoin" not in plan
 
 
+def index_rows(df):
+    return sorted(tuple(map(str, r)) for r in df.select("bucket", "term", "block", "df", "docs", "top", "ids", "parts").collect())
+
+
+@pytest.mark.parametrize("hot_docs", [50, 10**9])
+def test_index_is_the_same_however_the_work_is_cut(spark, corpus, monkeypatch, hot_docs):
+    docs, _ = corpus
+    whole = index_rows(blockmax.build(docs, 16, hot_docs=hot_docs))
+    monkeypatch.setattr(blockmax, "SET_TOKENS", 300)
+    monkeypatch.setattr(blockmax, "SLICE_TOKENS", 200)
+    monkeypatch.setattr(blockmax, "OUT_ROWS", 7)
+    assert index_rows(blockmax.build(docs, 16, hot_docs=hot_docs)) == whole
+
+
+def test_index_is_built_in_one_pass_over_each_exchange(spark, corpus):
+    docs, _ = corpus
+    plan = blockmax.build(docs, 16)._jdf.queryExecution().executedPlan().toString()
+    # a range's bounds cost a run of all that is below it, and a lookup in a term's rows a sort of them
+    assert "rangepartitioning" not in plan and "Window" not in plan and "ObjectHashAggregate" not in plan
+    assert plan.count("regexp_extract_all") == 1
+
+
+@pytest.mark.parametrize("kind, ids", [("long", [7, 1, None]), ("string", ["b", "ä", "a"])])
+def test_index_of_odd_tables(spark, kind, ids):
+    make = lambda texts: spark.createDataFrame(list(zip(ids, texts, strict=True)), f"id {kind}, content string").filter("id IS NOT NULL")
+    for texts in ([None, None, None], ["", "?!", None]):
+        assert blockmax.build(make(texts)).count() == 0
+    assert blockmax.build(make(["a", "b", "c"]).limit(0)).count() == 0
+    found = {r["term"]: r for r in blockmax.build(make(["Éa 1 1 𝔘x", None, None])).collect()}
+    assert sorted(found) == ["1", "éa", "𝔘x"] and all(r["ids"] == [ids[0]] and r["df"] == 1 for r in found.values())
+    both = {r["term"]: r["ids"] for r in blockmax.build(make(["x y", "x z", "x y"])).collect()}
+    assert both["x"] == sorted(i for i in ids if i is not None)
+
+
 def test_newest_versions_in_any_order(spark, tmp_path):
     from itertools import permutations
 
